@@ -61,7 +61,11 @@ class QualityLimits:
     max_repeat_percent: int = 30
     window: int = 8
     max_char_distance: float = 0.20
+    #: Below min_chars code points the distance isn't measured; below
+    #: short_chars the wider limit holds, since short histograms are noisy.
     min_chars: int = 200
+    short_chars: int = 500
+    max_char_distance_short: float = 0.30
     max_word_distance: float = 0.45
     min_distance_words: int = 100
     #: Documents with more symbols or capitals than this don't shape the references.
@@ -189,7 +193,8 @@ def _measured(text: bytes, lang: str | None, refs: References, limits: QualityLi
         char_d = js_distance(chars.astype(float), refs.chars[key])
     if key in refs.words and n >= limits.min_distance_words:
         word_d = js_distance(_word_histogram(Counter(text.lower().split()), vocabulary[key], n), refs.words[key])
-    kept = not failed and (char_d is None or char_d <= limits.max_char_distance) and (word_d is None or word_d <= limits.max_word_distance)
+    char_limit = limits.max_char_distance if points >= limits.short_chars else limits.max_char_distance_short
+    kept = not failed and (char_d is None or char_d <= char_limit) and (word_d is None or word_d <= limits.max_word_distance)
     return n, word_chars, int(counts[_SYMBOLS].sum()), len(lines) - len(set(lines)), repeat, failed, kept, char_d, word_d
 
 
