@@ -56,10 +56,14 @@ def digest_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return source.mapInArrow(run, "doc_id long, row long, run int, digest binary, n_bytes long, check binary")
 
 
+_ENTRIES = pa.schema([("lane", pa.int32()), ("digest", pa.binary()), ("n_bytes", pa.int64()), ("check", pa.binary()), ("keep_id", pa.int64()), ("keep_row", pa.int64()), ("group_size", pa.int64())])
+
+
 def _merge_runs(batches):
     """Entries in order of digest, best first -> one verified entry for each."""
     held = None
     for batch in batches:
+        batch = pa.RecordBatch.from_arrays(batch.columns, schema=_ENTRIES)
         table = pa.Table.from_batches([batch] if held is None else [held, batch])
         table = table.combine_chunks()
         if not table.num_rows:
@@ -74,8 +78,8 @@ def _merge_runs(batches):
                 raise ValueError("two texts have one SHA-256 digest")
         starts = np.flatnonzero(new)
         size = np.add.reduceat(combined_column(table, "group_size").to_numpy(), starts)
-        out = table.take(pa.array(starts)).set_column(table.schema.get_field_index("group_size"), "group_size", pa.array(size, pa.int64()))
-        out = out.combine_chunks()
+        first = table.take(pa.array(starts)).drop_columns("group_size")
+        out = first.append_column("group_size", pa.array(size, pa.int64())).cast(_ENTRIES).combine_chunks()
         if out.num_rows > 1:
             yield from out.slice(0, out.num_rows - 1).to_batches()
         held = out.slice(out.num_rows - 1).to_batches()[0]

@@ -5,8 +5,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, exact_dedup, licenses, near_dedup, quality
-from .common import documents
+from . import chat, exact_dedup, licenses, near_dedup, packing, quality, warc
+from .common import documents, new_folder
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,10 +23,28 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(documents(spark, sf_dir))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_folder(spark, "warc")
+    warc.write_warc(spark.read.parquet(f"{sf_dir}/pages.parquet"), folder)
+    return warc.verified_records(warc.read_warc(spark, folder))
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(documents(spark, sf_dir))
 
 
+def word_tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op7_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_folder(spark, "packed")
+    parts = packing.write_packed(documents(spark, sf_dir), folder, word_tokenizer(), 49_408, 2)
+    return packing.read_packed_digests(spark, folder, parts)
+
+
 def _conversation_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each row of ``conversations`` is one message event; equal places are told
     apart by role, text and count, so that every row stays a turn of its own."""
@@ -49,7 +67,9 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_license_scan": op3_license_scan,
+    "op5_warc": op5_warc,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
+    "op7_packed_ids": op7_packed_ids,
     "op8_chat_format": op8_chat_format,
 }
 
