@@ -3,6 +3,8 @@ written to cut lineage, and fast access to texts in Arrow batches."""
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -27,8 +29,30 @@ def shared_dir(spark: SparkSession) -> str:
     return held.rstrip("/")
 
 
+_folders: list[str] = []
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/evoka-{name}-{uuid.uuid4().hex}"
+    """A path of its own in the shared folder; ``clear_folders`` removes it."""
+    path = f"{shared_dir(spark)}/evoka-{name.replace(' ', '-')}-{uuid.uuid4().hex}"
+    _folders.append(path)
+    return path
+
+
+def clear_folders(spark: SparkSession) -> None:
+    """Removes all tables that operators of this process have written."""
+    for path in _folders:
+        jvm = spark.sparkContext._jvm
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    _folders.clear()
+
+
+@atexit.register
+def _clear_local() -> None:
+    for path in _folders:
+        if path.startswith(("file:", "/")):
+            shutil.rmtree("/" + path.removeprefix("file:").lstrip("/"), ignore_errors=True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

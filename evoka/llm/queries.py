@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, exact_dedup, licenses, near_dedup, packing, quality, warc
+from . import chat, exact_dedup, licenses, near_dedup, packing, quality, warc, word_bpe
 from .common import documents, new_folder
 
 
@@ -45,6 +45,10 @@ def op7_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.read_packed_digests(spark, folder, parts)
 
 
+def op9_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_bpe.round_trip_digests(documents(spark, sf_dir), word_tokenizer())
+
+
 def _conversation_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each row of ``conversations`` is one message event; equal places are told
     apart by role, text and count, so that every row stays a turn of its own."""
@@ -71,6 +75,7 @@ QUERIES = {
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op7_packed_ids": op7_packed_ids,
     "op8_chat_format": op8_chat_format,
+    "op9_word_bpe": op9_word_bpe,
 }
 
 ORACLE_SQL = {
