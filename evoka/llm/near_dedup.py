@@ -16,10 +16,13 @@ Plan, with everything after the first scan on thin rows:
    them first (2*m rows a node) leaves few nodes to expand to m*m keys.
 3. Each bucket (key) gets a hub; its other members are verified against the
    hub on the full sets. Verified links are contracted to components.
-4. Buckets that still hold several components go on: 1, 2, 4, ... further hubs
-   of a bucket are verified against its members in other components, until no
-   pair of a bucket is left that is neither connected nor verified. So no
-   bucket is capped and none is expanded into all of its pairs.
+4. Buckets that still hold several components are settled in one pass: members
+   outside the hub's component are held against the members of the other
+   components, inside the join, by size, by the triangle inequality over the
+   distances to a common hub (Jaccard distance is a metric; both lose nothing)
+   and by a sketch of 105 minhashes. Only pairs that pass, each once, leave the
+   join and are verified. So no bucket is capped, and a group of copies that
+   hangs together is never expanded into its pairs.
 """
 
 from __future__ import annotations
@@ -34,6 +37,8 @@ from pyspark.sql import DataFrame, functions as F
 from .common import texts_of, written
 
 SHINGLE = 5
+#: A sketch is 15 longs of seven bytes, a byte of a minhash each.
+SKETCH_LONGS, SKETCH_BYTES = 15, 7
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -108,8 +113,26 @@ def _composites(minima: np.ndarray, tables: int, width: int) -> np.ndarray:
     return out.T.astype(np.int64, copy=False)
 
 
+def _sketches(minima: np.ndarray) -> np.ndarray:
+    """(sets, 15): the lowest bytes of the first 105 minhashes, seven a long."""
+    low = (minima[: SKETCH_LONGS * SKETCH_BYTES] & np.uint32(255)).astype(np.int64).reshape(SKETCH_LONGS, SKETCH_BYTES, -1)
+    return (low << (8 * np.arange(SKETCH_BYTES, dtype=np.int64))[None, :, None]).sum(axis=1).T
+
+
+def _agreeing(x, y):
+    """How many bytes of two sketches agree."""
+    differing = F.lit(0)
+    for k in range(SKETCH_LONGS):
+        bits = F.col(f"{x}.sketch")[k].bitwiseXOR(F.col(f"{y}.sketch")[k])
+        low = F.lit(0x7F7F7F7F7F7F7F)
+        differing += F.bit_count(((bits.bitwiseAND(low) + low).bitwiseOR(bits)).bitwiseAND(F.lit(0x80808080808080)))
+    return SKETCH_LONGS * SKETCH_BYTES - differing
+
+
 def _features(docs: DataFrame, id_col: str, text_col: str, width: int, tables: int, k: int) -> DataFrame:
-    """(doc_id, row, set_key, n_shingles, composites) of each row."""
+    """(doc_id, row, set_key, n_shingles, composites, sketch) of each row."""
+    if 2 * tables * k < SKETCH_LONGS * SKETCH_BYTES:
+        raise ValueError("too few minhash functions for a sketch")
 
     def run(batches):
         hashes, (flips, factors) = WordHashes(), _functions(tables, k)
@@ -118,21 +141,23 @@ def _features(docs: DataFrame, id_col: str, text_col: str, width: int, tables: i
             for part in (batch.slice(i, 1000) for i in range(0, batch.num_rows, 1000)):
                 sets = [shingle_set(t, hashes, width) for t in texts_of(part.column(1))]
                 full = [s for s in sets if len(s)]
-                found = iter(_composites(_minhashes(full, flips, factors), tables, k)) if full else iter(())
-                lists = [next(found) if len(s) else None for s in sets]
+                minima = _minhashes(full, flips, factors) if full else None
+                found = iter(zip(_composites(minima, tables, k), _sketches(minima), strict=True)) if full else iter(())
+                lists = [next(found) if len(s) else (None, None) for s in sets]
                 yield pa.RecordBatch.from_pydict(
                     {
                         "doc_id": part.column(0),
                         "row": pa.array(np.arange(row, row + len(sets)), pa.int64()),
                         "set_key": pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
                         "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
-                        "composites": pa.array(lists, pa.list_(pa.int64())),
+                        "composites": pa.array([x[0] for x in lists], pa.list_(pa.int64())),
+                        "sketch": pa.array([x[1] for x in lists], pa.list_(pa.int64())),
                     }
                 )
                 row += len(sets)
 
     source = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
-    return source.mapInArrow(run, "doc_id long, row long, set_key binary, n_shingles long, composites array<long>")
+    return source.mapInArrow(run, "doc_id long, row long, set_key binary, n_shingles long, composites array<long>, sketch array<long>")
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
@@ -152,14 +177,15 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, w
     return sets.join(wanted.select("node", "set_key"), "set_key").dropDuplicates(["node"]).select("node", "shingles")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough. The side with the
-    hubs is joined while rows are thin; a hub that many pairs share is split by
-    the skew handling of the join."""
+def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b, distance, linked) of the pairs, by their full sets. The side with
+    the hubs is joined while rows are thin; a hub that many pairs share is split
+    by the skew handling of the join."""
     left = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
     both = left.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
-    return both.where(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+    both = both.select("a", "b", common.alias("c"), (F.size("sa") + F.size("sb") - common).alias("u"))
+    return both.select("a", "b", (1 - F.col("c") / F.col("u")).alias("distance"), (100 * F.col("c") >= percent * F.col("u")).alias("linked"))
 
 
 def connected_components(edges: DataFrame, name: str = "links") -> DataFrame:
@@ -182,6 +208,34 @@ def connected_components(edges: DataFrame, name: str = "links") -> DataFrame:
             return assign
 
 
+def _open_pairs(nodes, each, shared, in_buckets, compared, assign, fits, percent, tables) -> DataFrame:
+    """Pairs (a, b) of one bucket that may be linked and aren't connected yet.
+
+    Buckets here are those of the first collection's composites, which hold
+    those of the tables; a pair is taken from its first common one."""
+    own = each.where(F.col("at") < tables).join(shared, "value", "left_semi").select("value", "at", "node")
+    placed = own.join(in_buckets, "node", "left_semi").join(assign, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    heads = placed.groupBy("value").agg(F.min(F.struct("node", "component")).alias("head"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("value", F.col("head.component").alias("main"))
+    rows = placed.join(heads, "value")
+    # The smallest node that each node was held against, and how far it is.
+    refs = compared.select(F.col("b").alias("node"), F.col("a").alias("ref"), "distance").union(compared.select(F.col("a").alias("node"), F.col("a").alias("ref"), F.lit(0.0)))
+    refs = refs.groupBy("node").agg(F.min(F.struct("ref", "distance")).alias("r"))
+    facts = nodes.select("node", "n", F.slice("c", 1, tables).alias("c"), "sketch").join(rows.select("node").distinct(), "node", "left_semi").join(refs, "node", "left")
+    rows = written(rows.join(facts, "node"), "open-buckets")
+    x, y = rows.where("component <> main").alias("x"), rows.alias("y")
+    earlier = F.lit(False)
+    for k in range(tables - 1):
+        earlier = earlier | ((F.col("x.at") > k) & (F.col("x.c")[k] == F.col("y.c")[k]))
+    # Of pairs just at the limit, one in 100,000 has fewer agreeing bytes.
+    share, n_bytes = percent / 100, SKETCH_LONGS * SKETCH_BYTES
+    least = int(n_bytes * share - 4.3 * (n_bytes * share * (1 - share)) ** 0.5)
+    near = F.coalesce((F.col("x.r.ref") != F.col("y.r.ref")) | (F.abs(F.col("x.r.distance") - F.col("y.r.distance")) <= 1 - share + 1e-9), F.lit(True))
+    both_ways = (F.col("y.component") == F.col("y.main")) | (F.col("x.node") < F.col("y.node"))
+    apart = F.col("x.component") != F.col("y.component")
+    pairs = x.join(y, (F.col("x.value") == F.col("y.value")) & apart & both_ways & fits(F.col("x.n"), F.col("y.n")) & near & ~earlier & (_agreeing("x", "y") >= least))
+    return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).join(compared.select("a", "b"), ["a", "b"], "left_anti")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, width: int = SHINGLE, tables: int = 18, k: int = 3) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
 
@@ -192,7 +246,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     are separate rows, both kept if they share the smallest id. Other columns
     are ignored; an empty table gives an empty result."""
     features = written(_features(docs, id_col, text_col, width, tables, k), "features")
-    nodes = features.where("n_shingles > 0").groupBy("set_key").agg(F.min("row").alias("node"), F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("composites").alias("c"))
+    nodes = features.where("n_shingles > 0").groupBy("set_key").agg(F.min("row").alias("node"), F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("composites").alias("c"), F.first("sketch").alias("sketch"))
     nodes = written(nodes, "nodes")
     # Composites that at least two nodes have.
     each = nodes.select("node", "n", F.posexplode("c").alias("at", "value"))
@@ -210,35 +264,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     wanted = nodes.select("node", "doc_id", "set_key").join(in_buckets, "node", "left_semi")
     wanted = wanted.join(features.select("row", F.col("doc_id").alias("own")), wanted["node"] == F.col("row")).select("node", F.col("own").alias("doc_id"), "set_key")
     sets = written(_full_sets(docs, wanted, id_col, text_col, width), "sets")
-    links = written(_verified(pairs, sets, percent), "links")
+    compared = written(_compared(pairs, sets, percent), "links")
+    links = compared.where("linked").select("a", "b")
     assign = connected_components(links)
-
-    step, ranked, tested = 1, None, pairs
-    while True:
-        label = lambda t: t.join(assign, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        if ranked is None:
-            split = label(members.select("key", "node", "n", F.col("hub.node").alias("hub")))
-        else:
-            split = label(ranked.drop("component"))
-        open_keys = split.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-        split = split.join(open_keys, "key", "left_semi")
-        if ranked is None:
-            from pyspark.sql import Window
-
-            split = split.where("node <> hub").withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("node"))).drop("hub")
-        ranked = written(split, "open-buckets")
-        heads = ranked.where(F.col("rank").between(step, 2 * step - 1)).select("key", F.col("node").alias("h"), F.col("n").alias("hn"), F.col("component").alias("hc"), F.col("rank").alias("hr"))
-        if heads.isEmpty():
-            break
-        more = ranked.join(heads, "key").where((F.col("rank") > F.col("hr")) & (F.col("component") != F.col("hc")) & fits(F.col("n"), F.col("hn")))
-        more = more.select(F.least("h", "node").alias("a"), F.greatest("h", "node").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-        more = written(more, "pairs")
-        found = written(_verified(more, sets, percent), "links")
-        tested = tested.union(more)
-        if not found.isEmpty():
-            links = links.union(found)
-            assign = connected_components(links)
-        step *= 2
+    more = _open_pairs(nodes, each, shared, in_buckets, compared, assign, fits, percent, tables)
+    found = written(_compared(written(more, "pairs"), sets, percent).where("linked").select("a", "b"), "links")
+    if not found.isEmpty():
+        assign = connected_components(links.union(found))
 
     placed = nodes.select("set_key", "node", "doc_id").join(assign, "node", "left")
     smallest = placed.where(F.col("component").isNotNull()).groupBy("component").agg(F.min("doc_id").alias("least_id"))
