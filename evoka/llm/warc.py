@@ -60,6 +60,8 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
     large = thin.where(F.col("n_bytes") >= least_bytes)
     best = large.groupBy("digest").agg(F.max("page_id").alias("first")).join(large.select("run", "digest").distinct(), "digest")
     revisits = large.join(best, ["run", "digest"]).where("page_id <> first").select(F.col("page_id").alias("_id"), F.col("digest").alias("_digest"), "first").distinct()
+    # Written first, so that Spark plans the join of the texts by its true size.
+    revisits = written(revisits, "warc-revisits")
     body = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
     source = pages.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.regexp_replace(F.col(url_col).cast("string"), r"[\r\n]", " "), F.lit("")).alias("url"), body.alias("body"))
     joined = source.join(revisits.withColumnRenamed("_id", "id"), "id", "left")
