@@ -106,10 +106,8 @@ def _answered(tokenizer_path: str):
         for data in table.column("data").to_pylist():
             words = _expand(data).split(b"\n")
             runs.append(np.fromiter((index.setdefault(w, len(index)) for w in words), np.int64, len(words)))
-        ids = encoder.encode_words(list(index))
-        length = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat, length = encoder.encode_words(list(index))
         start = np.cumsum(length) - length
-        flat = np.concatenate([*ids, np.empty(0, np.uint32)])
         answers = [ragged(flat, start[r], length[r]) for r in runs]
         return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "lengths": pa.array([_planes(n) for _, n in answers], pa.binary()), "ids": pa.array([_planes(x) for x, _ in answers], pa.binary())})
 
