@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, exact_dedup, licenses, near_dedup, packing, quality, warc, word_bpe
+from . import chat, exact_dedup, licenses, near_dedup, packing, quality, toxicity, warc, word_bpe
 from .common import documents, new_folder
 
 
@@ -23,6 +23,13 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(documents(spark, sf_dir))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = toxicity.fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = toxicity.score_toxicity(docs, model)
+    return scored.select("doc_id", (~toxicity.in_training(F.col("doc_id"))).alias("held_out"), "score", "predicted")
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "warc")
     warc.write_warc(spark.read.parquet(f"{sf_dir}/pages.parquet"), folder)
@@ -71,6 +78,7 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_license_scan": op3_license_scan,
+    "op4_toxicity": op4_toxicity,
     "op5_warc": op5_warc,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op7_packed_ids": op7_packed_ids,
