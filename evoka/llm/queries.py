@@ -5,8 +5,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, exact_dedup, licenses, near_dedup, packing, quality, toxicity, warc, word_bpe
-from .common import documents, new_folder
+from . import chat, exact_dedup, licenses, mixing, near_dedup, packing, quality, toxicity, warc, word_bpe
+from .common import documents, new_folder, written
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,6 +56,25 @@ def op9_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_bpe.round_trip_digests(documents(spark, sf_dir), word_tokenizer())
 
 
+#: Target shares of the tokens, by domain of the labelled table.
+MIX = {"good": 0.97, "poor": 0.02, "toxic": 0.01}
+
+
+def labelled_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, domain) of the rows of ``labels``, domains as in ``MIX``; the rows
+    held out from learning toxicity are held out here too."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(toxicity.in_training(F.col("doc_id")))
+    domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "poor").when(F.col("quality") == 1, "good")
+    return labels.select("doc_id", domain.alias("domain"))
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = mixing.fit_domains(docs, labelled_domains(spark, sf_dir))
+    members = written(mixing.soft_members(docs, model), "soft-members")
+    return mixing.mixing_report(members, mixing.fit_rates(members, model.domains, MIX))
+
+
 def _conversation_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each row of ``conversations`` is one message event; equal places are told
     apart by role, text and count, so that every row stays a turn of its own."""
@@ -84,6 +103,7 @@ QUERIES = {
     "op7_packed_ids": op7_packed_ids,
     "op8_chat_format": op8_chat_format,
     "op9_word_bpe": op9_word_bpe,
+    "op10_mixing": op10_mixing,
 }
 
 ORACLE_SQL = {
