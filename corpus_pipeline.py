@@ -4,20 +4,49 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evoka.llm import exact_dedup, quality
+from evoka.llm import exact_dedup, mixing, near_dedup, quality, word_bpe
 from evoka.llm.common import written
+from evoka.llm.queries import MIX, labelled_domains, word_tokenizer
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that break a quality rule go."""
     return quality.keep_quality(docs, quality.fit_references(docs))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the document with the smallest id stays."""
     return exact_dedup.drop_copies(docs)
 
 
-STAGES = [("quality rules", quality_stage), ("exact dedup", exact_stage)]
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest id stays."""
+    return near_dedup.drop_near_copies(docs)
 
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix wants it: rarely for likely toxic or
+    poor ones, once or twice for the others."""
+    model = mixing.fit_domains(docs, labelled_domains(spark, sf_dir))
+    members = written(mixing.soft_members(docs, model), "soft-members")
+    return mixing.mix_documents(docs, model, mixing.fit_rates(members, model.domains, MIX))
+
+
+def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, ids) of every row."""
+    return word_bpe.encode_documents(docs, word_tokenizer())
+
+
+STAGES = [
+    ("quality rules", quality_stage),
+    ("exact dedup", exact_stage),
+    ("MinHash near-dedup", near_stage),
+    ("mixing", mixing_stage),
+    ("BPE encoding", bpe_stage),
+]
+
+#: Distances to fitted references, a fitted classifier and a tokenizer are not
+#: SQL; tests/llm/test_pipeline.py holds the stages against brute force.
 ORACLE_SQL = None
 
 
@@ -26,5 +55,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = written(docs, name.replace(" ", "-"))
+            docs = written(docs, name)
     return docs
