@@ -132,11 +132,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", largest: bool = False) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns. Only ids travel:
-    the texts are filtered where they are read when the dropped ids are few,
-    and meet them in a hash join otherwise."""
+    """The rows of ``docs`` that stay, with all their columns. The dropped ids
+    grow with the corpus, so texts and ids meet in a hash join at every size."""
     judged = written(exact_dedup(docs, id_col, text_col, largest), "exact")
-    gone = judged.where(~F.col("kept")).select(F.col("doc_id").alias("_id")).distinct()
+    gone = judged.where(~F.col("kept")).select(F.col("doc_id").alias("_id")).distinct().hint("shuffle_hash")
     stay = docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("_id")), "left_anti")
     # Ids that have both kept and dropped rows (repeated ids) need a closer look.
     mixed = judged.groupBy("doc_id").agg(F.bool_or("kept").alias("some"), F.bool_and("kept").alias("all")).where("some and not all").select(F.col("doc_id").alias("_id"))

@@ -14,10 +14,12 @@ Plan, with everything after the first scan on thin rows:
    Rows of equal sets become one node, so copies cost one row per task.
 2. A composite that only one node has can't be half of a shared key. Counting
    them first (2*m rows a node) leaves few nodes to expand to m*m keys.
-3. Each bucket (key) gets a hub; its other members are verified against the
-   hub on the full sets. Verified links are contracted to components.
+3. Each bucket (key) gets a hub, the member that shares most composites with
+   others (of a text and its altered copies, the text itself); its other
+   members are verified against the hub on the full sets. Verified links are
+   contracted to components.
 4. Buckets that still hold several components are settled in one pass: members
-   outside the hub's component are held against the members of the other
+   outside the bucket's largest component are held against the members of the other
    components, inside the join, by size, by the triangle inequality over the
    distances to a common hub (Jaccard distance is a metric; both lose nothing)
    and by a sketch of 105 minhashes. Only pairs that pass, each once, leave the
@@ -213,9 +215,10 @@ def _open_pairs(nodes, each, shared, in_buckets, compared, assign, fits, percent
 
     Buckets here are those of the first collection's composites, which hold
     those of the tables; a pair is taken from its first common one."""
-    own = each.where(F.col("at") < tables).join(shared, "value", "left_semi").select("value", "at", "node")
+    own = each.where(F.col("at") < tables).join(shared.select("value"), "value", "left_semi").select("value", "at", "node")
     placed = own.join(in_buckets, "node", "left_semi").join(assign, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    heads = placed.groupBy("value").agg(F.min(F.struct("node", "component")).alias("head"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("value", F.col("head.component").alias("main"))
+    sizes = placed.groupBy("value", "component").count()
+    heads = sizes.groupBy("value").agg(F.max(F.struct("count", "component")).alias("head"), F.count("*").alias("m")).where("m > 1").select("value", F.col("head.component").alias("main"))
     rows = placed.join(heads, "value")
     # The smallest node that each node was held against, and how far it is.
     refs = compared.select(F.col("b").alias("node"), F.col("a").alias("ref"), "distance").union(compared.select(F.col("a").alias("node"), F.col("a").alias("ref"), F.lit(0.0)))
@@ -233,7 +236,7 @@ def _open_pairs(nodes, each, shared, in_buckets, compared, assign, fits, percent
     both_ways = (F.col("y.component") == F.col("y.main")) | (F.col("x.node") < F.col("y.node"))
     apart = F.col("x.component") != F.col("y.component")
     pairs = x.join(y, (F.col("x.value") == F.col("y.value")) & apart & both_ways & fits(F.col("x.n"), F.col("y.n")) & near & ~earlier & (_agreeing("x", "y") >= least))
-    return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).join(compared.select("a", "b"), ["a", "b"], "left_anti")
+    return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).join(compared.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, width: int = SHINGLE, tables: int = 18, k: int = 3) -> DataFrame:
@@ -250,12 +253,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = written(nodes, "nodes")
     # Composites that at least two nodes have.
     each = nodes.select("node", "n", F.posexplode("c").alias("at", "value"))
-    shared = each.groupBy("value").count().where("count > 1").select("value")
-    halves = each.join(shared, "value", "left_semi").groupBy("node", "n").agg(F.collect_list(F.when(F.col("at") < tables, F.col("value"))).alias("a"), F.collect_list(F.when(F.col("at") >= tables, F.col("value"))).alias("b"))
-    keys = halves.select("node", "n", F.explode("a").alias("a"), "b").select("node", "n", "a", F.explode("b").alias("b")).select(F.xxhash64("a", "b").alias("key"), "node", "n")
+    shared = each.groupBy("value").count().where("count > 1")
+    halves = each.join(shared, "value").groupBy("node", "n").agg(F.sum("count").alias("weight"), F.collect_list(F.when(F.col("at") < tables, F.col("value"))).alias("a"), F.collect_list(F.when(F.col("at") >= tables, F.col("value"))).alias("b"))
+    keys = halves.select("node", "n", "weight", F.explode("a").alias("a"), "b").select("node", "n", "weight", "a", F.explode("b").alias("b")).select(F.xxhash64("a", "b").alias("key"), "node", "n", "weight")
     keys = written(keys, "keys")
-    hubs = keys.groupBy("key").agg(F.min(F.struct("node", "n")).alias("hub"), F.count("*").alias("m")).where("m > 1")
-    members = written(keys.join(hubs.select("key", "hub"), "key"), "buckets")
+    hubs = keys.groupBy("key").agg(F.max(F.struct("weight", "node", "n")).alias("hub"), F.count("*").alias("m")).where("m > 1")
+    members = written(keys.drop("weight").join(hubs.select("key", "hub"), "key"), "buckets")
 
     fits = lambda x, y: (100 * F.least(x, y) >= percent * F.greatest(x, y))
     pairs = members.where((F.col("node") != F.col("hub.node")) & fits(F.col("n"), F.col("hub.n"))).select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct()
@@ -286,5 +289,5 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """The rows of ``docs`` whose id stays, one document of each group. Where an
     id repeats, it stays if any of its rows does."""
     judged = written(near_duplicates(docs, id_col, text_col, **options), "near")
-    gone = judged.groupBy("doc_id").agg(F.bool_or("kept").alias("some")).where("not some").select(F.col("doc_id").alias("_id"))
+    gone = judged.groupBy("doc_id").agg(F.bool_or("kept").alias("some")).where("not some").select(F.col("doc_id").alias("_id")).hint("shuffle_hash")
     return docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("_id")), "left_anti")
