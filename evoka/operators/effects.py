@@ -34,9 +34,9 @@ def benjamini_hochberg(df: DataFrame, family: Sequence[str], p: str, unique: Seq
     tests, small beside the data that the tests are made from."""
     tests = df.where(F.col(p).isNotNull())
     by = W.partitionBy(*family) if family else W.partitionBy(F.lit(0))
-    up = by.orderBy(F.col(p), *unique)
+    up, down = by.orderBy(F.col(p), *unique), by.orderBy(F.desc(p), *[F.desc(u) for u in unique])
     raw = tests.withColumn("_q", F.col(p) * F.count("*").over(by) / F.row_number().over(up))
-    out = raw.withColumn(name, F.least(F.lit(1.0), F.min("_q").over(up.rowsBetween(0, W.unboundedFollowing)))).drop("_q")
+    out = raw.withColumn(name, F.least(F.lit(1.0), F.min("_q").over(down.rowsBetween(W.unboundedPreceding, 0)))).drop("_q")
     return out.withColumn("significant", F.col(name) < 0.05)
 
 

@@ -63,7 +63,10 @@ def fill_gaps(df: DataFrame, keys: Sequence[str], order: str, value: str, bad: C
     by = Window.partitionBy(*keys).orderBy(order)
     good = F.when(~bad, F.struct(F.col(order).cast("double").alias("x"), F.col(value).cast("double").alias("y")))
     rows = df.withColumn("_p", F.last(good, ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.withColumn("_n", F.first(good, ignorenulls=True).over(by.rowsBetween(0, Window.unboundedFollowing)))
+    # Backward by a descending order: a frame that ends with its group is built
+    # anew for every row.
+    back = Window.partitionBy(*keys).orderBy(F.desc(order))
+    rows = rows.withColumn("_n", F.last(good, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0)))
     p, n, x = F.col("_p"), F.col("_n"), F.col(order).cast("double")
     between = p["y"] + (n["y"] - p["y"]) * (x - p["x"]) / F.when(n["x"] == p["x"], 1.0).otherwise(n["x"] - p["x"])
     return rows.withColumn("filled", F.when(~bad, F.col(value).cast("double")).when(p.isNull(), n["y"]).when(n.isNull(), p["y"]).otherwise(between)).drop("_p", "_n")

@@ -389,7 +389,7 @@ def welch_spectra(spark, sf_dir):
 
     rows = _t(spark, sf_dir, "events").select((F.col("user_id") % 8).alias("channel"), "event_id", "value")
     rows = rows.withColumn("i", F.row_number().over(W.partitionBy("channel").orderBy("event_id")) - 1)
-    return signal.spectra(rows, ["channel"], "i", "value", 256.0, 256, 128)
+    return signal.spectra(rows, ["channel"], "i", "value", 256.0, 64, 32)
 
 
 @query()
