@@ -135,12 +135,12 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows of ``docs`` that stay, with all their columns. The dropped ids
     grow with the corpus, so texts and ids meet in a hash join at every size."""
     judged = written(exact_dedup(docs, id_col, text_col, largest), "exact")
-    gone = judged.where(~F.col("kept")).select(F.col("doc_id").alias("_id")).distinct().hint("shuffle_hash")
-    stay = docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("_id")), "left_anti")
+    gone = judged.where(~F.col("kept")).select(F.col("doc_id").alias("__evoka_id")).distinct().hint("shuffle_hash")
+    stay = docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("__evoka_id")), "left_anti")
     # Ids that have both kept and dropped rows (repeated ids) need a closer look.
-    mixed = judged.groupBy("doc_id").agg(F.bool_or("kept").alias("some"), F.bool_and("kept").alias("all")).where("some and not all").select(F.col("doc_id").alias("_id"))
-    kept = judged.where("kept").select(F.col("doc_id").alias("_kept_id"), F.hex("digest").alias("_kept_hex"))
+    mixed = judged.groupBy("doc_id").agg(F.bool_or("kept").alias("some"), F.bool_and("kept").alias("all")).where("some and not all").select(F.col("doc_id").alias("__evoka_id"))
+    kept = judged.where("kept").select(F.col("doc_id").alias("__evoka_kept_id"), F.hex("digest").alias("__evoka_kept_hex"))
     lowered = F.translate(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    again = docs.join(mixed, F.col(id_col).cast("long").eqNullSafe(F.col("_id")), "left_semi").withColumn("_hex", F.upper(F.sha2(lowered, 256))).dropDuplicates([id_col, "_hex"])
-    again = again.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("_kept_id")) & (F.col("_hex") == F.col("_kept_hex")), "left_semi").drop("_hex")
+    again = docs.join(mixed, F.col(id_col).cast("long").eqNullSafe(F.col("__evoka_id")), "left_semi").withColumn("__evoka_hex", F.upper(F.sha2(lowered, 256))).dropDuplicates([id_col, "__evoka_hex"])
+    again = again.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("__evoka_kept_id")) & (F.col("__evoka_hex") == F.col("__evoka_kept_hex")), "left_semi").drop("__evoka_hex")
     return stay.unionByName(again.select(*docs.columns))

@@ -11,7 +11,8 @@
 3. The residual is whitened by C = sum of tokens * posterior * posterior', and
    a document's step is taken in the metric of its tokens. Then the steepest
    curvature is 1, a step of 1 is safe at every size, and a document's rate
-   depends on its posterior alone. So documents are first summed by posterior
+   depends on its posterior alone. While that lowers the risk, C is that of the
+   documents whose rate isn't 0, which takes far fewer steps. So documents are first summed by posterior
    (at most binomial(resolution + K - 1, K - 1) rows however large the corpus),
    each iteration is one aggregation of that table, K sums reach the driver,
    and the texts' own rates need no join: they follow from the steps taken.
@@ -52,10 +53,11 @@ class MixingConfig:
     l2: float = 1e-3
     #: Posteriors are whole multiples of 1 / resolution.
     resolution: int = 100
-    max_iterations: int = 60
+    max_iterations: int = 200
     #: Iterations end when no domain's total is off its target by more than
-    #: this share of all tokens, or the risk falls by less than this share.
+    #: this share of all tokens, or the risk falls by less than ``least_gain``.
     tolerance: float = 1e-4
+    least_gain: float = 1e-6
 
 
 def _names(word: bytes, config: MixingConfig) -> set[int]:
@@ -264,19 +266,26 @@ def fit_rates(members: DataFrame, domains: tuple[str, ...], weights: dict[str, f
     for (d, e), x in zip(pairs, first, strict=False):
         c[d, e] = c[e, d] = x / total
     targets = aims / aims.sum()
-    white = np.linalg.pinv(c, rcond=1e-9, hermitian=True)
+    inverse = lambda m: np.linalg.pinv(m, rcond=1e-9, hermitian=True)
+    white = inverse(c)
     steps: list[tuple[float, ...]] = []
-    last = math.inf
+    last, safe = math.inf, False
     while True:
-        rate = _rate(F.col("parts"), steps, config.resolution)
-        sums = cells.withColumn("rate", rate).agg(*[F.sum(F.col("mass") * F.col("rate") * share[d]) for d in range(k)]).first()
-        reached = np.array([float(x) for x in sums]) / total
-        step = white @ (reached - targets)
-        risk = float((reached - targets) @ step)
-        settled = np.abs(reached - targets).max() <= config.tolerance or last - risk <= config.tolerance * risk
-        last = risk
-        if settled or len(steps) >= config.max_iterations:
+        rated = cells.withColumn("rate", _rate(F.col("parts"), steps, config.resolution))
+        free = F.when(F.col("rate") > 0, F.col("mass")).otherwise(0.0)
+        sums = rated.agg(*[F.sum(F.col("mass") * F.col("rate") * share[d]) for d in range(k)], *[F.sum(free * share[d] * share[e]) for d, e in pairs]).first()
+        reached = np.array([float(x) for x in sums[:k]]) / total
+        off = reached - targets
+        risk = float(off @ white @ off)
+        stalled = last - risk <= config.least_gain * risk
+        last = min(last, risk)
+        if np.abs(off).max() <= config.tolerance or (safe and stalled) or len(steps) >= config.max_iterations:
             return MixingRates(domains, tuple(steps), tuple((targets * total).tolist()), tuple((reached * total).tolist()), config.resolution)
+        safe = safe or stalled
+        own = np.zeros((k, k))
+        for (d, e), x in zip(pairs, sums[k:], strict=True):
+            own[d, e] = own[e, d] = x / total
+        step = (white if safe else inverse(own)) @ off
         steps.append(tuple(float(x) for x in step))
 
 

@@ -289,5 +289,5 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """The rows of ``docs`` whose id stays, one document of each group. Where an
     id repeats, it stays if any of its rows does."""
     judged = written(near_duplicates(docs, id_col, text_col, **options), "near")
-    gone = judged.groupBy("doc_id").agg(F.bool_or("kept").alias("some")).where("not some").select(F.col("doc_id").alias("_id")).hint("shuffle_hash")
-    return docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("_id")), "left_anti")
+    gone = judged.groupBy("doc_id").agg(F.bool_or("kept").alias("some")).where("not some").select(F.col("doc_id").alias("__evoka_id")).hint("shuffle_hash")
+    return docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("__evoka_id")), "left_anti")
