@@ -53,11 +53,11 @@ class MixingConfig:
     l2: float = 1e-3
     #: Posteriors are whole multiples of 1 / resolution.
     resolution: int = 100
-    max_iterations: int = 200
+    max_iterations: int = 60
     #: Iterations end when no domain's total is off its target by more than
     #: this share of all tokens, or the risk falls by less than ``least_gain``.
     tolerance: float = 1e-4
-    least_gain: float = 1e-6
+    least_gain: float = 1e-3
 
 
 def _names(word: bytes, config: MixingConfig) -> set[int]:
@@ -251,7 +251,8 @@ def fit_rates(members: DataFrame, domains: tuple[str, ...], weights: dict[str, f
     of all tokens, scaled to sum to 1; domains they don't name aim at none, and
     weights of domains that the model doesn't know count as not given.
 
-    Targets out of reach give the nearest totals in the whitened least squares.
+    Targets out of reach give totals near the whitened least squares' best, as
+    far as the stopping rule of ``config`` goes; ``reached`` says how far.
     No tokens or no weights at all: every rate is 1."""
     k = len(domains)
     cells = written(members.groupBy("parts").agg(F.sum("n_tokens").cast("double").alias("mass")).where("mass > 0"), "mixing-cells")
