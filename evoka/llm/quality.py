@@ -4,8 +4,11 @@ Every document is described by two histograms: its code points over a few
 character classes, and its words over a short list of common words of its
 language. Both are compared with the reference histograms of the language by
 the Jensen-Shannon distance. A document is rejected when a distance exceeds
-its limit, unless it is too short for the histogram to mean anything (the
-minimum-length guards), or when it breaks one of the base rules.
+its limit, or when it breaks one of the base rules. The limit on characters
+widens for short texts and ends below a minimum length. The limit on words is
+derived from the reference: a share of the distance that a text without any
+common word has, or, where that is more, what a text of that many words drawn
+from the reference itself would have by chance.
 
 Two scans of the texts and no shuffle of them: the first sums the histograms
 by language (one small row per language and task), the second scores.
@@ -13,6 +16,7 @@ by language (one small row per language and task), the second scores.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -66,8 +70,12 @@ class QualityLimits:
     min_chars: int = 200
     short_chars: int = 500
     max_char_distance_short: float = 0.30
-    max_word_distance: float = 0.45
-    min_distance_words: int = 100
+    #: Limit on words as a share of the distance of a text without common words;
+    #: or, if more, the distance that so many deviations of chance explain.
+    word_distance_share: float = 0.5
+    word_deviations: float = 3.0
+    #: The pooled reference mixes languages, so its own limit is no less.
+    least_pooled_word_distance: float = 0.45
     #: Documents with more symbols or capitals than this don't shape the references.
     max_reference_symbols: float = 0.02
     max_reference_capitals: float = 0.3
@@ -118,6 +126,41 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> float:
     return float(np.sqrt(max(0.0, (part(p) + part(q)) / 2)))
 
 
+def _chance(q: np.ndarray, n: int) -> tuple[float, float]:
+    """Mean and deviation of the Jensen-Shannon divergence between ``q`` and the
+    histogram of ``n`` words drawn from it: exact for each cell, whose count is
+    binomial; cells count as independent."""
+    q = q[q > 0][:, None]
+    x = np.arange(n + 1)
+    ways = math.lgamma(n + 1) - np.array([math.lgamma(k + 1) + math.lgamma(n - k + 1) for k in x])
+    weight = np.exp(ways + x * np.log(q) + (n - x) * np.log(np.maximum(1 - q, 1e-300)))
+    p = x / n
+    m = (p + q) / 2
+    value = (p * np.log2(np.where(p > 0, p / m, 1.0)) + q * np.log2(q / m)) / 2
+    mean = (weight * value).sum(axis=1)
+    return float(mean.sum()), float(np.sqrt(np.maximum(0, (weight * value**2).sum(axis=1) - mean**2).sum()))
+
+
+def word_limits(refs: References, limits: QualityLimits = QualityLimits()) -> dict[str, np.ndarray]:
+    """By language, the limit at 0, 1, 2, ... words; the last holds beyond."""
+    out = {}
+    for key, words in refs.words.items():
+        q = words / words.sum()
+        none = np.zeros(len(q))
+        none[-1] = 1
+        least = limits.word_distance_share * js_distance(none, q)
+        if key == POOLED:
+            least = max(least, limits.least_pooled_word_distance)
+        own = [1.0] * max(1, limits.min_words)
+        while len(own) < 5000:
+            mean, deviation = _chance(q, len(own))
+            own.append(max(least, math.sqrt(max(0.0, mean + limits.word_deviations * deviation))))
+            if own[-1] <= least:
+                break
+        out[key] = np.array(own)
+    return out
+
+
 def _ordinary(counts: np.ndarray, chars: np.ndarray, n_words: int, limits: QualityLimits) -> bool:
     letters = chars[0] + chars[1] + chars[6]
     return n_words >= limits.min_words and counts[_SYMBOLS].sum() <= limits.max_reference_symbols * chars.sum() and chars[1] <= limits.max_reference_capitals * letters
@@ -178,7 +221,7 @@ def count_repeated(words: list[bytes], window: int) -> int:
     return int((np.cumsum(edge[:-1]) > 0).sum())
 
 
-def _measured(text: bytes, lang: str | None, refs: References, limits: QualityLimits, matrix, vocabulary) -> tuple:
+def _measured(text: bytes, lang: str | None, refs: References, limits: QualityLimits, word_limit: dict, matrix, vocabulary) -> tuple:
     words = text.split()
     counts, chars = _char_histogram(text, matrix)
     points = int(counts[:128].sum() + counts[192:].sum())
@@ -191,10 +234,10 @@ def _measured(text: bytes, lang: str | None, refs: References, limits: QualityLi
     char_d = word_d = None
     if key in refs.chars and points >= limits.min_chars:
         char_d = js_distance(chars.astype(float), refs.chars[key])
-    if key in refs.words and n >= limits.min_distance_words:
+    if key in refs.words and n >= limits.min_words:
         word_d = js_distance(_word_histogram(Counter(text.lower().split()), vocabulary[key], n), refs.words[key])
     char_limit = limits.max_char_distance if points >= limits.short_chars else limits.max_char_distance_short
-    kept = not failed and (char_d is None or char_d <= char_limit) and (word_d is None or word_d <= limits.max_word_distance)
+    kept = not failed and (char_d is None or char_d <= char_limit) and (word_d is None or word_d <= word_limit[key][min(n, len(word_limit[key]) - 1)])
     return n, word_chars, int(counts[_SYMBOLS].sum()), len(lines) - len(set(lines)), repeat, failed, kept, char_d, word_d
 
 
@@ -209,11 +252,12 @@ def quality_report(docs: DataFrame, refs: References, limits: QualityLimits = Qu
     language: the pooled reference. A distance is null where its length guard
     or a missing reference leaves it unmeasured, and then never rejects.
     Repeated rows are judged each by itself; other columns are ignored."""
+    word_limit = word_limits(refs, limits)
 
     def run(batches):
         matrix, vocabulary = _class_matrix(), _vocabulary()
         for batch in batches:
-            rows = [_measured(t, g, refs, limits, matrix, vocabulary) for t, g in zip(texts_of(batch.column(1)), batch.column(2).to_pylist(), strict=True)]
+            rows = [_measured(t, g, refs, limits, word_limit, matrix, vocabulary) for t, g in zip(texts_of(batch.column(1)), batch.column(2).to_pylist(), strict=True)]
             columns = list(zip(*rows, strict=True)) or [()] * len(_FIELDS)
             yield pa.RecordBatch.from_arrays([combined(batch.column(0)), *(pa.array(c, t) for c, t in zip(columns, _FIELDS.values(), strict=True))], names=[id_col, *_FIELDS])
 
@@ -224,11 +268,12 @@ def quality_report(docs: DataFrame, refs: References, limits: QualityLimits = Qu
 def keep_quality(docs: DataFrame, refs: References, limits: QualityLimits = QualityLimits(), text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of ``docs`` that pass, with all their columns and no shuffle."""
     at_text, at_lang = docs.columns.index(text_col), docs.columns.index(lang_col)
+    word_limit = word_limits(refs, limits)
 
     def run(batches):
         matrix, vocabulary = _class_matrix(), _vocabulary()
         for batch in batches:
-            mask = [_measured(t, g, refs, limits, matrix, vocabulary)[6] for t, g in zip(texts_of(batch.column(at_text)), batch.column(at_lang).to_pylist(), strict=True)]
+            mask = [_measured(t, g, refs, limits, word_limit, matrix, vocabulary)[6] for t, g in zip(texts_of(batch.column(at_text)), batch.column(at_lang).to_pylist(), strict=True)]
             yield batch.filter(pa.array(mask, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

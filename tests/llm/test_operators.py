@@ -90,6 +90,24 @@ def test_quality_keeps_ordinary_texts_and_drops_symbol_soup(spark, docs):
     assert not kept & set(range(len(ordinary), len(ordinary) + 10))
 
 
+def test_quality_words_decide(spark):
+    """Texts of rare words go at every length where chance can't explain them;
+    clean ones of the same lengths stay, also far under 100 words."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    refs = quality.fit_references(docs)
+    limits = quality.word_limits(refs)
+    none = np.append(np.zeros(quality.N_COMMON), 1.0)
+    assert all(quality.js_distance(none, refs.words[k]) > own[min(n, len(own) - 1)] for k, own in limits.items() for n in (50, 100, 150, 1000))
+    clean = [r.text for r in docs.where("lang = 'en'").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet").where("quality = 1"), "doc_id").collect() if not rules(r.text)[5]]
+    clean = [" ".join(words(t)[:n]) for t in clean[:60] for n in (40, 80, 150) if len(words(t)) >= n]
+    junk = [" ".join("".join(rng.choice(list("aeinorstdlmu"), 6)) for _ in range(n)) for n in (50, 80, 120, 150) for rng in [np.random.default_rng(n)]]
+    df = spark.createDataFrame([(i, t, "en") for i, t in enumerate(junk + clean)], "doc_id long, text string, lang string")
+    found = {r.doc_id: r for r in quality.quality_report(df, refs).collect()}
+    assert not any(found[i].kept or found[i].base_failed for i in range(len(junk)))
+    by_words = [found[i].word_distance > limits["en"][min(found[i].n_words, len(limits["en"]) - 1)] for i in range(len(junk), len(found))]
+    assert len(by_words) > 50 and np.mean(by_words) <= 0.02
+
+
 def test_js_distance():
     assert quality.js_distance(np.array([1.0, 0]), np.array([0, 1.0])) == pytest.approx(1)
     assert quality.js_distance(np.array([2.0, 2]), np.array([1.0, 1])) == 0
