@@ -5,10 +5,11 @@ to the places of the few words that the index knows ("hits"). Then, on thin
 rows:
 
 1. Document frequencies of the index words over all files give their IDF.
-2. The highest-IDF licence words of each file are looked up in the postings
-   (word -> template, place in the template). Postings intersect by relative
-   position: hits that agree on ``place in file - place in template`` support
-   one alignment of one template, weighted by IDF.
+2. The postings (word -> template, place in the template) hold the highest-IDF
+   words of each template, and all hits of a file are looked up in them, so that
+   no template's match depends on what else the file holds. Postings intersect
+   by relative position: hits that agree on ``place in file - place in
+   template`` support one alignment of one template, weighted by IDF.
 3. An alignment counts when it covers enough of the template's weight and the
    template's mandatory key phrases stand, word by word, at their places.
 
@@ -112,8 +113,8 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row per row of ``docs``: id, n_words, n_base, first_word, last_word,
     base_labels, labels, score.
 
-    ``rarest``: how many of a file's distinct licence words, highest IDF first
-    (ties: by word), are looked up. ``least_cover``: share of a template's IDF
+    ``rarest``: how many of a template's distinct words, highest IDF first
+    (ties: by word), are in the postings and make up its weight. ``least_cover``: share of a template's IDF
     weight that an alignment must reach. ``score``: best such share among the
     verified alignments, else 0.
 
@@ -130,7 +131,6 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     n_docs = thin.count()
     df = {r[0]: r[1] for r in thin.select(F.explode(F.array_distinct("hits.word")).alias("w")).groupBy("w").count().collect()}
     value = {w: math.log((n_docs + 1.0) / (df.get(w, 0) + 1.0)) + 1e-9 for w in index_words()}
-    idf = F.create_map(*[F.lit(x) for w in index_words() for x in (w, value[w])])
 
     spark = docs.sparkSession
     postings, needs, weight_of = [], [], {}
@@ -152,9 +152,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     # Rows whose key phrases all fail can't match: they leave here.
     open_rows = with_phrases.where(F.size("places") > 0)
-    ranked = F.slice(F.array_sort(F.transform(F.array_distinct("hits.word"), lambda w: F.struct((-idf[w]).alias("i"), w.alias("w")))), 1, rarest)
-    looked_up = open_rows.withColumn("_top", F.transform(ranked, lambda r: r["w"])).select("row", F.explode(F.filter("hits", lambda h: F.array_contains(F.col("_top"), h["word"]))).alias("h"))
-    votes = looked_up.select("row", "h.at", "h.word").join(postings, "word").select("row", "template", (F.col("at") - F.col("place")).alias("offset"), "weight", F.lit(0).alias("key"))
+    votes = open_rows.select("row", F.explode("hits").alias("h")).select("row", "h.at", "h.word").join(postings, "word").select("row", "template", (F.col("at") - F.col("place")).alias("offset"), "weight", F.lit(0).alias("key"))
     keys = open_rows.select("row", F.explode("places").alias("p")).select("row", "p.phrase", "p.start").join(needs, "phrase").select("row", "template", (F.col("start") - F.col("place")).alias("offset"), F.lit(0.0).alias("weight"), F.lit(1).alias("key"))
     aligned = votes.unionByName(keys).groupBy("row", "template", "offset").agg(F.sum("weight").alias("weight"), F.sum("key").alias("keys")).join(facts, "template")
     matched = aligned.where((F.col("keys") == F.col("n_keys")) & (F.col("weight") >= least_cover * F.col("total"))).groupBy("row").agg(F.collect_set("label").alias("own_labels"), F.max(F.least(F.lit(1.0), F.col("weight") / F.col("total"))).alias("best"))

@@ -159,6 +159,16 @@ def test_license_templates(spark):
     assert found[3].labels == "mit" and found[3].base_labels == ""
 
 
+def test_license_notices_of_one_file_do_not_hide_each_other(spark):
+    notices = [t.text for t in licenses.TEMPLATES]
+    notice = {t.label: t.text for t in licenses.TEMPLATES}
+    four = [notices[0], notices[2], notice["bsd"], notice["cc-by-4.0"]]
+    rows = [(1, ". Then ".join(four)), (2, ". Then ".join(notices))] + [(3 + i, f"common text {x}") for i, x in enumerate([notices[0], notice["cc-by-4.0"]] * 40)]
+    found = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(found[1].labels.split(",")) == {"apache", "cc-by", "apache-2.0", "mit", "bsd", "cc-by-4.0"} and found[1].score > 0.9
+    assert {t.label for t in licenses.TEMPLATES} <= set(found[2].labels.split(","))
+
+
 # 4
 
 
