@@ -4,22 +4,21 @@
    a labelled table (id, domain) and gives every document its posterior over
    the K domains, in steps of 1 / ``resolution``.
 2. A document's expected tokens in a domain are its tokens times its posterior
-   there. Projected gradient descent finds the documents' rates, none negative,
-   whose weighted totals come nearest, in least squares, to the target totals:
-   all tokens divided by the target weights. Rates start at 1, so of all
-   solutions one near to the corpus as it is comes out.
+   there. The fit finds the documents' rates, none negative, whose weighted
+   totals come nearest, in least squares, to the target totals: all tokens
+   divided by the target weights; of all such rates those nearest to 1.
 3. The residual is whitened by C = sum of tokens * posterior * posterior', and
-   a document's step is taken in the metric of its tokens. Then the steepest
-   curvature is 1, a step of 1 is safe at every size, and a document's rate
-   depends on its posterior alone. While that lowers the risk, C is that of the
-   documents whose rate isn't 0, which takes far fewer steps. So documents are first summed by posterior
-   (at most binomial(resolution + K - 1, K - 1) rows however large the corpus),
-   each iteration is one aggregation of that table, K sums reach the driver,
-   and the texts' own rates need no join: they follow from the steps taken.
+   rates are weighed by tokens, so a document's rate depends on its posterior
+   alone: max(0, 1 - posterior @ step), one step of K numbers for all. Newton's
+   method finds it in the dual. So documents are first summed by posterior (at
+   most binomial(resolution + K - 1, K - 1) rows however large the corpus), each
+   iteration is one aggregation of that table, some K * K sums reach the driver,
+   and the texts' own rates need no join: they follow from the step.
 """
 
 from __future__ import annotations
 
+import logging
 import math
 import zlib
 from collections import Counter
@@ -31,6 +30,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import combined, texts_of, written
 
+_LOG = logging.getLogger(__name__)
 _LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _SYMBOLS = np.array([b for b in range(33, 127) if not chr(b).isalnum() and chr(b) not in ".,;:'\"!?-()"])
 N_DENSE = 6
@@ -53,11 +53,14 @@ class MixingConfig:
     l2: float = 1e-3
     #: Posteriors are whole multiples of 1 / resolution.
     resolution: int = 100
-    max_iterations: int = 60
-    #: Iterations end when no domain's total is off its target by more than
-    #: this share of all tokens, or the risk falls by less than ``least_gain``.
+    #: The fit ends when no domain's total is off its target by more than this
+    #: share of all tokens; targets out of reach, when the whitened slope is
+    #: under ``least_slope`` at the last of ``pulls`` towards rates of 1.
     tolerance: float = 1e-4
-    least_gain: float = 1e-3
+    least_slope: float = 1e-6
+    pulls: tuple[float, ...] = (1e-2, 1e-4, 1e-6, 1e-8)
+    #: Newton steps of a stage; more is an error, not a result.
+    max_iterations: int = 200
 
 
 def _names(word: bytes, config: MixingConfig) -> set[int]:
@@ -233,7 +236,10 @@ class MixingRates:
     def of_parts(self, parts: np.ndarray) -> float:
         rate = 1.0
         for step in self.steps:
-            rate = max(0.0, rate - float(parts @ np.array(step)) / self.resolution)
+            down = 0.0
+            for p, x in zip(parts, step, strict=True):
+                down += float(p) * (float(x) / self.resolution)
+            rate = max(0.0, rate - down)
         return rate
 
 
@@ -247,13 +253,13 @@ def _rate(parts: Column, steps, resolution: int) -> Column:
 
 
 def fit_rates(members: DataFrame, domains: tuple[str, ...], weights: dict[str, float], config: MixingConfig = MixingConfig()) -> MixingRates:
-    """Rates by projected gradient; ``weights`` are the domains' target shares
+    """Rates by least squares; ``weights`` are the domains' target shares
     of all tokens, scaled to sum to 1; domains they don't name aim at none, and
     weights of domains that the model doesn't know count as not given.
 
-    Targets out of reach give totals near the whitened least squares' best, as
-    far as the stopping rule of ``config`` goes; ``reached`` says how far.
-    No tokens or no weights at all: every rate is 1."""
+    Targets out of reach give the whitened least squares' best totals;
+    ``reached`` says how far they are. No tokens or no weights at all: every
+    rate is 1."""
     k = len(domains)
     cells = written(members.groupBy("parts").agg(F.sum("n_tokens").cast("double").alias("mass")).where("mass > 0"), "mixing-cells")
     share = [F.col("parts")[d] / F.lit(float(config.resolution)) for d in range(k)]
@@ -267,27 +273,54 @@ def fit_rates(members: DataFrame, domains: tuple[str, ...], weights: dict[str, f
     for (d, e), x in zip(pairs, first, strict=False):
         c[d, e] = c[e, d] = x / total
     targets = aims / aims.sum()
-    inverse = lambda m: np.linalg.pinv(m, rcond=1e-9, hermitian=True)
-    white = inverse(c)
-    steps: list[tuple[float, ...]] = []
-    last, safe = math.inf, False
-    while True:
-        rated = cells.withColumn("rate", _rate(F.col("parts"), steps, config.resolution))
+
+    def sums(step: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        rated = cells.withColumn("rate", _rate(F.col("parts"), [tuple(step)], config.resolution))
         free = F.when(F.col("rate") > 0, F.col("mass")).otherwise(0.0)
-        sums = rated.agg(*[F.sum(F.col("mass") * F.col("rate") * share[d]) for d in range(k)], *[F.sum(free * share[d] * share[e]) for d, e in pairs]).first()
-        reached = np.array([float(x) for x in sums[:k]]) / total
-        off = reached - targets
-        risk = float(off @ white @ off)
-        stalled = last - risk <= config.least_gain * risk
-        last = min(last, risk)
-        if np.abs(off).max() <= config.tolerance or (safe and stalled) or len(steps) >= config.max_iterations:
-            return MixingRates(domains, tuple(steps), tuple((targets * total).tolist()), tuple((reached * total).tolist()), config.resolution)
-        safe = safe or stalled
+        found = rated.agg(*[F.sum(F.col("mass") * F.col("rate") * share[d]) for d in range(k)], *[F.sum(free * share[d] * share[e]) for d, e in pairs], F.sum(F.col("mass") * F.col("rate") * F.col("rate"))).first()
         own = np.zeros((k, k))
-        for (d, e), x in zip(pairs, sums[k:], strict=True):
+        for (d, e), x in zip(pairs, found[k:-1], strict=True):
             own[d, e] = own[e, d] = x / total
-        step = (white if safe else inverse(own)) @ off
-        steps.append(tuple(float(x) for x in step))
+        return np.array([float(x) for x in found[:k]]) / total, own, float(found[-1]) / total
+
+    step, reached = solve_step(sums, c, targets, config)
+    rates = MixingRates(domains, (tuple(float(x) for x in step),), tuple((targets * total).tolist()), tuple((reached * total).tolist()), config.resolution)
+    _LOG.info("tokens by domain: %s", {d: {"target": t, "reached": x} for d, t, x in zip(domains, rates.targets, rates.reached, strict=True)})
+    return rates
+
+
+def solve_step(sums, c: np.ndarray, targets: np.ndarray, config: MixingConfig) -> tuple[np.ndarray, np.ndarray]:
+    """(step, totals reached) of the rates ``max(0, 1 - posterior @ step)`` that
+    come nearest to the targets. ``sums(step)`` gives the totals, ``c`` over the
+    documents whose rate isn't 0 and the sum of squared rates, as shares.
+
+    Newton steps lower the convex dual of: half the risk plus half of ``pull``
+    times the rates' squared distance from 1. The pull falls in stages, each
+    beginning where the one before ended."""
+    size, axes = np.linalg.eigh(c)
+    basis = (axes / np.sqrt(np.where(size > 0, size, 1.0)))[:, size > 1e-9 * size.max()]
+    z = np.zeros(basis.shape[1])
+    reached, own, squares = sums(basis @ z)
+    for pull in config.pulls:
+        value = lambda at, sq, p=pull: sq / 2 + float(targets @ basis @ at) + p / 2 * float(at @ at)
+        for _ in range(config.max_iterations):
+            slope = basis.T @ (targets - reached) + pull * z
+            if np.abs(reached - targets).max() <= config.tolerance:
+                return basis @ z, reached
+            if np.sqrt(slope @ slope) <= config.least_slope:
+                break
+            move = -np.linalg.solve(basis.T @ own @ basis + pull * np.eye(len(z)), slope)
+            now, length = value(z, squares), 1.0
+            while True:
+                to = z + length * move
+                found = sums(basis @ to)
+                if value(to, found[2]) <= now + 1e-4 * length * float(slope @ move) or length < 1e-6:
+                    break
+                length /= 2
+            z, (reached, own, squares) = to, found
+        else:
+            raise RuntimeError(f"no convergence in {config.max_iterations} Newton steps")
+    return basis @ z, reached
 
 
 def _copies(draw: Column, rate: Column) -> Column:

@@ -389,6 +389,23 @@ def test_mixing_out_of_reach_is_least_squares(spark):
     assert r.min() >= 0 and risk(r)[0] <= 1.25 * risk(best)[0] < risk(np.ones(100))[0]
 
 
+def test_mixing_out_of_reach_of_three_soft_domains(spark):
+    """No worse than 20,000 plain gradient steps, and the totals are told."""
+    rng = np.random.default_rng(3)
+    parts = np.stack([mixing.whole_parts(p, 100) for p in rng.dirichlet([2, 2, 2], 1000)])
+    mass = rng.integers(20, 500, 1000)
+    rates = mixing.fit_rates(members_of(spark, parts, mass), ("good", "poor", "toxic"), queries.MIX)
+    p, share, targets = parts / 100, mass / mass.sum(), np.array([0.97, 0.02, 0.01])
+    white = np.linalg.inv((p * share[:, None]).T @ p)
+    plain = np.ones(1000)
+    for _ in range(20_000):
+        plain = np.maximum(0, plain - p @ (white @ (p.T @ (share * plain) - targets)))
+    r = np.array([rates.of_parts(x) for x in parts])
+    own, off = p.T @ (share * r), p.T @ (share * plain) - targets
+    assert r.min() >= 0 and (own - targets) @ white @ (own - targets) <= off @ white @ off
+    assert np.allclose(rates.reached, own * mass.sum(), rtol=1e-4) and np.allclose(rates.targets, targets * mass.sum())
+
+
 def test_whole_parts():
     assert mixing.whole_parts(np.array([1 / 3, 1 / 3, 1 / 3]), 100).tolist() == [34, 33, 33]
 
