@@ -40,6 +40,8 @@ class Settings:
     n_curve_bootstraps: int = 500
     n_permutations: int = 5000
     n_difference_bootstraps: int = 2000
+    n_model_permutations: int = 2000
+    n_model_bootstraps: int = 2000
     bands: tuple[tuple[str, float, float], ...] = (("delta_1_4Hz", 1.0, 4.0), ("theta_4_8Hz", 4.0, 8.0), ("alpha_8_13Hz", 8.0, 13.0), ("beta_13_30Hz", 13.0, 30.0))
     pairs: tuple[tuple[str, str], ...] = (("Fz", "F3"), ("Fz", "F4"), ("F3", "F4"))
     max_lag_s: float = 0.080

@@ -368,13 +368,13 @@ def _epochs(spark, sf_dir) -> DataFrame:
 
 @query()
 def fitted_curves(spark, sf_dir):
-    return signal.fitted_curves(_epochs(spark, sf_dir), ["file_name", "cue_direction"], POINTS.channels, POINTS, 50).select("file_name", "cue_direction", "channel", F.posexplode(F.arrays_zip("values", "ci_low", "ci_high")).alias("i", "z")).select("file_name", "cue_direction", "channel", "i", "z.*")
+    return signal.fitted_curves(_epochs(spark, sf_dir), ["file_name", "cue_direction"], POINTS.channels, POINTS, POINTS.n_curve_bootstraps).select("file_name", "cue_direction", "channel", F.posexplode(F.arrays_zip("values", "ci_low", "ci_high")).alias("i", "z")).select("file_name", "cue_direction", "channel", "i", "z.*")
 
 
 @query()
 def resampled_tests(spark, sf_dir):
     rows = _t(spark, sf_dir, "events").where("event_type in ('click', 'purchase')").select((F.col("user_id") % 20).alias("test"), "value", F.when(F.col("event_type") == "click", "L").otherwise("R").alias("side"))
-    return effects.resampled_tests(rows, ["test"], "value", "side", 1000, 500, 20260924)
+    return effects.resampled_tests(rows, ["test"], "value", "side", POINTS.n_permutations, POINTS.n_difference_bootstraps, POINTS.seed)
 
 
 @query()
@@ -395,7 +395,7 @@ def welch_spectra(spark, sf_dir):
 @query()
 def stratified_inference(spark, sf_dir):
     rows = _t(spark, sf_dir, "labels").select((F.col("doc_id") % 2).alias("stratum"), F.lit("all").alias("scope"), F.col("quality").alias("truth"), F.col("toxic").alias("guess"))
-    return evaluate.stratified_inference(rows, ["scope"], "stratum", "truth", "guess", 200, 200, 20260924)
+    return evaluate.stratified_inference(rows, ["scope"], "stratum", "truth", "guess", POINTS.n_model_permutations, POINTS.n_model_bootstraps, POINTS.seed)
 
 
 @query()

@@ -42,3 +42,13 @@ def test_others_run_and_repeat(spark, name):
     a, b = shape(first.toPandas()), shape(again.toPandas())
     assert len(a) > 0
     pd.testing.assert_frame_equal(a, b, check_dtype=False)
+
+
+def test_resampling_runs_the_whole_numbers(spark, monkeypatch):
+    counts = {}
+    for module, name, at in ((queries.signal, "fitted_curves", 4), (queries.effects, "resampled_tests", 4), (queries.evaluate, "stratified_inference", 5)):
+        monkeypatch.setattr(module, name, lambda df, *a, name=name, at=at: counts.update({name: a[at - 1 :]}) or df.withColumns({c: queries.F.array().cast("array<double>") for c in ("values", "ci_low", "ci_high")}))
+        queries.QUERIES[name](spark, DATA)
+    assert counts["fitted_curves"] == (500,)
+    assert counts["resampled_tests"][:2] == (5000, 2000)
+    assert counts["stratified_inference"][:2] == (2000, 2000)
