@@ -7,6 +7,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import weakref
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -16,20 +17,23 @@ ASCII_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all machines of the cluster share: ``spark.checkpoint.dir``
-    of the session, or else (tests, one machine) a temporary folder that is
-    then set as the checkpoint folder."""
+    of the session. Where it is unset, a local master gets a temporary folder;
+    on a cluster that is an error, since executors can't see such a folder."""
     found = spark.conf.get("spark.checkpoint.dir", "")
     if found:
         return found.rstrip("/")
     context = spark.sparkContext
     held = context.getCheckpointDir()
     if held is None:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="evoka-"))
         held = context.getCheckpointDir()
     return held.rstrip("/")
 
 
 _folders: list[str] = []
+_path_of: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -39,13 +43,22 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    _folders.remove(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes tables of ``written`` that no later plan reads."""
+    for table in tables:
+        _remove(table.sparkSession, _path_of.pop(table))
+
+
 def clear_folders(spark: SparkSession) -> None:
     """Removes all tables that operators of this process have written."""
-    for path in _folders:
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    _folders.clear()
+    for path in list(_folders):
+        _remove(spark, path)
 
 
 @atexit.register
@@ -61,7 +74,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_folder(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _path_of[table] = path
+    return table
 
 
 def texts_of(column: pa.Array) -> list[bytes]:

@@ -15,16 +15,19 @@ Plan, with everything after the first scan on thin rows:
 2. A composite that only one node has can't be half of a shared key. Counting
    them first (2*m rows a node) leaves few nodes to expand to m*m keys.
 3. Each bucket (key) gets a hub, the member that shares most composites with
-   others (of a text and its altered copies, the text itself); its other
-   members are verified against the hub on the full sets. Verified links are
+   others (of a text and its altered copies, the text itself). A hub and all
+   members of its buckets are a star; they are compared with the hub on the full
+   sets, which also tells what a member has outside the hub. Verified links are
    contracted to components.
-4. Buckets that still hold several components are settled in one pass: members
-   outside the bucket's largest component are held against the members of the other
-   components, inside the join, by size, by the triangle inequality over the
-   distances to a common hub (Jaccard distance is a metric; both lose nothing)
-   and by a sketch of 105 minhashes. Only pairs that pass, each once, leave the
-   join and are verified. So no bucket is capped, and a group of copies that
-   hangs together is never expanded into its pairs.
+4. Stars that still hold several components are settled without going through
+   their pairs. With h(x) the shingles that x has in common with the hub, two
+   members of sizes n can only be linked if min(h(x), h(y)) alone reaches the
+   overlap that the limit asks for, percent / (100 + percent) of n(x) + n(y), or
+   if they share a shingle that the hub has not. The first is a bound on thin
+   rows that few members pass; the second an equi-join on (star, shingle) of the
+   prefix of those shingles that must hold a common one. Both lose nothing.
+   First each (star, shingle) group gets a pivot of its own and is contracted;
+   then the pairs that are still apart, each once, are verified.
 """
 
 from __future__ import annotations
@@ -36,11 +39,9 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import texts_of, written
+from .common import discard, texts_of, written
 
 SHINGLE = 5
-#: A sketch is 15 longs of seven bytes, a byte of a minhash each.
-SKETCH_LONGS, SKETCH_BYTES = 15, 7
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -115,26 +116,8 @@ def _composites(minima: np.ndarray, tables: int, width: int) -> np.ndarray:
     return out.T.astype(np.int64, copy=False)
 
 
-def _sketches(minima: np.ndarray) -> np.ndarray:
-    """(sets, 15): the lowest bytes of the first 105 minhashes, seven a long."""
-    low = (minima[: SKETCH_LONGS * SKETCH_BYTES] & np.uint32(255)).astype(np.int64).reshape(SKETCH_LONGS, SKETCH_BYTES, -1)
-    return (low << (8 * np.arange(SKETCH_BYTES, dtype=np.int64))[None, :, None]).sum(axis=1).T
-
-
-def _agreeing(x, y):
-    """How many bytes of two sketches agree."""
-    differing = F.lit(0)
-    for k in range(SKETCH_LONGS):
-        bits = F.col(f"{x}.sketch")[k].bitwiseXOR(F.col(f"{y}.sketch")[k])
-        low = F.lit(0x7F7F7F7F7F7F7F)
-        differing += F.bit_count(((bits.bitwiseAND(low) + low).bitwiseOR(bits)).bitwiseAND(F.lit(0x80808080808080)))
-    return SKETCH_LONGS * SKETCH_BYTES - differing
-
-
 def _features(docs: DataFrame, id_col: str, text_col: str, width: int, tables: int, k: int) -> DataFrame:
-    """(doc_id, row, set_key, n_shingles, composites, sketch) of each row."""
-    if 2 * tables * k < SKETCH_LONGS * SKETCH_BYTES:
-        raise ValueError("too few minhash functions for a sketch")
+    """(doc_id, row, set_key, n_shingles, composites) of each row."""
 
     def run(batches):
         hashes, (flips, factors) = WordHashes(), _functions(tables, k)
@@ -144,22 +127,20 @@ def _features(docs: DataFrame, id_col: str, text_col: str, width: int, tables: i
                 sets = [shingle_set(t, hashes, width) for t in texts_of(part.column(1))]
                 full = [s for s in sets if len(s)]
                 minima = _minhashes(full, flips, factors) if full else None
-                found = iter(zip(_composites(minima, tables, k), _sketches(minima), strict=True)) if full else iter(())
-                lists = [next(found) if len(s) else (None, None) for s in sets]
+                found = iter(_composites(minima, tables, k) if full else ())
                 yield pa.RecordBatch.from_pydict(
                     {
                         "doc_id": part.column(0),
                         "row": pa.array(np.arange(row, row + len(sets)), pa.int64()),
                         "set_key": pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
                         "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
-                        "composites": pa.array([x[0] for x in lists], pa.list_(pa.int64())),
-                        "sketch": pa.array([x[1] for x in lists], pa.list_(pa.int64())),
+                        "composites": pa.array([next(found) if len(s) else None for s in sets], pa.list_(pa.int64())),
                     }
                 )
                 row += len(sets)
 
     source = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
-    return source.mapInArrow(run, "doc_id long, row long, set_key binary, n_shingles long, composites array<long>, sketch array<long>")
+    return source.mapInArrow(run, "doc_id long, row long, set_key binary, n_shingles long, composites array<long>")
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
@@ -180,63 +161,102 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, w
 
 
 def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b, distance, linked) of the pairs, by their full sets. The side with
-    the hubs is joined while rows are thin; a hub that many pairs share is split
-    by the skew handling of the join."""
+    """(a, b, na, nb, c, linked, rest) of the pairs, by their full sets: sizes,
+    size of the intersection, and of b's shingles that a has not the prefix that
+    holds one in common with any set linked to b by more than their shares of a.
+    The side with the hubs is joined while rows are thin; a hub that many pairs
+    share is split by the skew handling of the join."""
     left = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
     both = left.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    both = both.select("a", "b", common.alias("c"), (F.size("sa") + F.size("sb") - common).alias("u"))
-    return both.select("a", "b", (1 - F.col("c") / F.col("u")).alias("distance"), (100 * F.col("c") >= percent * F.col("u")).alias("linked"))
+    both = both.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.array_except("sb", "sa").alias("rest"))
+    both = both.withColumn("c", F.col("nb") - F.size("rest"))
+    least = F.greatest(F.lit(1), F.ceil(F.col("nb") * percent / F.lit(100) - 1e-9) - F.col("c")).cast("int")
+    prefix = F.when(F.size("rest") >= least, F.slice("rest", 1, F.size("rest") - least + 1))
+    return both.select("a", "b", "na", "nb", "c", (100 * F.col("c") >= percent * (F.col("na") + F.col("nb") - F.col("c"))).alias("linked"), prefix.alias("rest"))
 
 
 def connected_components(edges: DataFrame, name: str = "links") -> DataFrame:
     """(node, component) of every node of the edges (a, b); the component is
-    its smallest node. Each round, every node moves to its smallest neighbour
-    and the edges follow, until no edge is left; all of it stays distributed."""
+    its smallest node. Each round, every node points to its smallest neighbour,
+    pointers are doubled until they end at nodes that point to themselves, and
+    the edges follow. So a round leaves at most half the nodes, and a chain
+    takes as many doublings as its length has binary digits."""
     edges = written(edges.where("a <> b"), name)
     assign = None
     while True:
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         parent = written(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("p")), name)
+        while True:
+            up = parent.select(F.col("a").alias("p"), F.col("p").alias("q"))
+            jumped = written(parent.join(up, "p").select("a", F.col("q").alias("p"), (F.col("p") != F.col("q")).alias("moved")), name)
+            discard(parent)
+            parent = jumped
+            if parent.where("moved").isEmpty():
+                break
+        parent = parent.select("a", "p")
         if assign is None:
             assign = parent.select(F.col("a").alias("node"), F.col("p").alias("component"))
         else:
             up = parent.select(F.col("a").alias("component"), "p")
             assign = written(assign.join(up, "component", "left").select("node", F.coalesce("p", "component").alias("component")), name)
         moved = edges.join(parent.withColumnRenamed("p", "pa"), "a").join(parent.select(F.col("a").alias("b"), F.col("p").alias("pb")), "b")
-        edges = written(moved.where("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), name)
+        left = written(moved.where("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), name)
+        discard(edges)
+        edges = left
         if edges.isEmpty():
             return assign
 
 
-def _open_pairs(nodes, each, shared, in_buckets, compared, assign, fits, percent, tables) -> DataFrame:
-    """Pairs (a, b) of one bucket that may be linked and aren't connected yet.
-
-    Buckets here are those of the first collection's composites, which hold
-    those of the tables; a pair is taken from its first common one."""
-    own = each.where(F.col("at") < tables).join(shared.select("value"), "value", "left_semi").select("value", "at", "node")
-    placed = own.join(in_buckets, "node", "left_semi").join(assign, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    sizes = placed.groupBy("value", "component").count()
-    heads = sizes.groupBy("value").agg(F.max(F.struct("count", "component")).alias("head"), F.count("*").alias("m")).where("m > 1").select("value", F.col("head.component").alias("main"))
-    rows = placed.join(heads, "value")
-    # The smallest node that each node was held against, and how far it is.
-    refs = compared.select(F.col("b").alias("node"), F.col("a").alias("ref"), "distance").union(compared.select(F.col("a").alias("node"), F.col("a").alias("ref"), F.lit(0.0)))
-    refs = refs.groupBy("node").agg(F.min(F.struct("ref", "distance")).alias("r"))
-    facts = nodes.select("node", "n", F.slice("c", 1, tables).alias("c"), "sketch").join(rows.select("node").distinct(), "node", "left_semi").join(refs, "node", "left")
-    rows = written(rows.join(facts, "node"), "open-buckets")
-    x, y = rows.where("component <> main").alias("x"), rows.alias("y")
-    earlier = F.lit(False)
-    for k in range(tables - 1):
-        earlier = earlier | ((F.col("x.at") > k) & (F.col("x.c")[k] == F.col("y.c")[k]))
-    # Of pairs just at the limit, one in 100,000 has fewer agreeing bytes.
-    share, n_bytes = percent / 100, SKETCH_LONGS * SKETCH_BYTES
-    least = int(n_bytes * share - 4.3 * (n_bytes * share * (1 - share)) ** 0.5)
-    near = F.coalesce((F.col("x.r.ref") != F.col("y.r.ref")) | (F.abs(F.col("x.r.distance") - F.col("y.r.distance")) <= 1 - share + 1e-9), F.lit(True))
-    both_ways = (F.col("y.component") == F.col("y.main")) | (F.col("x.node") < F.col("y.node"))
-    apart = F.col("x.component") != F.col("y.component")
-    pairs = x.join(y, (F.col("x.value") == F.col("y.value")) & apart & both_ways & fits(F.col("x.n"), F.col("y.n")) & near & ~earlier & (_agreeing("x", "y") >= least))
-    return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).join(compared.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+def _merged(assign: DataFrame, found: DataFrame) -> DataFrame:
+    """``assign`` after more links (a, b) of its nodes or of new ones."""
+    own = lambda side: assign.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
+    of = found.join(own("a"), "a", "left").join(own("b"), "b", "left").select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
+    of = written(of, "links")
+    up = connected_components(of.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).select(F.col("node").alias("component"), F.col("component").alias("p"))
+    new = of.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("ca").alias("component")), F.struct(F.col("b").alias("node"), F.col("cb").alias("component")))).alias("e")).select("e.*").distinct()
+    every = assign.unionByName(new.join(assign, "node", "left_anti"))
+    return written(every.join(up, "component", "left").select("node", F.coalesce("p", "component").alias("component")), "components")
+
+
+def _open_stars(compared: DataFrame, assign: DataFrame) -> DataFrame:
+    """Members of the stars that hold several components: (hub, node, n, h, rest,
+    component, main, least_n), ``main`` the component with most members."""
+    stars = compared.select(F.col("a").alias("hub"), F.col("b").alias("node"), F.col("nb").alias("n"), F.col("c").alias("h"), "rest")
+    placed = stars.join(assign, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    sizes = placed.groupBy("hub", "component").agg(F.count("*").alias("size"), F.min("n").alias("least_n"))
+    heads = sizes.groupBy("hub").agg(F.max(F.struct("size", "component"))["component"].alias("main"), F.min("least_n").alias("least_n"), F.count("*").alias("m")).where("m > 1").drop("m")
+    return written(placed.join(heads, "hub"), "open-stars")
+
+
+def _pairs_of(x: DataFrame, y: DataFrame, on: list[str], reach) -> DataFrame:
+    """(a, b) of members of different components, each pair of members once."""
+    apart = (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.main")) | (F.col("x.node") < F.col("y.node")))
+    same = F.lit(True)
+    for c in on:
+        same = same & (F.col(f"x.{c}") == F.col(f"y.{c}"))
+    both = x.where("component <> main").alias("x").join(y.alias("y"), same & apart & reach)
+    return both.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+
+
+def _more_links(stars: DataFrame, sets: DataFrame, percent: int, all_pairs: bool) -> DataFrame:
+    """Links (a, b) between components of the open stars: of all pairs that may
+    have one, or, before, of the pivots of the (star, shingle) groups."""
+    enough = lambda c, n: (100 + percent) * c >= percent * n
+    n = F.col("x.n") + F.col("y.n")
+    by_hub = F.least("x.h", "y.h")
+    by_both = by_hub + F.least(F.col("x.n") - F.col("x.h"), F.col("y.n") - F.col("y.h"))
+    parts = stars.where("rest is not null").select("hub", "node", "n", "h", "component", "main", F.explode("rest").alias("shingle"))
+    groups = parts.groupBy("hub", "shingle").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.max(F.struct(F.expr("component = main").alias("o"), F.xxhash64("node").alias("hash"), "node", "n", "h", "component")).alias("pivot")).where("c0 <> c1")
+    if all_pairs:
+        thin = stars.select("hub", "node", "n", "h", "component", "main").where(enough(F.col("h"), F.col("n") + F.greatest(F.col("least_n"), F.col("n") * percent / 100)))
+        kept = written(parts.join(groups.select("hub", "shingle"), ["hub", "shingle"]), "open-shingles")
+        pairs = _pairs_of(thin, thin, ["hub"], enough(by_hub, n)).union(_pairs_of(kept, kept, ["hub", "shingle"], enough(by_both, n)))
+    else:
+        pivots = groups.select("hub", "shingle", "pivot.node", "pivot.n", "pivot.h", "pivot.component")
+        both = parts.alias("x").join(pivots.alias("y"), ["hub", "shingle"])
+        pairs = both.where((F.col("x.component") != F.col("y.component")) & enough(by_both, n)).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+    pairs = written(pairs.distinct(), "pairs")
+    return written(_compared(pairs, sets, percent).where("linked").select("a", "b"), "links")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, width: int = SHINGLE, tables: int = 18, k: int = 3) -> DataFrame:
@@ -249,35 +269,36 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     are separate rows, both kept if they share the smallest id. Other columns
     are ignored; an empty table gives an empty result."""
     features = written(_features(docs, id_col, text_col, width, tables, k), "features")
-    nodes = features.where("n_shingles > 0").groupBy("set_key").agg(F.min("row").alias("node"), F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("composites").alias("c"), F.first("sketch").alias("sketch"))
+    nodes = features.where("n_shingles > 0").groupBy("set_key").agg(F.min("row").alias("node"), F.min("doc_id").alias("doc_id"), F.first("composites").alias("c"))
     nodes = written(nodes, "nodes")
     # Composites that at least two nodes have.
-    each = nodes.select("node", "n", F.posexplode("c").alias("at", "value"))
+    each = nodes.select("node", F.posexplode("c").alias("at", "value"))
     shared = each.groupBy("value").count().where("count > 1")
-    halves = each.join(shared, "value").groupBy("node", "n").agg(F.sum("count").alias("weight"), F.collect_list(F.when(F.col("at") < tables, F.col("value"))).alias("a"), F.collect_list(F.when(F.col("at") >= tables, F.col("value"))).alias("b"))
-    keys = halves.select("node", "n", "weight", F.explode("a").alias("a"), "b").select("node", "n", "weight", "a", F.explode("b").alias("b")).select(F.xxhash64("a", "b").alias("key"), "node", "n", "weight")
+    halves = each.join(shared, "value").groupBy("node").agg(F.sum("count").alias("weight"), F.collect_list(F.when(F.col("at") < tables, F.col("value"))).alias("a"), F.collect_list(F.when(F.col("at") >= tables, F.col("value"))).alias("b"))
+    keys = halves.select("node", "weight", F.explode("a").alias("a"), "b").select("node", "weight", "a", F.explode("b").alias("b")).select(F.xxhash64("a", "b").alias("key"), "node", "weight")
     keys = written(keys, "keys")
-    hubs = keys.groupBy("key").agg(F.max(F.struct("weight", "node", "n")).alias("hub"), F.count("*").alias("m")).where("m > 1")
-    members = written(keys.drop("weight").join(hubs.select("key", "hub"), "key"), "buckets")
-
-    fits = lambda x, y: (100 * F.least(x, y) >= percent * F.greatest(x, y))
-    pairs = members.where((F.col("node") != F.col("hub.node")) & fits(F.col("n"), F.col("hub.n"))).select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct()
+    hubs = keys.groupBy("key").agg(F.max(F.struct("weight", "node")).alias("hub"), F.count("*").alias("m")).where("m > 1")
+    pairs = keys.join(hubs.select("key", F.col("hub.node").alias("a")), "key").where("node <> a").select("a", F.col("node").alias("b")).distinct()
     pairs = written(pairs, "pairs")
-    in_buckets = members.select("node").distinct()
-    wanted = nodes.select("node", "doc_id", "set_key").join(in_buckets, "node", "left_semi")
-    wanted = wanted.join(features.select("row", F.col("doc_id").alias("own")), wanted["node"] == F.col("row")).select("node", F.col("own").alias("doc_id"), "set_key")
+    discard(keys)
+    in_stars = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    wanted = nodes.select("node", "set_key").join(in_stars, "node", "left_semi")
+    wanted = wanted.join(features.select(F.col("row").alias("node"), "doc_id"), "node").select("node", "doc_id", "set_key")
     sets = written(_full_sets(docs, wanted, id_col, text_col, width), "sets")
-    compared = written(_compared(pairs, sets, percent), "links")
-    links = compared.where("linked").select("a", "b")
-    assign = connected_components(links)
-    more = _open_pairs(nodes, each, shared, in_buckets, compared, assign, fits, percent, tables)
-    found = written(_compared(written(more, "pairs"), sets, percent).where("linked").select("a", "b"), "links")
-    if not found.isEmpty():
-        assign = connected_components(links.union(found))
+    compared = written(_compared(pairs, sets, percent), "compared")
+    assign = connected_components(compared.where("linked").select("a", "b"))
+    for all_pairs in (False, True):
+        stars = _open_stars(compared, assign)
+        found = _more_links(stars, sets, percent, all_pairs)
+        discard(stars)
+        if not found.isEmpty():
+            assign = _merged(assign, found)
+    discard(sets, pairs, compared)
 
     placed = nodes.select("set_key", "node", "doc_id").join(assign, "node", "left")
     smallest = placed.where(F.col("component").isNotNull()).groupBy("component").agg(F.min("doc_id").alias("least_id"))
     placed = written(placed.join(smallest, "component", "left").select("set_key", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("least_id")).alias("component_id")), "components")
+    discard(nodes)
     thin = features.select("doc_id", "n_shingles", "set_key", F.shiftright("row", 33).alias("run"))
     of_run = thin.select("run", "set_key").distinct().join(placed, "set_key")
     out = thin.join(of_run, ["run", "set_key"], "left")

@@ -4,7 +4,7 @@ import base64
 import hashlib
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
@@ -278,6 +278,46 @@ def test_near_dedup_of_a_large_group(spark):
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in found) == components(rows)
 
 
+def test_near_dedup_of_a_net(spark):
+    """300 altered copies of a text that isn't there, each linked to about half
+    of the others, and 100 whose alterations go too far, each on its own."""
+    rng = np.random.default_rng(11)
+    base = [f"t{i}" for i in range(300)]
+    rows = []
+    for k in range(400):
+        w = list(base)
+        for at in rng.choice(300, 4 if k < 300 else 11, replace=False):
+            w[at] = f"k{k}x{at}"
+        rows.append((k, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    found = near_dedup.near_duplicates(df).collect()
+    want = components(rows)
+    assert max(Counter(x[2] for x in want).values()) >= 300 and len({x[2] for x in want}) >= 90
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in found) == want
+
+
+def test_near_dedup_of_a_drifting_text(spark):
+    """Each text alters one word of the one before: a chain of short links."""
+    rng = np.random.default_rng(3)
+    w = [f"t{i}" for i in range(120)]
+    rows = []
+    for k in range(150):
+        w[rng.integers(120)] = f"k{k}"
+        rows.append((k, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = near_dedup.near_duplicates(df).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in found) == components(rows)
+
+
+def test_components_of_a_long_chain(spark, monkeypatch):
+    """1,000 links in a row take as many tables as the length has digits."""
+    tables = []
+    monkeypatch.setattr(near_dedup, "written", lambda df, name: tables.append(written(df, name)) or tables[-1])
+    chain = spark.range(1000).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    found = near_dedup.connected_components(chain).collect()
+    assert len(found) == 1001 and {r.component for r in found} == {0} and len(tables) <= 16
+
+
 # 7
 
 
