@@ -23,11 +23,11 @@ Plan, with everything after the first scan on thin rows:
    their pairs. With h(x) the shingles that x has in common with the hub, two
    members of sizes n can only be linked if min(h(x), h(y)) alone reaches the
    overlap that the limit asks for, percent / (100 + percent) of n(x) + n(y), or
-   if they share a shingle that the hub has not. The first is a bound on thin
+   if they share shingles that the hub has not. The first is a bound on thin
    rows that few members pass; the second an equi-join on (star, shingle) of the
-   prefix of those shingles that must hold a common one. Both lose nothing.
-   First each (star, shingle) group gets a pivot of its own and is contracted;
-   then the pairs that are still apart, each once, are verified.
+   rarest of those shingles, as many as must hold a common one. Both lose
+   nothing. First each (star, shingle) group gets a pivot of its own and is
+   contracted; then the pairs that are still apart, each once, are verified.
 """
 
 from __future__ import annotations
@@ -162,17 +162,14 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, w
 
 def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b, na, nb, c, linked, rest) of the pairs, by their full sets: sizes,
-    size of the intersection, and of b's shingles that a has not the prefix that
-    holds one in common with any set linked to b by more than their shares of a.
-    The side with the hubs is joined while rows are thin; a hub that many pairs
-    share is split by the skew handling of the join."""
+    size of the intersection, and b's shingles that a has not. The side with the
+    hubs is joined while rows are thin; a hub that many pairs share is split by
+    the skew handling of the join."""
     left = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
     both = left.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
     both = both.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.array_except("sb", "sa").alias("rest"))
     both = both.withColumn("c", F.col("nb") - F.size("rest"))
-    least = F.greatest(F.lit(1), F.ceil(F.col("nb") * percent / F.lit(100) - 1e-9) - F.col("c")).cast("int")
-    prefix = F.when(F.size("rest") >= least, F.slice("rest", 1, F.size("rest") - least + 1))
-    return both.select("a", "b", "na", "nb", "c", (100 * F.col("c") >= percent * (F.col("na") + F.col("nb") - F.col("c"))).alias("linked"), prefix.alias("rest"))
+    return both.select("a", "b", "na", "nb", "c", (100 * F.col("c") >= percent * (F.col("na") + F.col("nb") - F.col("c"))).alias("linked"), "rest")
 
 
 def connected_components(edges: DataFrame, name: str = "links") -> DataFrame:
@@ -220,42 +217,52 @@ def _merged(assign: DataFrame, found: DataFrame) -> DataFrame:
 
 def _open_stars(compared: DataFrame, assign: DataFrame) -> DataFrame:
     """Members of the stars that hold several components: (hub, node, n, h, rest,
-    component, main, least_n), ``main`` the component with most members."""
+    component, main, least_n, before), ``main`` the component with most members,
+    ``before`` the larger open stars that the member is in as well."""
     stars = compared.select(F.col("a").alias("hub"), F.col("b").alias("node"), F.col("nb").alias("n"), F.col("c").alias("h"), "rest")
     placed = stars.join(assign, "node", "left").withColumn("component", F.coalesce("component", "node"))
     sizes = placed.groupBy("hub", "component").agg(F.count("*").alias("size"), F.min("n").alias("least_n"))
-    heads = sizes.groupBy("hub").agg(F.max(F.struct("size", "component"))["component"].alias("main"), F.min("least_n").alias("least_n"), F.count("*").alias("m")).where("m > 1").drop("m")
-    return written(placed.join(heads, "hub"), "open-stars")
-
-
-def _pairs_of(x: DataFrame, y: DataFrame, on: list[str], reach) -> DataFrame:
-    """(a, b) of members of different components, each pair of members once."""
-    apart = (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.main")) | (F.col("x.node") < F.col("y.node")))
-    same = F.lit(True)
-    for c in on:
-        same = same & (F.col(f"x.{c}") == F.col(f"y.{c}"))
-    both = x.where("component <> main").alias("x").join(y.alias("y"), same & apart & reach)
-    return both.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+    heads = sizes.groupBy("hub").agg(F.max(F.struct("size", "component"))["component"].alias("main"), F.min("least_n").alias("least_n"), F.count("*").alias("m"), F.sum("size").alias("size")).where("m > 1").drop("m")
+    rows = written(placed.join(heads, "hub"), "open-stars")
+    of_node = rows.groupBy("node").agg(F.collect_list(F.struct("size", "hub")).alias("stars"))
+    larger = lambda o: (o["size"] > F.col("size")) | ((o["size"] == F.col("size")) & (o["hub"] > F.col("hub")))
+    out = rows.join(of_node, "node").withColumn("before", F.transform(F.filter("stars", larger), lambda o: o["hub"])).drop("stars", "size")
+    out = written(out, "open-stars")
+    discard(rows)
+    return out
 
 
 def _more_links(stars: DataFrame, sets: DataFrame, percent: int, all_pairs: bool) -> DataFrame:
     """Links (a, b) between components of the open stars: of all pairs that may
-    have one, or, before, of the pivots of the (star, shingle) groups."""
+    have one, or, before, of the pivots of the (star, shingle) groups.
+
+    A pair is settled in the largest star that both are in. Shingles outside the
+    hub count if members of several components have them; a member needs
+    ``least`` of those in common with any other, so the rarest ``s - least + 1``
+    hold one."""
     enough = lambda c, n: (100 + percent) * c >= percent * n
+    member = ["hub", "node", "n", "h", "component", "main", "before"]
+    needed = F.ceil(percent / F.lit(100 + percent) * (F.col("n") + F.greatest(F.col("least_n"), F.col("n") * percent / 100)) - 1e-9) - F.col("h")
+    parts = stars.select("hub", "node", "component", F.explode("rest").alias("shingle"))
+    several = parts.groupBy("hub", "shingle").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("df")).where("c0 <> c1").drop("c0", "c1")
+    live = parts.join(several, ["hub", "shingle"]).groupBy("hub", "node").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("live"), F.count("*").alias("s"))
+    reach = stars.join(live, ["hub", "node"]).withColumn("least", F.greatest(F.lit(1), needed)).where("s >= least")
+    reach = reach.select(*member, "s", F.explode(F.slice("live", 1, (F.col("s") - F.col("least") + 1).cast("int"))).alias("l")).select(*member, "s", "l.shingle")
+    reach = written(reach, "open-shingles")
     n = F.col("x.n") + F.col("y.n")
-    by_hub = F.least("x.h", "y.h")
-    by_both = by_hub + F.least(F.col("x.n") - F.col("x.h"), F.col("y.n") - F.col("y.h"))
-    parts = stars.where("rest is not null").select("hub", "node", "n", "h", "component", "main", F.explode("rest").alias("shingle"))
-    groups = parts.groupBy("hub", "shingle").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.max(F.struct(F.expr("component = main").alias("o"), F.xxhash64("node").alias("hash"), "node", "n", "h", "component")).alias("pivot")).where("c0 <> c1")
+    by_hub, by_both = F.least("x.h", "y.h"), F.least("x.h", "y.h") + F.least("x.s", "y.s")
+    ends = [F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")]
     if all_pairs:
-        thin = stars.select("hub", "node", "n", "h", "component", "main").where(enough(F.col("h"), F.col("n") + F.greatest(F.col("least_n"), F.col("n") * percent / 100)))
-        kept = written(parts.join(groups.select("hub", "shingle"), ["hub", "shingle"]), "open-shingles")
-        pairs = _pairs_of(thin, thin, ["hub"], enough(by_hub, n)).union(_pairs_of(kept, kept, ["hub", "shingle"], enough(by_both, n)))
+        apart = (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.main")) | (F.col("x.node") < F.col("y.node"))) & ~F.arrays_overlap("x.before", "y.before")
+        thin = stars.where(needed <= 0).select(*member)
+        of = lambda rows, on, bound: rows.where("component <> main").alias("x").join(rows.alias("y"), on & apart & bound).select(*ends)
+        star, shingle = F.col("x.hub") == F.col("y.hub"), F.col("x.shingle") == F.col("y.shingle")
+        pairs = of(thin, star, enough(by_hub, n)).union(of(reach, star & shingle, enough(by_both, n)))
     else:
-        pivots = groups.select("hub", "shingle", "pivot.node", "pivot.n", "pivot.h", "pivot.component")
-        both = parts.alias("x").join(pivots.alias("y"), ["hub", "shingle"])
-        pairs = both.where((F.col("x.component") != F.col("y.component")) & enough(by_both, n)).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+        pivots = reach.groupBy("hub", "shingle").agg(F.max(F.struct(F.expr("component = main").alias("o"), F.xxhash64("node").alias("hash"), "node", "n", "h", "s", "component")).alias("y")).select("hub", "shingle", "y.node", "y.n", "y.h", "y.s", "y.component")
+        pairs = reach.alias("x").join(pivots.alias("y"), ["hub", "shingle"]).where((F.col("x.component") != F.col("y.component")) & enough(by_both, n)).select(*ends)
     pairs = written(pairs.distinct(), "pairs")
+    discard(reach)
     return written(_compared(pairs, sets, percent).where("linked").select("a", "b"), "links")
 
 
