@@ -8,7 +8,8 @@ are ``revisit`` records that refer to it and carry no payload.
 Reading: the source plans partitions from the files' sizes, takes equality and
 IN filters on the record type and on header columns, and reads a record's
 headers first. Payloads of unwanted records, or all of them with the option
-``payload=false``, are stepped over without being read or decoded.
+``payload=false``, are stepped over without being read or decoded; in files
+compressed by gzip (``.gz``) they are passed over as they are unpacked.
 """
 
 from __future__ import annotations
@@ -19,10 +20,10 @@ import re
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition
 
-from .common import written
+from .common import discard, written
 
 CRLF = "\r\n"
 RECORD_ID = "urn:x-page:"
@@ -33,42 +34,30 @@ def payload_digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def digests(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
-    """(page_id, run, digest, n_bytes): one scan, thin rows."""
-
-    def run(batches):
-        from pyspark import TaskContext
-
-        task = TaskContext.get().partitionId()
-        for batch in batches:
-            bodies = [b or b"" for b in batch.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_pydict({"page_id": batch.column(0), "run": pa.array([task] * len(bodies), pa.int32()), "digest": pa.array([payload_digest(b) for b in bodies], pa.string()), "n_bytes": pa.array([len(b) for b in bodies], pa.int64())})
-
-    return pages.select(F.col(id_col).cast("long"), F.col(html_col).cast("string")).mapInArrow(run, "page_id long, run int, digest string, n_bytes long")
-
-
 def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 0) -> None:
     """One record per row of ``pages``. Of rows with equal payloads of at least
     ``least_bytes`` bytes the one with the largest id is the response.
 
     Null html is an empty payload, a null url an empty one. Rows with a null id
-    are responses of their own. Repeated ids with equal payloads are one
-    response and its repeats (all ``response`` rows); other columns are
-    ignored. The texts meet only their own record's outcome, by id; the hot
-    groups of equal payloads are resolved on thin rows, first per task."""
-    thin = written(digests(pages, id_col, html_col).where("page_id is not null"), "warc-digests")
+    are responses of their own. An id may repeat: rows that share both id and
+    payload are one response and its repeats (all ``response`` rows) if the id
+    is the payload's largest, else all revisits; rows that share an id alone are
+    judged each by its own payload. Other columns are ignored; an empty table
+    writes no record. The texts meet their record's outcome once, by id and
+    digest; hot groups of equal payloads are resolved on thin rows, first per
+    run of the scan."""
+    body = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
+    source = pages.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.regexp_replace(F.col(url_col).cast("string"), r"[\r\n]", " "), F.lit("")).alias("url"), body.alias("body")).withColumn("sha1", F.sha1("body"))
+    thin = written(source.where("id is not null").select("id", F.spark_partition_id().alias("run"), "sha1", F.octet_length("body").alias("n_bytes")), "warc-digests")
     large = thin.where(F.col("n_bytes") >= least_bytes)
-    best = large.groupBy("digest").agg(F.max("page_id").alias("first")).join(large.select("run", "digest").distinct(), "digest")
-    revisits = large.join(best, ["run", "digest"]).where("page_id <> first").select(F.col("page_id").alias("_id"), F.col("digest").alias("_digest"), "first").distinct()
+    of_run = large.groupBy("sha1", "run").agg(F.max("id").alias("first"))
+    best = of_run.join(of_run.groupBy("sha1").agg(F.max("first").alias("best")), "sha1").select("sha1", "run", F.col("best").alias("first"))
+    revisits = large.join(best, ["sha1", "run"]).where("id <> first").select("id", "sha1", "first").distinct()
     # Written first, so that Spark plans the join of the texts by its true size.
     revisits = written(revisits, "warc-revisits")
-    body = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
-    source = pages.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.regexp_replace(F.col(url_col).cast("string"), r"[\r\n]", " "), F.lit("")).alias("url"), body.alias("body"))
-    joined = source.join(revisits.withColumnRenamed("_id", "id"), "id", "left")
+    joined = source.join(revisits, ["id", "sha1"], "left").withColumn("digest", base32(F.col("sha1")))
     n_bytes = F.octet_length("body")
-    sha1 = _base32(F.unhex(F.sha1("body")))
-    # A repeated id may stand for several payloads: the outcome is by both.
-    revisit = F.col("first").isNotNull() & (F.col("_digest") == F.col("digest"))
+    revisit = F.col("first").isNotNull()
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), n_bytes.cast("string"), F.lit(CRLF * 2))
     block = F.when(revisit, http).otherwise(F.concat(http, F.col("body")))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit(CRLF))
@@ -86,16 +75,15 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
         F.lit(CRLF),
         block,
     )
-    joined.withColumn("digest", sha1).select(record.alias("value")).write.option("lineSep", CRLF * 2).mode("errorifexists").text(folder)
+    joined.select(record.alias("value")).write.option("lineSep", CRLF * 2).mode("errorifexists").text(folder)
+    discard(thin, revisits)
 
 
-def _base32(column):
-    """Base32 of 20 bytes, in SQL: 32 groups of five bits of the hex digits."""
-    bits = F.lpad(F.conv(F.hex(column).substr(1, 10), 16, 2), 40, "0")
-    for k in range(1, 4):
-        bits = F.concat(bits, F.lpad(F.conv(F.hex(column).substr(1 + 10 * k, 10), 16, 2), 40, "0"))
-    digits = F.concat(*[F.substr(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), F.conv(bits.substr(1 + 5 * k, 5), 2, 10).cast("int") + 1, F.lit(1)) for k in range(32)])
-    return digits
+def base32(digest: Column) -> Column:
+    """Base32 of the 40 hex digits of a SHA-1 digest: Spark writes each 40 bits as
+    eight digits to base 32, whose alphabet is then replaced."""
+    parts = [F.lpad(F.conv(F.substring(digest, 1 + 10 * k, 10), 16, 32), 8, "0") for k in range(4)]
+    return F.translate(F.concat(*parts), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
 @dataclass
@@ -113,6 +101,10 @@ class WarcReader(DataSourceReader):
         self.payload = options.get("payload", "true") == "true"
         self.wanted: dict[str, set] = {}
 
+    def __getstate__(self):
+        """Tasks get their partition's files, not the list of all."""
+        return self.__dict__ | {"files": []}
+
     def partitions(self):
         """Files packed, in order, to about ``partitionBytes`` each."""
         out, held, n = [], [], 0
@@ -139,7 +131,8 @@ class WarcReader(DataSourceReader):
         rows = []
         for path, _ in partition.files:
             files, inner = fs.FileSystem.from_uri(path)
-            with files.open_input_file(inner) as source:
+            packed = inner.endswith(".gz")
+            with files.open_input_stream(inner, compression="gzip") if packed else files.open_input_file(inner) as source:
                 for row in read_records(source, self.wanted, self.payload):
                     rows.append(row)
                     if len(rows) >= 500:
@@ -156,41 +149,56 @@ def _batch(rows):
     return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), _ROW, strict=True)], schema=_ROW)
 
 
+def _skipped(source, n: int) -> int:
+    """Passes over ``n`` bytes; returns how many there were."""
+    if source.seekable():
+        at = source.tell()
+        source.seek(min(at + n, source.size()))
+        return source.tell() - at
+    left = n
+    while left and (got := len(source.read(min(left, 1 << 20)))):
+        left -= got
+    return n - left
+
+
 def read_records(source, wanted: dict[str, set], payload: bool):
     """Rows of the records whose headers fit ``wanted``. Only their blocks are
     read, and only if ``payload``."""
-    size, buffer, at = source.size(), b"", 0  # buffer starts at byte ``at``
-    while at < size:
-        end = buffer.find(b"\r\n\r\n")
+    ahead = b""  # read, not yet used
+    while True:
+        end = ahead.find(b"\r\n\r\n")
         while end < 0:
-            source.seek(at + len(buffer))
-            more = source.read(1 << 16)
+            more = source.read(1 << 14)
             if not more:
-                raise ValueError("a record's headers are cut short")
-            end_from = max(0, len(buffer) - 3)
-            buffer += more
-            end = buffer.find(b"\r\n\r\n", end_from)
-        lines = buffer[:end].decode("utf-8", "replace").split(CRLF)
+                if ahead.strip():
+                    raise ValueError("a record's headers are cut short")
+                return
+            end_from = max(0, len(ahead) - 3)
+            ahead += more
+            end = ahead.find(b"\r\n\r\n", end_from)
+        lines = ahead[:end].decode("utf-8", "replace").split(CRLF)
         if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no WARC record at byte {at}")
+            raise ValueError("no WARC record where one should begin")
         headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
         length = int(headers["content-length"])
         values = {c: headers.get(h) for c, h in HEADER_COLUMNS.items()}
-        block_at = at + end + 4
-        if all(values[c] in v for c, v in wanted.items()):
-            body = None
-            if payload and values["record_type"] != "revisit":
-                have = buffer[end + 4 : end + 4 + length]
-                if len(have) < length:
-                    source.seek(block_at + len(have))
-                    have += source.read(length - len(have))
-                if len(have) < length:
-                    raise ValueError("a record's block is cut short")
-                body = have[have.find(b"\r\n\r\n") + 4 :] if headers.get("content-type", "").startswith("application/http") else have
+        rest, ahead = ahead[end + 4 :], b""
+        body, fits = None, all(values[c] in v for c, v in wanted.items())
+        if fits and payload and values["record_type"] != "revisit":
+            if len(rest) < length + 4:
+                rest += source.read(length + 4 - len(rest))
+            body = rest[:length]
+            if len(body) < length:
+                raise ValueError("a record's block is cut short")
+            if headers.get("content-type", "").startswith("application/http"):
+                body = body[body.find(b"\r\n\r\n") + 4 :]
+            ahead = rest[length + 4 :]
+        elif len(rest) >= length + 4:
+            ahead = rest[length + 4 :]
+        elif _skipped(source, length + 4 - len(rest)) < length - len(rest):
+            raise ValueError("a record's block is cut short")
+        if fits:
             yield (*values.values(), body)
-        at_next = block_at + length + 4
-        buffer = buffer[at_next - at :] if at_next - at < len(buffer) else b""
-        at = at_next
 
 
 class WarcSource(DataSource):
@@ -207,12 +215,15 @@ class WarcSource(DataSource):
         return WarcReader(self.options)
 
 
-def read_warc(spark: SparkSession, folder: str, payload: bool = True, partition_bytes: int = 64 << 20) -> DataFrame:
-    """The records of all files in ``folder``. Spark lists them, so the folder
-    can be wherever Spark reads; one line per file goes through the driver."""
+def read_warc(spark: SparkSession, folder: str, payload: bool = True, partition_bytes: int = 64 << 20, pattern: str = "*") -> DataFrame:
+    """The records of all files in ``folder`` whose names fit ``pattern``, plain
+    or gzip. Spark lists them, so the folder can be wherever Spark reads; one
+    line per file goes through the driver. Turns the session's
+    ``spark.sql.python.filterPushdown.enabled`` on, without which filters are
+    applied only after reading. No files give no records."""
     spark.dataSource.register(WarcSource)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    listed = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).select("path", "length").orderBy("path").collect()
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path", "length").orderBy("path").collect()
     files = "\n".join(f"{_uri(r.path)} {r.length}" for r in listed)
     return spark.read.format("warc").option("files", files).option("payload", str(payload).lower()).option("partitionBytes", str(partition_bytes)).load()
 
