@@ -39,7 +39,9 @@ def fold_events(events: DataFrame, conv: str = "conv_id", message: str = "messag
     built from its deltas. Ties in sequence: resets first, then by text; exact
     repeats of an event count each. The role is the one of the earliest event
     that has any. Null texts and roles count as empty, unknown kinds are
-    ignored; a deleted message yields no row. Grouping is by conversation and
+    ignored. A message whose last reset is ``delete`` yields no row, whatever
+    deltas come later. Null conversations and messages are values like others;
+    other columns are ignored; an empty log has no messages. Grouping is by conversation and
     message, so no task gathers a conversation here."""
     known = events.select(F.col(conv).alias("conv"), F.col(message).alias("message"), F.col(seq).alias("seq"), F.col(kind).alias("kind"), F.col(role).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text")).where(F.col("kind").isin(*RESETS, "delta"))
     order = F.when(F.col("kind").isin(*RESETS), 0).otherwise(1)
@@ -52,7 +54,7 @@ def fold_events(events: DataFrame, conv: str = "conv_id", message: str = "messag
     later = F.filter("events", lambda e: (e["o"] == 1) & (F.col("reset").isNull() | (e["seq"] >= F.col("reset.seq"))))
     head = F.when(F.col("reset.kind").isin("message", "edit"), F.col("reset.text")).otherwise("")
     body = F.concat(head, F.array_join(F.transform(later, lambda e: e["text"]), ""))
-    alive = g.where(F.col("reset").isNull() | (F.col("reset.kind") != "delete") | (F.size(later) > 0))
+    alive = g.where(F.col("reset").isNull() | (F.col("reset.kind") != "delete"))
     return alive.select(F.col("conv").alias(conv), F.col("message").alias(message), F.coalesce(F.col("first.role"), F.lit("")).alias("role"), body.alias("text"))
 
 
