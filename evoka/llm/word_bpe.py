@@ -15,8 +15,8 @@ texts:
 3. The answers go back to their blocks; the bucketed table is already placed by
    block, so only they move. Ids are joined to the documents by position.
 
-Decoding looks every id up in the id-to-piece table, whose size is that of the
-vocabulary, and joins the pieces as the tokenizers library does.
+Decoding joins every id with the id-to-piece table, whose size is that of the
+vocabulary, and the pieces as the tokenizers library does.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
@@ -172,42 +173,48 @@ def pieces_of(tokenizer_path: str) -> list[str]:
     return [tokenizer.id_to_token(i) or "" for i in range(n)]
 
 
+def _lists(batch: pa.RecordBatch, pieces: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """(ids, texts) of a batch of (doc_id, ids): each id looked up in the table of
+    pieces, which has a row per id and is never larger than the vocabulary."""
+    ids = batch.column(1).fill_null([])
+    values = ids.flatten()
+    if values.null_count:
+        raise ValueError("null among the ids")
+    looked_up = pa.ListArray.from_arrays(pc.subtract(ids.offsets, ids.offsets[0]), pieces.take(values))
+    return ids, pc.binary_join(looked_up, " ")
+
+
+def _pieces(batches):
+    for batch in batches:
+        for i in range(0, batch.num_rows, 200):
+            yield batch.slice(i, 200)
+
+
 def decode_documents(encoded: DataFrame, tokenizer_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """(doc_id, text): pieces of the ids, joined by spaces. A null list decodes
-    to the empty text, null or unknown ids are an error of the task."""
+    """(doc_id, text): the pieces that an id-to-piece join finds for the ids, in
+    order, joined by spaces. A null list decodes to the empty text; null or
+    unknown ids fail the job. Other columns are ignored."""
     pieces = pieces_of(tokenizer_path)
 
     def run(batches):
-        for batch in batches:
-            texts = [" ".join([pieces[i] for i in x or ()]) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
+        table = pa.array(pieces, pa.string())
+        for part in _pieces(batches):
+            yield pa.RecordBatch.from_arrays([part.column(0), _lists(part, table)[1]], names=["doc_id", "text"])
 
     return encoded.select(F.col(id_col).cast("long"), F.col(ids_col).cast("array<int>")).mapInArrow(run, "doc_id long, text string")
 
 
 def round_trip_digests(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", block_words: int = 1_500_000) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256): the digests of
-    ``encode_documents`` and of decoding its ids, made where the ids are joined,
-    so that neither ids nor decoded texts travel."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256): digests of the ids that
+    ``encode_documents`` gives and of what the id-to-piece join makes of them."""
     pieces = pieces_of(tokenizer_path)
 
-    def finish(left: pa.Table, right: pa.Table) -> pa.Table:
-        doc_ids, counts, codes, start, length, flat = _block_ids(left, right)
-        spans = list(zip(start.tolist(), (start + length).tolist(), strict=True))
-        numbers = list(map(str, flat.tolist()))
-        looked_up = [pieces[i] for i in flat.tolist()]
-        as_ids = [" ".join(numbers[a:b]) for a, b in spans]
-        as_text = [" ".join(looked_up[a:b]) for a, b in spans]
-        del numbers, looked_up
-        per_word = length[codes]
-        rows, at = [], 0
-        for n in counts.tolist():
-            own = codes[at : at + n]
-            own = own[per_word[at : at + n] > 0].tolist()
-            tokens = int(per_word[at : at + n].sum())
-            rows.append((tokens, hashlib.sha256(" ".join([as_ids[c] for c in own]).encode()).hexdigest(), hashlib.sha256(" ".join([as_text[c] for c in own]).encode()).hexdigest()))
-            at += n
-        n_tokens, a, b = zip(*rows, strict=True)
-        return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "n_tokens": pa.array(n_tokens, pa.int64()), "ids_sha256": pa.array(a), "decoded_sha256": pa.array(b)})
-
-    return _joined(docs, tokenizer_path, id_col, text_col, block_words, finish, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    def run(batches):
+        table = pa.array(pieces, pa.string())
+        digests = lambda texts: pa.array([hashlib.sha256(t).hexdigest() for t in texts_of(texts)], pa.string())
+        for part in _pieces(batches):
+            ids, decoded = _lists(part, table)
+            numbers = pa.ListArray.from_arrays(pc.subtract(ids.offsets, ids.offsets[0]), ids.flatten().cast(pa.string()))
+            yield pa.RecordBatch.from_arrays([part.column(0), pc.list_value_length(ids).cast(pa.int64()), digests(pc.binary_join(numbers, " ")), digests(decoded)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return encode_documents(docs, tokenizer_path, id_col, text_col, block_words).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
