@@ -124,8 +124,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     words, hits = _hits(F.col("_text"))
     thin = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).select("_id", words.alias("_words"))
     thin = thin.select("_id", F.size("_words").cast("long").alias("n_words"), hits.alias("hits"))
-    thin = written(thin.withColumn("row", F.monotonically_increasing_id()), "license-hits")
-    with_phrases = thin.withColumn("places", _phrase_places(F.col("hits")))
+    thin = written(thin.withColumn("places", _phrase_places(F.col("hits"))).withColumn("row", F.monotonically_increasing_id()), "license-hits")
 
     # One row per index word, so a constant number of rows.
     n_docs = thin.count()
@@ -151,7 +150,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     facts = F.broadcast(spark.createDataFrame(facts, "template int, label string, total double, n_keys int"))
 
     # Rows whose key phrases all fail can't match: they leave here.
-    open_rows = with_phrases.where(F.size("places") > 0)
+    open_rows = thin.where(F.size("places") > 0)
     votes = open_rows.select("row", F.explode("hits").alias("h")).select("row", "h.at", "h.word").join(postings, "word").select("row", "template", (F.col("at") - F.col("place")).alias("offset"), "weight", F.lit(0).alias("key"))
     keys = open_rows.select("row", F.explode("places").alias("p")).select("row", "p.phrase", "p.start").join(needs, "phrase").select("row", "template", (F.col("start") - F.col("place")).alias("offset"), F.lit(0.0).alias("weight"), F.lit(1).alias("key"))
     aligned = votes.unionByName(keys).groupBy("row", "template", "offset").agg(F.sum("weight").alias("weight"), F.sum("key").alias("keys")).join(facts, "template")
@@ -159,7 +158,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     base = F.filter("places", lambda p: p["phrase"] < len(BASE_PHRASES))
     label = F.array(*[F.lit(x) for x in BASE_PHRASES.values()])
-    out = with_phrases.withColumn("_base", base).join(matched, "row", "left")
+    out = thin.withColumn("_base", base).join(matched, "row", "left")
     base_labels = F.array_distinct(F.transform("_base", lambda p: label[p["phrase"]]))
     return out.select(
         F.col("_id").alias(id_col),
