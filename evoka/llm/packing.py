@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import new_folder, texts_of
+from .common import texts_of
 from .word_encoder import worker_encoder
 
 MAGIC = b"EVPACK01"
@@ -36,7 +36,10 @@ def bits_for(vocabulary: int) -> int:
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
-    """Ids as ``bits`` bits each, least significant first."""
+    """Ids as ``bits`` bits each, least significant first. An id that needs more
+    bits is an error."""
+    if len(ids) and int(ids.max()) >> bits:
+        raise ValueError(f"id {int(ids.max())} needs more than {bits} bits")
     if bits % 8 == 0:
         return np.ascontiguousarray(ids.astype("<u4").view(np.uint8).reshape(-1, 4)[:, : bits // 8]).tobytes()
     spread = (ids.astype(np.uint32)[:, None] >> np.arange(bits, dtype=np.uint32)) & 1
@@ -219,7 +222,3 @@ def _scan(spark, folder, parts, schema, columns) -> DataFrame:
 
     table = spark.createDataFrame(rows, "name string, base long")
     return table.repartition(max(1, len(rows))).mapInArrow(run, schema)
-
-
-def packed_folder(spark) -> str:
-    return new_folder(spark, "packed")
