@@ -28,6 +28,9 @@ from .common import combined, texts_of
 #: Lower case; everything but ASCII letters and other scripts is a space.
 _LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
+#: More occurrences of a feature in a text count as so many, in learning and scoring.
+MOST = 30_000
+
 
 @dataclass(frozen=True)
 class ToxicityConfig:
@@ -77,7 +80,7 @@ class WordFeatures:
         flat = np.fromiter((i for x in of for i in x), np.int64, int(n.sum()))
         weight = np.repeat(np.fromiter(words.values(), np.float64, len(of)), n)
         numbers, at = np.unique(flat, return_inverse=True)
-        return numbers, np.bincount(at, weight)
+        return numbers, np.minimum(np.bincount(at, weight), MOST)
 
 
 @dataclass(frozen=True)
@@ -190,14 +193,14 @@ def in_training(doc_id: Column) -> Column:
 def fit_toxicity(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityConfig(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
     """Fits on a bounded sample; see the module for the bounds. Null labels,
     ids and texts take no part in learning, an empty sample gives a model that
-    calls nothing toxic. Of repeated ids the smallest label counts."""
+    calls nothing toxic. Of repeated ids the smallest label and text count."""
     own = labels.where(F.col(label_col).isNotNull() & in_training(F.col(id_col))).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min(label_col).alias("label"))
     share = own.agg(F.avg("label")).first()[0]
     prior = min(0.5, max(0.001, float(share or 0)))
     by_hash = F.xxhash64("id")
     spare = F.pmod(F.xxhash64("id", F.lit("spare")), F.lit(4)) == 0
     take = lambda rows, n, kind: rows.orderBy(by_hash, "id").limit(n).select("id", F.lit(kind).alias("kind"))
-    ids = docs.where(in_training(F.col(id_col))).select(F.col(id_col).cast("long").alias("id"))
+    ids = docs.where(in_training(F.col(id_col))).select(F.col(id_col).cast("long").alias("id")).distinct()
     chosen = [
         take(own.where((F.col("label") == 1) & ~spare), config.max_positive, 0),
         take(ids, config.max_unlabelled, 1),
@@ -210,9 +213,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = To
         features = WordFeatures(config)
         for batch in batches:
             rows = [features.of_text(t) for t in texts_of(batch.column(1))]
-            yield pa.RecordBatch.from_pydict({"kind": batch.column(0), "numbers": pa.array([n.astype(np.int32) for n, _ in rows], pa.list_(pa.int32())), "counts": pa.array([np.minimum(c, 30000).astype(np.int16) for _, c in rows], pa.list_(pa.int16()))})
+            yield pa.RecordBatch.from_pydict({"kind": batch.column(0), "numbers": pa.array([n.astype(np.int32) for n, _ in rows], pa.list_(pa.int32())), "counts": pa.array([c.astype(np.int16) for _, c in rows], pa.list_(pa.int16()))})
 
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null").join(F.broadcast(wanted), "id").select("kind", "text")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null").join(F.broadcast(wanted), "id")
+    texts = texts.groupBy("id", "kind").agg(F.min("text").alias("text")).select("kind", "text")
     table = texts.mapInArrow(run, "kind int, numbers array<int>, counts array<smallint>").toArrow()
     kind = table.column("kind").to_numpy()
 
