@@ -51,6 +51,10 @@ class Settings:
     epsilon: float = 1e-12
     seed: int = 20260924
     tasks: tuple[str, ...] = field(default=("Task-1", "Task-2"))
+    # What a recording's file name holds, and what that says; the
+    # first that fits counts, and the last is for all other names.
+    subject_marks: tuple[tuple[str, str], ...] = (("CogA", "A"), ("", "B"))
+    task_marks: tuple[tuple[str, str], ...] = (("Task-1", "Task-1"), ("", "Task-2"))
 
     @property
     def epoch_offsets(self) -> tuple[int, int]:

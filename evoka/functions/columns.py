@@ -69,6 +69,14 @@ def keyed_seed(seed: int, *parts: Column) -> Column:
     return (F.crc32(F.concat_ws("|", *parts).cast("binary")) + F.lit(seed)) % F.lit(2**32 - 1)
 
 
+def array_quantile(ordered: Column, q: Column) -> Column:
+    """Quantile of an ascending array, linear between ranks; null of none."""
+    rank = q * (F.size(ordered) - 1)
+    low = F.floor(rank).cast("int")
+    below, above = F.get(ordered, low), F.get(ordered, F.least(low + 1, F.size(ordered) - 1))
+    return F.when(F.size(ordered) > 0, below + (above - below) * (rank - low))
+
+
 def neat(x: Column, digits: int = 6) -> Column:
     """Rounded, without a negative zero."""
     return F.round(x, digits) + F.lit(0.0)

@@ -38,30 +38,47 @@ def _steady(section: np.ndarray) -> tuple[float, float]:
     return gain - b0, b2 - a2 * gain
 
 
-def _pass(x: list[float], section: np.ndarray, z1: float, z2: float) -> list[float]:
+def _blocks(section: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A section's answer to a block of ``length`` samples: (from samples to
+    outputs, from the state before to outputs, from samples to the state after,
+    from the state before to that after), from the section's state equations."""
     b0, b1, b2, _, a1, a2 = map(float, section)
-    out = []
-    for v in x:
-        y = b0 * v + z1
-        z1 = b1 * v - a1 * y + z2
-        z2 = b2 * v - a2 * y
-        out.append(y)
-    return out
+    step = np.array([[-a1, 1.0], [-a2, 0.0]])
+    drive = np.array([b1 - a1 * b0, b2 - a2 * b0])
+    powers = np.empty((length + 1, 2, 2))
+    powers[0] = np.eye(2)
+    for k in range(length):
+        powers[k + 1] = powers[k] @ step
+    impulse = np.concatenate([[b0], powers[: length - 1, 0] @ drive])
+    lag = np.subtract.outer(np.arange(length), np.arange(length))
+    return np.where(lag >= 0, impulse[np.maximum(lag, 0)], 0.0), powers[:length, 0], (powers[:length] @ drive)[::-1], powers[length]
+
+
+def _filtered(x: np.ndarray, section: np.ndarray, state: np.ndarray, length: int = 128) -> np.ndarray:
+    """One section over ``x``, block by block: matrix products for all blocks,
+    and a loop over the blocks alone for the state that they hand on."""
+    outputs, seen, kept, carried = _blocks(section, length)
+    n = -(-len(x) // length)
+    rows = np.concatenate([x, np.zeros(n * length - len(x))]).reshape(n, length)
+    given = rows @ kept
+    states = np.empty((n, 2))
+    for k in range(n):
+        states[k] = state
+        state = carried @ state + given[k]
+    return (rows @ outputs.T + states @ seen.T).ravel()[: len(x)]
 
 
 def zero_phase(x: np.ndarray, sections: np.ndarray) -> np.ndarray:
     """Forward and backward over an odd extension of the ends."""
     pad = min(3 * (2 * len(sections) + 1), len(x) - 1)
-    ext = np.concatenate([2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2 : -pad - 2 : -1]]).tolist()
+    ext = np.concatenate([2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2 : -pad - 2 : -1]]).astype(float)
     for _ in range(2):
-        scale = 1.0
-        first = ext[0]
+        scale, first = 1.0, ext[0]
         for s in sections:
-            z1, z2 = _steady(s)
-            ext = _pass(ext, s, z1 * first * scale, z2 * first * scale)
+            ext = _filtered(ext, s, np.array(_steady(s)) * first * scale)
             scale *= float(s[:3].sum() / s[3:].sum())
         ext = ext[::-1]
-    return np.array(ext[pad : len(ext) - pad])
+    return ext[pad : len(ext) - pad]
 
 
 def fill_gaps(x: np.ndarray, bad: np.ndarray) -> np.ndarray:
@@ -73,20 +90,20 @@ def fill_gaps(x: np.ndarray, bad: np.ndarray) -> np.ndarray:
 
 
 def welch(x: np.ndarray, rate: float, n_segment: int, n_overlap: int, n_fft: int | None = None, detrend: str = "constant") -> tuple[np.ndarray, np.ndarray]:
-    """(frequencies, one-sided densities): mean of periodograms with a periodic
-    Hann window; a last piece shorter than a segment isn't used."""
-    n_segment = min(n_segment, len(x))
+    """(frequencies, one-sided densities) of the last axis: mean of periodograms
+    with a periodic Hann window; a last piece shorter than a segment isn't used."""
+    n_segment = min(n_segment, x.shape[-1])
     n_fft = n_fft or n_segment
     step = n_segment - min(n_overlap, n_segment - 1)
-    pieces = np.stack([x[k : k + n_segment] for k in range(0, len(x) - n_segment + 1, step)]).astype(float)
-    pieces = pieces - pieces.mean(axis=1, keepdims=True)
+    pieces = np.lib.stride_tricks.sliding_window_view(x, n_segment, axis=-1)[..., ::step, :].astype(float)
+    pieces = pieces - pieces.mean(axis=-1, keepdims=True)
     if detrend == "linear":
         t = np.arange(n_segment) - (n_segment - 1) / 2
-        pieces = pieces - np.outer(pieces @ t / (t @ t), t)
+        pieces = pieces - (pieces @ t / (t @ t))[..., None] * t
     window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n_segment) / n_segment)
     power = np.abs(np.fft.rfft(pieces * window, n_fft)) ** 2 / (rate * (window @ window))
-    power[:, 1 : (-1 if n_fft % 2 == 0 else None)] *= 2
-    return np.fft.rfftfreq(n_fft, 1 / rate), power.mean(axis=0)
+    power[..., 1 : (-1 if n_fft % 2 == 0 else None)] *= 2
+    return np.fft.rfftfreq(n_fft, 1 / rate), power.mean(axis=-2)
 
 
 def smoothing_length(seconds: float, rate: float, n: int, order: int) -> int:
@@ -131,40 +148,54 @@ def huber_location(stack: np.ndarray, c: float, iterations: int, tolerance: floa
     return centre
 
 
-def peak_cross_correlation(x: np.ndarray, y: np.ndarray, most: int, epsilon: float) -> tuple[float, int]:
-    """(signed value, lag) of the largest absolute normalised correlation;
-    of ties the most negative lag. A positive lag delays ``x``."""
-    x, y = x - x.mean(), y - y.mean()
-    base = math.sqrt(float(x @ x) * float(y @ y))
-    if base <= epsilon:
-        return 0.0, 0
-    n = len(x)
-    lags = range(-most, most + 1)
-    c = np.array([float(x[max(0, k) : n + min(0, k)] @ y[max(0, -k) : n - max(0, k)]) / base for k in lags])
-    best = int(np.argmax(np.abs(c)))
-    return float(c[best]), lags[best]
-
-
-def permutation_p(left: np.ndarray, right: np.ndarray, n: int, rng: np.random.Generator) -> tuple[float, float]:
-    """(right mean - left mean, two-sided p of exchanging the labels)."""
-    pooled, m = np.concatenate([left, right]), len(left)
-    observed = right.mean() - left.mean()
-    hits, total = 0, pooled.sum()
-    for k in range(0, n, 1000):
-        order = np.argsort(rng.random((min(1000, n - k), len(pooled))), axis=1)[:, :m]
-        a = pooled[order].sum(axis=1)
-        difference = (total - a) / (len(pooled) - m) - a / m
-        hits += int((np.abs(difference) >= abs(observed) - 1e-12).sum())
-    return float(observed), (hits + 1) / (n + 1)
-
-
-def bootstrap_difference(left: np.ndarray, right: np.ndarray, n: int, rng: np.random.Generator) -> tuple[float, float]:
-    """2.5 and 97.5 percent points of right mean - left mean; each side is
-    drawn by itself."""
-    a = left[rng.integers(0, len(left), (n, len(left)))].mean(axis=1)
-    b = right[rng.integers(0, len(right), (n, len(right)))].mean(axis=1)
-    low, high = np.quantile(b - a, [0.025, 0.975])
-    return float(low), float(high)
+def block_sums(v: np.ndarray, left: np.ndarray, right: np.ndarray, sizes: np.ndarray, own: int, n_permutations: int, n_bootstraps: int, shared: np.random.Generator, rng: np.random.Generator) -> tuple[list, list, list]:
+    """A block's part in the replicates of a test: sums of the values that each
+    exchange of labels gives to the left, and of those that each bootstrap draws
+    again from either side. ``v`` are distinct values, ``left`` and ``right`` how
+    often they occur; ``sizes`` are the (left, right) rows of all blocks, of
+    which this is number ``own``. ``shared`` must be alike in all blocks."""
+    both = sizes.sum(axis=1)
+    deal = (lambda n: shared.multivariate_hypergeometric(both, int(sizes[:, 0].sum()), n, method="marginals")[:, own]) if len(sizes) > 1 else (lambda n: np.full(n, sizes[0, 0]))
+    permuted = [float(rng.multivariate_hypergeometric(left + right, int(k), method="marginals") @ v) for k in (deal(n_permutations) if n_permutations else ())]
+    drawn = []
+    for j, counts in enumerate((left, right)):
+        total = int(sizes[:, j].sum())
+        if not total or not n_bootstraps:
+            drawn.append([0.0] * n_bootstraps)
+            continue
+        k = shared.multinomial(total, sizes[:, j] / total, n_bootstraps)[:, own] if len(sizes) > 1 else np.full(n_bootstraps, total)
+        here = counts.sum()
+        drawn.append([float(rng.multinomial(int(m), counts / here) @ v) if m else 0.0 for m in k])
+    return permuted, *drawn
+
+
+def cell_accuracy(cells: np.ndarray) -> np.ndarray:
+    """Balanced accuracy of counts (..., 4) in order (truth, guess) = 00, 01, 10,
+    11; a class without rows has no part in it."""
+    c = cells.astype(float)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        parts = np.stack([c[..., 0] / (c[..., 0] + c[..., 1]), c[..., 3] / (c[..., 2] + c[..., 3])])
+    known = ~np.isnan(parts)
+    return np.where(known.any(axis=0), np.where(known, parts, 0).sum(axis=0) / np.maximum(1, known.sum(axis=0)), np.nan)
+
+
+def permuted_accuracies(strata: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
+    """Balanced accuracies of ``n`` exchanges of truths within strata (s, 4)."""
+    total = np.zeros((n, 4), np.int64)
+    for t00, t01, t10, t11 in strata.tolist():
+        # Of the rows guessed 0, how many get a truth of 0.
+        a = rng.hypergeometric(t00 + t01, t10 + t11, t00 + t10, n) if t00 + t10 else np.zeros(n, np.int64)
+        total += np.stack([a, t00 + t01 - a, t00 + t10 - a, t11 + t01 - (t00 + t01 - a)], axis=1)
+    return cell_accuracy(total)
+
+
+def bootstrapped_accuracies(strata: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
+    """Balanced accuracies of ``n`` draws with replacement within strata (s, 4)."""
+    total = np.zeros((n, 4), np.int64)
+    for cells in strata:
+        if cells.sum():
+            total += rng.multinomial(int(cells.sum()), cells / cells.sum(), n)
+    return cell_accuracy(total)
 
 
 def balanced_accuracy(truth: np.ndarray, guess: np.ndarray) -> float:

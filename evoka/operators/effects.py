@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import kernels
-from ..functions.columns import keyed_seed
+from ..functions.columns import array_quantile, keyed_seed
 
 
 def hedges_g(df: DataFrame, keys: Sequence[str], value: str, is_right: Column, least_variance: float = 1e-12) -> DataFrame:
@@ -31,7 +31,7 @@ def benjamini_hochberg(df: DataFrame, family: Sequence[str], p: str, unique: Seq
     whether it is under 0.05. ``unique`` orders ties; null p's aren't tests.
 
     The ranks of a family are a running count over it: a family is a list of
-    tests, small beside the data that the tests are made from."""
+    tests, one row for each, small beside the data that they are made from."""
     tests = df.where(F.col(p).isNotNull())
     by = W.partitionBy(*family) if family else W.partitionBy(F.lit(0))
     up, down = by.orderBy(F.col(p), *unique), by.orderBy(F.desc(p), *[F.desc(u) for u in unique])
@@ -62,27 +62,58 @@ def effect_agreement(df: DataFrame, keys: Sequence[str], primary: str, other: st
     return df.groupBy(*keys).agg(F.corr(primary, other).alias("effect_size_correlation"), F.avg((F.signum(primary) == F.signum(other)).cast("double")).alias("effect_sign_agreement"), F.max(F.abs(F.col(other) - F.col(primary))).alias("maximum_absolute_change"), F.bool_and(F.col(primary_flag) == F.col(other_flag)).alias("same_decisions"))
 
 
-def resampled_tests(df: DataFrame, keys: Sequence[str], value: str, side: str, n_permutations: int, n_bootstraps: int, seed: int) -> DataFrame:
+def shared_replicates(rows: DataFrame, numbers: Sequence[tuple[str, int]], pieces: int) -> DataFrame:
+    """Every row with each ``piece`` of its replicates and, by name, how many of
+    each number this piece makes."""
+    out = rows.withColumn("piece", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))))
+    return out.withColumns({name: F.lit(n // pieces) + (F.col("piece") < n % pieces).cast("int") for name, n in numbers})
+
+
+def resampled_tests(df: DataFrame, keys: Sequence[str], value: str, side: str, n_permutations: int, n_bootstraps: int, seed: int, block_values: int = 4096) -> DataFrame:
     """Each test by itself: keys, p_permutation (two-sided) and the bootstrap
-    interval of right - left. One group is one test's trial values (``side`` L
-    or R); seeds are keyed, so results don't depend on the partitioning."""
-    schema = ", ".join([*(f"`{k}` {dict(df.dtypes)[k]}" for k in keys), "p_permutation double, difference_ci95_low double, difference_ci95_high double"])
-
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([side, "_order"])
-        a, b = (rows[value][rows[side] == s].to_numpy(float) for s in "LR")
-        if not len(a) or not len(b):
-            return pd.DataFrame([[*key, None, None, None]])
-        rng = np.random.default_rng(int(rows["_seed"].iloc[0]))
-        _, p = kernels.permutation_p(a, b, n_permutations, rng)
-        return pd.DataFrame([[*key, p, *kernels.bootstrap_difference(a, b, n_bootstraps, rng)]])
-
-    rows = df.select(*keys, value, side, F.xxhash64(*df.columns).alias("_order"), keyed_seed(seed, *[F.col(k).cast("string") for k in keys]).alias("_seed"))
-    return rows.groupBy(*keys).applyInPandas(run, schema)
-
-
-def replicate_shares(tests: DataFrame, n: int, pieces: int) -> DataFrame:
-    """Every test with its ``piece`` and the replicates that this piece makes,
-    for tests so large that their replicates are to be made by many tasks."""
-    each = F.floor(F.lit(n) / pieces) + (F.col("piece") < n % pieces).cast("int")
-    return tests.withColumn("piece", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1)))).withColumn("replicates", each)
+    interval of right - left (``side`` L or R). Null where a side has no value.
+
+    No task holds a test. Its values are counted, and dealt by hash to blocks of
+    about ``block_values`` distinct ones. For each replicate the number of rows
+    that a block gives to the left is a hypergeometric draw over the blocks'
+    sizes (multinomial for the bootstrap), made alike by every block from the
+    test's seed; the block draws that many of its own rows and gives their sum.
+    Sums by replicate add up over the blocks to exactly what drawing from the
+    whole test would have given."""
+    names = list(keys)
+    kinds = dict(df.dtypes)
+    # Equal values are one row with a count, so ties cost nothing.
+    cells = df.where(F.col(value).isNotNull() & F.col(side).isin("L", "R")).groupBy(*names, F.col(value).cast("double").alias("_v")).agg(F.count_if(F.col(side) == "L").alias("_l"), F.count_if(F.col(side) == "R").alias("_r"))
+    wide = cells.groupBy(*names).agg(F.ceil(F.count("*") / F.lit(block_values)).alias("_blocks"), F.sum("_l").alias("_nl"), F.sum("_r").alias("_nr"), F.sum(F.col("_v") * F.col("_l")).alias("_sl"), F.sum(F.col("_v") * F.col("_r")).alias("_sr"))
+    both_sides = wide.where("_nl > 0 and _nr > 0")
+    dealt = cells.join(both_sides.select(*names, "_blocks"), names).withColumn("_block", F.pmod(F.xxhash64("_v"), F.col("_blocks"))).drop("_blocks")
+    sizes = dealt.groupBy(*names, "_block").agg(F.sum("_l").alias("_bl"), F.sum("_r").alias("_br")).groupBy(*names).agg(F.array_sort(F.collect_list(F.struct("_block", "_bl", "_br"))).alias("_sizes"))
+    rows = dealt.join(sizes.select(*names, "_sizes", keyed_seed(seed, *[F.col(k).cast("string") for k in names]).alias("_seed")), names)
+    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in names), "at array<int>, permuted array<double>, left array<double>, right array<double>"])
+
+    def run(key, part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("_v")
+        table = np.array([tuple(x.values()) if isinstance(x, dict) else tuple(x) for x in part["_sizes"].iloc[0]], np.int64)
+        own = int(np.flatnonzero(table[:, 0] == key[-1])[0])
+        v, l, r = part["_v"].to_numpy(), part["_l"].to_numpy(np.int64), part["_r"].to_numpy(np.int64)
+        both, out = int(part["_seed"].iloc[0]), []
+        for k, start in enumerate(range(0, max(n_permutations, n_bootstraps), CHUNK)):
+            n, m = (max(0, min(CHUNK, total - start)) for total in (n_permutations, n_bootstraps))
+            permuted, left, right = kernels.block_sums(v, l, r, table[:, 1:], own, n, m, np.random.default_rng([both, k]), np.random.default_rng([both, k, int(key[-1]) + 1]))
+            out.append([*key[:-1], list(range(start, start + CHUNK)), permuted, left, right])
+        return pd.DataFrame(out, columns=[*names, "at", "permuted", "left", "right"])
+
+    drawn = rows.groupBy(*names, "_block").applyInPandas(run, schema)
+    sums = drawn.select(*names, F.explode(F.arrays_zip("at", "permuted", "left", "right")).alias("z")).groupBy(*names, "z.at").agg(F.sum("z.permuted").alias("_p"), F.sum("z.left").alias("_a"), F.sum("z.right").alias("_b"))
+    sums = sums.join(both_sides, names)
+    total, observed = F.col("_sl") + F.col("_sr"), F.col("_sr") / F.col("_nr") - F.col("_sl") / F.col("_nl")
+    change = (total - F.col("_p")) / F.col("_nr") - F.col("_p") / F.col("_nl")
+    hit = F.abs(change) >= F.abs(observed) - 1e-12 * F.greatest(F.lit(1.0), F.abs(observed))
+    facts = sums.groupBy(*names).agg(F.count_if(hit & F.col("_p").isNotNull()).alias("_hits"), F.array_sort(F.collect_list(F.col("_b") / F.col("_nr") - F.col("_a") / F.col("_nl"))).alias("_drawn"))
+    out = wide.join(facts, names, "left")
+    points = [array_quantile(F.col("_drawn"), F.lit(q)).alias(name) for q, name in ((0.025, "difference_ci95_low"), (0.975, "difference_ci95_high"))]
+    return out.select(*names, ((F.col("_hits") + 1) / F.lit(n_permutations + 1)).alias("p_permutation"), *points)
+
+
+#: Replicates that a block draws at once.
+CHUNK = 250

@@ -74,7 +74,7 @@ def cross_subject(features: DataFrame, groups: dict[str, list[str]], cfg: Settin
     rows = scoped(features, "task").select("scope", "file_name", "trial_id", "subject", "task", F.col(label).cast("int").alias(label), F.array(*[F.col(n).cast("double") for n in names]).alias("_x"), spread).select("*", "_run.*").drop("_run")
     keys = ["scope", "feature_group", "train_subject", "test_subject"]
     rows = rows.withColumn("_seed", keyed_seed(cfg.seed, *map(F.col, keys)))
-    columns = ["kind", *keys, "file_name", "trial_id", "subject", "task", "truth", "probability", "guess", "feature", "coefficient", "best_c", "n_selected", "inner_balanced_accuracy"]
+    columns = ["kind", *keys, "file_name", "trial_id", "subject", "task", "truth", "probability", "guess", "feature", "coefficient", "best_c", "n_selected", "inner_balanced_accuracy", "n_train", "n_input"]
 
     def run(key, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["file_name", "trial_id"])
@@ -83,9 +83,10 @@ def cross_subject(features: DataFrame, groups: dict[str, list[str]], cfg: Settin
         train, test = (part["subject"] == key[2]).to_numpy(), (part["subject"] == key[3]).to_numpy()
         cols, mean, sd, w, c, k, inner = fit_split(x[train], y[train], cfg, np.random.default_rng(int(part["_seed"].iloc[0])))
         p = 1 / (1 + np.exp(-np.clip((x[test][:, cols] - mean) / sd @ w[:-1] + w[-1], -500, 500)))
-        out = [["prediction", *key, r.file_name, r.trial_id, r.subject, r.task, int(t), float(q), int(q >= 0.5), None, None, c, len(cols), inner] for r, t, q in zip(part[test].itertuples(), y[test], p, strict=True)]
-        out += [["coefficient", *key, None, None, None, None, None, None, None, groups[key[1]][j], float(v), c, len(cols), inner] for j, v in zip(cols, w[:-1], strict=True)]
+        told = [c, len(cols), inner, int(train.sum()), len(at)]
+        out = [["prediction", *key, r.file_name, r.trial_id, r.subject, r.task, int(t), float(q), int(q >= 0.5), None, None, *told] for r, t, q in zip(part[test].itertuples(), y[test], p, strict=True)]
+        out += [["coefficient", *key, None, None, None, None, None, None, None, groups[key[1]][j], float(v), *told] for j, v in zip(cols, w[:-1], strict=True)]
         return pd.DataFrame(out, columns=columns)
 
-    schema = "kind string, scope string, feature_group string, train_subject string, test_subject string, file_name string, trial_id int, subject string, task string, truth int, probability double, guess int, feature string, coefficient double, best_c double, n_selected int, inner_balanced_accuracy double"
+    schema = "kind string, scope string, feature_group string, train_subject string, test_subject string, file_name string, trial_id int, subject string, task string, truth int, probability double, guess int, feature string, coefficient double, best_c double, n_selected int, inner_balanced_accuracy double, n_train int, n_input int"
     return rows.groupBy(*keys).applyInPandas(run, schema)

@@ -11,8 +11,8 @@ def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n
     return df.withColumn("place", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("place") <= n)
 
 
-def best(df: DataFrame, order: Sequence[Column]) -> DataFrame:
-    return df.orderBy(*order).limit(1)
+def best(df: DataFrame, order: Sequence[Column], n: int = 1) -> DataFrame:
+    return df.orderBy(*order).limit(n)
 
 
 def first_seen(df: DataFrame, key: str, place: str) -> DataFrame:
@@ -24,8 +24,18 @@ def difference(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.exceptAll(b) if a.columns != b.columns else a.subtract(b)
 
 
-def same_sets(a: DataFrame, b: DataFrame) -> bool:
-    return a.subtract(b).isEmpty() and b.subtract(a).isEmpty()
+def same_sets(a: DataFrame, b: DataFrame) -> DataFrame:
+    """One row, one boolean: whether both hold the same distinct rows."""
+    own = lambda df, n: df.distinct().withColumn("_of", F.lit(n))
+    sides = own(a, 1).unionByName(own(b, 2)).groupBy(*a.columns).agg(F.sum("_of").alias("_of"))
+    return sides.agg(F.coalesce(F.bool_and(F.col("_of") == 3), F.lit(True)).alias("same"))
+
+
+def first_or(df: DataFrame, fallback: DataFrame) -> DataFrame:
+    """The rows of ``df``, or those of ``fallback`` where it has none, decided
+    inside the plan."""
+    none = df.agg((F.count("*") == 0).alias("_none"))
+    return df.unionByName(fallback.join(F.broadcast(none.where("_none")), F.lit(True), "left_semi"))
 
 
 def to_long(df: DataFrame, keys: Sequence[str], features: Sequence[str]) -> DataFrame:
@@ -33,10 +43,6 @@ def to_long(df: DataFrame, keys: Sequence[str], features: Sequence[str]) -> Data
     return df.select(*keys, *[F.col(f).cast("double").alias(f) for f in features]).unpivot(list(keys), list(features), "feature", "value")
 
 
-def to_wide(df: DataFrame, keys: Sequence[str], feature: str, names: Sequence[str], value: str) -> DataFrame:
-    return df.groupBy(*keys).pivot(feature, list(names)).agg(F.first(value))
-
-
 def feature_group(columns: Sequence[str], prefixes: Sequence[str]) -> list[str]:
     """Columns that begin with a prefix; ``time__`` isn't ``laterality_time__``."""
     return [c for c in columns if c.startswith(tuple(prefixes))]

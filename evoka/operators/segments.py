@@ -57,9 +57,10 @@ def slices(marks: DataFrame, samples: DataFrame, keys: Sequence[str], mark: str,
     return places.join(samples, [*keys, index])
 
 
-def fill_gaps(df: DataFrame, keys: Sequence[str], order: str, value: str, bad: Column) -> DataFrame:
+def fill_gaps(df: DataFrame, keys: Sequence[str], order: str, value: str, bad: Column, least_good: int = 2) -> DataFrame:
     """Adds ``filled``: bad values linearly between their good neighbours, the
-    nearest good one beyond the outermost; null without any good one."""
+    nearest good one beyond the outermost. A group with a bad value and fewer
+    than ``least_good`` good ones fails; null without any, if that is allowed."""
     by = Window.partitionBy(*keys).orderBy(order)
     good = F.when(~bad, F.struct(F.col(order).cast("double").alias("x"), F.col(value).cast("double").alias("y")))
     rows = df.withColumn("_p", F.last(good, ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, 0)))
@@ -68,8 +69,10 @@ def fill_gaps(df: DataFrame, keys: Sequence[str], order: str, value: str, bad: C
     back = Window.partitionBy(*keys).orderBy(F.desc(order))
     rows = rows.withColumn("_n", F.last(good, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0)))
     p, n, x = F.col("_p"), F.col("_n"), F.col(order).cast("double")
+    rows = rows.withColumn("_good", F.count(good).over(Window.partitionBy(*keys)))
+    enough = F.when(F.col("_good") >= least_good, F.lit(True)).otherwise(F.raise_error(F.lit("fewer than two good samples")).cast("boolean"))
     between = p["y"] + (n["y"] - p["y"]) * (x - p["x"]) / F.when(n["x"] == p["x"], 1.0).otherwise(n["x"] - p["x"])
-    return rows.withColumn("filled", F.when(~bad, F.col(value).cast("double")).when(p.isNull(), n["y"]).when(n.isNull(), p["y"]).otherwise(between)).drop("_p", "_n")
+    return rows.withColumn("filled", F.when(~bad, F.col(value).cast("double")).when(~enough, None).when(p.isNull(), n["y"]).when(n.isNull(), p["y"]).otherwise(between)).drop("_p", "_n", "_good")
 
 
 def subtract_baseline(df: DataFrame, keys: Sequence[str], value: str, in_baseline: Column) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..config import Settings
 from ..functions import kernels
 from ..functions.columns import keyed_seed
+from .stats import peak_lag
 
 
 def _key_schema(df: DataFrame, keys: Sequence[str]) -> str:
@@ -64,19 +65,18 @@ def array_bands(values: Column, first: int, after: int, cfg: Settings = Settings
 
     @F.pandas_udf("array<double>")
     def powers(series: pd.Series) -> pd.Series:
-        def one(x):
-            x = np.asarray(x, float)
-            if len(x) < 16:
-                raise ValueError("fewer than 16 samples for a spectrum")
-            n = min(128, len(x))
-            f, p = kernels.welch(x, cfg.sample_rate, n, n // 2 if len(x) > n else 0, 512)
-            out = []
-            for low, high in bands:
-                m = (f >= low) & (f < high)
-                out.append(float(np.trapezoid(p[m], f[m])) if m.sum() > 1 else 0.0)
-            return out
-
-        return series.map(one)
+        out, lengths = pd.Series([None] * len(series), dtype=object), series.map(len)
+        if (lengths < 16).any():
+            raise ValueError("fewer than 16 samples for a spectrum")
+        for length in lengths.unique():
+            at = np.flatnonzero(lengths == length)
+            n = min(128, int(length))
+            f, p = kernels.welch(np.stack(series.iloc[at].to_numpy()).astype(float), cfg.sample_rate, n, n // 2 if length > n else 0, 512)
+            parts = [(f >= low) & (f < high) for low, high in bands]
+            made = np.stack([np.trapezoid(p[:, m], f[m], axis=1) if m.sum() > 1 else np.zeros(len(at)) for m in parts], axis=1)
+            for i, row in zip(at, made, strict=True):
+                out.iloc[i] = row
+        return out
 
     return powers(F.slice(values, first + 1, after - first))
 
@@ -84,20 +84,9 @@ def array_bands(values: Column, first: int, after: int, cfg: Settings = Settings
 def coupling(x: Column, y: Column, cfg: Settings = Settings()) -> Column:
     """struct<zero_lag_correlation, max_abs_cross_correlation, lag_at_max_ms> of
     two arrays."""
-    most = round(cfg.max_lag_s * cfg.sample_rate)
-
-    @F.pandas_udf("zero_lag_correlation double, max_abs_cross_correlation double, lag_at_max_ms double")
-    def pair(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-        rows = []
-        for u, v in zip(a, b, strict=True):
-            u, v = np.asarray(u, float), np.asarray(v, float)
-            flat = len(u) < 3 or u.std() < cfg.epsilon or v.std() < cfg.epsilon
-            r = 0.0 if flat else float(np.corrcoef(u, v)[0, 1])
-            peak, lag = kernels.peak_cross_correlation(u, v, most, cfg.epsilon)
-            rows.append((r if np.isfinite(r) else 0.0, peak, 1000.0 * lag / cfg.sample_rate))
-        return pd.DataFrame(rows, columns=["zero_lag_correlation", "max_abs_cross_correlation", "lag_at_max_ms"])
-
-    return pair(x, y)
+    best = peak_lag(x, y, round(cfg.max_lag_s * cfg.sample_rate), cfg.epsilon)
+    named = lambda b: F.struct(b["zero"].alias("zero_lag_correlation"), b["r"].alias("max_abs_cross_correlation"), (b["lag"] * 1000.0 / cfg.sample_rate).alias("lag_at_max_ms"))
+    return F.get(F.transform(F.array(best), named), F.lit(0))
 
 
 def smooth(values: Column, n: int, cfg: Settings = Settings()) -> Column:
@@ -119,10 +108,15 @@ def _stack(rows: pd.DataFrame, channels: Sequence[str]) -> np.ndarray:
     return np.stack([np.stack([np.asarray(x, float) for x in r]) for r in wide.to_numpy()])
 
 
-def fitted_curves(epochs: DataFrame, keys: Sequence[str], channels: Sequence[str], cfg: Settings = Settings(), n_bootstraps: int = 0) -> DataFrame:
-    """(keys, channel, values, ci_low, ci_high): robust mean of a condition's
-    trials, smoothed; with bootstraps of whole trials also the pointwise
-    interval. A group is one condition's trials, whose cells stop together."""
+def fitted_curves(epochs: DataFrame, keys: Sequence[str], channels: Sequence[str], cfg: Settings = Settings(), n_bootstraps: int = 0, contrasts: Sequence[tuple[str, str, str]] = (), keep_draws: bool = False) -> DataFrame:
+    """(keys, channel, n_trials, values, ci_low, ci_high): robust mean of a
+    condition's trials, smoothed; with bootstraps of whole trials also the
+    pointwise interval. ``contrasts`` (name, plus, minus) are more rows, each the
+    difference of two channels' curves with the interval of the paired draws;
+    ``keep_draws`` adds the drawn curves in single precision.
+
+    A group is one condition's trials, whose cells stop together, so a task
+    holds a condition; recordings, not conditions, are what a study adds."""
     names = list(channels)
 
     def run(key, rows: pd.DataFrame) -> pd.DataFrame:
@@ -130,18 +124,54 @@ def fitted_curves(epochs: DataFrame, keys: Sequence[str], channels: Sequence[str
         n = stack.shape[2]
         matrix = kernels.savgol_matrix(n, kernels.smoothing_length(cfg.smooth_s, cfg.sample_rate, n, cfg.smooth_order), cfg.smooth_order)
         fit = lambda s: kernels.huber_location(s, cfg.huber_c, cfg.huber_iterations, cfg.huber_tolerance, cfg.mad_scale) @ matrix.T
-        curve = fit(stack)
-        low = high = [None] * len(names)
+        curve, drawn = fit(stack), None
         if n_bootstraps:
             rng = np.random.default_rng(int(rows["_seed"].iloc[0]))
             drawn = np.stack([fit(stack[rng.integers(0, len(stack), len(stack))]).astype(np.float32) for _ in range(n_bootstraps)])
-            low, high = np.quantile(drawn, [0.025, 0.975], axis=0)
-        lists = lambda x: None if x is None else list(map(float, x))
-        return pd.DataFrame([[*key, c, lists(curve[i]), lists(low[i]), lists(high[i])] for i, c in enumerate(names)])
+        of = {c: (curve[i], None if drawn is None else drawn[:, i]) for i, c in enumerate(names)}
+        for name, plus, minus in contrasts:
+            of[name] = (of[plus][0] - of[minus][0], None if drawn is None else of[plus][1] - of[minus][1])
+        lists, out = lambda x: None if x is None else list(map(float, x)), []
+        for name, (own, draws) in of.items():
+            low, high = (None, None) if draws is None else np.quantile(draws, [0.025, 0.975], axis=0)
+            out.append([*key, name, len(stack), lists(own), lists(low), lists(high), *([None if draws is None else [list(map(float, d)) for d in draws]] if keep_draws else [])])
+        return pd.DataFrame(out)
 
     rows = epochs.select(*keys, "trial_id", "channel", "values", keyed_seed(cfg.seed, *[F.col(k).cast("string") for k in keys]).alias("_seed"))
-    array = "array<double>"
-    return rows.groupBy(*keys).applyInPandas(run, f"{_key_schema(rows, keys)}, channel string, values {array}, ci_low {array}, ci_high {array}")
+    schema = f"{_key_schema(rows, keys)}, channel string, n_trials long, values array<double>, ci_low array<double>, ci_high array<double>"
+    return rows.groupBy(*keys).applyInPandas(run, schema + ", draws array<array<float>>" * keep_draws)
+
+
+def curve_differences(curves: DataFrame, keys: Sequence[str], side: str, plus: str, minus: str) -> DataFrame:
+    """(keys, values, ci_low, ci_high): curves of side ``plus`` less those of
+    ``minus``, with the pointwise interval of the differences of their draws,
+    which ``fitted_curves`` made by themselves and kept. Keys with one side
+    alone have no row."""
+    of = lambda c, s: F.max_by(c, F.col(side) == s)
+    sides = curves.where(F.col(side).isin(plus, minus)).groupBy(*keys).agg(F.count_distinct(side).alias("_n"), *[of(c, s).alias(f"{c}_{k}") for k, s in enumerate((plus, minus)) for c in ("values", "draws")]).where("_n = 2")
+
+    @F.pandas_udf("low array<double>, high array<double>")
+    def interval(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        made = [np.quantile(np.stack(p) - np.stack(q), [0.025, 0.975], axis=0) for p, q in zip(a, b, strict=True)]
+        return pd.DataFrame({"low": [m[0].tolist() for m in made], "high": [m[1].tolist() for m in made]})
+
+    out = sides.withColumn("_ci", interval("draws_0", "draws_1"))
+    return out.select(*keys, F.zip_with("values_0", "values_1", lambda a, b: a - b).alias("values"), F.col("_ci.low").alias("ci_low"), F.col("_ci.high").alias("ci_high"))
+
+
+def channel_difference(epochs: DataFrame, keys: Sequence[str], channel: str, plus, minus) -> DataFrame:
+    """(keys, values): one channel's values less another's; keys that lack
+    either have no row."""
+    sides = epochs.groupBy(*keys).agg(*[F.max(F.when(F.col(channel) == c, F.col("values"))).alias(n) for n, c in (("_p", plus), ("_m", minus))])
+    return sides.where("_p is not null and _m is not null").select(*keys, F.zip_with("_p", "_m", lambda a, b: a - b).alias("values"))
+
+
+def median_curves(epochs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, channel, n_trials, values): the median of a condition's trials at
+    each place."""
+    points = epochs.select(*keys, "trial_id", "channel", F.posexplode("values").alias("t_idx", "_v"))
+    each = points.groupBy(*keys, "channel", "t_idx").agg(F.median("_v").alias("_v"), F.count("*").alias("n_trials"))
+    return each.groupBy(*keys, "channel").agg(F.max("n_trials").alias("n_trials"), F.transform(F.array_sort(F.collect_list(F.struct("t_idx", "_v"))), lambda p: p["_v"]).alias("values"))
 
 
 def exploded(epochs: DataFrame, keep: Sequence[str], rate: float, first: int, values: str = "values") -> DataFrame:

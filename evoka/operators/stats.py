@@ -7,24 +7,61 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..config import Window
-from ..functions.columns import in_window, is_finite, at_rail, safe_ratio
+from ..functions.columns import at_rail, in_window, is_finite
+
+
+def quantiles(df: DataFrame, keys: Sequence[str], value: str, at: Sequence[float], accuracy: int = 2000) -> DataFrame:
+    """(keys, q): exact quantiles of each group, linear between ranks, without a
+    task that holds a group. A sketch, whose ranks are off by 1 / ``accuracy``
+    at most, brackets each quantile; then only the distinct values inside the
+    brackets are counted, and the ranks selected among them. Nulls don't count;
+    a group without values has no row."""
+    v, e = F.col("_v"), 2.0 / accuracy
+    rows = df.select(*keys, F.col(value).cast("double").alias("_v")).where("_v is not null")
+    ends = [min(1.0, max(0.0, x)) for p in at for x in (p - e, p + e)]
+    sketch = F.percentile_approx("_v", F.array(*map(F.lit, ends)), F.lit(accuracy))
+    brackets = rows.groupBy(*keys).agg(sketch.alias("_b"), F.count("*").alias("_n"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+    # Where a bracket has less than four ranks to spare, that is in groups of under
+    # 2 * accuracy rows, it is the whole group.
+    brackets = brackets.withColumn("_b", F.when(F.col("_n") * e >= 4, F.col("_b")).otherwise(F.array(*[F.col("_low"), F.col("_high")] * len(at)))).drop("_low", "_high")
+    both = rows.join(brackets, list(keys)) if keys else rows.crossJoin(F.broadcast(brackets))
+    ranks = [F.floor(F.lit(float(p)) * (F.col("_n") - 1) + 1e-9) for p in at]
+    low = lambda j: F.col("_b")[2 * j]
+    high = lambda j: F.col("_b")[2 * j + 1]
+    inside = F.array_compact(F.array(*[F.when((v >= low(j)) & (v <= high(j)), F.lit(j)) for j in range(len(at))]))
+    under = both.groupBy(*keys, "_n").agg(F.array(*[F.count_if(v < low(j)) for j in range(len(at))]).alias("_under"))
+    cells = both.select(*keys, "_v", F.explode(inside).alias("_j")).groupBy(*keys, "_j", "_v").agg(F.count("*").alias("_c"))
+    cells = cells.join(under, list(keys)) if keys else cells.crossJoin(F.broadcast(under))
+    by = W.partitionBy(*keys, "_j").orderBy("_v")
+    cells = cells.withColumn("_to", F.element_at("_under", F.col("_j") + 1) + F.sum("_c").over(by.rowsBetween(W.unboundedPreceding, 0)))
+    rank = F.element_at(F.array(*ranks), F.col("_j") + 1)
+    next_rank = F.least(rank + 1, F.col("_n") - 1)
+    holds = lambda r: (F.col("_to") > r) & (F.col("_to") - F.col("_c") <= r)
+    found = cells.groupBy(*keys, "_j", "_n").agg(F.max(F.when(holds(rank), v)).alias("_x"), F.max(F.when(holds(next_rank), v)).alias("_y"))
+    part = F.element_at(F.array(*[F.lit(float(p)) for p in at]), F.col("_j") + 1) * (F.col("_n") - 1) - F.element_at(F.array(*ranks), F.col("_j") + 1)
+    exact = F.when(part < 2e-9, F.col("_x")).otherwise(F.col("_x") + (F.col("_y") - F.col("_x")) * part)
+    exact = F.when(F.col("_x").isNull() | (F.col("_y").isNull() & (part >= 2e-9)), F.raise_error(F.lit("a quantile lies outside its bracket")).cast("double")).otherwise(exact)
+    picked = [F.max(F.when(F.col("_j") == j, F.col("_q"))) for j in range(len(at))]
+    return found.withColumn("_q", exact).groupBy(*keys).agg(F.array(*picked).alias("q"))
 
 
 def signal_quality(df: DataFrame, keys: Sequence[str], value: str, rail: float) -> DataFrame:
     """Location, spread, extreme quantiles and rail share of each group."""
     v = F.col(value)
-    q = F.percentile(v, F.array(F.lit(0.001), F.lit(0.5), F.lit(0.999)))
-    out = df.groupBy(*keys).agg(F.count("*").alias("samples"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("minimum"), q.alias("_q"), F.max(v).alias("maximum"), F.count_if(at_rail(v, rail)).alias("rail_samples"), F.bool_and(is_finite(v)).alias("all_finite"))
-    return out.select(*keys, "samples", "mean", "std", "minimum", *[F.col("_q")[i].alias(n) for i, n in enumerate(("q001", "median", "q999"))], "maximum", (F.col("maximum") - F.col("minimum")).alias("peak_to_peak"), "rail_samples", (100.0 * F.col("rail_samples") / F.col("samples")).alias("rail_percent"), "all_finite")
+    out = df.groupBy(*keys).agg(F.count("*").alias("samples"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("minimum"), F.max(v).alias("maximum"), F.count_if(at_rail(v, rail)).alias("rail_samples"), F.bool_and(is_finite(v)).alias("all_finite"))
+    q = quantiles(df, keys, value, (0.001, 0.5, 0.999))
+    out = out.join(q, list(keys), "left") if keys else out.crossJoin(F.broadcast(q))
+    return out.select(*keys, "samples", "mean", "std", "minimum", *[F.col("q")[i].alias(n) for i, n in enumerate(("q001", "median", "q999"))], "maximum", (F.col("maximum") - F.col("minimum")).alias("peak_to_peak"), "rail_samples", (100.0 * F.col("rail_samples") / F.col("samples")).alias("rail_percent"), "all_finite")
 
 
 def robust_thresholds(df: DataFrame, keys: Sequence[str], value: str, scale: float = 1.4826, multiple: float = 6.0) -> DataFrame:
     """median, scaled_mad and threshold = median + multiple * scaled_mad; a MAD
     of nothing is replaced by max(0.05 * |median|, 1e-9) in the threshold."""
-    middle = df.groupBy(*keys).agg(F.median(value).alias("median"))
-    apart = df.join(middle, list(keys)).groupBy(*keys, "median").agg((F.lit(scale) * F.median(F.abs(F.col(value) - F.col("median")))).alias("scaled_mad"))
+    middle = quantiles(df, keys, value, (0.5,)).select(*keys, F.col("q")[0].alias("median"))
+    apart = df.join(middle, list(keys)).select(*keys, F.abs(F.col(value) - F.col("median")).alias("_apart"))
+    out = middle.join(quantiles(apart, keys, "_apart", (0.5,)), list(keys)).select(*keys, "median", (scale * F.col("q")[0]).alias("scaled_mad"))
     spread = F.when(F.col("scaled_mad") <= 1e-12, F.greatest(0.05 * F.abs("median"), F.lit(1e-9))).otherwise(F.col("scaled_mad"))
-    return apart.withColumn("threshold", F.col("median") + multiple * spread)
+    return out.withColumn("threshold", F.col("median") + multiple * spread)
 
 
 def over_threshold(df: DataFrame, thresholds: DataFrame, keys: Sequence[str], trial: Sequence[str], value: str, eligible: Column) -> DataFrame:
@@ -90,12 +127,6 @@ def window_statistics(df: DataFrame, keys: Sequence[str], time: str, value: str,
     )
 
 
-def safe_correlation(x: Column, y: Column, least: int = 3, spread: float = 1e-12) -> Column:
-    """Aggregate: Pearson's correlation, 0 where it has no meaning."""
-    flat = (F.count(x) < least) | (F.stddev_pop(x) < spread) | (F.stddev_pop(y) < spread)
-    return F.when(flat, 0.0).otherwise(F.coalesce(F.nanvl(F.corr(x, y), F.lit(0.0)), F.lit(0.0)))
-
-
 def compare_curves(df: DataFrame, keys: Sequence[str], primary: str, other: str) -> DataFrame:
     """Correlation, RMSE, RMSE over the primary's peak to peak, and the largest
     absolute change of two aligned curves."""
@@ -104,19 +135,50 @@ def compare_curves(df: DataFrame, keys: Sequence[str], primary: str, other: str)
     return out.withColumn("nrmse", F.col("rmse") / F.greatest("_span", F.lit(1e-9))).drop("_span")
 
 
+def _bound(value: Column, f) -> Column:
+    """``f(value)`` with the value made once, however often ``f`` names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def peak_lag(x: Column, y: Column, most: int, epsilon: float = 1e-12) -> Column:
+    """struct<r, lag, zero> of two arrays of one length: the signed normalised
+    cross-correlation of largest size among lags of at most ``most``, its lag
+    (of ties the most negative; positive ones delay ``x``), and the correlation
+    at lag 0, which is 0 with fewer than three points. All are 0 where either
+    array is flat. No row leaves its place."""
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
+    dot = lambda a, b: total(F.zip_with(a, b, lambda u, v: u * v))
+    mean = lambda a: total(a) / F.when(F.size(a) > 0, F.size(a))
+    less = lambda a, m: F.transform(a, lambda v: v - m)
+
+    def measured(s):
+        u, v, n = s["u"], s["v"], F.size(s["u"])
+
+        def at(lag):
+            length = F.greatest(n - F.abs(lag), F.lit(0))
+            value = dot(F.slice(u, F.greatest(lag, F.lit(0)) + 1, length), F.slice(v, F.greatest(-lag, F.lit(0)) + 1, length)) / s["base"]
+            return F.struct(F.round(F.abs(value), 12).alias("a"), (-lag).alias("l"), value.alias("r"))
+
+        flat = (n < 3) | (F.sqrt(s["uu"] / n) < epsilon) | (F.sqrt(s["vv"] / n) < epsilon)
+        zero = F.when(flat, 0.0).otherwise(dot(u, v) / s["base"])
+        best = F.array_max(F.transform(F.sequence(F.lit(-most), F.lit(most)), at))
+        found = _bound(best, lambda m: F.struct(m["r"].alias("r"), (-m["l"]).alias("lag"), zero.alias("zero")))
+        return F.when(s["base"] > epsilon, found).otherwise(F.struct(F.lit(0.0).alias("r"), F.lit(0).alias("lag"), F.lit(0.0).alias("zero")))
+
+    pair = F.struct(x.alias("x"), y.alias("y"), mean(x).alias("mx"), mean(y).alias("my"))
+    centred = lambda s: F.struct(less(s["x"], s["mx"]).alias("u"), less(s["y"], s["my"]).alias("v"))
+    squares = lambda s: F.struct(s["u"].alias("u"), s["v"].alias("v"), dot(s["u"], s["u"]).alias("uu"), dot(s["v"], s["v"]).alias("vv"))
+    based = lambda s: F.struct(s["u"].alias("u"), s["v"].alias("v"), s["uu"].alias("uu"), s["vv"].alias("vv"), F.sqrt(s["uu"] * s["vv"]).alias("base"))
+    return _bound(pair, lambda p: _bound(centred(p), lambda c: _bound(squares(c), lambda q: _bound(based(q), measured))))
+
+
 def lag_correlation(df: DataFrame, keys: Sequence[str], index: str, x: str, y: str, most: int) -> DataFrame:
-    """Peak normalised cross-correlation in SQL: keys, max_abs_correlation
-    (signed) and lag; of ties the most negative lag, 0 and 0 for flat series.
-    A row meets the 2 * most + 1 rows around it and no others."""
-    by = W.partitionBy(*keys)
-    rows = df.select(*keys, F.col(index).alias("_i"), (F.col(x) - F.avg(x).over(by)).alias("_x"), (F.col(y) - F.avg(y).over(by)).alias("_y"))
-    rows = rows.withColumn("_base", F.sqrt(F.sum(F.col("_x") ** 2).over(by) * F.sum(F.col("_y") ** 2).over(by)))
-    near = rows.select(*keys, "_i", "_y", "_base", F.explode(F.sequence(F.lit(-most), F.lit(most))).alias("lag")).withColumn("_at", F.col("_i") + F.col("lag"))
-    c = near.join(rows.select(*keys, F.col("_i").alias("_at"), "_x"), [*keys, "_at"]).groupBy(*keys, "lag", "_base").agg(F.sum(F.col("_x") * F.col("_y")).alias("_c"))
-    c = c.withColumn("_r", F.when(F.col("_base") > 1e-12, F.col("_c") / F.when(F.col("_base") > 0, F.col("_base")).otherwise(1.0)).otherwise(0.0))
-    best = c.groupBy(*keys).agg(F.max(F.struct(F.round(F.abs("_r"), 12).alias("a"), (-F.col("lag")).alias("l"), F.col("_r").alias("r"), F.col("_base").alias("b"))).alias("m"))
-    flat = F.col("m.b") <= 1e-12
-    return best.select(*keys, F.when(flat, 0.0).otherwise(F.col("m.r")).alias("max_abs_correlation"), F.when(flat, 0).otherwise(-F.col("m.l")).alias("lag"))
+    """``peak_lag`` of two columns in order of ``index``, whose steps are of 1:
+    keys, max_abs_correlation (signed) and lag. A series is one row on its way
+    here, so it should be a window, not a recording."""
+    series = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(index, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")))).alias("_s"))
+    best = series.select(*keys, peak_lag(F.transform("_s", lambda s: s["_x"]), F.transform("_s", lambda s: s["_y"]), most).alias("_b"))
+    return best.select(*keys, F.col("_b.r").alias("max_abs_correlation"), F.col("_b.lag").alias("lag"))
 
 
 def huber_means(df: DataFrame, keys: Sequence[str], value: str, c: float = 1.345, rounds: int = 8, scale: float = 1.4826) -> DataFrame:
@@ -140,7 +202,3 @@ def with_strategies(df: DataFrame, edge: str, residual: str, accepted: str) -> D
     """Every trial under each rejection strategy that takes it."""
     taken = F.array_compact(F.array(F.when(F.col(accepted), "strict_rejection"), F.when(~F.col(edge) & ~F.col(residual), "retain_repaired_saturation"), F.when(~F.col(edge), "all_in_bounds")))
     return df.withColumn("strategy", F.explode(taken))
-
-
-def share(part: Column, whole: Column) -> Column:
-    return safe_ratio(part, whole)

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..config import Settings
 from ..functions.columns import in_window
 from ..operators.effects import benjamini_hochberg, effect_agreement, hedges_g, resampled_tests, subject_consistency
-from ..operators.signal import exploded, fitted_curves
+from ..operators.signal import curve_differences, exploded, fitted_curves, median_curves
 from ..operators.stats import compare_curves, window_statistics, with_strategies
 
 CONDITION = ["file_name", "subject", "task", "cue_direction"]
@@ -17,22 +17,37 @@ def with_conditions(epochs: DataFrame, qc: DataFrame) -> DataFrame:
     return epochs.join(qc, ["file_name", "trial_id"])
 
 
-def direction_curves(epochs: DataFrame, cfg: Settings = Settings(), n_bootstraps: int | None = None, extra: tuple[str, ...] = ()) -> DataFrame:
-    """Fitted curves of each recording and side; ``epochs`` hold what is taken."""
+LATERALITY = ("F4_minus_F3", "F4", "F3")
+
+
+def direction_curves(epochs: DataFrame, cfg: Settings = Settings(), n_bootstraps: int | None = None, extra: tuple[str, ...] = (), keep_draws: bool = False) -> DataFrame:
+    """Fitted curves of each recording and side, and F4 less F3 as a channel of
+    its own with paired intervals; ``epochs`` hold what is taken."""
     n = cfg.n_curve_bootstraps if n_bootstraps is None else n_bootstraps
-    return fitted_curves(epochs, [*CONDITION, *extra], cfg.channels, cfg, n)
+    return fitted_curves(epochs, [*CONDITION, *extra], cfg.channels, cfg, n, (LATERALITY,), keep_draws)
+
+
+def direction_differences(curves: DataFrame) -> DataFrame:
+    """Right less left of each recording and channel, with its interval; the
+    curves must hold their draws."""
+    return curve_differences(curves, ["file_name", "subject", "task", "channel"], "cue_direction", "R", "L")
+
+
+def preview_curves(epochs: DataFrame) -> DataFrame:
+    """Median of the accepted trials of each recording, side and channel."""
+    return median_curves(epochs.where("accepted_for_erp"), CONDITION)
 
 
-def laterality_curves(curves: DataFrame) -> DataFrame:
-    """F4 less F3 of the fitted curves."""
-    sides = curves.groupBy(*CONDITION).agg(*[F.max(F.when(F.col("channel") == c, F.col("values"))).alias(c) for c in ("F3", "F4")])
-    return sides.select(*CONDITION, F.lit("F4_minus_F3").alias("channel"), F.zip_with("F4", "F3", lambda a, b: a - b).alias("values"))
+def effect_matrix(tests: DataFrame, windows: tuple[str, ...], channels: tuple[str, ...]) -> DataFrame:
+    """One row per recording, one effect per window and channel."""
+    cells = [F.max(F.when((F.col("window") == w) & (F.col("channel") == c), F.col("hedges_g"))).alias(f"{w}__{c}") for w in windows for c in channels]
+    return tests.groupBy("file_name", "subject", "task").agg(*cells)
 
 
 def curve_features(curves: DataFrame, cfg: Settings = Settings()) -> DataFrame:
     """Mean, positive peak, its latency and area of each window of a curve."""
     first, _ = cfg.epoch_offsets
-    keys = [c for c in curves.columns if c not in ("values", "ci_low", "ci_high")]
+    keys = [c for c in curves.columns if c not in ("values", "ci_low", "ci_high", "draws")]
     points = exploded(curves, keys, cfg.sample_rate, first)
     return window_statistics(points, keys, "time_s", "v", cfg.curve_windows, cfg.sample_rate).select(*keys, "window", "mean", "positive_peak", "positive_peak_latency_s", "area")
 
@@ -81,7 +96,7 @@ def sensitivity_of_curves(curves: DataFrame, cfg: Settings = Settings()) -> Data
     and for right - left; latency shifts in ms by window."""
     first, _ = cfg.epoch_offsets
     keys = ["file_name", "subject", "task", "channel"]
-    sides = curves.select(*keys, "strategy", "cue_direction", "values")
+    sides = curves.where(F.col("channel") != LATERALITY[0]).select(*keys, "strategy", "cue_direction", "values")
     apart = sides.groupBy(*keys, "strategy").agg(*[F.max(F.when(F.col("cue_direction") == s, F.col("values"))).alias(s) for s in "LR"]).select(*keys, "strategy", F.lit("R_minus_L").alias("cue_direction"), F.zip_with("R", "L", lambda a, b: a - b).alias("values"))
     points = exploded(sides.unionByName(apart), [*keys, "strategy", "cue_direction"], cfg.sample_rate, first)
     keys = [*keys, "cue_direction"]

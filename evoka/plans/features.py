@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..config import Settings, Window
-from ..functions.columns import decibels
+from ..functions.columns import decibels, is_finite
 from ..operators.effects import hedges_g, stable_effects
 from ..operators.evaluate import confusion_metrics, roc_auc, stratified_inference
-from ..operators.relational import feature_group
-from ..operators.signal import array_bands, coupling, exploded
+from ..operators.relational import best, feature_group, first_or, same_sets, top_per_group
+from ..operators.signal import array_bands, channel_difference, coupling, exploded
 from ..operators.stats import window_statistics
+from ..sources.tables import checks
 
 TRIAL = ["file_name", "trial_id"]
 STATS = ("mean", "std", "peak_to_peak", "area", "positive_peak", "positive_peak_latency_s", "negative_peak", "negative_peak_latency_s", "slope_per_s", "line_length_per_s")
@@ -24,7 +25,7 @@ def _wide(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
 def time_features(epochs: DataFrame, cfg: Settings = Settings()) -> DataFrame:
     """Time statistics of both windows, of each channel and of F4 less F3."""
     first, _ = cfg.epoch_offsets
-    apart = epochs.groupBy(*TRIAL).agg(*[F.max(F.when(F.col("channel") == c, F.col("values"))).alias(c) for c in ("F3", "F4")]).select(*TRIAL, F.lit("F4_minus_F3").alias("channel"), F.zip_with("F4", "F3", lambda a, b: a - b).alias("values"))
+    apart = channel_difference(epochs, TRIAL, "channel", "F4", "F3").select(*TRIAL, F.lit("F4_minus_F3").alias("channel"), "values")
     points = exploded(epochs.select(*TRIAL, "channel", "values").unionByName(apart), [*TRIAL, "channel"], cfg.sample_rate, first)
     stats = window_statistics(points, [*TRIAL, "channel"], "time_s", "v", cfg.curve_windows[:2], cfg.sample_rate)
     group = F.when(F.col("channel") == "F4_minus_F3", "laterality_time").otherwise("time")
@@ -82,11 +83,15 @@ def bidirectional_summary(predictions: DataFrame, cfg: Settings = Settings(), n_
     return out.join(stratified_inference(rows, keys, "stratum", "truth", "guess", n_permutations, n_bootstraps, cfg.seed), keys)
 
 
-def directional_results(predictions: DataFrame) -> DataFrame:
+def directional_results(predictions: DataFrame, cfg: Settings = Settings(), n_permutations: int | None = None) -> DataFrame:
+    """Each split by itself, with the permutation p of its external predictions
+    (truths exchanged within tasks)."""
     keys = ["scope", "feature_group", "train_subject", "test_subject"]
     rows = predictions.where("kind = 'prediction'")
-    facts = rows.groupBy(*keys).agg(F.count("*").alias("n_test"), F.first("best_c").alias("best_c"), F.first("n_selected").alias("n_selected_features"), F.first("inner_balanced_accuracy").alias("inner_cv_balanced_accuracy"))
-    return facts.join(confusion_metrics(rows, keys, "truth", "guess"), keys).join(roc_auc(rows, keys, "truth", "probability"), keys)
+    facts = rows.groupBy(*keys).agg(F.count("*").alias("n_test"), *[F.first(c).alias(name) for c, name in (("n_train", "n_train"), ("n_input", "n_input_features"), ("n_selected", "n_selected_features"), ("best_c", "best_c"), ("inner_balanced_accuracy", "inner_cv_balanced_accuracy"))])
+    n = cfg.n_model_permutations if n_permutations is None else n_permutations
+    p = stratified_inference(rows, keys, "task", "truth", "guess", n, 0, cfg.seed + 1).select(*keys, F.col("permutation_p").alias("test_permutation_p"))
+    return facts.join(confusion_metrics(rows, keys, "truth", "guess"), keys).join(roc_auc(rows, keys, "truth", "probability"), keys).join(p, keys)
 
 
 def selected_coefficients(predictions: DataFrame) -> DataFrame:
@@ -103,3 +108,30 @@ def stable_features(effects: DataFrame) -> DataFrame:
     return stable_effects(effects, ["task", "feature"], "subject", ("A", "B"), "hedges_g")
 
 
+def shown_features(stable: DataFrame, per_task: int = 6, otherwise: int = 10) -> DataFrame:
+    """Features to show: of each task the ``per_task`` of largest conservative
+    effect among those of one sign; where no task has any, the ``otherwise`` of
+    largest mean effect."""
+    order = [F.desc("conservative_abs_g"), F.desc("mean_abs_g"), F.asc("feature")]
+    agreed = top_per_group(stable.where("sign_consistent"), ["task"], order, per_task).select("feature").distinct()
+    largest = best(stable.groupBy("feature").agg(F.max("mean_abs_g").alias("g")), [F.desc("g"), F.asc("feature")], otherwise).select("feature")
+    return first_or(agreed, largest)
+
+
+def model_checks(features: DataFrame, names: list[str], results: DataFrame, summary: DataFrame, forbidden: tuple[str, ...], n_trials: int, least_of_a_class: int = 40, n_summaries: int = 9) -> DataFrame:
+    """(check, passed): what a run must hold to be reported."""
+    finite = F.lit(True)
+    for n in names:
+        finite = finite & is_finite(F.col(n))
+    classes = features.groupBy("subject", "task", "cue_direction").agg(F.count("*").alias("n"))
+    spoken = any(token in n.lower() for n in names for token in forbidden)
+    return checks(
+        number_of_trials=features.agg(F.count("*") == n_trials),
+        trials_are_unique=features.groupBy(*TRIAL).agg(F.count("*").alias("n")).agg(F.max("n") == 1),
+        features_are_finite=features.agg(F.bool_and(finite)),
+        features_do_not_tell_the_outcome=features.agg((F.count("*") >= 0) & F.lit(not spoken)),
+        subjects_of_a_split_are_apart=results.agg(F.bool_and(F.col("train_subject") != F.col("test_subject"))),
+        directions_are_left_and_right=same_sets(features.select("cue_direction"), features.select(F.explode(F.array(F.lit("L"), F.lit("R"))).alias("cue_direction"))),
+        classes_are_large_enough=classes.agg(F.min("n") >= least_of_a_class),
+        number_of_summaries=summary.agg(F.count("*") == n_summaries),
+    )

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..config import Settings
 from ..functions.columns import at_rail, flag_code, is_finite, reasons, side_of, sign_match
-from ..operators.segments import first_matches, in_intervals, intervals, run_segments
+from ..operators.segments import first_matches, in_intervals, intervals, run_segments, step_facts
+from ..operators.stats import quantiles
 
 KEY = ["file_name"]
 
@@ -39,6 +40,7 @@ def parse_trials(samples: DataFrame, recordings: DataFrame, cfg: Settings = Sett
     rail = [F.coalesce(F.col(f"rail_{c}"), F.lit(False)) for c in cfg.channels]
     saturated = rail[0] | rail[1] | rail[2] if len(rail) == 3 else F.exists(F.array(*rail), lambda r: r)
     nonfinite = F.coalesce("nonfinite", F.lit(False))
+    # Names of the faults, in order.
     why = reasons(
         ("missing_target_event", F.col("n_target") == 0),
         ("multiple_target_events", F.col("n_target") > 1),
@@ -82,12 +84,17 @@ def behaviour_code(trials: DataFrame) -> DataFrame:
 
 
 def dataset_summary(trials: DataFrame, samples: DataFrame, recordings: DataFrame, cfg: Settings = Settings()) -> DataFrame:
-    """One row per recording: counts of trials and events, rail samples, and
-    whether time steps by 1 / rate throughout."""
-    from ..operators.segments import step_facts
-
+    """One row per recording: counts of trials and events, rail samples, how
+    many channels there are, the median time step and whether time steps by
+    1 / rate throughout; the ninth channel's label where ``recordings`` have
+    ``labels``."""
     per = trials.groupBy("file_name").agg(F.count("*").alias("cue_trials"), F.count_if(F.col("cue_direction") == "L").alias("cue_left"), F.count_if(F.col("cue_direction") == "R").alias("cue_right"), F.count("target_value").alias("target_events"), F.count("response_value").alias("click_events"), F.count_if(F.col("correct_inferred")).alias("inferred_correct"), F.count_if(~F.col("correct_inferred")).alias("inferred_incorrect"), F.count_if("saturation_flag").alias("saturated_trials"))
-    finite = samples.groupBy("file_name").agg(F.bool_and(is_finite(F.col("value"))).alias("all_values_finite"), *[F.count_if((F.col("channel") == c) & at_rail(F.col("value"), cfg.rail)).alias(f"rail_{c}_samples") for c in cfg.channels])
-    steps = step_facts(samples.where(F.col("channel") == "timestamp"), KEY, "sample_idx", "value", 1 / cfg.sample_rate).select("file_name", F.col("continuous").alias("timestamp_continuous"))
-    out = recordings.join(per, "file_name", "left").join(finite, "file_name", "left").join(steps, "file_name", "left")
+    finite = samples.groupBy("file_name").agg(F.bool_and(is_finite(F.col("value"))).alias("all_values_finite"), F.count_distinct("channel").alias("channels"), *[F.count_if((F.col("channel") == c) & at_rail(F.col("value"), cfg.rail)).alias(f"rail_{c}_samples") for c in cfg.channels])
+    time = samples.where(F.col("channel") == "timestamp")
+    steps = step_facts(time, KEY, "sample_idx", "value", 1 / cfg.sample_rate).select("file_name", F.col("continuous").alias("timestamp_continuous"))
+    each = time.select("file_name", (F.col("value") - F.lag("value").over(W.partitionBy("file_name").orderBy("sample_idx"))).alias("step"))
+    step = quantiles(each, KEY, "step", (0.5,)).select("file_name", F.col("q")[0].alias("timestamp_step_s"))
+    out = recordings.join(per, "file_name", "left").join(finite, "file_name", "left").join(steps, "file_name", "left").join(step, "file_name", "left")
+    if "labels" in recordings.columns:
+        out = out.withColumn("channel9_label", F.get("labels", F.lit(8)))
     return out.withColumn("duration_s", F.col("n_samples") / F.col("sample_rate_hz")).withColumn("duration_min", F.col("duration_s") / 60)

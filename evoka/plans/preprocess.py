@@ -66,6 +66,7 @@ def reject_artifacts(trials: DataFrame, epochs: DataFrame, cfg: Settings = Setti
     residual = over_threshold(long, thresholds, keys, TRIAL, "value", F.col("_source"))
     qc = flags.join(residual, TRIAL, "left").withColumn("residual_artifact_flag", F.coalesce("residual_artifact", F.lit(False))).drop("residual_artifact")
     accepted = ~F.col("edge_flag") & ~F.col("raw_saturation_or_nonfinite_flag") & ~F.col("residual_artifact_flag")
+    # Names of the reasons, in order.
     qc = qc.withColumn("accepted_for_erp", accepted).withColumn("rejection_reason", reasons(("epoch_out_of_bounds", F.col("edge_flag")), ("raw_saturation_or_nonfinite", F.col("raw_saturation_or_nonfinite_flag")), ("extreme_residual_artifact", F.col("residual_artifact_flag"))))
     return qc, thresholds
 

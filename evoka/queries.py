@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -128,7 +129,7 @@ def rejection_strategies(spark, sf_dir):
 def gap_interpolate(spark, sf_dir):
     rows = _t(spark, sf_dir, "events").select("user_id", "event_id", "value", "event_type")
     bad = ~((F.col("event_type") != "error") & (F.col("event_id") % 4 != 0))
-    return _rounded(segments.fill_gaps(rows, ["user_id"], "event_id", "value", bad).select("user_id", "event_id", "filled"))
+    return _rounded(segments.fill_gaps(rows, ["user_id"], "event_id", "value", bad, 0).select("user_id", "event_id", "filled"))
 
 
 @query(f"WITH {POINTS_SQL} SELECT vec_id, i, round(v - avg(v) FILTER (i >= 4 AND i < 16) OVER (PARTITION BY vec_id), 6) + 0.0 AS corrected FROM pts")
@@ -183,29 +184,50 @@ def fdr_by_family(spark, sf_dir):
     return _rounded(effects.benjamini_hochberg(_p_values(spark, sf_dir), ["p_brand"], "p", ["p_type"]))
 
 
-G_SQL = """d AS (SELECT p_type, p_brand, avg(p_retailprice) - 1200 AS g FROM part WHERE p_brand IN (SELECT DISTINCT p_brand FROM part ORDER BY 1 LIMIT 2) GROUP BY ALL), b AS (SELECT min(p_brand) AS x, max(p_brand) AS y FROM d),
-    e AS (SELECT p_type, max(g) FILTER (p_brand = x) AS ga, max(g) FILTER (p_brand = y) AS gb FROM d, b GROUP BY ALL)"""
+G_SQL = """k AS (SELECT p_brand, dense_rank() OVER (ORDER BY p_brand) - 1 AS r FROM (SELECT DISTINCT p_brand FROM part)), d AS (SELECT p_type, (r // 2)::INT AS pair, r % 2 AS side, avg(p_retailprice) - 1200 AS g FROM part JOIN k USING (p_brand) GROUP BY ALL),
+    e AS (SELECT p_type, pair, max(g) FILTER (side = 0) AS ga, max(g) FILTER (side = 1) AS gb FROM d GROUP BY ALL)"""
 
 
-def _brand_effects(spark, sf_dir) -> tuple[DataFrame, tuple[str, str]]:
+def _brand_effects(spark, sf_dir) -> DataFrame:
+    """Effects of all brands, two neighbours in name being a pair's subjects."""
+    from pyspark.sql import Window as W
+
     part = _t(spark, sf_dir, "part")
-    names = tuple(r[0] for r in part.select("p_brand").distinct().orderBy("p_brand").limit(2).collect())
-    return part.where(F.col("p_brand").isin(*names)).groupBy("p_type", "p_brand").agg((F.avg("p_retailprice") - 1200).alias("g")), names
+    place = F.dense_rank().over(W.partitionBy(F.lit(0)).orderBy("p_brand")) - 1
+    brands = part.select("p_brand").distinct().select("p_brand", F.floor(place / 2).cast("int").alias("pair"), F.when(place % 2 == 0, "A").otherwise("B").alias("subject"))
+    return part.join(brands, "p_brand").groupBy("p_type", "pair", "subject").agg((F.avg("p_retailprice") - 1200).alias("g"))
 
 
-@query(f"WITH {G_SQL} SELECT p_type, round(ga, 4) + 0.0 AS g_a, round(gb, 4) + 0.0 AS g_b, sign(ga) = sign(gb) AS same_direction, round((ga + gb) / 2, 4) + 0.0 AS mean_g FROM e")
+@query(f"WITH {G_SQL} SELECT p_type, pair, round(ga, 4) + 0.0 AS g_a, round(gb, 4) + 0.0 AS g_b, sign(ga) = sign(gb) AS same_direction, round((ga + gb) / 2, 4) + 0.0 AS mean_g FROM e")
 def subject_consistency(spark, sf_dir):
-    rows, names = _brand_effects(spark, sf_dir)
-    out = effects.subject_consistency(rows, ["p_type"], "p_brand", names, "g")
-    return out.select("p_type", *[neat(F.col(c), 4).alias(c) for c in ("g_a", "g_b", "mean_g")], "same_direction")
+    out = effects.subject_consistency(_brand_effects(spark, sf_dir), ["p_type", "pair"], "subject", ("A", "B"), "g")
+    return out.select("p_type", "pair", *[neat(F.col(c), 4).alias(c) for c in ("g_a", "g_b", "mean_g")], "same_direction")
+
 
+STABLE_SQL = f"""{G_SQL}, t AS (SELECT p_type, pair, ga, gb, sign(ga) = sign(gb) AND ga <> 0 AND gb <> 0 AS sign_consistent, (abs(ga) + abs(gb)) / 2 AS m, CASE WHEN sign(ga) = sign(gb) AND ga <> 0 AND gb <> 0 THEN least(abs(ga), abs(gb)) ELSE 0 END AS c FROM e)"""
 
-@query(f"""WITH {G_SQL} SELECT p_type, round(ga, 4) + 0.0 AS g_a, round(gb, 4) + 0.0 AS g_b, sign(ga) = sign(gb) AND ga <> 0 AND gb <> 0 AS sign_consistent, round((abs(ga) + abs(gb)) / 2, 4) AS mean_abs_g,
-    round(CASE WHEN sign(ga) = sign(gb) AND ga <> 0 AND gb <> 0 THEN least(abs(ga), abs(gb)) ELSE 0 END, 4) AS conservative_abs_g FROM e""")
+
+@query(f"""WITH {STABLE_SQL} SELECT p_type, pair, round(ga, 4) + 0.0 AS g_a, round(gb, 4) + 0.0 AS g_b, sign_consistent, round(m, 4) AS mean_abs_g, round(c, 4) AS conservative_abs_g FROM t""")
 def stable_effects(spark, sf_dir):
-    rows, names = _brand_effects(spark, sf_dir)
-    out = effects.stable_effects(rows, ["p_type"], "p_brand", names, "g")
-    return out.select("p_type", *[neat(F.col(c), 4).alias(c) for c in ("g_a", "g_b", "mean_abs_g", "conservative_abs_g")], "sign_consistent")
+    out = effects.stable_effects(_brand_effects(spark, sf_dir), ["p_type", "pair"], "subject", ("A", "B"), "g")
+    return out.select("p_type", "pair", *[neat(F.col(c), 4).alias(c) for c in ("g_a", "g_b", "mean_abs_g", "conservative_abs_g")], "sign_consistent")
+
+
+@query(f"""WITH {STABLE_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY pair ORDER BY round(c, 6) DESC, round(m, 6) DESC, p_type) AS place FROM t WHERE sign_consistent) SELECT DISTINCT p_type AS feature FROM r WHERE place <= 6""")
+def shown_features(spark, sf_dir):
+    from .plans.features import shown_features as run
+
+    stable = effects.stable_effects(_brand_effects(spark, sf_dir), ["p_type", "pair"], "subject", ("A", "B"), "g")
+    stable = stable.withColumns({c: F.round(c, 6) for c in ("conservative_abs_g", "mean_abs_g")})
+    return run(stable.withColumnsRenamed({"p_type": "feature", "pair": "task"}))
+
+
+@query("""SELECT feature FROM (SELECT p_type AS feature, max(p_retailprice) AS g FROM part GROUP BY ALL ORDER BY g DESC, feature LIMIT 10)""")
+def shown_features_fallback(spark, sf_dir):
+    from .plans.features import shown_features as run
+
+    rows = _t(spark, sf_dir, "part").select(F.col("p_type").alias("feature"), F.col("p_brand").alias("task"), F.lit(False).alias("sign_consistent"), F.lit(0.0).alias("conservative_abs_g"), F.col("p_retailprice").alias("mean_abs_g"))
+    return run(rows)
 
 
 CURVES_SQL = f"{POINTS_SQL}, cv AS (SELECT label, i, avg(v) AS v FROM pts GROUP BY ALL)"
@@ -242,9 +264,8 @@ def dominant_bin(spark, sf_dir):
 
 @query(f"""WITH {POINTS_SQL} SELECT a.vec_id, a.i, round(b.v - a.v, 6) + 0.0 AS v FROM pts a JOIN pts b ON b.vec_id = a.vec_id + 1 AND a.i = b.i WHERE a.vec_id % 2 = 0""")
 def laterality(spark, sf_dir):
-    rows = _t(spark, sf_dir, "embeddings").select((F.col("vec_id") - F.col("vec_id") % 2).alias("vec_id"), (F.col("vec_id") % 2).alias("c"), F.col("embedding").cast("array<double>").alias("e"))
-    both = rows.groupBy("vec_id").agg(*[F.max(F.when(F.col("c") == c, F.col("e"))).alias(f"e{c}") for c in (0, 1)]).where("e0 is not null and e1 is not null")
-    return _rounded(both.select("vec_id", F.posexplode(F.zip_with("e1", "e0", lambda a, b: a - b)).alias("i", "v")))
+    rows = _t(spark, sf_dir, "embeddings").select((F.col("vec_id") - F.col("vec_id") % 2).alias("vec_id"), (F.col("vec_id") % 2).alias("c"), F.col("embedding").cast("array<double>").alias("values"))
+    return _rounded(signal.channel_difference(rows, ["vec_id"], "c", 1, 0).select("vec_id", F.posexplode("values").alias("i", "v")))
 
 
 @query("""SELECT tn, fp, fn, tp, round((tp + tn) / (tn + fp + fn + tp), 6) AS accuracy, round((tp / (tp + fn) + tn / (tn + fp)) / 2, 6) AS balanced_accuracy, round(tp / (tp + fn), 6) AS sensitivity, round(tn / (tn + fp), 6) AS specificity, round(2 * tp / (2 * tp + fp + fn), 6) AS f1,
@@ -359,18 +380,93 @@ def windowed_quality(spark, sf_dir):
 
 
 def _epochs(spark, sf_dir) -> DataFrame:
-    """Embeddings as epochs: three neighbours are a trial's channels."""
+    """Embeddings as epochs: three neighbours are a trial's channels. There are
+    as many recordings as keep about 200 trials each."""
+    rows = _t(spark, sf_dir, "embeddings")
+    sessions = F.broadcast(rows.agg(F.greatest(F.lit(1), F.floor(F.count("*") / 600)).alias("sessions")))
     channel = F.element_at(F.array(*map(F.lit, POINTS.channels)), (F.col("vec_id") % 3 + 1).cast("int"))
     trial = F.floor(F.col("vec_id") / 3).cast("int")
-    rows = _t(spark, sf_dir, "embeddings").select(F.concat(F.when(trial % 2 == 0, "A").otherwise("B"), F.lit("_Task-1")).alias("file_name"), trial.alias("trial_id"), channel.alias("channel"), F.col("embedding").cast("array<double>").alias("values"))
+    rows = rows.crossJoin(sessions).select(F.concat_ws("_", F.when(trial % 2 == 0, "A").otherwise("B"), F.lit("Task-1"), F.floor(trial / 4) % F.col("sessions")).alias("file_name"), trial.alias("trial_id"), channel.alias("channel"), F.col("embedding").cast("array<double>").alias("values"))
     return rows.withColumn("subject", F.substring("file_name", 1, 1)).withColumn("task", F.lit("Task-1")).withColumn("cue_direction", F.when(F.floor(F.col("trial_id") / 2) % 2 == 0, "L").otherwise("R"))
 
 
+EPOCHS_SQL = """n AS (SELECT greatest(1, count(*) // 600) AS sessions FROM embeddings),
+    ep AS (SELECT CASE WHEN (vec_id // 3) % 2 = 0 THEN 'A' ELSE 'B' END || '_Task-1_' || ((vec_id // 12) % sessions) AS file_name, vec_id // 3 AS trial_id, ['Fz', 'F3', 'F4'][vec_id % 3 + 1] AS channel, CASE WHEN (vec_id // 6) % 2 = 0 THEN 'L' ELSE 'R' END AS cue_direction,
+        (unnest(range(1, len(embedding) + 1)) - 1)::INT AS i, unnest(embedding)::DOUBLE AS v FROM embeddings, n)"""
+
+
 @query()
 def fitted_curves(spark, sf_dir):
     return signal.fitted_curves(_epochs(spark, sf_dir), ["file_name", "cue_direction"], POINTS.channels, POINTS, POINTS.n_curve_bootstraps).select("file_name", "cue_direction", "channel", F.posexplode(F.arrays_zip("values", "ci_low", "ci_high")).alias("i", "z")).select("file_name", "cue_direction", "channel", "i", "z.*")
 
 
+def _curves_sql(rounds: int) -> str:
+    """The fitted curves by their definition: whole trials, scales fixed at the
+    start and borrowed where there is none, reweighting, smoothing."""
+    from .functions import kernels
+
+    matrix = kernels.savgol_matrix(64, kernels.smoothing_length(POINTS.smooth_s, POINTS.sample_rate, 64, POINTS.smooth_order), POINTS.smooth_order)
+    weights = ", ".join(f"({i}, {j}, {w:.17g}::DOUBLE)" for i, r in enumerate(matrix) for j, w in enumerate(r) if w)
+    key, cell = "file_name, cue_direction", "file_name, cue_direction, channel, i"
+    sql = f"""WITH {EPOCHS_SQL}, whole AS (SELECT file_name, trial_id FROM ep GROUP BY ALL HAVING count(DISTINCT channel) = 3), e AS (SELECT ep.* FROM ep JOIN whole USING (file_name, trial_id)),
+        m AS (SELECT {cell}, median(v) AS m FROM e GROUP BY ALL), r AS (SELECT {cell}, m.m AS m, 1.4826 * median(abs(v - m.m)) AS s FROM e JOIN m USING ({cell}) GROUP BY ALL),
+        b AS (SELECT {key}, coalesce(median(s) FILTER (s > 1e-10), 1) AS s FROM r GROUP BY ALL), s0 AS (SELECT r.* REPLACE (CASE WHEN r.s > 1e-10 THEN r.s ELSE b.s END AS s) FROM r JOIN b USING ({key}))"""
+    for k in range(rounds):
+        sql += f", s{k + 1} AS (SELECT {cell}, sum(w * v) / sum(w) AS m, s FROM (SELECT e.*, s, CASE WHEN abs(v - m) <= {POINTS.huber_c} * s THEN 1 ELSE {POINTS.huber_c} * s / abs(v - m) END AS w FROM e JOIN s{k} USING ({cell})) GROUP BY {cell}, s)"
+    return sql + f", k(i, j, w) AS (VALUES {weights}) SELECT {key}, channel, k.i::INT AS i, round(sum(w * m), 6) + 0.0 AS v FROM s{rounds} c JOIN k ON c.i = k.j GROUP BY {key}, channel, k.i"
+
+
+@query(_curves_sql(6))
+def curves_of_fixed_rounds(spark, sf_dir):
+    cfg = replace(POINTS, huber_iterations=6, huber_tolerance=0.0)
+    curves = signal.fitted_curves(_epochs(spark, sf_dir), ["file_name", "cue_direction"], cfg.channels, cfg)
+    return _rounded(curves.select("file_name", "cue_direction", "channel", F.posexplode("values").alias("i", "v")))
+
+
+@query()
+def curve_differences(spark, sf_dir):
+    curves = signal.fitted_curves(_epochs(spark, sf_dir), ["file_name", "cue_direction"], POINTS.channels, POINTS, POINTS.n_curve_bootstraps, (("F4_minus_F3", "F4", "F3"),), True)
+    out = signal.curve_differences(curves, ["file_name", "channel"], "cue_direction", "R", "L")
+    return out.select("file_name", "channel", F.posexplode(F.arrays_zip("values", "ci_low", "ci_high")).alias("i", "z")).select("file_name", "channel", "i", "z.*")
+
+
+@query(f"WITH {EPOCHS_SQL} SELECT file_name, cue_direction, channel, i, count(*) AS n_trials, round(median(v), 6) + 0.0 AS v FROM ep GROUP BY ALL")
+def median_curves(spark, sf_dir):
+    curves = signal.median_curves(_epochs(spark, sf_dir), ["file_name", "cue_direction"])
+    return _rounded(curves.select("file_name", "cue_direction", "channel", "n_trials", F.posexplode("values").alias("i", "v")))
+
+
+@query(f"WITH {POINTS_SQL} SELECT label, i AS frequency, round(median(v), 6) + 0.0 AS power FROM pts GROUP BY ALL")
+def median_spectrum(spark, sf_dir):
+    rows = _points(spark, sf_dir).select("label", F.col("i").alias("frequency"), F.col("v").alias("power"))
+    return _rounded(signal.median_spectrum(rows, ["label"]))
+
+
+@query("""SELECT 'orders_are_unique' AS "check", (SELECT count(*) = count(DISTINCT o_orderkey) FROM orders) AS passed UNION ALL SELECT 'nations_are_the_same', (SELECT count(*) = 0 FROM (SELECT * FROM ((SELECT DISTINCT c_nationkey FROM customer) EXCEPT (SELECT s_nationkey FROM supplier)) UNION ALL SELECT * FROM ((SELECT DISTINCT s_nationkey FROM supplier) EXCEPT (SELECT c_nationkey FROM customer))))
+    UNION ALL SELECT 'values_are_finite', (SELECT bool_and(isfinite(value)) FROM events) UNION ALL SELECT 'every_user_errs', (SELECT bool_and(e) FROM (SELECT bool_or(event_type = 'error') AS e FROM events GROUP BY user_id)) UNION ALL SELECT 'of_nothing', false""")
+def acceptance_checks(spark, sf_dir):
+    from .functions.columns import is_finite
+    from .sources.tables import checks
+
+    events, orders = _t(spark, sf_dir, "events"), _t(spark, sf_dir, "orders")
+    nations = [_t(spark, sf_dir, t).select(F.col(c).alias("n")) for t, c in (("customer", "c_nationkey"), ("supplier", "s_nationkey"))]
+    return checks(
+        orders_are_unique=orders.groupBy("o_orderkey").agg(F.count("*").alias("n")).agg(F.max("n") == 1),
+        nations_are_the_same=relational.same_sets(*nations),
+        values_are_finite=events.agg(F.bool_and(is_finite(F.col("value")))),
+        every_user_errs=events.groupBy("user_id").agg(F.bool_or(F.col("event_type") == "error").alias("e")).agg(F.bool_and("e")),
+        of_nothing=events.where("false").agg(F.bool_and(F.col("value") > 0)),
+    )
+
+
+@query("SELECT user_id, event_id, value, ts FROM events")
+def positional_merge(spark, sf_dir):
+    from .sources.tables import merged_by_place
+
+    rows = _t(spark, sf_dir, "events")
+    return merged_by_place(rows.select("event_id", "user_id", "value"), rows.select("event_id", "ts"), ["event_id"]).select("user_id", "event_id", "value", "ts")
+
+
 @query()
 def resampled_tests(spark, sf_dir):
     rows = _t(spark, sf_dir, "events").where("event_type in ('click', 'purchase')").select((F.col("user_id") % 20).alias("test"), "value", F.when(F.col("event_type") == "click", "L").otherwise("R").alias("side"))
@@ -379,17 +475,31 @@ def resampled_tests(spark, sf_dir):
 
 @query()
 def bandpass_filter(spark, sf_dir):
-    rows = _t(spark, sf_dir, "events").select((F.col("user_id") % 8).alias("channel"), F.col("event_id").alias("i"), "value")
+    rows = _t(spark, sf_dir, "events").select(F.col("user_id").alias("channel"), F.col("event_id").alias("i"), "value")
     return signal.bandpass(rows, ["channel"], "i", "value")
 
 
-@query()
+def _welch_sql(n: int, step: int, rate: float) -> str:
+    """Segments without their line and under a Hann window, by the definition of
+    the discrete Fourier transform."""
+    return f"""WITH s AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i FROM events),
+        k AS (SELECT user_id, value, i, unnest(range(greatest(0, (i - {n}) // {step} + CASE WHEN i < {n} THEN 0 ELSE 1 END), i // {step} + 1)) AS piece FROM s),
+        w AS (SELECT user_id, piece, i - piece * {step} AS t, value FROM k WHERE i - piece * {step} < {n}),
+        l AS (SELECT user_id, piece, avg(value) AS m, sum((t - {(n - 1) / 2}::DOUBLE) * value) / sum((t - {(n - 1) / 2}::DOUBLE) ** 2) AS slope FROM w GROUP BY ALL HAVING count(*) = {n}),
+        x AS (SELECT user_id, piece, t, (value - m - slope * (t - {(n - 1) / 2}::DOUBLE)) * (0.5 - 0.5 * cos(2 * pi() * t / {n})) AS x FROM w JOIN l USING (user_id, piece)),
+        f AS (SELECT unnest(range(0, {n // 2 + 1})) AS f),
+        d AS (SELECT user_id, piece, f, sum(x * cos(2 * pi() * f * t / {n})) AS re, sum(x * sin(2 * pi() * f * t / {n})) AS im FROM x, f GROUP BY ALL),
+        h AS (SELECT sum((0.5 - 0.5 * cos(2 * pi() * t / {n})) ** 2) AS h FROM (SELECT unnest(range(0, {n})) AS t))
+        SELECT user_id AS channel, f * {rate}::DOUBLE / {n} AS frequency, round(avg((re * re + im * im) / ({rate}::DOUBLE * h) * CASE WHEN f IN (0, {n // 2}) THEN 1 ELSE 2 END), 6) + 0.0 AS power FROM d, h GROUP BY user_id, f"""
+
+
+@query(_welch_sql(32, 16, 256.0))
 def welch_spectra(spark, sf_dir):
     from pyspark.sql import Window as W
 
-    rows = _t(spark, sf_dir, "events").select((F.col("user_id") % 8).alias("channel"), "event_id", "value")
+    rows = _t(spark, sf_dir, "events").select(F.col("user_id").alias("channel"), "event_id", "value")
     rows = rows.withColumn("i", F.row_number().over(W.partitionBy("channel").orderBy("event_id")) - 1)
-    return signal.spectra(rows, ["channel"], "i", "value", 256.0, 64, 32)
+    return _rounded(signal.spectra(rows, ["channel"], "i", "value", 256.0, 32, 16))
 
 
 @query()

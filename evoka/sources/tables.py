@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from ..config import Settings
+
 
 def require_files(spark: SparkSession, paths: Sequence[str]) -> None:
     """Fails when any of the manifest's files is missing."""
@@ -29,25 +31,33 @@ def write_csv(df: DataFrame, path: str, number_format: str = "%.8g") -> None:
     df.select(*[F.when(F.col(c).isNotNull(), x).alias(c) for c, x in zip(df.columns, columns, strict=True)]).write.option("header", True).csv(path)
 
 
-def with_recording_facts(df: DataFrame, path: Column | None = None) -> DataFrame:
+def with_recording_facts(df: DataFrame, path: Column | None = None, cfg: Settings = Settings()) -> DataFrame:
     """Adds file_name, subject and task, told from the file's name."""
     name = F.col("_metadata.file_name") if path is None else F.element_at(F.split(path, "/"), -1)
     out = df.withColumn("file_name", name)
-    return out.withColumn("subject", subject_of(F.col("file_name"))).withColumn("task", task_of(F.col("file_name")))
+    return out.withColumn("subject", told_by(F.col("file_name"), cfg.subject_marks)).withColumn("task", told_by(F.col("file_name"), cfg.task_marks))
 
 
-def subject_of(file_name: Column) -> Column:
-    return F.when(F.startswith(file_name, F.lit("A")), "A").when(F.startswith(file_name, F.lit("B")), "B")
+def told_by(file_name: Column, marks: Sequence[tuple[str, str]]) -> Column:
+    """What the first mark that the name holds says; null for no name."""
+    found = F.lit(None).cast("string")
+    for mark, meaning in reversed(marks):
+        found = F.when(F.contains(file_name, F.lit(mark)), meaning).otherwise(found)
+    return found
 
 
-def task_of(file_name: Column) -> Column:
-    return F.when(F.contains(file_name, F.lit("Task-1")), "Task-1").when(F.contains(file_name, F.lit("Task-2")), "Task-2")
+def labels_of(cells: Column) -> Column:
+    """Channel labels of an array of cells, each an array of the characters or
+    strings that make up one label."""
+    return F.transform(cells, lambda cell: F.array_join(cell, ""))
 
 
-def samples_of_matrix(recordings: DataFrame, labels: Sequence[str]) -> DataFrame:
-    """Long samples of recordings that hold a channel-by-time matrix in ``data``."""
-    rows = recordings.select("file_name", F.posexplode("data").alias("_row", "_values"))
-    named = rows.withColumn("channel", F.get(F.array(*map(F.lit, labels)), F.col("_row")))
+def samples_of_matrix(recordings: DataFrame) -> DataFrame:
+    """Long samples of recordings that hold a channel-by-time matrix in ``data``
+    and as many ``labels``; other numbers of them fail."""
+    whole = require(recordings, F.size("data") == F.size("labels"), "a matrix has not as many rows as labels")
+    rows = whole.select("file_name", "labels", F.posexplode("data").alias("_row", "_values"))
+    named = rows.withColumn("channel", F.get("labels", F.col("_row")))
     return named.select("file_name", "channel", F.posexplode("_values").alias("sample_idx", "value")).withColumn("sample_idx", F.col("sample_idx").cast("long"))
 
 
@@ -71,11 +81,24 @@ def require(df: DataFrame, condition: Column, message: str) -> DataFrame:
     return df.where(ok)
 
 
-def mismatches(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Keys that only one of the tables has."""
-    left = a.select(*keys).distinct().withColumn("_a", F.lit(True))
-    right = b.select(*keys).distinct().withColumn("_b", F.lit(True))
-    return left.join(right, list(keys), "full_outer").where("_a is null or _b is null").select(*keys)
+def merged_by_place(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows of both tables side by side, by keys that each has once. A key that
+    only one has, or one has twice, fails."""
+    count = lambda df, name: df.groupBy(*keys).agg(F.count("*").alias(name))
+    uneven = count(a, "_a").join(count(b, "_b"), list(keys), "full_outer").where("coalesce(_a, 0) <> 1 or coalesce(_b, 0) <> 1")
+    if not uneven.isEmpty():
+        raise ValueError(f"tables don't match in {uneven.count()} keys, as in {uneven.first()}")
+    return a.join(b, list(keys))
+
+
+def checks(**facts: DataFrame) -> DataFrame:
+    """(check, passed): for each name whether the one boolean of its one-row
+    table holds; none and null don't. Each table is an aggregate."""
+    rows = [df.select(F.lit(name).alias("check"), df[df.columns[0]].cast("boolean").alias("_ok")) for name, df in facts.items()]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out.select("check", F.coalesce("_ok", F.lit(False)).alias("passed"))
 
 
 def require_no_leakage(columns: Sequence[str], forbidden: Sequence[str]) -> None:

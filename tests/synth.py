@@ -35,7 +35,7 @@ def recording(subject: str, task: str, seed: int):
         if k == 20:
             signal["Fz"][s + 50 : s + 60] += 600
     rows = {**signal, "cue": cue, "event": event, "timestamp": t}
-    name = f"{subject}_{task}.mat"
+    name = f"Cog{subject}_{task}.mat"
     samples = pd.concat([pd.DataFrame({"file_name": name, "channel": c, "sample_idx": np.arange(N), "value": v}) for c, v in rows.items()])
     return samples, (name, subject, task, float(RATE), N), len(starts)
 

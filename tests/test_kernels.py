@@ -49,20 +49,23 @@ def test_huber_resists_outliers_and_is_the_mean_of_clean_rows():
         fit(clean[:1])
 
 
-def test_cross_correlation_lag_and_flat():
-    x = np.random.default_rng(2).normal(size=200)
-    value, lag = kernels.peak_cross_correlation(np.roll(x, 5), x, 20, 1e-12)
-    assert lag == 5 and value > 0.9
-    assert kernels.peak_cross_correlation(np.ones(50), x[:50], 20, 1e-12) == (0.0, 0)
-
-
-def test_permutation_bounds_and_power():
-    rng = np.random.default_rng(3)
-    a, b = rng.normal(0, 1, 30), rng.normal(3, 1, 30)
-    assert kernels.permutation_p(a, b, 999, rng)[1] == pytest.approx(1 / 1000)
-    assert kernels.permutation_p(a, a, 999, rng)[1] == 1.0
-    low, high = kernels.bootstrap_difference(a, b, 500, rng)
-    assert low < b.mean() - a.mean() < high
+@pytest.mark.parametrize("n", [2, 5, 67, 128, 300, 2000])
+def test_zero_phase_is_the_plain_recursion(n):
+    sections, x = kernels.butterworth_bandpass(4, 0.5, 30, RATE), np.random.default_rng(n).normal(3, 2, n)
+    pad = min(3 * (2 * len(sections) + 1), n - 1)
+    y = [*(2 * x[0] - x[pad:0:-1]), *x, *(2 * x[-1] - x[-2 : -pad - 2 : -1])]
+    for _ in range(2):
+        level, scale = y[0], 1.0
+        for b0, b1, b2, _, a1, a2 in sections:
+            gain = (b0 + b1 + b2) / (1 + a1 + a2)
+            z1, z2, out = (gain - b0) * level * scale, (b2 - a2 * gain) * level * scale, []
+            for v in y:
+                w = b0 * v + z1
+                z1, z2 = b1 * v - a1 * w + z2, b2 * v - a2 * w
+                out.append(w)
+            y, scale = out, scale * gain
+        y = y[::-1]
+    assert kernels.zero_phase(x, sections) == pytest.approx(np.array(y[pad : len(y) - pad]), abs=1e-9)
 
 
 def test_logistic_gradient_is_zero_and_folds_are_even():

@@ -35,7 +35,7 @@ def test_same_as_sql(spark, duck, name):
     pd.testing.assert_frame_equal(shape(own), shape(other), check_dtype=False, atol=2e-5, rtol=1e-6)
 
 
-@pytest.mark.parametrize("name", ["fitted_curves", "resampled_tests", "bandpass_filter", "welch_spectra", "stratified_inference"])
+@pytest.mark.parametrize("name", ["fitted_curves", "curve_differences", "resampled_tests", "bandpass_filter", "stratified_inference", "cross_subject_model"])
 def test_others_run_and_repeat(spark, name):
     first = queries.QUERIES[name](spark, DATA)
     again = queries.QUERIES[name](spark, DATA).repartition(3)
