@@ -148,25 +148,48 @@ def huber_location(stack: np.ndarray, c: float, iterations: int, tolerance: floa
     return centre
 
 
+#: With up to so many rows per distinct value, rows are drawn; with more, counts.
+FEW_TIES = 4
+
+
+def _sums_of_some(v: np.ndarray, counts: np.ndarray, n: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """For each of ``n`` the sum of that many rows, drawn without replacement."""
+    total = int(counts.sum())
+    if total > FEW_TIES * len(v):
+        return np.array([rng.multivariate_hypergeometric(counts, int(k), method="marginals") @ v for k in n])
+    rows, order = np.repeat(v, counts), rng.random((len(n), total))
+    if (n == n[0]).all() and n[0] < total:
+        return rows[np.argpartition(order, n[0], axis=1)[:, : n[0]]].sum(axis=1)
+    sums = np.cumsum(rows[np.argsort(order, axis=1)], axis=1)
+    return np.where(n > 0, sums[np.arange(len(n)), np.maximum(n, 1) - 1], 0.0)
+
+
+def _sums_of_repeated(v: np.ndarray, counts: np.ndarray, n: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """For each of ``n`` the sum of that many rows, drawn with replacement."""
+    total = int(counts.sum())
+    if total > FEW_TIES * len(v):
+        return np.array([rng.multinomial(int(k), counts / total) @ v if k else 0.0 for k in n])
+    rows = np.repeat(v, counts)
+    return np.array([rows[rng.integers(0, total, int(k))].sum() if k else 0.0 for k in n])
+
+
 def block_sums(v: np.ndarray, left: np.ndarray, right: np.ndarray, sizes: np.ndarray, own: int, n_permutations: int, n_bootstraps: int, shared: np.random.Generator, rng: np.random.Generator) -> tuple[list, list, list]:
     """A block's part in the replicates of a test: sums of the values that each
     exchange of labels gives to the left, and of those that each bootstrap draws
     again from either side. ``v`` are distinct values, ``left`` and ``right`` how
     often they occur; ``sizes`` are the (left, right) rows of all blocks, of
     which this is number ``own``. ``shared`` must be alike in all blocks."""
-    both = sizes.sum(axis=1)
-    deal = (lambda n: shared.multivariate_hypergeometric(both, int(sizes[:, 0].sum()), n, method="marginals")[:, own]) if len(sizes) > 1 else (lambda n: np.full(n, sizes[0, 0]))
-    permuted = [float(rng.multivariate_hypergeometric(left + right, int(k), method="marginals") @ v) for k in (deal(n_permutations) if n_permutations else ())]
-    drawn = []
-    for j, counts in enumerate((left, right)):
+    both, out = sizes.sum(axis=1), []
+    if n_permutations:
+        deal = shared.multivariate_hypergeometric(both, int(sizes[:, 0].sum()), n_permutations, method="marginals")[:, own] if len(sizes) > 1 else np.full(n_permutations, sizes[0, 0])
+        out.append(_sums_of_some(v, left + right, deal, rng).tolist())
+    else:
+        out.append([])
+    for j, counts in enumerate((left, right) if n_bootstraps else ()):
         total = int(sizes[:, j].sum())
-        if not total or not n_bootstraps:
-            drawn.append([0.0] * n_bootstraps)
-            continue
-        k = shared.multinomial(total, sizes[:, j] / total, n_bootstraps)[:, own] if len(sizes) > 1 else np.full(n_bootstraps, total)
-        here = counts.sum()
-        drawn.append([float(rng.multinomial(int(m), counts / here) @ v) if m else 0.0 for m in k])
-    return permuted, *drawn
+        deal = shared.multinomial(total, sizes[:, j] / total, n_bootstraps)[:, own] if len(sizes) > 1 else np.full(n_bootstraps, total)
+        out.append(_sums_of_repeated(v, counts, deal, rng).tolist())
+    return tuple(out) if n_bootstraps else (out[0], [], [])
 
 
 def cell_accuracy(cells: np.ndarray) -> np.ndarray:

@@ -28,12 +28,11 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, at: Sequence[float
     ranks = [F.floor(F.lit(float(p)) * (F.col("_n") - 1) + 1e-9) for p in at]
     low = lambda j: F.col("_b")[2 * j]
     high = lambda j: F.col("_b")[2 * j + 1]
-    inside = F.array_compact(F.array(*[F.when((v >= low(j)) & (v <= high(j)), F.lit(j)) for j in range(len(at))]))
-    under = both.groupBy(*keys, "_n").agg(F.array(*[F.count_if(v < low(j)) for j in range(len(at))]).alias("_under"))
-    cells = both.select(*keys, "_v", F.explode(inside).alias("_j")).groupBy(*keys, "_j", "_v").agg(F.count("*").alias("_c"))
-    cells = cells.join(under, list(keys)) if keys else cells.crossJoin(F.broadcast(under))
-    by = W.partitionBy(*keys, "_j").orderBy("_v")
-    cells = cells.withColumn("_to", F.element_at("_under", F.col("_j") + 1) + F.sum("_c").over(by.rowsBetween(W.unboundedPreceding, 0)))
+    # Rows under a bracket are one cell, null, which comes first in the running sum.
+    held = F.array_compact(F.array(*[F.when(v <= high(j), F.struct(F.lit(j).alias("_j"), F.when(v >= low(j), v).alias("_v"))) for j in range(len(at))]))
+    cells = both.select(*keys, "_n", F.explode(held).alias("_h")).groupBy(*keys, "_n", "_h._j", "_h._v").agg(F.count("*").alias("_c"))
+    by = W.partitionBy(*keys, "_j").orderBy(F.asc_nulls_first("_v"))
+    cells = cells.withColumn("_to", F.sum("_c").over(by.rowsBetween(W.unboundedPreceding, 0)))
     rank = F.element_at(F.array(*ranks), F.col("_j") + 1)
     next_rank = F.least(rank + 1, F.col("_n") - 1)
     holds = lambda r: (F.col("_to") > r) & (F.col("_to") - F.col("_c") <= r)

@@ -125,11 +125,11 @@ def rejection_strategies(spark, sf_dir):
     b AS (SELECT *, last_value(CASE WHEN good THEN event_id END IGNORE NULLS) OVER p AS px, last_value(CASE WHEN good THEN value END IGNORE NULLS) OVER p AS py,
         first_value(CASE WHEN good THEN event_id END IGNORE NULLS) OVER n AS nx, first_value(CASE WHEN good THEN value END IGNORE NULLS) OVER n AS ny FROM a
         WINDOW p AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), n AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
-    SELECT user_id, event_id, round(CASE WHEN good THEN value WHEN px IS NULL THEN ny WHEN nx IS NULL THEN py ELSE py + (ny - py) * (event_id - px) / (nx - px) END, 6) AS filled FROM b""")
+    SELECT user_id, event_id, round(CASE WHEN good THEN value WHEN px IS NULL THEN ny WHEN nx IS NULL THEN py ELSE py + (ny - py) * (event_id - px) / (nx - px) END, 9) AS filled FROM b""")
 def gap_interpolate(spark, sf_dir):
     rows = _t(spark, sf_dir, "events").select("user_id", "event_id", "value", "event_type")
     bad = ~((F.col("event_type") != "error") & (F.col("event_id") % 4 != 0))
-    return _rounded(segments.fill_gaps(rows, ["user_id"], "event_id", "value", bad, 0).select("user_id", "event_id", "filled"))
+    return segments.fill_gaps(rows, ["user_id"], "event_id", "value", bad, 0).select("user_id", "event_id", neat(F.col("filled"), 9).alias("filled"))
 
 
 @query(f"WITH {POINTS_SQL} SELECT vec_id, i, round(v - avg(v) FILTER (i >= 4 AND i < 16) OVER (PARTITION BY vec_id), 6) + 0.0 AS corrected FROM pts")
