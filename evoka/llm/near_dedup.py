@@ -223,12 +223,14 @@ def _open_stars(compared: DataFrame, assign: DataFrame) -> DataFrame:
     placed = stars.join(assign, "node", "left").withColumn("component", F.coalesce("component", "node"))
     sizes = placed.groupBy("hub", "component").agg(F.count("*").alias("size"), F.min("n").alias("least_n"))
     heads = sizes.groupBy("hub").agg(F.max(F.struct("size", "component"))["component"].alias("main"), F.min("least_n").alias("least_n"), F.count("*").alias("m"), F.sum("size").alias("size")).where("m > 1").drop("m")
+    # Written first, so that a star of very many members can be split in the join.
+    heads = written(heads, "open-stars")
     rows = written(placed.join(heads, "hub"), "open-stars")
     of_node = rows.groupBy("node").agg(F.collect_list(F.struct("size", "hub")).alias("stars"))
     larger = lambda o: (o["size"] > F.col("size")) | ((o["size"] == F.col("size")) & (o["hub"] > F.col("hub")))
     out = rows.join(of_node, "node").withColumn("before", F.transform(F.filter("stars", larger), lambda o: o["hub"])).drop("stars", "size")
     out = written(out, "open-stars")
-    discard(rows)
+    discard(rows, heads)
     return out
 
 
