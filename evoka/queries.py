@@ -513,3 +513,105 @@ def cross_subject_model(spark, sf_dir):
     rows = _t(spark, sf_dir, "embeddings").where("label in (0, 1)").select(F.when(F.col("vec_id") % 2 == 0, "A").otherwise("B").alias("subject"), F.lit("Task-1").alias("task"), F.lit("e").alias("file_name"), F.col("vec_id").cast("int").alias("trial_id"), F.col("label").alias("target_R"), *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(64)])
     names = [f"e{i}" for i in range(64)]
     return model.cross_subject(rows, {"all": names, "half": names[:32]})
+
+
+@query(f"""WITH {EPOCHS_SQL}, w AS (SELECT *, abs(v - lag(v) OVER (PARTITION BY file_name, trial_id, channel ORDER BY i)) AS d FROM ep WHERE i / 64.0 <= 0.8)
+    SELECT file_name, trial_id::INT AS trial_id, channel, round(max(v) - min(v), 6) AS peak_to_peak, round(max(abs(v)), 6) AS maximum_absolute, round(max(d), 6) AS maximum_step FROM w GROUP BY ALL""")
+def epoch_metrics(spark, sf_dir):
+    from .plans.preprocess import epoch_metrics as run
+
+    return _rounded(run(_epochs(spark, sf_dir), POINTS))
+
+
+@query("""WITH q AS (SELECT 'f' || (doc_id % 4) AS file_name, CASE WHEN doc_id % 2 = 0 THEN 'L' ELSE 'R' END AS side, quality = 0 AS edge, toxic = 1 AS bad, quality = 1 AND toxic = 0 AND doc_id % 10 = 3 AS residual FROM labels), a AS (SELECT *, NOT (edge OR bad OR residual) AS ok FROM q)
+    SELECT file_name, count(*) AS total_trials, count(*) FILTER (edge) AS rejected_edge, count(*) FILTER (bad AND NOT edge) AS rejected_saturation_or_nonfinite, count(*) FILTER (residual) AS rejected_residual_artifact, count(*) FILTER (ok) AS accepted_trials,
+        count(*) FILTER (side = 'L') AS total_L, count(*) FILTER (side = 'R') AS total_R, count(*) FILTER (ok AND side = 'L') AS accepted_L, count(*) FILTER (ok AND side = 'R') AS accepted_R FROM a GROUP BY ALL""")
+def retention(spark, sf_dir):
+    from .plans.preprocess import retention as run
+
+    edge, bad = F.col("quality") == 0, F.col("toxic") == 1
+    residual = ~edge & ~bad & (F.col("doc_id") % 10 == 3)
+    rows = _t(spark, sf_dir, "labels").select(F.concat(F.lit("f"), F.col("doc_id") % 4).alias("file_name"), F.lit("A").alias("subject"), F.lit("Task-1").alias("task"), F.when(F.col("doc_id") % 2 == 0, "L").otherwise("R").alias("cue_direction"), edge.alias("edge_flag"), bad.alias("raw_saturation_or_nonfinite_flag"), residual.alias("residual_artifact_flag"), (~edge & ~bad & ~residual).alias("accepted_for_erp"))
+    return run(rows).drop("subject", "task")
+
+
+WINDOWS_SQL = "w AS (SELECT 'early_250_500ms' AS \"window\", 0.25 AS lo, 0.5 AS hi UNION ALL SELECT 'late_550_900ms', 0.55, 0.9 UNION ALL SELECT 'full_200_900ms', 0.2, 0.9)"
+
+
+@query(f"""WITH {EPOCHS_SQL}, {WINDOWS_SQL}, m AS (SELECT file_name, trial_id, channel, "window", avg(v) AS v FROM ep JOIN w ON i / 64.0 BETWEEN lo AND hi WHERE "window" NOT LIKE 'full%' GROUP BY ALL)
+    SELECT file_name, trial_id::INT AS trial_id, channel, "window", round(v, 6) + 0.0 AS v FROM m
+    UNION ALL SELECT file_name, trial_id::INT, 'F4_minus_F3', "window", round(max(v) FILTER (channel = 'F4') - max(v) FILTER (channel = 'F3'), 6) + 0.0 FROM m GROUP BY ALL""")
+def trial_means(spark, sf_dir):
+    from .plans.curves import trial_means as run
+
+    return _rounded(run(_epochs(spark, sf_dir), POINTS).select("file_name", "trial_id", "channel", "window", "v"))
+
+
+@query(f"""WITH {EPOCHS_SQL}, {WINDOWS_SQL}, c AS (SELECT file_name, cue_direction, channel, i, median(v) AS v FROM ep GROUP BY ALL),
+    a AS (SELECT file_name, cue_direction, channel, "window", i / 64.0::DOUBLE AS t, v, (v + lag(v) OVER o) / 2 / 64 AS s FROM c JOIN w ON i / 64.0 BETWEEN lo AND hi WINDOW o AS (PARTITION BY file_name, cue_direction, channel, "window" ORDER BY i))
+    SELECT file_name, cue_direction, channel, "window", round(avg(v), 6) + 0.0 AS mean, round(max(v), 6) + 0.0 AS positive_peak, round(first(t ORDER BY v DESC, t), 6) AS positive_peak_latency_s, round(sum(s), 6) + 0.0 AS area FROM a GROUP BY ALL""")
+def curve_features(spark, sf_dir):
+    from .plans.curves import curve_features as run
+
+    curves = signal.median_curves(_epochs(spark, sf_dir), ["file_name", "cue_direction"]).drop("n_trials")
+    return _rounded(run(curves, POINTS))
+
+
+@query("""WITH v AS (SELECT vec_id, unnest(range(1, len(embedding) + 1)) - 1 AS t, unnest(embedding)::DOUBLE AS v FROM embeddings), m AS (SELECT vec_id, avg(v) AS m FROM v GROUP BY ALL),
+    x AS (SELECT vec_id, t, (v - m) * (0.5 - 0.5 * cos(2 * pi() * t / 64)) AS x FROM v JOIN m USING (vec_id)), f AS (SELECT unnest(range(2, 60)) AS f), h AS (SELECT sum((0.5 - 0.5 * cos(2 * pi() * t / 64)) ** 2) AS h FROM (SELECT unnest(range(0, 64)) AS t)),
+    d AS (SELECT vec_id, f, sum(x * cos(2 * pi() * f * t / 512)) AS re, sum(x * sin(2 * pi() * f * t / 512)) AS im FROM x, f GROUP BY ALL), p AS (SELECT vec_id, f, 2 * (re * re + im * im) / (256 * h) AS p FROM d, h),
+    b AS (SELECT unnest(['delta_1_4Hz', 'theta_4_8Hz', 'alpha_8_13Hz', 'beta_13_30Hz', 'all_1_30Hz']) AS band, unnest([1, 4, 8, 13, 1]) AS lo, unnest([4, 8, 13, 30, 30]) AS hi),
+    s AS (SELECT vec_id, band, (p + lag(p) OVER (PARTITION BY vec_id, band ORDER BY f)) / 4 AS s FROM p JOIN b ON f >= 2 * lo AND f < 2 * hi) SELECT vec_id, band, round(sum(s), 9) AS power FROM s GROUP BY ALL""")
+def short_band_powers(spark, sf_dir):
+    cfg = Settings()
+    names = [*(n for n, _, _ in cfg.bands), "all_1_30Hz"]
+    rows = _t(spark, sf_dir, "embeddings").select("vec_id", signal.array_bands(F.col("embedding").cast("array<double>"), 0, 64, cfg).alias("b"))
+    return rows.select("vec_id", F.explode(F.arrays_zip(F.array(*map(F.lit, names)).alias("band"), F.col("b").alias("power"))).alias("z")).select("vec_id", "z.band", F.round("z.power", 9).alias("power"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_discount FROM lineitem")
+def columns_by_prefix(spark, sf_dir):
+    rows = _t(spark, sf_dir, "lineitem")
+    return rows.select("l_orderkey", "l_linenumber", *relational.feature_group(rows.columns, ("l_q", "l_ex", "l_dis")))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 7 <> 0 THEN round(o_totalprice, 2) END AS price, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderpriority END AS priority FROM orders")
+def csv_round_trip(spark, sf_dir):
+    from .sources import tables
+
+    path = tables.shared_folder(spark, "csv")
+    key = F.col("o_orderkey")
+    rows = _t(spark, sf_dir, "orders").select("o_orderkey", F.when(key % 7 != 0, F.round(F.col("o_totalprice").cast("double"), 2)).alias("price"), F.when(key % 5 != 0, F.col("o_orderpriority")).alias("priority"))
+    tables.write_csv(rows, path, "%.12g")
+    return tables.read_csv(spark, path, rows.schema)
+
+
+@query(f"WITH {EPOCHS_SQL} SELECT file_name, trial_id::INT AS trial_id, channel, i, round(v::FLOAT::DOUBLE, 7) + 0.0 AS v FROM ep")
+def epoch_round_trip(spark, sf_dir):
+    from .sources import tables
+
+    path = tables.shared_folder(spark, "epochs")
+    tables.write_epochs(_epochs(spark, sf_dir), path)
+    rows = tables.read_epochs(spark, path, 64, ("file_name", "trial_id", "channel", "values"))
+    return rows.select("file_name", "trial_id", "channel", F.posexplode("values").alias("i", "v")).withColumn("v", neat(F.col("v"), 7))
+
+
+@query("""SELECT CASE WHEN n_nationkey % 2 = 0 THEN 'StudyCogA' ELSE 'StudyCogB' END || '_Task-' || (n_nationkey % 3) || '.mat' AS file_name, CASE WHEN n_nationkey % 2 = 0 THEN 'A' ELSE 'B' END AS subject, CASE WHEN n_nationkey % 3 = 1 THEN 'Task-1' ELSE 'Task-2' END AS task, count(*) AS n FROM nation GROUP BY ALL""")
+def file_facts(spark, sf_dir):
+    from .sources import tables
+
+    key = F.col("n_nationkey")
+    path = F.concat(F.lit("/data/raw/"), F.when(key % 2 == 0, "StudyCogA").otherwise("StudyCogB"), F.lit("_Task-"), key % 3, F.lit(".mat"))
+    rows = tables.with_recording_facts(_t(spark, sf_dir, "nation").select(path.alias("path")), F.col("path"))
+    return rows.groupBy("file_name", "subject", "task").agg(F.count("*").alias("n"))
+
+
+@query("""WITH m AS (SELECT vec_id // 3 AS file_name, ['Fz', 'F3', 'F4'][vec_id % 3 + 1] AS channel, unnest(range(1, len(embedding) + 1)) - 1 AS sample_idx, unnest(embedding)::DOUBLE AS value, count(*) OVER (PARTITION BY vec_id // 3) AS n FROM embeddings)
+    SELECT file_name, channel, sample_idx, round(value, 7) + 0.0 AS value FROM m WHERE n = 3""")
+def matrix_samples(spark, sf_dir):
+    from .sources import tables
+
+    rows = _t(spark, sf_dir, "embeddings").groupBy(F.floor(F.col("vec_id") / 3).alias("file_name")).agg(F.array_sort(F.collect_list(F.struct("vec_id", F.col("embedding").cast("array<double>").alias("e")))).alias("m")).where(F.size("m") == 3)
+    rows = rows.select("file_name", F.transform("m", lambda r: r["e"]).alias("data"), F.array(*[F.array(*map(F.lit, c)) for c in POINTS.channels]).alias("cells"))
+    samples = tables.samples_of_matrix(rows.withColumn("labels", tables.labels_of(F.col("cells"))))
+    return samples.withColumn("value", neat(F.col("value"), 7))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -17,6 +19,19 @@ def require_files(spark: SparkSession, paths: Sequence[str]) -> None:
         raise FileNotFoundError(", ".join(missing))
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A path of its own in the folder that the driver and all executors share,
+    ``spark.checkpoint.dir``; where that is unset, a local master takes a
+    temporary one, and a cluster fails."""
+    base = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="evoka-")
+        spark.sparkContext.setCheckpointDir(base)
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
     """A table with a header, UTF-8 with or without a byte order mark. Without a
     schema types are inferred, which reads the file twice."""

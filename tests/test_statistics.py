@@ -1,6 +1,7 @@
 """Statistics and resampling against brute force and exhaustive counts."""
 
 import itertools
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -8,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evoka.config import Settings
+from evoka.functions.columns import keyed_seed
 from evoka.operators import effects, evaluate, signal, stats
 from evoka.streaming.quality import windowed_quality
 
@@ -103,6 +105,13 @@ def test_stratified_inference_by_counts(spark):
     assert [found.balanced_accuracy_ci_low, found.balanced_accuracy_ci_high] == pytest.approx(np.quantile(drawn, [0.025, 0.975]), abs=0.02)
 
 
+def test_keyed_seeds(spark):
+    """The seed is that of the key's CRC-32, however rows are dealt."""
+    rows = spark.createDataFrame([("a", "Task-1"), ("é", "x|y"), ("", "")], "k string, t string").repartition(3)
+    found = {(r.k, r.t): r.s for r in rows.select("k", "t", keyed_seed(20260924, F.col("k"), F.col("t")).alias("s")).collect()}
+    assert found == {(k, t): (zlib.crc32(f"{k}|{t}".encode()) + 20260924) % (2**32 - 1) for k, t in found}
+
+
 def test_array_bands(spark):
     cfg, rng = Settings(), np.random.default_rng(4)
     t = np.arange(230) / cfg.sample_rate
