@@ -55,6 +55,17 @@ def discard(*tables: DataFrame) -> None:
         _remove(table.sparkSession, _path_of.pop(table))
 
 
+def settled(spark: SparkSession, make, name: str) -> DataFrame:
+    """The rows of ``make()``, written; the tables that operators wrote on the way
+    to them are removed."""
+    before = len(_folders)
+    out = written(make(), name)
+    for path in _folders[before:]:
+        if path != _path_of[out]:
+            _remove(spark, path)
+    return out
+
+
 def clear_folders(spark: SparkSession) -> None:
     """Removes all tables that operators of this process have written."""
     for path in list(_folders):

@@ -137,6 +137,11 @@ ORACLE_SQL = {
         reach AS (SELECT doc_id AS v, doc_id AS r FROM documents UNION SELECT b, r FROM reach JOIN both_ways ON a = v)
         SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.r AS component_id, d.doc_id = m.r AS kept
         FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT v, min(r) AS r FROM reach GROUP BY v) m ON m.v = d.doc_id""",
+    "op5_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages), d AS (SELECT page_id, strlen(html) AS n, sha1(html) AS h, max(page_id) OVER (PARTITION BY html) AS best FROM p)
+        SELECT page_id, n AS payload_bytes,
+            array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(h, (1 + 10 * (k // 8))::INT, 10))::UBIGINT >> (35 - 5 * (k % 8))::UBIGINT) & 31)::INT + 1), 1)), '') AS payload_digest,
+            CASE WHEN page_id = best THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> best THEN best END AS refers_to FROM d""",
     "op2_exact_dedup": """
         WITH t AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256 FROM documents)
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, text_sha256

@@ -31,6 +31,11 @@ class _Index(dict):
 class WordEncoder:
     """Ids of words, each encoded once while it is remembered.
 
+    Conditions on the tokenizer: no word joins across white space, normalising
+    and splitting a word don't depend on its neighbours, and if case is folded or
+    trailing marks are split for the tried words, they are for all. The packed and
+    the digest queries are tested against the library on whole tables.
+
     Words get codes in order of first sight; ``flat`` holds the ids of all
     words, those of code c at ``start[c]`` to ``start[c] + length[c]``. At
     ``limit`` words the memory starts anew, between two calls of ``codes``."""
