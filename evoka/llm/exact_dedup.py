@@ -7,8 +7,9 @@
 3. The runs exchange entries in binomial rounds. With lanes numbered in base
    F, round r sends an entry to the lane that differs from its own only in
    digit r, which becomes digit r of the digest. The receiving lane merges the
-   up to F sorted runs it gets, verifies equal digests and retains one entry
-   for each. After the last round a lane holds all of its digest range, so no
+   up to F sorted runs it gets (a shuffle hands them over interleaved, so the
+   merge is that of Spark's external sorter), verifies equal digests and retains
+   one entry for each. After the last round a lane holds all of its digest range, so no
    task ever gathers the whole, and a digest that a third of all rows share
    arrives as at most F entries per lane and round.
 4. The outcome goes back to the runs (one row per run and digest) and from

@@ -7,9 +7,9 @@ magic. Every id takes the least number of bits that the vocabulary needs and
 every block starts at a byte, so any range of ids is read by seeking to its
 blocks, which numpy unpacks as a whole.
 
-Documents lie in ascending order of id over the files: the texts are range
-partitioned, every task sorts and encodes its range and writes one file. The
-number of ids before a file is the sum over the files before it, of which the
+Documents lie in ascending order of id over the files: texts are encoded where
+they are read, their ids range partitioned, and every task sorts its range and
+writes one file. The number of ids before a file is the sum over the files before it, of which the
 driver holds one small row each.
 """
 
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import texts_of
+from .common import discard, texts_of, written
 from .word_encoder import worker_encoder
 
 MAGIC = b"EVPACK01"
@@ -144,18 +144,39 @@ def _open(folder: str):
     return fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("/") else f"file://{folder}" if not folder.startswith("file:") else folder.replace("file:", "file://", 1))
 
 
+def _encoded(docs: DataFrame, tokenizer_path: str, kind: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, ids): the ids of each text and the end id as little-endian numbers."""
+
+    def run(batches):
+        encoder = worker_encoder(tokenizer_path)
+        for batch in batches:
+            for piece in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
+                words = [t.split() for t in texts_of(piece.column(1))]
+                counts = np.fromiter(map(len, words), np.int64, len(words))
+                ids, lengths = encoder.ids(encoder.codes([w for ws in words for w in ws]))
+                edge = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(counts)])]
+                ids = np.insert(ids, edge[1:], end_id).astype(kind)
+                at = np.concatenate([[0], np.cumsum(np.diff(edge) + 1)]).tolist()
+                yield pa.RecordBatch.from_pydict({"doc_id": piece.column(0), "ids": pa.array([ids[i:j].tobytes() for i, j in zip(at, at[1:], strict=False)], pa.binary())})
+
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return source.mapInArrow(run, "doc_id long, ids binary")
+
+
 def write_packed(docs: DataFrame, folder: str, tokenizer_path: str, vocabulary: int, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[int, str, int, int]]:
     """Encodes every whole text, appends ``end_id`` and writes the files to
     ``folder``; returns (part, name, documents, ids) of each, in order.
 
-    Null texts count as empty. Null ids come first; rows with equal ids follow
-    each other in order of their texts. A task that runs again writes the same
-    file under the same name, moved into place when complete. Other columns
-    are ignored; an empty table gives no files."""
+    Texts are encoded where they are read, and only ids of two or four bytes
+    move. Null texts count as empty. Null ids come first; rows with equal ids
+    follow each other in order of their ids' bytes. A task that runs again writes
+    the same file under the same name, moved into place when complete. Other
+    columns are ignored; an empty table gives no files."""
     bits = bits_for(vocabulary)
+    kind = "<u2" if bits <= 16 else "<u4"
 
     def run(batches):
-        encoder, part = worker_encoder(tokenizer_path), TaskContext.get().partitionId()
+        part = TaskContext.get().partitionId()
         files, root = _open(folder)
         writer = name = None
         for batch in batches:
@@ -165,23 +186,19 @@ def write_packed(docs: DataFrame, folder: str, tokenizer_path: str, vocabulary:
                     files.create_dir(root, recursive=True)
                     trial = f"{root}/_{name}.{TaskContext.get().taskAttemptId()}"
                     writer = PackedWriter(files.open_output_stream(trial), bits)
-                texts = texts_of(piece.column(1))
-                words = [t.split() for t in texts]
-                counts = np.fromiter(map(len, words), np.int64, len(words))
-                codes = encoder.codes([w for ws in words for w in ws])
-                ids, lengths = encoder.ids(codes)
-                edge = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(counts)])]
-                ids = np.insert(ids, edge[1:], end_id)
-                writer.add(piece.column(0), np.diff(edge) + 1, ids)
+                each = [np.frombuffer(x, kind) for x in piece.column(1).to_pylist()]
+                writer.add(piece.column(0), np.array([len(x) for x in each], np.int64), np.concatenate(each).astype(np.uint32))
         if writer:
             writer.close()
             files.move(trial, f"{root}/{name}")
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "name": [name], "n_docs": pa.array([writer.n_docs], pa.int64()), "n_ids": pa.array([writer.n_ids], pa.int64())})
 
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = source.repartitionByRange(n, F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "text")
+    # Written, since finding the ranges reads the rows once more.
+    encoded = written(_encoded(docs, tokenizer_path, kind, end_id, id_col, text_col), "encoded-ids")
+    ordered = encoded.repartitionByRange(n, F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "ids")
     rows = ordered.mapInArrow(run, "part int, name string, n_docs long, n_ids long").collect()
+    discard(encoded)
     return sorted((r.part, r.name, r.n_docs, r.n_ids) for r in rows)
 
 

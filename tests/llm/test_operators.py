@@ -539,13 +539,13 @@ def test_packing_of_too_large_ids():
 
 
 def test_packed_files_of_null_and_repeated_ids(spark, awkward):
-    """Null ids come first; rows with equal ids follow in order of their texts."""
+    """Null ids come first; rows with equal ids follow in order of their bytes."""
     folder, t, start = new_folder(spark, "packed"), tokenizer(), 0
     parts = packing.write_packed(awkward, folder, queries.word_tokenizer(), 49_408, 2)
     found = sorted(packing.read_packed_digests(spark, folder, parts).collect(), key=lambda r: r.start)
-    order = sorted(texts(awkward), key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, (r[1] or "").encode()))
-    for r, (i, text) in zip(found, order, strict=True):
-        ids = [*t.encode(text or "", add_special_tokens=False).ids, 2]
+    order = [(i, [*t.encode(text or "", add_special_tokens=False).ids, 2]) for i, text in texts(awkward)]
+    order.sort(key=lambda r: (r[0] is not None, r[0] or 0, np.array(r[1], "<u2").tobytes()))
+    for r, (i, ids) in zip(found, order, strict=True):
         assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         start += len(ids)
 
