@@ -10,6 +10,15 @@ from ..config import Window
 from ..functions.columns import at_rail, in_window, is_finite
 
 
+def joined(a: DataFrame, b: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Rows of ``a`` beside those of ``b`` with the same keys, null ones alike;
+    without keys, beside the one row of ``b``."""
+    if not keys:
+        return a.crossJoin(F.broadcast(b))
+    on = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys]
+    return a.join(b.withColumnsRenamed({k: f"_of_{k}" for k in keys}), on, how).drop(*[f"_of_{k}" for k in keys])
+
+
 def quantiles(df: DataFrame, keys: Sequence[str], value: str, at: Sequence[float], accuracy: int = 2000) -> DataFrame:
     """(keys, q): exact quantiles of each group, linear between ranks, without a
     task that holds a group. A sketch, whose ranks are off by 1 / ``accuracy``
@@ -24,7 +33,7 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, at: Sequence[float
     # Where a bracket has less than four ranks to spare, that is in groups of under
     # 2 * accuracy rows, it is the whole group.
     brackets = brackets.withColumn("_b", F.when(F.col("_n") * e >= 4, F.col("_b")).otherwise(F.array(*[F.col("_low"), F.col("_high")] * len(at)))).drop("_low", "_high")
-    both = rows.join(brackets, list(keys)) if keys else rows.crossJoin(F.broadcast(brackets))
+    both = joined(rows, brackets, keys)
     ranks = [F.floor(F.lit(float(p)) * (F.col("_n") - 1) + 1e-9) for p in at]
     low = lambda j: F.col("_b")[2 * j]
     high = lambda j: F.col("_b")[2 * j + 1]
@@ -49,7 +58,7 @@ def signal_quality(df: DataFrame, keys: Sequence[str], value: str, rail: float)
     v = F.col(value)
     out = df.groupBy(*keys).agg(F.count("*").alias("samples"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("minimum"), F.max(v).alias("maximum"), F.count_if(at_rail(v, rail)).alias("rail_samples"), F.bool_and(is_finite(v)).alias("all_finite"))
     q = quantiles(df, keys, value, (0.001, 0.5, 0.999))
-    out = out.join(q, list(keys), "left") if keys else out.crossJoin(F.broadcast(q))
+    out = joined(out, q, keys, "left")
     return out.select(*keys, "samples", "mean", "std", "minimum", *[F.col("q")[i].alias(n) for i, n in enumerate(("q001", "median", "q999"))], "maximum", (F.col("maximum") - F.col("minimum")).alias("peak_to_peak"), "rail_samples", (100.0 * F.col("rail_samples") / F.col("samples")).alias("rail_percent"), "all_finite")
 
 
@@ -57,8 +66,8 @@ def robust_thresholds(df: DataFrame, keys: Sequence[str], value: str, scale: flo
     """median, scaled_mad and threshold = median + multiple * scaled_mad; a MAD
     of nothing is replaced by max(0.05 * |median|, 1e-9) in the threshold."""
     middle = quantiles(df, keys, value, (0.5,)).select(*keys, F.col("q")[0].alias("median"))
-    apart = df.join(middle, list(keys)).select(*keys, F.abs(F.col(value) - F.col("median")).alias("_apart"))
-    out = middle.join(quantiles(apart, keys, "_apart", (0.5,)), list(keys)).select(*keys, "median", (scale * F.col("q")[0]).alias("scaled_mad"))
+    apart = joined(df, middle, keys).select(*keys, F.abs(F.col(value) - F.col("median")).alias("_apart"))
+    out = joined(middle, quantiles(apart, keys, "_apart", (0.5,)), keys).select(*keys, "median", (scale * F.col("q")[0]).alias("scaled_mad"))
     spread = F.when(F.col("scaled_mad") <= 1e-12, F.greatest(0.05 * F.abs("median"), F.lit(1e-9))).otherwise(F.col("scaled_mad"))
     return out.withColumn("threshold", F.col("median") + multiple * spread)
 

@@ -459,12 +459,12 @@ def acceptance_checks(spark, sf_dir):
     )
 
 
-@query("SELECT user_id, event_id, value, ts FROM events")
+@query("SELECT user_id, event_id, value, event_type FROM events")
 def positional_merge(spark, sf_dir):
     from .sources.tables import merged_by_place
 
     rows = _t(spark, sf_dir, "events")
-    return merged_by_place(rows.select("event_id", "user_id", "value"), rows.select("event_id", "ts"), ["event_id"]).select("user_id", "event_id", "value", "ts")
+    return merged_by_place(rows.select("event_id", "user_id", "value"), rows.select("event_id", "event_type"), ["event_id"]).select("user_id", "event_id", "value", "event_type")
 
 
 @query()

@@ -25,6 +25,9 @@ def test_quantiles(spark):
         assert set(found) == set(groups)
         for k, v in groups.items():
             assert found[k] == pytest.approx(np.quantile(v, at), abs=1e-12), k
+    nameless = rows.where("k in ('even', 'two')").withColumn("k", F.when(F.col("k") == "two", "two"))
+    assert {r.k: r.median for r in stats.signal_quality(nameless.na.drop(subset=["v"]), ["k"], "v", 99.0).collect()} == {None: pytest.approx(np.median(groups["even"])), "two": 1.5}
+    assert stats.robust_thresholds(nameless, ["k"], "v").where("k is null").first().median == pytest.approx(np.median(groups["even"]))
     whole = stats.quantiles(rows, [], "v", (0.5,)).collect()
     assert whole[0].q[0] == pytest.approx(np.median(np.concatenate(list(groups.values()))))
 
