@@ -81,14 +81,6 @@ def zero_phase(x: np.ndarray, sections: np.ndarray) -> np.ndarray:
     return ext[pad : len(ext) - pad]
 
 
-def fill_gaps(x: np.ndarray, bad: np.ndarray) -> np.ndarray:
-    """Linear between good neighbours, constant beyond the outermost ones."""
-    good = np.flatnonzero(~bad)
-    if len(good) < 2:
-        raise ValueError("fewer than two good samples")
-    return np.interp(np.arange(len(x)), good, x[good])
-
-
 def welch(x: np.ndarray, rate: float, n_segment: int, n_overlap: int, n_fft: int | None = None, detrend: str = "constant") -> tuple[np.ndarray, np.ndarray]:
     """(frequencies, one-sided densities) of the last axis: mean of periodograms
     with a periodic Hann window; a last piece shorter than a segment isn't used."""

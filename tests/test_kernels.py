@@ -79,8 +79,3 @@ def test_logistic_gradient_is_zero_and_folds_are_even():
     assert np.abs(gradient).max() < 1e-8
     fold = kernels.stratified_folds(y, 5, rng)
     assert all(np.ptp(np.bincount(fold[y == v], minlength=5)) <= 1 for v in (0, 1))
-
-
-def test_gaps():
-    x, bad = np.array([9.0, 1, 9, 3, 9]), np.array([True, False, True, False, True])
-    assert kernels.fill_gaps(x, bad).tolist() == [1, 1, 2, 3, 3]

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evoka.config import Settings
+from evoka.functions.columns import flag_of_text
 from evoka.operators import model, segments
 from evoka.plans import curves, features, parse, preprocess, quality
 from evoka.sources import tables
@@ -197,6 +198,20 @@ def test_features_and_model(world):
     assert failed == set(passed) - {"trials_are_unique", "subjects_of_a_split_are_apart", "directions_are_left_and_right"}
 
 
+def test_trials_through_csv(spark, world, tmp_path):
+    """Flags come back from text, the tri-state code tells unknown from wrong."""
+    flags = ["saturation_flag", "nonfinite_flag", "abnormal_flag"]
+    rows = parse.behaviour_code(world["trials"]).select("file_name", "trial_id", "behavior_correct_inferred", "correct_inferred", *flags)
+    assert rows.where("behavior_correct_inferred <> CASE WHEN correct_inferred THEN 1 WHEN NOT correct_inferred THEN 0 ELSE -1 END").count() == 0
+    assert {r[0] for r in rows.select("behavior_correct_inferred").distinct().collect()} == {-1, 0, 1}
+    tables.write_csv(rows, str(tmp_path / "trials"))
+    text = tables.read_csv(spark, str(tmp_path / "trials"), "file_name string, trial_id int, code int, correct string, a string, b string, c string")
+    back = text.select("file_name", "trial_id", *[flag_of_text(F.col(c)).alias(f) for c, f in zip("abc", flags, strict=True)])
+    assert back.exceptAll(rows.select("file_name", "trial_id", *flags)).count() == 0 and back.where("saturation_flag").count() == 8
+    odd = spark.createDataFrame([(" TRUE ",), ("1",), ("yes",), (None,)], "t string").select(flag_of_text(F.col("t")).alias("f"))
+    assert [r.f for r in odd.collect()] == [True, True, False, False]
+
+
 def test_csv(spark, tmp_path):
     path = str(tmp_path / "t.csv")
     (tmp_path / "t.csv").write_text("﻿subject,x\nA,1.5\nB,\n")
