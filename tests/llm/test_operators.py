@@ -564,6 +564,8 @@ def test_packed_files(spark, request, which):
         assert (found[i].start, found[i].n_tokens, found[i].ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         start += len(ids)
     assert len(found) == df.count()
+    whole = {r.doc_id: (r.start, r.ids) for r in packing.read_packed(spark, folder, parts).collect()}
+    assert all(whole[i] == (found[i].start, [*t.encode(text or "", add_special_tokens=False).ids, 2]) for i, text in texts(df))
 
 
 # 8
