@@ -247,6 +247,8 @@ def _more_links(stars: DataFrame, sets: DataFrame, percent: int, all_pairs: bool
     needed = F.ceil(percent / F.lit(100 + percent) * (F.col("n") + F.greatest(F.col("least_n"), F.col("n") * percent / 100)) - 1e-9) - F.col("h")
     parts = stars.select("hub", "node", "component", F.explode("rest").alias("shingle"))
     several = parts.groupBy("hub", "shingle").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("df")).where("c0 <> c1").drop("c0", "c1")
+    # Written first, so that a shingle of very many members can be split in the join.
+    several = written(several, "open-shingles")
     live = parts.join(several, ["hub", "shingle"]).groupBy("hub", "node").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("live"), F.count("*").alias("s"))
     reach = stars.join(live, ["hub", "node"]).withColumn("least", F.greatest(F.lit(1), needed)).where("s >= least")
     reach = reach.select(*member, "s", F.explode(F.slice("live", 1, (F.col("s") - F.col("least") + 1).cast("int"))).alias("l")).select(*member, "s", "l.shingle")
@@ -264,7 +266,7 @@ def _more_links(stars: DataFrame, sets: DataFrame, percent: int, all_pairs: bool
         pivots = reach.groupBy("hub", "shingle").agg(F.max(F.struct(F.expr("component = main").alias("o"), F.xxhash64("node").alias("hash"), "node", "n", "h", "s", "component")).alias("y")).select("hub", "shingle", "y.node", "y.n", "y.h", "y.s", "y.component")
         pairs = reach.alias("x").join(pivots.alias("y"), ["hub", "shingle"]).where((F.col("x.component") != F.col("y.component")) & enough(by_both, n)).select(*ends)
     pairs = written(pairs.distinct(), "pairs")
-    discard(reach)
+    discard(reach, several)
     return written(_compared(pairs, sets, percent).where("linked").select("a", "b"), "links")
 
 
