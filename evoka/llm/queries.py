@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from . import chat, exact_dedup, licenses, mixing, near_dedup, packing, quality, toxicity, warc, word_bpe
+from . import byte_bpe, chat, exact_dedup, lexical, licenses, mixing, near_dedup, packing, periodic, quality, toxicity, warc, word_bpe
 from .common import documents, new_folder, written
 
 
@@ -112,6 +112,20 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(turns, 256).alias("turns_sha256"), F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), "formatted_chars")
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(lexical.build_index(documents(spark, sf_dir)), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return byte_bpe.round_trip_digests(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.run_report(documents(spark, sf_dir), change=periodic.planted).drop("n_words")
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_exact_dedup": op2_exact_dedup,
@@ -123,6 +137,9 @@ QUERIES = {
     "op8_chat_format": op8_chat_format,
     "op9_word_bpe": op9_word_bpe,
     "op10_mixing": op10_mixing,
+    "op11_lexical_search": op11_lexical_search,
+    "op12_byte_bpe": op12_byte_bpe,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLE_SQL = {
@@ -157,4 +174,28 @@ ORACLE_SQL = {
             sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
             sum(length(role) + 24 + length(regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g')))::BIGINT AS formatted_chars
         FROM c GROUP BY conv_id""",
+    "op11_lexical_search": r"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM documents),
+        i AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark),
+        s AS (SELECT r, doc_id, count(*) AS n FROM d GROUP BY ALL), a AS (SELECT count(*) AS nd, sum(n)::BIGINT AS l FROM s),
+        p AS (SELECT r, t, count(*) AS tf FROM d GROUP BY ALL), w AS (SELECT t, floor(1000 * ln((2 * nd + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM p, a GROUP BY t, nd),
+        x AS (SELECT item_id, r, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * nd) // l))))::BIGINT AS score FROM i JOIN w USING (t) JOIN p USING (t) JOIN s USING (r), a GROUP BY ALL),
+        o AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM x JOIN s USING (r) WHERE score > 0)
+        SELECT item_id, rank, doc_id, score FROM o WHERE rank <= 50""",
+    "op13_periodic_runs": r"""
+        WITH crc AS (SELECT list_transform(range(256), lambda b: list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+        h AS (SELECT doc_id, coalesce(text, '') AS text, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+            lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1])), 4294967295) AS h FROM documents, crc),
+        w AS (SELECT doc_id, h, regexp_extract_all(text, '[^ 	-]+') AS ws, len(ws) AS n FROM h),
+        g AS (SELECT *, CASE WHEN n > 0 THEN (h // 10) % n END AS a, CASE WHEN n > 0 THEN 1 + (n - (h // 10) % n) // (3 + (h // 10) % 8) END AS p FROM w),
+        v AS (SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: ws[1 + CASE WHEN i >= a THEN a + (i - a) % p ELSE i END]) ELSE ws END AS ws FROM g),
+        e AS (SELECT doc_id, unnest(ws) AS x, unnest(range(n)) AS i FROM v),
+        m AS (SELECT a.doc_id, a.i, b.i - a.i AS q FROM e a JOIN e b ON a.doc_id = b.doc_id AND a.x = b.x AND a.i < b.i),
+        k AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM m),
+        f AS (SELECT doc_id, min(i) AS s, count(*) + q AS len, q FROM k GROUP BY doc_id, q, island HAVING count(*) >= q AND count(*) + q >= 12),
+        r AS (SELECT doc_id, s, len, min(q) AS q FROM f GROUP BY doc_id, s, len),
+        u AS (SELECT doc_id, count(*) AS n_runs, arg_max((s, len, q), (len, -s, -q)) AS b, string_agg(s || ',' || len || ',' || q || chr(10), '' ORDER BY s, q) AS runs FROM r GROUP BY doc_id),
+        c AS (SELECT e.doc_id, string_agg(x, ' ' ORDER BY i) AS kept FROM e WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.doc_id = e.doc_id AND e.i >= r.s + r.q AND e.i < r.s + r.len) GROUP BY e.doc_id)
+        SELECT doc_id, coalesce(n_runs, 0) AS n_runs, b[1] AS start, b[2] AS length, b[3] AS period, 1000 * b[2] // b[3] AS exponent_milli, sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+        FROM v LEFT JOIN u USING (doc_id) LEFT JOIN c USING (doc_id)""",
 }
