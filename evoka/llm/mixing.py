@@ -5,16 +5,21 @@
    the K domains, in steps of 1 / ``resolution``.
 2. A document's expected tokens in a domain are its tokens times its posterior
    there. The fit finds the documents' rates, none negative, whose weighted
-   totals come nearest, in least squares, to the target totals: all tokens
-   divided by the target weights; of all such rates those nearest to 1.
-3. The residual is whitened by C = sum of tokens * posterior * posterior', and
-   rates are weighed by tokens, so a document's rate depends on its posterior
-   alone: max(0, 1 - posterior @ step), one step of K numbers for all. Newton's
-   method finds it in the dual. So documents are first summed by posterior (at
-   most binomial(resolution + K - 1, K - 1) thin rows however large the corpus),
-   each iteration is one distributed aggregation of that table, some K * K sums
-   reach the driver, and the texts' own rates need no join: they follow from the
-   step.
+   totals come nearest, in least squares, to the target totals; the rates'
+   squared distance from 1 counts too, weighted by ``pull``, so that no few
+   documents stand for all. Documents are first summed by posterior, on which
+   alone a rate depends (at most binomial(resolution + K - 1, K - 1) thin rows
+   however large the corpus).
+3. Projected gradient steps with momentum, in the metric of the tokens, need no
+   step size to be tried: the curvature is at least pull and at most pull plus the
+   largest eigenvalue of sum of tokens * posterior * posterior'. A step is one
+   distributed aggregation of the thin rows, whose rates follow from the K numbers
+   of each step before; K + 1 sums reach the driver.
+4. What the totals still lack is added to the aims and the fit repeated, until
+   the totals meet the targets or the next fit would leave the corpus with fewer
+   effective documents than stated, (sum of rates)^2 / sum of squared rates.
+   Where a fit has settled, a rate is max(0, 1 - posterior @ step), so the texts
+   get theirs without a join.
 """
 
 from __future__ import annotations
@@ -29,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import combined, texts_of, written
+from .common import combined, discard, texts_of, written
 
 _LOG = logging.getLogger(__name__)
 _LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -56,13 +61,18 @@ class MixingConfig:
     #: total by less than 1 / resolution of all tokens, so by less than ``tolerance``.
     resolution: int = 10_000
     #: The fit ends when no domain's total is off its target by more than this
-    #: share of all tokens; targets out of reach, when the whitened slope is
-    #: under ``least_slope`` at the last of ``pulls`` towards rates of 1.
-    tolerance: float = 1e-4
-    least_slope: float = 1e-6
-    pulls: tuple[float, ...] = (1e-2, 1e-4, 1e-6, 1e-8)
-    #: Newton steps of a stage; more is an error, not a result.
-    max_iterations: int = 200
+    #: share of all tokens.
+    tolerance: float = 1e-3
+    #: Weight of the rates' squared distance from 1 against the squared residual, in shares.
+    pull: float = 0.05
+    #: Aims are raised only as long as this share of the documents stays effective,
+    #: and as long as that lowers the residual by a tenth.
+    least_effective: float = 0.85
+    max_rounds: int = 30
+    #: Steps of a round end when the rates' mean squared move falls under the square
+    #: of this; more than ``max_steps`` is an error, not a result.
+    settled: float = 3e-4
+    max_steps: int = 500
 
 
 def _names(word: bytes, config: MixingConfig) -> set[int]:
@@ -224,13 +234,17 @@ def soft_members(docs: DataFrame, model: DomainModel, id_col: str = "doc_id", te
 
 @dataclass(frozen=True)
 class MixingRates:
-    """``steps`` give every posterior its rate; totals are tokens by domain."""
+    """``steps`` give every posterior its rate; totals are tokens by domain.
+    ``effective`` is (sum of rates)^2 / sum of squared rates as a share of the
+    documents with tokens, ``largest`` the highest rate of one."""
 
     domains: tuple[str, ...]
     steps: tuple[tuple[float, ...], ...]
     targets: tuple[float, ...]
     reached: tuple[float, ...]
     resolution: int
+    effective: float = 1.0
+    largest: float = 1.0
 
     def of(self, parts: Column) -> Column:
         return _rate(parts, self.steps, self.resolution)
@@ -254,77 +268,104 @@ def _rate(parts: Column, steps, resolution: int) -> Column:
     return F.aggregate(taken, F.lit(1.0), lambda r, u: F.greatest(F.lit(0.0), r - down(u)))
 
 
-def fit_rates(members: DataFrame, domains: tuple[str, ...], weights: dict[str, float], config: MixingConfig = MixingConfig()) -> MixingRates:
-    """Rates by least squares; ``weights`` are the domains' target shares
-    of all tokens, scaled to sum to 1; domains they don't name aim at none, and
-    weights of domains that the model doesn't know count as not given.
+def _fold(p: np.ndarray, start: np.ndarray, steps: list[np.ndarray], pull: float, curve: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rates, rates before the last step, where the next step begins) after the
+    steps, for rows of posteriors ``p``; ``curve`` is the largest curvature."""
+    root = math.sqrt(pull / curve)
+    momentum = (1 - root) / (1 + root)
+    before = rate = ahead = np.maximum(0.0, 1.0 - p @ start)
+    for u in steps:
+        before, rate = rate, np.maximum(0.0, ahead - (p @ u + pull * (ahead - 1.0)) / curve)
+        ahead = rate + momentum * (rate - before)
+    return rate, before, ahead
 
-    Targets out of reach give the whitened least squares' best totals;
-    ``reached`` says how far they are. No tokens or no weights at all: every
-    rate is 1."""
-    k = len(domains)
-    cells = written(members.groupBy("parts").agg(F.sum("n_tokens").cast("double").alias("mass")).where("mass > 0"), "mixing-cells")
-    share = [F.col("parts")[d] / F.lit(float(config.resolution)) for d in range(k)]
+
+def _summed(cells: DataFrame, k: int, resolution: int, work, names: str) -> list[float]:
+    """Sums, and the last column's maximum, of ``work(posteriors, tokens, documents)``."""
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                p = batch.column(0).flatten().to_numpy().reshape(-1, k) / resolution
+                found = work(p, batch.column(1).to_numpy(), batch.column(2).to_numpy())
+                yield pa.RecordBatch.from_arrays([pa.array([float(x)]) for x in found], names=names.split())
+
+    *sums, top = names.split()
+    rows = cells.select("parts", "mass", "documents").mapInArrow(run, ", ".join(f"{x} double" for x in names.split()))
+    return list(rows.agg(*[F.sum(x) for x in sums], F.max(top)).first())
+
+
+def fit_rates(members: DataFrame, domains: tuple[str, ...], weights: dict[str, float], config: MixingConfig = MixingConfig(), relative: bool = False) -> MixingRates:
+    """Rates by projected gradient; ``weights`` are the domains' target shares
+    of all tokens or, if ``relative``, multiples of their present shares, scaled
+    to sum to 1; domains they don't name aim at none, and weights of domains that
+    the model doesn't know count as not given.
+
+    Targets that only a few documents could meet are met in part; ``reached``,
+    ``effective`` and ``largest`` say how far, and are logged. No tokens or no
+    weights at all: every rate is 1."""
+    k, pull = len(domains), config.pull
+    cells = written(members.groupBy("parts").agg(F.sum("n_tokens").cast("double").alias("mass"), F.count("*").cast("double").alias("documents")).where("mass > 0"), "mixing-cells")
     pairs = [(d, e) for d in range(k) for e in range(d, k)]
-    first = cells.agg(*[F.sum(F.col("mass") * share[d] * share[e]) for d, e in pairs], F.sum("mass")).first()
-    total = float(first[-1] or 0.0)
+    crossed = [f"c{d}_{e}" for d, e in pairs]
+    *first, total, _ = _summed(cells, k, config.resolution, lambda p, m, n: [*((m * p[:, d] * p[:, e]).sum() for d, e in pairs), m.sum(), 0], " ".join([*crossed, "mass", "top"]))
+    c = np.zeros((k, k))
     aims = np.array([max(0.0, float(weights.get(d, 0.0))) for d in domains])
+    if total:
+        for (d, e), x in zip(pairs, first, strict=True):
+            c[d, e] = c[e, d] = x / total
+        if relative:
+            aims = aims * c.sum(axis=1)
     if not total or not aims.sum():
+        discard(cells)
         return MixingRates(domains, (), (), (), config.resolution)
-    c = np.zeros((k, k))
-    for (d, e), x in zip(pairs, first, strict=False):
-        c[d, e] = c[e, d] = x / total
     targets = aims / aims.sum()
-
-    def sums(step: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-        rated = cells.withColumn("rate", _rate(F.col("parts"), [tuple(step)], config.resolution))
-        free = F.when(F.col("rate") > 0, F.col("mass")).otherwise(0.0)
-        found = rated.agg(*[F.sum(F.col("mass") * F.col("rate") * share[d]) for d in range(k)], *[F.sum(free * share[d] * share[e]) for d, e in pairs], F.sum(F.col("mass") * F.col("rate") * F.col("rate"))).first()
-        own = np.zeros((k, k))
-        for (d, e), x in zip(pairs, found[k:-1], strict=True):
-            own[d, e] = own[e, d] = x / total
-        return np.array([float(x) for x in found[:k]]) / total, own, float(found[-1]) / total
-
-    step, reached = solve_step(sums, c, targets, config)
-    rates = MixingRates(domains, (tuple(float(x) for x in step),), tuple((targets * total).tolist()), tuple((reached * total).tolist()), config.resolution)
-    _LOG.info("tokens by domain: %s", {d: {"target": t, "reached": x} for d, t, x in zip(domains, rates.targets, rates.reached, strict=True)})
+    curve = pull + float(np.linalg.eigvalsh(c)[-1])
+    shares = [f"s{d}" for d in range(k)]
+
+    def fitted(aim: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """The step whose rates are the fit to the aim."""
+        steps: list[np.ndarray] = []
+        while len(steps) <= config.max_steps:
+
+            def work(p, m, n):
+                rate, before, ahead = _fold(p, start, steps, pull, curve)
+                return [*(m * ahead) @ p, (m * (rate - before) ** 2).sum(), 0]
+
+            *sums, move, _ = _summed(cells, k, config.resolution, work, " ".join([*shares, "move", "top"]))
+            steps.append(np.array(sums) / total - aim)
+            if len(steps) > 1 and move <= config.settled**2 * total:
+                return steps[-1] / pull
+        raise RuntimeError(f"no convergence in {config.max_steps} steps")
+
+    def outcome(step: np.ndarray) -> tuple[np.ndarray, float, float]:
+        """(reached shares, effective share of the documents, largest rate)."""
+
+        def work(p, m, n):
+            rate = np.maximum(0.0, 1.0 - p @ step)
+            return [*(m * rate) @ p, (n * rate).sum(), (n * rate**2).sum(), n.sum(), rate.max()]
+
+        *sums, one, two, n, top = _summed(cells, k, config.resolution, work, " ".join([*shares, "rates", "squares", "documents", "top"]))
+        return np.array(sums) / total, one * one / (two * n) if two else 0.0, top
+
+    aim, step = targets, fitted(targets, np.zeros(k))
+    reached, effective, largest = outcome(step)
+    off = lambda x: float((x - targets) @ (x - targets))
+    for _ in range(config.max_rounds):
+        if np.abs(reached - targets).max() <= config.tolerance:
+            break
+        aim = aim + targets - reached
+        raised = fitted(aim, step)
+        found = outcome(raised)
+        if found[1] < config.least_effective or off(found[0]) > 0.9 * off(reached):
+            break
+        step, (reached, effective, largest) = raised, found
+    discard(cells)
+    rates = MixingRates(domains, (tuple(float(x) for x in step),), tuple((targets * total).tolist()), tuple((reached * total).tolist()), config.resolution, float(effective), float(largest))
+    _LOG.info("tokens by domain: %s; effective share of documents %.3f, largest rate %.3f", {d: {"target": t, "reached": x} for d, t, x in zip(domains, rates.targets, rates.reached, strict=True)}, effective, largest)
     return rates
 
 
-def solve_step(sums, c: np.ndarray, targets: np.ndarray, config: MixingConfig) -> tuple[np.ndarray, np.ndarray]:
-    """(step, totals reached) of the rates ``max(0, 1 - posterior @ step)`` that
-    come nearest to the targets. ``sums(step)`` gives the totals, ``c`` over the
-    documents whose rate isn't 0 and the sum of squared rates, as shares.
-
-    Newton steps lower the convex dual of: half the risk plus half of ``pull``
-    times the rates' squared distance from 1. The pull falls in stages, each
-    beginning where the one before ended."""
-    size, axes = np.linalg.eigh(c)
-    basis = (axes / np.sqrt(np.where(size > 0, size, 1.0)))[:, size > 1e-9 * size.max()]
-    z = np.zeros(basis.shape[1])
-    reached, own, squares = sums(basis @ z)
-    for pull in config.pulls:
-        value = lambda at, sq, p=pull: sq / 2 + float(targets @ basis @ at) + p / 2 * float(at @ at)
-        for _ in range(config.max_iterations):
-            slope = basis.T @ (targets - reached) + pull * z
-            if np.abs(reached - targets).max() <= config.tolerance:
-                return basis @ z, reached
-            if np.sqrt(slope @ slope) <= config.least_slope:
-                break
-            move = -np.linalg.solve(basis.T @ own @ basis + pull * np.eye(len(z)), slope)
-            now, length = value(z, squares), 1.0
-            while True:
-                to = z + length * move
-                found = sums(basis @ to)
-                if value(to, found[2]) <= now + 1e-4 * length * float(slope @ move) or length < 1e-6:
-                    break
-                length /= 2
-            z, (reached, own, squares) = to, found
-        else:
-            raise RuntimeError(f"no convergence in {config.max_iterations} Newton steps")
-    return basis @ z, reached
-
-
 def _copies(draw: Column, rate: Column) -> Column:
     """Whole copies of a document: the rate's floor, and one more with the
     probability of what is left."""

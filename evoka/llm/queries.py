@@ -59,8 +59,9 @@ def op9_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_bpe.round_trip_digests(documents(spark, sf_dir), word_tokenizer())
 
 
-#: Target shares of the tokens, by domain of the labelled table.
-MIX = {"good": 0.97, "poor": 0.02, "toxic": 0.01}
+#: Target shares of the tokens as multiples of the present expected ones, by domain
+#: of the labelled table, before they are scaled to sum to 1.
+MIX = {"good": 1.0, "poor": 0.5, "toxic": 0.25}
 
 
 def labelled_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,7 +76,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = mixing.fit_domains(docs, labelled_domains(spark, sf_dir))
     members = written(mixing.soft_members(docs, model), "soft-members")
-    return mixing.mixing_report(members, mixing.fit_rates(members, model.domains, MIX))
+    return mixing.mixing_report(members, mixing.fit_rates(members, model.domains, MIX, relative=True))
 
 
 def _conversation_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,7 +187,8 @@ ORACLE_SQL = {
         WITH crc AS (SELECT list_transform(range(256), lambda b: list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
         h AS (SELECT doc_id, coalesce(text, '') AS text, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
             lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1])), 4294967295) AS h FROM documents, crc),
-        w AS (SELECT doc_id, h, regexp_extract_all(text, '[^ 	-]+') AS ws, len(ws) AS n FROM h),
+        w AS (SELECT doc_id, h, regexp_extract_all(text, '[^ 	-
+]+') AS ws, len(ws) AS n FROM h),
         g AS (SELECT *, CASE WHEN n > 0 THEN (h // 10) % n END AS a, CASE WHEN n > 0 THEN 1 + (n - (h // 10) % n) // (3 + (h // 10) % 8) END AS p FROM w),
         v AS (SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: ws[1 + CASE WHEN i >= a THEN a + (i - a) % p ELSE i END]) ELSE ws END AS ws FROM g),
         e AS (SELECT doc_id, unnest(ws) AS x, unnest(range(n)) AS i FROM v),

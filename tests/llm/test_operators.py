@@ -9,6 +9,7 @@ import pickle
 import re
 import zlib
 from collections import Counter, defaultdict
+from dataclasses import replace
 
 import duckdb
 import numpy as np
@@ -630,54 +631,70 @@ def members_of(spark, parts, mass):
     return spark.createDataFrame([(i, int(m), [int(x) for x in p]) for i, (m, p) in enumerate(zip(mass, parts, strict=True))], "doc_id long, n_tokens long, parts array<int>")
 
 
+def traded(p, share, aim, pull=0.05):
+    """Rates of the fit to one aim, by Newton's method in its dual: the rates are
+    max(0, 1 - p @ z / pull), and z is what their totals lack."""
+    z = np.zeros(p.shape[1])
+    rates = lambda z: np.maximum(0, 1 - p @ z / pull)
+    lack = lambda z: z - p.T @ (share * rates(z)) + aim
+    for _ in range(200):
+        curve = np.eye(len(z)) + (p * (share * (rates(z) > 0))[:, None]).T @ p / pull
+        move, length = np.linalg.solve(curve, lack(z)), 1.0
+        while np.linalg.norm(lack(z - length * move)) > np.linalg.norm(lack(z)) and length > 1e-9:
+            length /= 2
+        z = z - length * move
+    assert np.abs(lack(z)).max() < 1e-9
+    return rates(z)
+
+
+def effective(r):
+    return r.sum() ** 2 / (r @ r) / len(r)
+
+
 def test_mixing_rates_meet_targets(spark):
+    """Aims are raised until the totals meet the targets, if that is allowed."""
     rng = np.random.default_rng(6)
     parts = np.stack([mixing.whole_parts(p, 100) for p in rng.dirichlet([0.3, 0.3, 0.3], 300)])
     mass = rng.integers(1, 500, 300)
-    members, targets = members_of(spark, parts, mass), np.array([0.7, 0.25, 0.05])
-    rates = mixing.fit_rates(members, ("a", "b", "c"), {"a": 70, "b": 25, "c": 5}, PERCENT)
+    members, targets = members_of(spark, parts, mass), np.array([0.5, 0.3, 0.2])
+    rates = mixing.fit_rates(members, ("a", "b", "c"), {"a": 50, "b": 30, "c": 20}, replace(PERCENT, least_effective=0, tolerance=1e-4, settled=1e-5))
     found = {r.doc_id: r.rate for r in mixing.mixing_report(members, rates).collect()}
     r = np.array([found[i] for i in range(300)])
     assert r.min() >= 0 and np.abs((parts / 100 * (mass * r)[:, None]).sum(axis=0) / mass.sum() - targets).max() <= 2e-4
     assert np.allclose(r, [rates.of_parts(p) for p in parts], atol=1e-8)
+    assert np.isclose(rates.effective, effective(r), atol=1e-6) and np.isclose(rates.largest, r.max(), atol=1e-6)
     assert mixing.fit_rates(members, ("a", "b", "c"), {}).steps == () and mixing.fit_rates(empty(members), ("a",), {"a": 1}).steps == ()
 
 
-def test_mixing_out_of_reach_is_least_squares(spark):
-    """Every document is at least 30 % of domain b, of which 10 % are wanted."""
-    rng = np.random.default_rng(7)
-    parts = np.stack([np.array([70 - k, 30 + k]) for k in rng.integers(0, 60, 100)])
-    mass = rng.integers(1, 50, 100)
-    rates = mixing.fit_rates(members_of(spark, parts, mass), ("a", "b"), {"a": 0.9, "b": 0.1}, PERCENT)
-    p, total = parts / 100, mass.sum()
-    white, targets = np.linalg.inv((p * mass[:, None]).T @ p / total), np.array([0.9, 0.1])
-
-    def risk(r):
-        off = (p * (mass * r)[:, None]).sum(axis=0) / total - targets
-        return off @ white @ off, off
-
-    best = np.ones(100)
-    for _ in range(3000):
-        best = np.maximum(0, best - p @ (white @ risk(best)[1]))
-    r = np.array([rates.of_parts(x) for x in parts])
-    assert r.min() >= 0 and risk(r)[0] <= 1.001 * risk(best)[0] < risk(np.ones(100))[0]
-
-
-def test_mixing_out_of_reach_of_three_soft_domains(spark):
-    """No worse than 20,000 plain gradient steps, and the totals are told."""
+@pytest.mark.parametrize("alpha", [0.3, 2.0])
+def test_mixing_is_the_traded_least_squares(spark, alpha):
+    """One round's rates are those of Newton's method; further rounds end before
+    fewer documents stay effective than stated."""
     rng = np.random.default_rng(3)
-    parts = np.stack([mixing.whole_parts(p, 100) for p in rng.dirichlet([2, 2, 2], 1000)])
+    parts = np.stack([mixing.whole_parts(p, 100) for p in rng.dirichlet([alpha] * 3, 1000)])
     mass = rng.integers(20, 500, 1000)
-    rates = mixing.fit_rates(members_of(spark, parts, mass), ("good", "poor", "toxic"), queries.MIX, PERCENT)
-    p, share, targets = parts / 100, mass / mass.sum(), np.array([0.97, 0.02, 0.01])
-    white = np.linalg.inv((p * share[:, None]).T @ p)
-    plain = np.ones(1000)
-    for _ in range(20_000):
-        plain = np.maximum(0, plain - p @ (white @ (p.T @ (share * plain) - targets)))
-    r = np.array([rates.of_parts(x) for x in parts])
-    own, off = p.T @ (share * r), p.T @ (share * plain) - targets
-    assert r.min() >= 0 and (own - targets) @ white @ (own - targets) <= off @ white @ off
-    assert np.allclose(rates.reached, own * mass.sum(), rtol=1e-4) and np.allclose(rates.targets, targets * mass.sum())
+    members, p, share, targets = members_of(spark, parts, mass), parts / 100, mass / mass.sum(), np.array([0.9, 0.07, 0.03])
+    wanted = {"good": 90, "poor": 7, "toxic": 3}
+    one = mixing.fit_rates(members, ("good", "poor", "toxic"), wanted, replace(PERCENT, max_rounds=0, settled=1e-4))
+    r, best = np.array([one.of_parts(x) for x in parts]), traded(p, share, targets)
+    assert np.abs(r - best).max() < 3e-3
+    assert np.allclose(one.reached, p.T @ (share * r) * mass.sum(), rtol=1e-4) and np.allclose(one.targets, targets * mass.sum())
+    least = effective(best) - 0.05
+    more = mixing.fit_rates(members, ("good", "poor", "toxic"), wanted, replace(PERCENT, least_effective=least))
+    off = lambda x: np.abs(np.array(x.reached) - x.targets).max()
+    assert more.effective >= least and off(more) <= off(one) and (off(more) < off(one)) == (more.effective < one.effective)
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_mixing_keeps_the_corpus(spark, sf):
+    """Most documents stay, nearly all likely good ones, none more than three times."""
+    report = queries.op10_mixing(spark, f"/root/testdata/{sf}").toPandas()
+    good = report[report.p_good > 0.5]
+    assert (report.copies > 0).mean() > 0.8 and (good.copies > 0).mean() > 0.98 and report.rate.max() < 3
+    assert effective(report[report.n_tokens > 0].rate.to_numpy()) >= 0.85
+    shares = lambda w: np.array([(w * report[f"p_{d}"]).sum() for d in ("good", "poor", "toxic")]) / w.sum()
+    before, after = shares(report.n_tokens), shares(report.n_tokens * report.rate)
+    assert after[0] > before[0] + 0.05 and after[1] < 0.75 * before[1] and after[2] < 0.75 * before[2]
 
 
 def test_whole_parts():
@@ -689,20 +706,17 @@ def test_mixing_held_out_and_copies(spark):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     model = mixing.fit_domains(docs, queries.labelled_domains(spark, sf))
     members = written(mixing.soft_members(docs, model), "test-members")
-    rates = mixing.fit_rates(members, model.domains, queries.MIX)
+    rates = mixing.fit_rates(members, model.domains, queries.MIX, relative=True)
     report = mixing.mixing_report(members, rates)
     labels = spark.read.parquet(f"{sf}/labels.parquet").where(~toxicity.in_training(F.col("doc_id")))
     x = report.join(labels, "doc_id").toPandas()
-    # Against 20,000 plain steps of projected gradient on the same posteriors.
-    every = report.toPandas()
+    # One round against Newton's method on the same posteriors.
+    every = report.where("n_tokens > 0").toPandas()
     p, share = every[[f"p_{d}" for d in model.domains]].to_numpy(), (every.n_tokens / every.n_tokens.sum()).to_numpy()
-    targets = np.array([queries.MIX[d] for d in model.domains])
-    white = np.linalg.inv((p * share[:, None]).T @ p)
-    plain = np.ones(len(p))
-    for _ in range(20_000):
-        plain = np.maximum(0, plain - p @ (white @ (p.T @ (share * plain) - targets)))
-    off, best = p.T @ (share * every.rate.to_numpy()) - targets, p.T @ (share * plain) - targets
-    assert off @ white @ off <= 1.01 * (best @ white @ best) + 1e-6
+    targets = np.array([queries.MIX[d] for d in model.domains]) * (p.T @ share)
+    one = mixing.fit_rates(members, model.domains, queries.MIX, mixing.MixingConfig(max_rounds=0, settled=1e-4), relative=True)
+    assert np.allclose(np.array(one.targets) / sum(one.targets), targets / targets.sum(), atol=1e-6)
+    assert np.abs([one.of_parts(np.round(q * 10_000)) for q in p] - traded(p, share, targets / targets.sum())).max() < 3e-3
     truth = np.where(x.toxic == 1, "toxic", np.where(x.quality == 0, "poor", "good"))
     guess = np.array(model.domains)[x[[f"p_{d}" for d in model.domains]].to_numpy().argmax(axis=1)]
     assert (truth == guess).mean() > 0.9

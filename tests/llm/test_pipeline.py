@@ -19,7 +19,7 @@ def test_stages(spark):
     assert all(k.columns == columns for k in kept[:-1])
     raw, good, exact, near, mixed, ids = ([r for r in k.collect()] for k in kept)
     # Quality: nothing that breaks a base rule, and only known rows.
-    assert good and not any(rules(r.text)[5] for r in good) and {r.doc_id for r in good} <= {r.doc_id for r in raw}
+    assert len(good) > 0.5 * len(raw) and not any(rules(r.text)[5] for r in good) and {r.doc_id for r in good} <= {r.doc_id for r in raw}
     # Exact: the smallest id of each text.
     best = {}
     for r in good:
@@ -30,9 +30,11 @@ def test_stages(spark):
     # Mixing: as often as the report says.
     model = mixing.fit_domains(kept[3], queries.labelled_domains(spark, DATA))
     members = written(mixing.soft_members(kept[3], model), "test-members")
-    report = mixing.mixing_report(members, mixing.fit_rates(members, model.domains, queries.MIX))
+    report = mixing.mixing_report(members, mixing.fit_rates(members, model.domains, queries.MIX, relative=True))
     want = {r.doc_id: r.copies for r in report.where("copies > 0").collect()}
     assert {r.doc_id: r["count"] for r in kept[4].groupBy("doc_id").agg(F.count("*").alias("count")).collect()} == want
+    # The corpus is all there: no document stands for many, few clean ones go.
+    assert max(want.values()) <= 3 and len(want) > 0.85 * len(near)
     # Encoding: as the library does, for every row.
     t = tokenizer()
     assert sorted((r.doc_id, list(r.ids)) for r in ids) == sorted((r.doc_id, t.encode(r.text or "", add_special_tokens=False).ids) for r in mixed)
