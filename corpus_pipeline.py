@@ -29,12 +29,13 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix wants it: rarely for likely toxic or
-    poor ones, once or twice for the others. Null texts have the rate of no
+    """Every document as often as the mix wants it: likely poor or toxic ones
+    less than once, mostly not at all, for which likely good ones are at a rate of
+    1 or somewhat more, so that some appear twice. Null texts have the rate of no
     words; repeated ids are drawn alike; without labels every rate is 1."""
     model = mixing.fit_domains(docs, labelled_domains(spark, sf_dir))
     members = written(mixing.soft_members(docs, model), "soft-members")
-    return mixing.mix_documents(docs, model, mixing.fit_rates(members, model.domains, MIX))
+    return mixing.mix_documents(docs, model, mixing.fit_rates(members, model.domains, MIX, relative=True))
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
