@@ -19,20 +19,27 @@ Plan, with everything after the first scan on thin rows:
    members of its buckets are a star; they are compared with the hub on the full
    sets, which also tells what a member has outside the hub. Verified links are
    contracted to components.
-4. Stars that still hold several components are settled without going through
+4. Stars that still hold several components are settled without verifying
    their pairs. With h(x) the shingles that x has in common with the hub, two
    members of sizes n can only be linked if min(h(x), h(y)) alone reaches the
    overlap that the limit asks for, percent / (100 + percent) of n(x) + n(y), or
    if they share shingles that the hub has not. The first is a bound on thin
-   rows that few members pass; the second an equi-join on (star, shingle) of the
-   rarest of those shingles, as many as must hold a common one. Both lose
-   nothing. First each (star, shingle) group gets a pivot of its own and is
-   contracted; then the pairs that are still apart, each once, are verified.
+   rows, the second an equi-join on (star, shingle) of the rarest of those
+   shingles, as many as must hold a common one. Members that the first lets pass
+   (excerpts of the hub, say) are told apart by sketches: of each bin of hashes,
+   whether an odd number of a set's shingles falls into it. Sets differ in at least
+   as many shingles as their sketches in bins, so sketches too far apart are no
+   link. All three lose nothing.
+   First, in rounds until one finds no link, groups get pivots of their own and
+   are contracted: each (star, shingle), and each (star, mark) of the members that
+   share a minhash of the bins in which they differ from the hub. Then the pairs
+   that are still apart and within the bounds, each once, are verified.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +50,8 @@ from .common import discard, texts_of, written
 
 SHINGLE = 5
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+#: Minhashes of the bins in which a member differs from its hub.
+MARKS = 16
 
 
 class WordHashes(dict):
@@ -234,40 +243,142 @@ def _open_stars(compared: DataFrame, assign: DataFrame) -> DataFrame:
     return out
 
 
-def _more_links(stars: DataFrame, sets: DataFrame, percent: int, all_pairs: bool) -> DataFrame:
-    """Links (a, b) between components of the open stars: of all pairs that may
-    have one, or, before, of the pivots of the (star, shingle) groups.
+def _needed(percent: int):
+    """What a member has to share with another one beside the hub's shingles."""
+    return F.ceil(percent / F.lit(100 + percent) * (F.col("n") + F.greatest(F.col("least_n"), F.col("n") * percent / 100)) - 1e-9) - F.col("h")
 
-    A pair is settled in the largest star that both are in. Shingles outside the
-    hub count if members of several components have them; a member needs
-    ``least`` of those in common with any other, so the rarest ``s - least + 1``
-    hold one."""
-    enough = lambda c, n: (100 + percent) * c >= percent * n
+
+def _sketches(sets: DataFrame) -> DataFrame:
+    """(node, size, sketch array<long>) of every set, with two to four bins for each
+    of its shingles."""
+
+    def run(batches):
+        for batch in batches:
+            n, out = [], []
+            for shingles in batch.column(1):
+                n.append(len(shingles.values))
+                bins = max(256, 1 << (2 * n[-1] - 1).bit_length())
+                at = shingles.values.to_numpy() & (bins - 1)
+                out.append(np.packbits(np.bincount(at, minlength=bins).astype(np.uint8) & 1).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(out, pa.list_(pa.int64()))], names=["node", "size", "sketch"])
+
+    return sets.select("node", "shingles").mapInArrow(run, "node long, size long, sketch array<long>")
+
+
+def _folded(sketch: np.ndarray, size: int) -> np.ndarray:
+    """A sketch with the bins of a smaller one: bin i and its pair in the upper half
+    become one."""
+    while len(sketch) > size:
+        sketch = sketch[: len(sketch) // 2] ^ sketch[len(sketch) // 2 :]
+    return sketch
+
+
+def _profiles(stars: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """(hub, node, sketch, marks) of the members of open stars that may be linked
+    by shingles of the hub alone."""
+    factors = np.random.default_rng(20240301).integers(0, 2**31, MARKS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+
+    def run(batches):
+        for batch in batches:
+            marks = []
+            for own, hub in zip(batch.column(2), batch.column(3), strict=True):
+                own, hub = own.values.to_numpy(), hub.values.to_numpy()
+                least = min(len(own), len(hub))
+                at = np.flatnonzero(np.unpackbits((_folded(own, least) ^ _folded(hub, least)).view(np.uint8))).astype(np.uint32)
+                mixed = (at * np.uint32(0x9E3779B1)) ^ (at >> np.uint32(3))
+                marks.append(((mixed[:, None] + np.uint32(1)) * factors).min(axis=0).astype(np.int64) if len(at) else None)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(marks, pa.list_(pa.int64()))], names=["hub", "node", "sketch", "marks"])
+
+    thin = stars.where(_needed(percent) <= 0).select("hub", "node")
+    both = thin.join(sketches.select("node", "sketch"), "node").join(sketches.select(F.col("node").alias("hub"), F.col("sketch").alias("hub_sketch")), "hub")
+    return written(both.select("hub", "node", "sketch", "hub_sketch").mapInArrow(run, "hub long, node long, sketch array<long>, marks array<long>"), "profiles")
+
+
+def _within(x: str, y: str, n_x: str, n_y: str, percent: int):
+    """Whether two sketches and sizes leave a link possible. Sizes of linked sets
+    are so near that bins differ by one doubling at most."""
+
+    def fold(own: str, other: str):
+        half = (F.size(own) / 2).cast("int")
+        halves = F.zip_with(F.slice(own, 1, half), F.slice(own, half + 1, half), lambda p, q: p.bitwiseXOR(q))
+        return F.when(F.size(own) > F.size(other), halves).otherwise(F.col(own))
+
+    apart = F.aggregate(F.zip_with(fold(x, y), fold(y, x), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, e: s + e)
+    near = percent * F.greatest(n_x, n_y) <= 100 * F.least(n_x, n_y)
+    return near & ((100 + percent) * apart <= (100 - percent) * (F.col(n_x) + F.col(n_y)))
+
+
+def _ends() -> list:
+    return [F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")]
+
+
+def _reaching(stars: DataFrame, percent: int) -> DataFrame:
+    """(star, shingle) rows of the members, for the rarest of their shingles that
+    the hub has not: as many as must hold one in common with any linked member.
+
+    Shingles outside the hub count if members of several components have them; a
+    member needs ``least`` of those in common with any other, so the rarest
+    ``s - least + 1`` hold one."""
     member = ["hub", "node", "n", "h", "component", "main", "before"]
-    needed = F.ceil(percent / F.lit(100 + percent) * (F.col("n") + F.greatest(F.col("least_n"), F.col("n") * percent / 100)) - 1e-9) - F.col("h")
     parts = stars.select("hub", "node", "component", F.explode("rest").alias("shingle"))
     several = parts.groupBy("hub", "shingle").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("df")).where("c0 <> c1").drop("c0", "c1")
     # Written first, so that a shingle of very many members can be split in the join.
     several = written(several, "open-shingles")
     live = parts.join(several, ["hub", "shingle"]).groupBy("hub", "node").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("live"), F.count("*").alias("s"))
-    reach = stars.join(live, ["hub", "node"]).withColumn("least", F.greatest(F.lit(1), needed)).where("s >= least")
+    reach = stars.join(live, ["hub", "node"]).withColumn("least", F.greatest(F.lit(1), _needed(percent))).where("s >= least")
     reach = reach.select(*member, "s", F.explode(F.slice("live", 1, (F.col("s") - F.col("least") + 1).cast("int"))).alias("l")).select(*member, "s", "l.shingle")
     reach = written(reach, "open-shingles")
-    n = F.col("x.n") + F.col("y.n")
-    by_hub, by_both = F.least("x.h", "y.h"), F.least("x.h", "y.h") + F.least("x.s", "y.s")
-    ends = [F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")]
-    if all_pairs:
-        apart = (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.main")) | (F.col("x.node") < F.col("y.node"))) & ~F.arrays_overlap("x.before", "y.before")
-        thin = stars.where(needed <= 0).select(*member)
-        of = lambda rows, on, bound: rows.where("component <> main").alias("x").join(rows.alias("y"), on & apart & bound).select(*ends)
-        star, shingle = F.col("x.hub") == F.col("y.hub"), F.col("x.shingle") == F.col("y.shingle")
-        pairs = of(thin, star, enough(by_hub, n)).union(of(reach, star & shingle, enough(by_both, n)))
-    else:
+    discard(several)
+    return reach
+
+
+def _enough(c, percent: int):
+    return (100 + percent) * c >= percent * (F.col("x.n") + F.col("y.n"))
+
+
+def _beyond_hub(percent: int):
+    """Whether x and y can be linked, but not by shingles of the hub alone."""
+    of_hub = F.least("x.h", "y.h")
+    return _enough(of_hub + F.least("x.s", "y.s"), percent) & ~_enough(of_hub, percent)
+
+
+def _verified(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The links (a, b) among the pairs: by their sketches, then by their sets."""
+    of = lambda side: sketches.select(F.col("node").alias(side), F.col("size").alias(f"n{side}"), F.col("sketch").alias(f"s{side}"))
+    near = pairs.distinct().join(of("a"), "a").join(of("b"), "b").where(_within("sa", "sb", "na", "nb", percent))
+    return written(_compared(written(near.select("a", "b"), "pairs"), sets, percent).where("linked").select("a", "b"), "links")
+
+
+def _pivot_links(stars: DataFrame, profiles: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int, turn: int) -> DataFrame:
+    """Links (a, b) between components of the open stars, of members and the pivot
+    of a group that they are in: (star, mark) and, at the first turn, (star,
+    shingle). Pairs are as many as rows of the groups."""
+    marked = stars.select("hub", "node", "component").join(profiles.where("marks is not null").select("hub", "node", "marks"), ["hub", "node"]).select("hub", "node", "component", F.posexplode("marks").alias("at", "mark"))
+    pivots = marked.groupBy("hub", "at", "mark").agg(F.max(F.struct(F.xxhash64("node", F.lit(turn)).alias("hash"), "node", "component")).alias("y"), F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1")
+    pairs = marked.alias("x").join(pivots.select("hub", "at", "mark", "y.node", "y.component").alias("y"), ["hub", "at", "mark"]).where("x.component <> y.component").select(*_ends())
+    if not turn:
+        reach = _reaching(stars, percent)
         pivots = reach.groupBy("hub", "shingle").agg(F.max(F.struct(F.expr("component = main").alias("o"), F.xxhash64("node").alias("hash"), "node", "n", "h", "s", "component")).alias("y")).select("hub", "shingle", "y.node", "y.n", "y.h", "y.s", "y.component")
-        pairs = reach.alias("x").join(pivots.alias("y"), ["hub", "shingle"]).where((F.col("x.component") != F.col("y.component")) & enough(by_both, n)).select(*ends)
-    pairs = written(pairs.distinct(), "pairs")
-    discard(reach, several)
-    return written(_compared(pairs, sets, percent).where("linked").select("a", "b"), "links")
+        pairs = pairs.union(reach.alias("x").join(pivots.alias("y"), ["hub", "shingle"]).where((F.col("x.component") != F.col("y.component")) & _beyond_hub(percent)).select(*_ends()))
+    found = _verified(pairs, sketches, sets, percent)
+    if not turn:
+        discard(reach)
+    return found
+
+
+def _last_links(stars: DataFrame, profiles: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of all pairs between components of the open stars that the
+    bounds leave, each settled in the largest star that both are in."""
+    apart = (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.main")) | (F.col("x.node") < F.col("y.node"))) & ~F.arrays_overlap("x.before", "y.before")
+    of = lambda rows, on, bound: rows.where("component <> main").alias("x").join(rows.alias("y"), on & apart & bound).select(*_ends())
+    star, shingle = F.col("x.hub") == F.col("y.hub"), F.col("x.shingle") == F.col("y.shingle")
+    # Written first, so that a star of very many members can be split in the join.
+    thin = written(stars.select("hub", "node", "n", "h", "component", "main", "before").join(profiles.drop("marks"), ["hub", "node"]), "placed")
+    reach = _reaching(stars, percent)
+    by_hub = _enough(F.least("x.h", "y.h"), percent) & _within("x.sketch", "y.sketch", "x.n", "y.n", percent)
+    found = _verified(of(thin, star, by_hub).union(of(reach, star & shingle, _beyond_hub(percent))), sketches, sets, percent)
+    discard(reach, thin)
+    return found
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, width: int = SHINGLE, tables: int = 18, k: int = 3) -> DataFrame:
@@ -298,12 +409,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = written(_full_sets(docs, wanted, id_col, text_col, width), "sets")
     compared = written(_compared(pairs, sets, percent), "compared")
     assign = connected_components(compared.where("linked").select("a", "b"))
-    for all_pairs in (False, True):
-        stars = _open_stars(compared, assign)
-        found = _more_links(stars, sets, percent, all_pairs)
+    stars = _open_stars(compared, assign)
+    sketches = written(_sketches(sets), "sketches")
+    profiles = _profiles(stars, sketches, percent)
+    for turn in itertools.count():
+        found = _pivot_links(stars, profiles, sketches, sets, percent, turn)
+        if found.isEmpty():
+            break
         discard(stars)
-        if not found.isEmpty():
-            assign = _merged(assign, found)
+        assign = _merged(assign, found)
+        stars = _open_stars(compared, assign)
+    found = _last_links(stars, profiles, sketches, sets, percent)
+    discard(stars, profiles, sketches)
+    if not found.isEmpty():
+        assign = _merged(assign, found)
     discard(sets, pairs, compared)
 
     placed = nodes.select("set_key", "node", "doc_id").join(assign, "node", "left")

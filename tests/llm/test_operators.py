@@ -476,6 +476,52 @@ def test_near_dedup_of_a_net(spark):
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in found) == want
 
 
+def excerpts(kind, n, seed):
+    """Copies of one text of 480 words, each without its own quarter: a stretch, 6 of
+    24 pieces, or 4 pieces whose place new words take."""
+    rng, base = np.random.default_rng(seed), [f"w{i}" for i in range(480)]
+    out = [base] if kind != "replaced" else []
+    for k in range(n):
+        if kind == "stretch":
+            a = int(rng.integers(0, 360))
+            out.append(base[:a] + base[a + 120 :])
+        else:
+            cut = set(rng.choice(24, 6 if kind == "pieces" else 4, replace=False).tolist())
+            out.append([w if i // 20 not in cut else f"x{k}_{i}" for i, w in enumerate(base) if kind == "replaced" or i // 20 not in cut])
+    return [(i, " ".join(w)) for i, w in enumerate(out)]
+
+
+@pytest.mark.parametrize("kind", ["stretch", "pieces", "replaced"])
+def test_near_dedup_of_excerpts(spark, monkeypatch, kind):
+    """Texts that are all alike below the limit: pairs grow with their number, not
+    with its square, and every link is found."""
+    verified = []
+    compared = near_dedup._compared
+    monkeypatch.setattr(near_dedup, "_compared", lambda pairs, *rest: verified.append(pairs.count()) or compared(pairs, *rest))
+    for n in (150, 450):
+        rows = excerpts(kind, n, n)
+        verified.clear()
+        found = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert found == {i: c for i, _, c in components(rows)}
+        # The hubs of 324 tables at first, few pairs of unlike sets after them.
+        assert verified[0] <= 60 * n and sum(verified[1:]) <= 4 * n
+
+
+def test_sketches_bound_differences():
+    rng = np.random.default_rng(8)
+    sets = [np.unique(rng.integers(-(2**63), 2**63, n)) for n in (1, 40, 300, 390, 520)]
+    sets += [np.unique(np.concatenate([s[: len(s) * 3 // 4], rng.integers(-(2**63), 2**63, len(s) // 5)])) for s in sets]
+    made = []
+    for s in sets:
+        bins = max(256, 1 << (2 * len(s) - 1).bit_length())
+        made.append(np.packbits(np.bincount(s & (bins - 1), minlength=bins).astype(np.uint8) & 1).view(np.int64))
+    for x, own in zip(sets, made, strict=True):
+        for y, other in zip(sets, made, strict=True):
+            least = min(len(own), len(other))
+            apart = int(np.bitwise_count(near_dedup._folded(own, least) ^ near_dedup._folded(other, least)).sum())
+            assert apart <= len(np.setxor1d(x, y))
+
+
 def test_near_dedup_recall_at_the_limit(spark):
     """400 pairs of texts whose similarity is from 0.75 to 0.80: all are found."""
     rng = np.random.default_rng(8)
