@@ -140,6 +140,55 @@ def huber_location(stack: np.ndarray, c: float, iterations: int, tolerance: floa
     return centre
 
 
+#: Numpy's hypergeometric draws end at so many rows.
+MOST_ROWS = 10**9
+
+
+def _log_left(n: float, k: np.ndarray) -> np.ndarray:
+    """log of n! / (n - k)! / n^k for large n; steady where n is far over 10^9."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        out = -(n - k + 0.5) * np.log1p(-k / n) - k + (1 / n - 1 / (n - k)) / 12
+    return np.where(k < n, out, -np.inf)
+
+
+def hypergeometric(good: int, bad: int, n: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """For each of ``n`` how many of that many rows, drawn without replacement,
+    are of the ``good`` ones.
+
+    Beyond the numbers that numpy draws, draws with replacement are accepted with
+    the ratio of both probabilities, which is log-concave and at most the root of 2
+    while no more than half of all rows are drawn; of more, those left are drawn."""
+    n = np.asarray(n, np.int64)
+    total = good + bad
+    if total < MOST_ROWS:
+        return rng.hypergeometric(good, bad, n)
+    if not good or not bad:
+        return n if not bad else np.zeros_like(n)
+    few = np.minimum(n, total - n)
+    out, open_ = np.zeros_like(n), np.flatnonzero(few)
+    ratio = lambda x, k: _log_left(good, x) + _log_left(bad, k - x) - _log_left(total, k)
+    while len(open_):
+        k = few[open_].astype(float)
+        x = rng.binomial(few[open_], good / total)
+        fits = (x <= good) & (few[open_] - x <= bad)
+        chance = np.where(fits, ratio(np.minimum(x, good).astype(float), k) - ratio(k * (good / total), k), -np.inf)
+        taken = np.log(rng.random(len(x))) <= chance
+        out[open_[taken]] = x[taken]
+        open_ = open_[~taken]
+    return np.where(2 * n > total, good - out, out)
+
+
+def _parted(counts: np.ndarray, n: np.ndarray, split) -> np.ndarray:
+    """(draws, values): ``n`` rows dealt to values that occur ``counts`` times, by
+    halves of the values; ``split(low, high, n)`` deals between two halves."""
+    if len(counts) == 1:
+        return n[:, None]
+    half = len(counts) // 2
+    low, high = counts[:half], counts[half:]
+    first = split(int(low.sum()), int(high.sum()), n)
+    return np.concatenate([_parted(low, first, split), _parted(high, n - first, split)], axis=1)
+
+
 #: With up to so many rows per distinct value, rows are drawn; with more, counts.
 FEW_TIES = 4
 
@@ -148,7 +197,7 @@ def _sums_of_some(v: np.ndarray, counts: np.ndarray, n: np.ndarray, rng: np.rand
     """For each of ``n`` the sum of that many rows, drawn without replacement."""
     total = int(counts.sum())
     if total > FEW_TIES * len(v):
-        return np.array([rng.multivariate_hypergeometric(counts, int(k), method="marginals") @ v for k in n])
+        return _parted(counts, n, lambda low, high, k: hypergeometric(low, high, k, rng)) @ v
     rows, order = np.repeat(v, counts), rng.random((len(n), total))
     if (n == n[0]).all() and n[0] < total:
         return rows[np.argpartition(order, n[0], axis=1)[:, : n[0]]].sum(axis=1)
@@ -160,28 +209,38 @@ def _sums_of_repeated(v: np.ndarray, counts: np.ndarray, n: np.ndarray, rng: np.
     """For each of ``n`` the sum of that many rows, drawn with replacement."""
     total = int(counts.sum())
     if total > FEW_TIES * len(v):
-        return np.array([rng.multinomial(int(k), counts / total) @ v if k else 0.0 for k in n])
+        return _parted(counts, n, lambda low, high, k: rng.binomial(k, low / max(1, low + high))) @ v
     rows = np.repeat(v, counts)
     return np.array([rows[rng.integers(0, total, int(k))].sum() if k else 0.0 for k in n])
 
 
-def block_sums(v: np.ndarray, left: np.ndarray, right: np.ndarray, sizes: np.ndarray, own: int, n_permutations: int, n_bootstraps: int, shared: np.random.Generator, rng: np.random.Generator) -> tuple[list, list, list]:
+def _share(path: np.ndarray, block: int, n: np.ndarray, repeated: bool, seed: list[int]) -> np.ndarray:
+    """How many of ``n`` rows of the whole fall to a block: from the root of a
+    binary tree of blocks, each node deals its rows to its halves. ``path`` has the
+    (level, low, high) rows of the block's own nodes; a node's draws come from its
+    seed, so all blocks below it see the same ones."""
+    for level, low, high in path.tolist():
+        rng = np.random.default_rng([*seed, level, block >> level])
+        first = rng.binomial(n, low / max(1, low + high)) if repeated else hypergeometric(low, high, n, rng)
+        n = n - first if block >> (level - 1) & 1 else first
+    return n
+
+
+def block_sums(v: np.ndarray, left: np.ndarray, right: np.ndarray, block: int, path: np.ndarray, n_left: int, n_right: int, n_permutations: int, n_bootstraps: int, seed: list[int]) -> tuple[list, list, list]:
     """A block's part in the replicates of a test: sums of the values that each
     exchange of labels gives to the left, and of those that each bootstrap draws
     again from either side. ``v`` are distinct values, ``left`` and ``right`` how
-    often they occur; ``sizes`` are the (left, right) rows of all blocks, of
-    which this is number ``own``. ``shared`` must be alike in all blocks."""
-    both, out = sizes.sum(axis=1), []
+    often they occur; ``path`` has the nodes over the block as rows (level, left
+    rows of the low half, of the high half, right rows of both), the root first."""
+    rng, level = np.random.default_rng([*seed, 3, block]), path[:, :1]
+    permuted, drawn = [], [[], []]
     if n_permutations:
-        deal = shared.multivariate_hypergeometric(both, int(sizes[:, 0].sum()), n_permutations, method="marginals")[:, own] if len(sizes) > 1 else np.full(n_permutations, sizes[0, 0])
-        out.append(_sums_of_some(v, left + right, deal, rng).tolist())
-    else:
-        out.append([])
-    for j, counts in enumerate((left, right) if n_bootstraps else ()):
-        total = int(sizes[:, j].sum())
-        deal = shared.multinomial(total, sizes[:, j] / total, n_bootstraps)[:, own] if len(sizes) > 1 else np.full(n_bootstraps, total)
-        out.append(_sums_of_repeated(v, counts, deal, rng).tolist())
-    return tuple(out) if n_bootstraps else (out[0], [], [])
+        both = np.hstack([level, path[:, 1:3] + path[:, 3:5]])
+        permuted = _sums_of_some(v, left + right, _share(both, block, np.full(n_permutations, n_left), False, [*seed, 0]), rng).tolist()
+    for j, (counts, total) in enumerate(((left, n_left), (right, n_right)) if n_bootstraps else ()):
+        own = _share(np.hstack([level, path[:, 1 + 2 * j : 3 + 2 * j]]), block, np.full(n_bootstraps, total), True, [*seed, 1 + j])
+        drawn[j] = _sums_of_repeated(v, counts, own, rng).tolist() if counts.any() else [0.0] * n_bootstraps
+    return permuted, *drawn
 
 
 def cell_accuracy(cells: np.ndarray) -> np.ndarray:

@@ -69,41 +69,60 @@ def shared_replicates(rows: DataFrame, numbers: Sequence[tuple[str, int]], piece
     return out.withColumns({name: F.lit(n // pieces) + (F.col("piece") < n % pieces).cast("int") for name, n in numbers})
 
 
-def resampled_tests(df: DataFrame, keys: Sequence[str], value: str, side: str, n_permutations: int, n_bootstraps: int, seed: int, block_values: int = 4096) -> DataFrame:
+def block_paths(dealt: DataFrame, names: Sequence[str]) -> DataFrame:
+    """(keys, _block, _path) of the blocks of ``dealt`` (keys, _depth, _block, _l,
+    _r). Blocks are the leaves of a binary tree; a path has one struct (level, left
+    rows of the low and high half, right rows of both) for each node over the
+    block, the root first, so it is as long as the number of blocks has digits."""
+    sizes = dealt.groupBy(*names, "_depth", "_block").agg(F.sum("_l").alias("_l"), F.sum("_r").alias("_r"))
+    levels = sizes.where("_depth > 0").withColumn("_level", F.explode(F.sequence(F.lit(1), F.col("_depth")))).withColumn("_over", F.expr("shiftright(_block, _level)"))
+    is_high = F.expr("shiftright(_block, _level - 1) & 1") == 1
+    halves = [F.sum(F.when(is_high == high, F.col(c)).otherwise(0)).alias(f"{c}{int(high)}") for c in ("_l", "_r") for high in (False, True)]
+    nodes = levels.groupBy(*names, "_level", "_over").agg(*halves)
+    node = F.struct((-F.col("_level")).alias("down"), *[F.col(c).cast("long").alias(c) for c in ("_l0", "_l1", "_r0", "_r1")])
+    return levels.select(*names, "_block", "_level", "_over").join(nodes, [*names, "_level", "_over"]).groupBy(*names, "_block").agg(F.array_sort(F.collect_list(node)).alias("_path"))
+
+
+def resampled_tests(df: DataFrame, keys: Sequence[str], value: str, side: str, n_permutations: int, n_bootstraps: int, seed: int, block_values: int = 4096, count: str | None = None) -> DataFrame:
     """Each test by itself: keys, p_permutation (two-sided) and the bootstrap
-    interval of right - left (``side`` L or R). Null where a side has no value.
+    interval of right - left (``side`` L or R). Null where a side has no value. A
+    row stands for ``count`` rows if a column is named.
 
     No task holds a test. Its values are counted, and dealt by hash to blocks of
     about ``block_values`` distinct ones. For each replicate the number of rows
     that a block gives to the left is a hypergeometric draw over the blocks'
-    sizes (multinomial for the bootstrap), made alike by every block from the
-    test's seed; the block draws that many of its own rows and gives their sum.
-    Sums by replicate add up over the blocks to exactly what drawing from the
-    whole test would have given."""
+    sizes (multinomial for the bootstrap). It is made along the block's path in a
+    binary tree of blocks, each node drawing from a seed of its own; the block
+    draws that many of its own rows and gives their sum. Sums by replicate add up
+    over the blocks to exactly what drawing from the whole test would have given."""
     names = list(keys)
     kinds = dict(df.dtypes)
     # Equal values are one row with a count, so ties cost nothing.
-    cells = df.where(F.col(value).isNotNull() & F.col(side).isin("L", "R")).groupBy(*names, F.col(value).cast("double").alias("_v")).agg(F.count_if(F.col(side) == "L").alias("_l"), F.count_if(F.col(side) == "R").alias("_r"))
+    times = F.lit(1) if count is None else F.col(count)
+    on = lambda own: F.sum(F.when(F.col(side) == own, times).otherwise(0)).cast("long")
+    cells = df.where(F.col(value).isNotNull() & F.col(side).isin("L", "R")).groupBy(*names, F.col(value).cast("double").alias("_v")).agg(on("L").alias("_l"), on("R").alias("_r")).where("_l + _r > 0")
     wide = cells.groupBy(*names).agg(F.ceil(F.count("*") / F.lit(block_values)).alias("_blocks"), F.sum("_l").alias("_nl"), F.sum("_r").alias("_nr"), F.sum(F.col("_v") * F.col("_l")).alias("_sl"), F.sum(F.col("_v") * F.col("_r")).alias("_sr"))
     both_sides = wide.where("_nl > 0 and _nr > 0")
-    dealt = cells.join(both_sides.select(*names, "_blocks"), names).withColumn("_block", F.pmod(F.xxhash64("_v"), F.col("_blocks"))).drop("_blocks")
-    sizes = dealt.groupBy(*names, "_block").agg(F.sum("_l").alias("_bl"), F.sum("_r").alias("_br")).groupBy(*names).agg(F.array_sort(F.collect_list(F.struct("_block", "_bl", "_br"))).alias("_sizes"))
-    rows = dealt.join(sizes.select(*names, "_sizes", keyed_seed(seed, *[F.col(k).cast("string") for k in names]).alias("_seed")), names)
+    dealt = cells.join(both_sides.select(*names, "_blocks"), names).withColumn("_block", F.pmod(F.xxhash64("_v"), F.col("_blocks"))).withColumn("_depth", F.ceil(F.log2("_blocks")).cast("int")).drop("_blocks")
+    facts = both_sides.select(*names, "_nl", "_nr", keyed_seed(seed, *[F.col(k).cast("string") for k in names]).alias("_seed"))
+    paths = dealt.select(*names, "_block").distinct().join(facts, names).join(block_paths(dealt, names), [*names, "_block"], "left")
+    # Names of their own: the cogroup can't tell columns of one origin apart.
+    heads = paths.select(*[F.col(c).alias(f"_of_{k}") for k, c in enumerate([*names, "_block"])], "_nl", "_nr", "_seed", "_path")
     schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in names), "at array<int>, permuted array<double>, left array<double>, right array<double>"])
 
-    def run(key, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("_v")
-        table = np.array([tuple(x.values()) if isinstance(x, dict) else tuple(x) for x in part["_sizes"].iloc[0]], np.int64)
-        own = int(np.flatnonzero(table[:, 0] == key[-1])[0])
+    def run(key: tuple, part: pd.DataFrame, head: pd.DataFrame) -> pd.DataFrame:
+        part, own = part.sort_values("_v"), head.iloc[0]
+        nodes = [tuple(x.values()) if isinstance(x, dict) else tuple(x) for x in (own["_path"] if own["_path"] is not None else ())]
+        path = np.array(nodes, np.int64).reshape(-1, 5) * [-1, 1, 1, 1, 1]
         v, l, r = part["_v"].to_numpy(), part["_l"].to_numpy(np.int64), part["_r"].to_numpy(np.int64)
-        both, out = int(part["_seed"].iloc[0]), []
+        out = []
         for k, start in enumerate(range(0, max(n_permutations, n_bootstraps), CHUNK)):
             n, m = (max(0, min(CHUNK, total - start)) for total in (n_permutations, n_bootstraps))
-            permuted, left, right = kernels.block_sums(v, l, r, table[:, 1:], own, n, m, np.random.default_rng([both, k]), np.random.default_rng([both, k, int(key[-1]) + 1]))
-            out.append([*key[:-1], list(range(start, start + CHUNK)), permuted, left, right])
+            sums = kernels.block_sums(v, l, r, int(key[-1]), path, int(own["_nl"]), int(own["_nr"]), n, m, [int(own["_seed"]), k])
+            out.append([*key[:-1], list(range(start, start + CHUNK)), *sums])
         return pd.DataFrame(out, columns=[*names, "at", "permuted", "left", "right"])
 
-    drawn = rows.groupBy(*names, "_block").applyInPandas(run, schema)
+    drawn = dealt.select(*names, "_block", "_v", "_l", "_r").groupBy(*names, "_block").cogroup(heads.groupBy(*[f"_of_{k}" for k in range(len(names) + 1)])).applyInPandas(run, schema)
     sums = drawn.select(*names, F.explode(F.arrays_zip("at", "permuted", "left", "right")).alias("z")).groupBy(*names, "z.at").agg(F.sum("z.permuted").alias("_p"), F.sum("z.left").alias("_a"), F.sum("z.right").alias("_b"))
     sums = sums.join(both_sides, names)
     total, observed = F.col("_sl") + F.col("_sr"), F.col("_sr") / F.col("_nr") - F.col("_sl") / F.col("_nl")

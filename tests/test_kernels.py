@@ -1,5 +1,7 @@
 """Numpy kernels against their definitions."""
 
+import math
+
 import numpy as np
 import pytest
 
@@ -79,3 +81,19 @@ def test_logistic_gradient_is_zero_and_folds_are_even():
     assert np.abs(gradient).max() < 1e-8
     fold = kernels.stratified_folds(y, 5, rng)
     assert all(np.ptp(np.bincount(fold[y == v], minlength=5)) <= 1 for v in (0, 1))
+
+
+def test_hypergeometric_beyond_numpy(monkeypatch):
+    """The accepted draws have numpy's distribution, and the moments of large ones."""
+    rng = np.random.default_rng(0)
+    monkeypatch.setattr(kernels, "MOST_ROWS", 0)
+    for good, bad, n in ((4000, 6000, 50), (4000, 6000, 9000), (300, 20_000, 5000), (50_000, 50_000, 40_000)):
+        own, other = kernels.hypergeometric(good, bad, np.full(40_000, n), rng), rng.hypergeometric(good, bad, n, 40_000)
+        assert own.min() >= max(0, n - bad) and own.max() <= min(good, n)
+        assert own.mean() == pytest.approx(other.mean(), abs=5 * other.std() / 200) and own.std() == pytest.approx(other.std(), rel=0.03)
+        assert np.quantile(own, [0.1, 0.5, 0.9]) == pytest.approx(np.quantile(other, [0.1, 0.5, 0.9]), abs=max(1, 0.08 * other.std()))
+    assert kernels.hypergeometric(7, 0, np.array([3, 0]), rng).tolist() == [3, 0] and kernels.hypergeometric(0, 7, np.array([3, 7]), rng).tolist() == [0, 0]
+    good, bad, n = 3 * 10**11, 7 * 10**11, 4 * 10**11
+    x, total = kernels.hypergeometric(good, bad, np.full(20_000, n), rng), good + bad
+    spread = math.sqrt(n * (good / total) * (bad / total) * (total - n) / (total - 1))
+    assert x.mean() - n * good / total == pytest.approx(0, abs=5 * spread / 141) and x.std() == pytest.approx(spread, rel=0.03)

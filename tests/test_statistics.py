@@ -1,6 +1,7 @@
 """Statistics and resampling against brute force and exhaustive counts."""
 
 import itertools
+import math
 import zlib
 
 import numpy as np
@@ -9,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evoka.config import Settings
+from evoka.functions import kernels
 from evoka.functions.columns import keyed_seed
 from evoka.operators import effects, evaluate, signal, stats
 from evoka.streaming.quality import windowed_quality
@@ -88,6 +90,45 @@ def test_resampled_tests_draw_what_the_whole_test_would(spark):
     assert effects.resampled_tests(far, ["k"], "v", "side", 999, 10, 7, 16).first().p_permutation == pytest.approx(1 / 1000)
 
 
+def test_paths_do_not_grow_with_blocks(spark):
+    """A block's path is as long as the number of blocks has binary digits, and
+    its sizes are those of the halves; whatever a node deals, all blocks share."""
+    rng = np.random.default_rng(4)
+    for depth in (0, 1, 5, 9):
+        sizes = rng.integers(0, 9, (2**depth, 2))
+        dealt = spark.createDataFrame([("t", depth, b, int(l), int(r)) for b, (l, r) in enumerate(sizes) for _ in range(1)], "k string, _depth int, _block long, _l long, _r long")
+        paths = {r["_block"]: [tuple(x) for x in r["_path"]] for r in effects.block_paths(dealt, ["k"]).collect()}
+        assert len(paths) == (2**depth if depth else 0) and all(len(p) == depth for p in paths.values())
+        for b, path in paths.items():
+            for down, l0, l1, r0, r1 in path:
+                low = (b >> -down) << -down
+                mid, high = low + (1 << (-down - 1)), low + (1 << -down)
+                assert (l0, l1, r0, r1) == tuple(int(x) for x in (sizes[low:mid, 0].sum(), sizes[mid:high, 0].sum(), sizes[low:mid, 1].sum(), sizes[mid:high, 1].sum()))
+        for repeated in (False, True):
+            n = rng.integers(0, max(1, sizes[:, 0].sum()) + 1, 50)
+            got = [kernels._share(np.array([(-d, l0, l1) for d, l0, l1, _, _ in paths.get(b, [])], np.int64).reshape(-1, 3), b, n, repeated, [5]) for b in range(2**depth)]
+            assert (np.sum(got, axis=0) == n).all() and (repeated or (np.array(got) <= sizes[:, :1]).all())
+
+
+def test_resampled_tests_of_counts_beyond_numpy(spark):
+    """Rows that stand for 10^9 rows and more: p and interval as normal draws give."""
+    left, right = [0.0, 1.0, 2.0, 3.0], [0.0, 1.0, 2.0, 3.0]
+    many = 2_000_000_000
+    rows = [("t", "L", x, many) for x in left] + [("t", "R", x, many + (40_000 if x > 1 else 0)) for x in right]
+    df = spark.createDataFrame(rows, "k string, side string, v double, n long")
+    found = [effects.resampled_tests(df, ["k"], "v", "side", 1500, 1500, 3, block, count="n").first() for block in (4096, 2)]
+    v, l, r = np.array(left), np.full(4, float(many)), np.array([x[3] for x in rows[4:]], float)
+    spread = np.sqrt(np.cov(np.tile(v, 2), aweights=np.concatenate([l, r])) * (1 / l.sum() + 1 / r.sum()))
+    gap = (v @ r) / r.sum() - (v @ l) / l.sum()
+    p = math.erfc(gap / spread / math.sqrt(2))
+    for x in found:
+        assert x.p_permutation == pytest.approx(p, abs=0.05)
+        assert [x.difference_ci95_low, x.difference_ci95_high] == pytest.approx([gap - 1.96 * spread, gap + 1.96 * spread], abs=0.4 * spread)
+    few = spark.createDataFrame([("t", s, x, 1) for s, own in (("L", [0.1, 0.4, 0.4]), ("R", [0.8, 1.1])) for x in own], "k string, side string, v double, n int")
+    a, b = (effects.resampled_tests(few, ["k"], "v", "side", 500, 500, 3, count=c).first() for c in ("n", None))
+    assert a == b
+
+
 def test_stratified_inference_by_counts(spark):
     """p against all exchanges within strata, interval against plain draws."""
     data = [("a", 0, 0), ("a", 0, 0), ("a", 1, 1), ("a", 1, 0), ("b", 0, 0), ("b", 0, 1), ("b", 1, 1), ("b", 1, 1), ("b", 1, 1)]
