@@ -51,7 +51,7 @@ from .common import discard, texts_of, written
 SHINGLE = 5
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 #: Minhashes of the bins in which a member differs from its hub.
-MARKS = 16
+MARKS = 8
 
 
 class WordHashes(dict):
@@ -225,10 +225,10 @@ def _merged(assign: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def _open_stars(compared: DataFrame, assign: DataFrame) -> DataFrame:
-    """Members of the stars that hold several components: (hub, node, n, h, rest,
+    """Members of the stars that hold several components: (hub, node, n, h,
     component, main, least_n, before), ``main`` the component with most members,
     ``before`` the larger open stars that the member is in as well."""
-    stars = compared.select(F.col("a").alias("hub"), F.col("b").alias("node"), F.col("nb").alias("n"), F.col("c").alias("h"), "rest")
+    stars = compared.select(F.col("a").alias("hub"), F.col("b").alias("node"), F.col("nb").alias("n"), F.col("c").alias("h"))
     placed = stars.join(assign, "node", "left").withColumn("component", F.coalesce("component", "node"))
     sizes = placed.groupBy("hub", "component").agg(F.count("*").alias("size"), F.min("n").alias("least_n"))
     heads = sizes.groupBy("hub").agg(F.max(F.struct("size", "component"))["component"].alias("main"), F.min("least_n").alias("least_n"), F.count("*").alias("m"), F.sum("size").alias("size")).where("m > 1").drop("m")
@@ -273,9 +273,9 @@ def _folded(sketch: np.ndarray, size: int) -> np.ndarray:
     return sketch
 
 
-def _profiles(stars: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """(hub, node, sketch, marks) of the members of open stars that may be linked
-    by shingles of the hub alone."""
+def _marks(stars: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """(hub, node, marks) of the members of open stars that may be linked by
+    shingles of the hub alone, each in its largest open star."""
     factors = np.random.default_rng(20240301).integers(0, 2**31, MARKS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
     def run(batches):
@@ -287,11 +287,11 @@ def _profiles(stars: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
                 at = np.flatnonzero(np.unpackbits((_folded(own, least) ^ _folded(hub, least)).view(np.uint8))).astype(np.uint32)
                 mixed = (at * np.uint32(0x9E3779B1)) ^ (at >> np.uint32(3))
                 marks.append(((mixed[:, None] + np.uint32(1)) * factors).min(axis=0).astype(np.int64) if len(at) else None)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(marks, pa.list_(pa.int64()))], names=["hub", "node", "sketch", "marks"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(marks, pa.list_(pa.int64()))], names=["hub", "node", "marks"])
 
-    thin = stars.where(_needed(percent) <= 0).select("hub", "node")
+    thin = stars.where((_needed(percent) <= 0) & (F.size("before") == 0)).select("hub", "node")
     both = thin.join(sketches.select("node", "sketch"), "node").join(sketches.select(F.col("node").alias("hub"), F.col("sketch").alias("hub_sketch")), "hub")
-    return written(both.select("hub", "node", "sketch", "hub_sketch").mapInArrow(run, "hub long, node long, sketch array<long>, marks array<long>"), "profiles")
+    return written(both.select("hub", "node", "sketch", "hub_sketch").mapInArrow(run, "hub long, node long, marks array<long>").where("marks is not null"), "marks")
 
 
 def _within(x: str, y: str, n_x: str, n_y: str, percent: int):
@@ -312,7 +312,7 @@ def _ends() -> list:
     return [F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")]
 
 
-def _reaching(stars: DataFrame, percent: int) -> DataFrame:
+def _reaching(stars: DataFrame, compared: DataFrame, percent: int) -> DataFrame:
     """(star, shingle) rows of the members, for the rarest of their shingles that
     the hub has not: as many as must hold one in common with any linked member.
 
@@ -320,7 +320,8 @@ def _reaching(stars: DataFrame, percent: int) -> DataFrame:
     member needs ``least`` of those in common with any other, so the rarest
     ``s - least + 1`` hold one."""
     member = ["hub", "node", "n", "h", "component", "main", "before"]
-    parts = stars.select("hub", "node", "component", F.explode("rest").alias("shingle"))
+    rest = compared.where(F.size("rest") > 0).select(F.col("a").alias("hub"), F.col("b").alias("node"), "rest")
+    parts = stars.select("hub", "node", "component").join(rest, ["hub", "node"]).select("hub", "node", "component", F.explode("rest").alias("shingle"))
     several = parts.groupBy("hub", "shingle").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("df")).where("c0 <> c1").drop("c0", "c1")
     # Written first, so that a shingle of very many members can be split in the join.
     several = written(several, "open-shingles")
@@ -349,15 +350,15 @@ def _verified(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, percent: i
     return written(_compared(written(near.select("a", "b"), "pairs"), sets, percent).where("linked").select("a", "b"), "links")
 
 
-def _pivot_links(stars: DataFrame, profiles: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int, turn: int) -> DataFrame:
+def _pivot_links(stars: DataFrame, compared: DataFrame, marks: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int, turn: int) -> DataFrame:
     """Links (a, b) between components of the open stars, of members and the pivot
     of a group that they are in: (star, mark) and, at the first turn, (star,
     shingle). Pairs are as many as rows of the groups."""
-    marked = stars.select("hub", "node", "component").join(profiles.where("marks is not null").select("hub", "node", "marks"), ["hub", "node"]).select("hub", "node", "component", F.posexplode("marks").alias("at", "mark"))
+    marked = stars.select("hub", "node", "component").join(marks, ["hub", "node"]).select("hub", "node", "component", F.posexplode("marks").alias("at", "mark"))
     pivots = marked.groupBy("hub", "at", "mark").agg(F.max(F.struct(F.xxhash64("node", F.lit(turn)).alias("hash"), "node", "component")).alias("y"), F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1")
     pairs = marked.alias("x").join(pivots.select("hub", "at", "mark", "y.node", "y.component").alias("y"), ["hub", "at", "mark"]).where("x.component <> y.component").select(*_ends())
     if not turn:
-        reach = _reaching(stars, percent)
+        reach = _reaching(stars, compared, percent)
         pivots = reach.groupBy("hub", "shingle").agg(F.max(F.struct(F.expr("component = main").alias("o"), F.xxhash64("node").alias("hash"), "node", "n", "h", "s", "component")).alias("y")).select("hub", "shingle", "y.node", "y.n", "y.h", "y.s", "y.component")
         pairs = pairs.union(reach.alias("x").join(pivots.alias("y"), ["hub", "shingle"]).where((F.col("x.component") != F.col("y.component")) & _beyond_hub(percent)).select(*_ends()))
     found = _verified(pairs, sketches, sets, percent)
@@ -366,15 +367,15 @@ def _pivot_links(stars: DataFrame, profiles: DataFrame, sketches: DataFrame, set
     return found
 
 
-def _last_links(stars: DataFrame, profiles: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _last_links(stars: DataFrame, compared: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) of all pairs between components of the open stars that the
     bounds leave, each settled in the largest star that both are in."""
     apart = (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.main")) | (F.col("x.node") < F.col("y.node"))) & ~F.arrays_overlap("x.before", "y.before")
     of = lambda rows, on, bound: rows.where("component <> main").alias("x").join(rows.alias("y"), on & apart & bound).select(*_ends())
     star, shingle = F.col("x.hub") == F.col("y.hub"), F.col("x.shingle") == F.col("y.shingle")
     # Written first, so that a star of very many members can be split in the join.
-    thin = written(stars.select("hub", "node", "n", "h", "component", "main", "before").join(profiles.drop("marks"), ["hub", "node"]), "placed")
-    reach = _reaching(stars, percent)
+    thin = written(stars.where(_needed(percent) <= 0).select("hub", "node", "n", "h", "component", "main", "before").join(sketches.select("node", "sketch"), "node"), "placed")
+    reach = _reaching(stars, compared, percent)
     by_hub = _enough(F.least("x.h", "y.h"), percent) & _within("x.sketch", "y.sketch", "x.n", "y.n", percent)
     found = _verified(of(thin, star, by_hub).union(of(reach, star & shingle, _beyond_hub(percent))), sketches, sets, percent)
     discard(reach, thin)
@@ -411,16 +412,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     assign = connected_components(compared.where("linked").select("a", "b"))
     stars = _open_stars(compared, assign)
     sketches = written(_sketches(sets), "sketches")
-    profiles = _profiles(stars, sketches, percent)
+    marks = _marks(stars, sketches, percent)
     for turn in itertools.count():
-        found = _pivot_links(stars, profiles, sketches, sets, percent, turn)
+        found = _pivot_links(stars, compared, marks, sketches, sets, percent, turn)
         if found.isEmpty():
             break
         discard(stars)
         assign = _merged(assign, found)
         stars = _open_stars(compared, assign)
-    found = _last_links(stars, profiles, sketches, sets, percent)
-    discard(stars, profiles, sketches)
+    found = _last_links(stars, compared, sketches, sets, percent)
+    discard(stars, marks, sketches)
     if not found.isEmpty():
         assign = _merged(assign, found)
     discard(sets, pairs, compared)
