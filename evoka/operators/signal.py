@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..config import Settings
 from ..functions import kernels
 from ..functions.columns import keyed_seed
-from .stats import peak_lag
+from .stats import huber_locations, joined, peak_lag
 
 
 def _key_schema(df: DataFrame, keys: Sequence[str]) -> str:
@@ -142,6 +142,28 @@ def fitted_curves(epochs: DataFrame, keys: Sequence[str], channels: Sequence[str
     return rows.groupBy(*keys).applyInPandas(run, schema + ", draws array<array<float>>" * keep_draws)
 
 
+def located_curves(epochs: DataFrame, keys: Sequence[str], channels: Sequence[str], cfg: Settings = Settings()) -> DataFrame:
+    """(keys, channel, n_trials, values, rounds): what ``fitted_curves`` gives without
+    bootstraps, for conditions of any number of trials. Points are rows; no
+    task holds a condition or one of its points. A trial without one of the
+    channels is left out, as there."""
+    wanted = epochs.where(F.col("channel").isin(*channels) & F.col("values").isNotNull()).select(*keys, "trial_id", "channel", "values")
+    whole = wanted.groupBy(*keys, "trial_id").agg(F.collect_list(F.struct("channel", "values")).alias("_c")).where(F.size("_c") == len(channels))
+    points = whole.select(*keys, "trial_id", F.explode("_c").alias("_c")).select(*keys, "_c.channel", F.posexplode("_c.values").alias("_i", "_v"))
+    found = huber_locations(points, keys, ["channel", "_i"], "_v", cfg.huber_c, cfg.huber_iterations, cfg.huber_tolerance, cfg.mad_scale)
+    curves = found.groupBy(*keys, "channel").agg(F.array_sort(F.collect_list(F.struct("_i", "location"))).alias("_p"), F.max("rounds").alias("rounds"))
+    counts = whole.groupBy(*keys).agg(F.count("*").alias("n_trials"))
+
+    @F.pandas_udf("array<double>")
+    def smoothed(curves: pd.Series) -> pd.Series:
+        matrices: dict[int, np.ndarray] = {}
+        for n in {len(x) for x in curves}:
+            matrices[n] = kernels.savgol_matrix(n, kernels.smoothing_length(cfg.smooth_s, cfg.sample_rate, n, cfg.smooth_order), cfg.smooth_order)
+        return pd.Series([matrices[len(x)] @ np.asarray(x, float) for x in curves])
+
+    return joined(curves, counts, keys).select(*keys, "channel", "n_trials", smoothed(F.transform("_p", lambda p: p["location"])).alias("values"), "rounds")
+
+
 def curve_differences(curves: DataFrame, keys: Sequence[str], side: str, plus: str, minus: str) -> DataFrame:
     """(keys, values, ci_low, ci_high): curves of side ``plus`` less those of
     ``minus``, with the pointwise interval of the differences of their draws,

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..config import Window
 from ..functions.columns import at_rail, in_window, is_finite
+from ..sources.tables import discard, written
 
 
 def joined(a: DataFrame, b: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -189,16 +190,63 @@ def lag_correlation(df: DataFrame, keys: Sequence[str], index: str, x: str, y: s
     return best.select(*keys, F.col("_b.r").alias("max_abs_correlation"), F.col("_b.lag").alias("lag"))
 
 
+def _counted(df: DataFrame, keys: Sequence[str], value: str, scale: float) -> tuple[DataFrame, DataFrame]:
+    """(value rows with counts ``_c``, median ``_m`` and scaled MAD ``_s`` of each
+    group), both written: the source is read once, rounds read the counts."""
+    rows = written(df.select(*keys, F.col(value).cast("double").alias("_v")).where("_v is not null"), "values")
+    counted = written(rows.groupBy(*keys, "_v").agg(F.count("*").alias("_c")), "counted")
+    start = written(robust_thresholds(rows, keys, "_v", scale).select(*keys, F.col("median").alias("_m"), F.col("scaled_mad").alias("_s")), "start")
+    discard(rows)
+    return counted, start
+
+
+def _reweighted(counted: DataFrame, state: DataFrame, keys: Sequence[str], c: float) -> DataFrame:
+    """(keys, _m, _s, _n, _t): weights and weighted values of each group, summed;
+    nothing where a group has no spread."""
+    apart = F.abs(F.col("_v") - F.col("_m"))
+    weight = F.col("_c") * F.when(F.col("_s") <= 1e-10, 0.0).when(apart <= c * F.col("_s"), 1.0).otherwise(c * F.col("_s") / apart)
+    return joined(counted, state, keys).withColumn("_w", weight).groupBy(*keys, "_m", "_s").agg(F.sum("_w").alias("_n"), F.sum(F.col("_w") * F.col("_v")).alias("_t"))
+
+
 def huber_means(df: DataFrame, keys: Sequence[str], value: str, c: float = 1.345, rounds: int = 8, scale: float = 1.4826) -> DataFrame:
     """Robust mean of each group by itself with a fixed number of reweighting
     rounds, in SQL; a group without spread keeps its median."""
-    state = robust_thresholds(df, keys, value, scale).select(*keys, F.col("median").alias("_m"), F.col("scaled_mad").alias("_s"))
+    counted, start = _counted(df, keys, value, scale)
+    state = start
     for _ in range(rounds):
-        z = F.abs(F.col(value) - F.col("_m")) / F.col("_s")
-        weight = F.when(F.col("_s") <= 1e-10, 0.0).when(F.abs(F.col(value) - F.col("_m")) <= c * F.col("_s"), 1.0).otherwise(F.lit(c) / z)
-        total = df.select(*keys, value).join(state, list(keys)).withColumn("_w", weight).groupBy(*keys, "_m", "_s").agg(F.sum("_w").alias("_n"), F.sum(F.col("_w") * F.col(value)).alias("_t"))
-        state = total.select(*keys, F.when(F.col("_n") > 0, F.col("_t") / F.when(F.col("_n") > 0, F.col("_n")).otherwise(1.0)).otherwise(F.col("_m")).alias("_m"), "_s")
-    return state.select(*keys, F.col("_m").alias("huber_mean"))
+        state = _reweighted(counted, state, keys, c).select(*keys, F.when(F.col("_n") > 0, F.col("_t") / F.col("_n")).otherwise(F.col("_m")).alias("_m"), "_s")
+    out = written(state.select(*keys, F.col("_m").alias("huber_mean")), "means")
+    discard(counted, start)
+    return out
+
+
+def huber_locations(df: DataFrame, keys: Sequence[str], cells: Sequence[str], value: str, c: float = 1.345, iterations: int = 30, tolerance: float = 1e-7, scale: float = 1.4826) -> DataFrame:
+    """(keys, cells, location, rounds): robust mean of each cell, where the cells
+    of a group of ``keys`` stop together, at the first round in which none moves by
+    ``tolerance``. Cells without spread borrow the median scale of their group's
+    others, or 1. Nulls don't count; null keys are a group like others.
+
+    A round is one aggregation of counted values, with partial sums before the
+    shuffle, so no task holds a group or a cell; it ends with a row per cell, and
+    one row tells whether a group still moves."""
+    both = [*keys, *cells]
+    counted, start = _counted(df, both, value, scale)
+    lent = quantiles(start.where("_s > 1e-10"), keys, "_s", (0.5,)).select(*keys, F.col("q")[0].alias("_lent"))
+    scales = F.when(F.col("_s") > 1e-10, F.col("_s")).otherwise(F.coalesce("_lent", F.lit(1.0)))
+    state = written(joined(start, lent, keys, "left").select(*both, "_m", scales.alias("_s"), F.lit(True).alias("_open"), F.lit(0).alias("_rounds")), "state")
+    discard(start)
+    for _ in range(iterations):
+        total = _reweighted(counted, state.where("_open").select(*both, "_m", "_s"), both, c).drop("_m", "_s")
+        moved = joined(state, total, both, "left").withColumn("_to", F.when(F.col("_n") > 0, F.col("_t") / F.col("_n")).otherwise(F.col("_m")))
+        moved = written(moved.select(*both, "_s", F.col("_to").alias("_m"), F.when(F.col("_open"), F.abs(F.col("_to") - F.col("_m"))).alias("_moved"), (F.col("_rounds") + F.col("_open").cast("int")).alias("_rounds")), "state")
+        goes_on = moved.groupBy(*keys).agg((F.max("_moved") >= tolerance).alias("_on"))
+        discard(state)
+        state = written(joined(moved, goes_on, keys).select(*both, "_m", "_s", F.coalesce("_on", F.lit(False)).alias("_open"), "_rounds"), "state")
+        discard(moved)
+        if state.where("_open").isEmpty():
+            break
+    discard(counted)
+    return state.select(*both, F.col("_m").alias("location"), F.col("_rounds").alias("rounds"))
 
 
 def scoped(df: DataFrame, task: str, pooled: str = "Pooled", name: str = "scope") -> DataFrame:

@@ -423,6 +423,13 @@ def curves_of_fixed_rounds(spark, sf_dir):
     return _rounded(curves.select("file_name", "cue_direction", "channel", F.posexplode("values").alias("i", "v")))
 
 
+@query(_curves_sql(6))
+def located_curves_of_fixed_rounds(spark, sf_dir):
+    cfg = replace(POINTS, huber_iterations=6, huber_tolerance=0.0)
+    curves = signal.located_curves(_epochs(spark, sf_dir), ["file_name", "cue_direction"], cfg.channels, cfg)
+    return _rounded(curves.select("file_name", "cue_direction", "channel", F.posexplode("values").alias("i", "v")))
+
+
 @query()
 def curve_differences(spark, sf_dir):
     curves = signal.fitted_curves(_epochs(spark, sf_dir), ["file_name", "cue_direction"], POINTS.channels, POINTS, POINTS.n_curve_bootstraps, (("F4_minus_F3", "F4", "F3"),), True)

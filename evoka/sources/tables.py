@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -32,6 +33,26 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+_path_of: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows of ``df``, written to the shared folder and read back: a lost
+    executor costs a re-read, and later rounds don't carry the plans of earlier ones."""
+    path = shared_folder(df.sparkSession, f"evoka-{name}")
+    df.write.parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    _path_of[table] = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes tables of ``written`` that no later plan reads, wherever they are."""
+    for table in tables:
+        where = table.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(_path_of.pop(table))
+        where.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
     """A table with a header, UTF-8 with or without a byte order mark. Without a
     schema types are inferred, which reads the file twice."""

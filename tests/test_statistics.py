@@ -90,6 +90,36 @@ def test_resampled_tests_draw_what_the_whole_test_would(spark):
     assert effects.resampled_tests(far, ["k"], "v", "side", 999, 10, 7, 16).first().p_permutation == pytest.approx(1 / 1000)
 
 
+def test_huber_locations_stop_together(spark):
+    """As the kernel has it on whole stacks: each group's own number of rounds,
+    borrowed scales, a group without any spread, ties and null keys."""
+    rng = np.random.default_rng(6)
+    stacks = {"a": rng.standard_t(2, (41, 5)), "b": np.round(rng.normal(size=(30, 4)), 1), "c": np.full((5, 3), 2.5), None: rng.normal(size=(12, 2)) ** 3}
+    stacks["b"][:, 2] = 7.0
+    rows = [(k, j, float(v)) for k, s in stacks.items() for r in s for j, v in enumerate(r)] + [("a", 0, None)]
+    df = spark.createDataFrame(rows, "k string, j int, v double").repartition(5)
+    for iterations, tolerance in ((30, 1e-7), (4, 0.0), (200, 1e-12)):
+        found = {(r.k, r.j): r for r in stats.huber_locations(df, ["k"], ["j"], "v", iterations=iterations, tolerance=tolerance).collect()}
+        assert len(found) == sum(s.shape[1] for s in stacks.values())
+        for k, stack in stacks.items():
+            want = kernels.huber_location(stack, 1.345, iterations, tolerance, 1.4826)
+            assert [found[k, j].location for j in range(stack.shape[1])] == pytest.approx(want.tolist(), abs=1e-9)
+            assert len({found[k, j].rounds for j in range(stack.shape[1])}) == 1
+    assert stats.huber_locations(df.where("false"), ["k"], ["j"], "v").count() == 0
+    assert len({found[k, 0].rounds for k in stacks}) > 1
+
+
+def test_located_curves_are_the_fitted_ones(spark):
+    rng = np.random.default_rng(9)
+    rows = [(f, t, c, rng.standard_t(3, 64).tolist()) for f in ("x", "y") for t in range(25) for c in ("Fz", "F3", "F4") if (f, t, c) != ("y", 3, "F4")]
+    df = spark.createDataFrame(rows, "f string, trial_id int, channel string, values array<double>").repartition(4)
+    cfg = Settings(sample_rate=64.0, epoch_s=(0.0, 1.0))
+    own, other = ({(r.f, r.channel): r for r in made.collect()} for made in (signal.located_curves(df, ["f"], cfg.channels, cfg), signal.fitted_curves(df, ["f"], cfg.channels, cfg)))
+    assert own.keys() == other.keys() and own["y", "Fz"].n_trials == 24
+    for k, r in own.items():
+        assert r.n_trials == other[k].n_trials and list(r["values"]) == pytest.approx(list(other[k]["values"]), abs=1e-9)
+
+
 def test_paths_do_not_grow_with_blocks(spark):
     """A block's path is as long as the number of blocks has binary digits, and
     its sizes are those of the halves; whatever a node deals, all blocks share."""
