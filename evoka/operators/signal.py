@@ -108,38 +108,61 @@ def _stack(rows: pd.DataFrame, channels: Sequence[str]) -> np.ndarray:
     return np.stack([np.stack([np.asarray(x, float) for x in r]) for r in wide.to_numpy()])
 
 
-def fitted_curves(epochs: DataFrame, keys: Sequence[str], channels: Sequence[str], cfg: Settings = Settings(), n_bootstraps: int = 0, contrasts: Sequence[tuple[str, str, str]] = (), keep_draws: bool = False) -> DataFrame:
+def _interval(draws: str) -> Column:
+    """struct<low, high>: the pointwise 95 % interval of drawn curves."""
+
+    @F.pandas_udf("low array<double>, high array<double>")
+    def interval(some: pd.Series) -> pd.DataFrame:
+        made = [np.quantile(np.stack(d), [0.025, 0.975], axis=0) for d in some]
+        return pd.DataFrame({"low": [m[0].tolist() for m in made], "high": [m[1].tolist() for m in made]})
+
+    return interval(draws)
+
+
+def fitted_curves(epochs: DataFrame, keys: Sequence[str], channels: Sequence[str], cfg: Settings = Settings(), n_bootstraps: int = 0, contrasts: Sequence[tuple[str, str, str]] = (), keep_draws: bool = False, per_task: int = 64) -> DataFrame:
     """(keys, channel, n_trials, values, ci_low, ci_high): robust mean of a
     condition's trials, smoothed; with bootstraps of whole trials also the
     pointwise interval. ``contrasts`` (name, plus, minus) are more rows, each the
     difference of two channels' curves with the interval of the paired draws;
     ``keep_draws`` adds the drawn curves in single precision.
 
-    A group is one condition's trials, whose cells stop together, so a task
-    holds a condition; recordings, not conditions, are what a study adds."""
+    A task makes ``per_task`` replicates of a condition, each from the seed of its
+    own number, so results are the same however many tasks there are. The cells of
+    a condition stop together, so a task sees all its trials, one replicate of
+    them at a time; ``located_curves`` fits conditions too large for that."""
     names = list(channels)
+    pieces = max(1, -(-n_bootstraps // per_task))
+    columns = [*names, *(name for name, _, _ in contrasts)]
 
     def run(key, rows: pd.DataFrame) -> pd.DataFrame:
-        stack = _stack(rows, names)
+        stack, piece = _stack(rows, names), int(key[-1])
         n = stack.shape[2]
         matrix = kernels.savgol_matrix(n, kernels.smoothing_length(cfg.smooth_s, cfg.sample_rate, n, cfg.smooth_order), cfg.smooth_order)
-        fit = lambda s: kernels.huber_location(s, cfg.huber_c, cfg.huber_iterations, cfg.huber_tolerance, cfg.mad_scale) @ matrix.T
-        curve, drawn = fit(stack), None
-        if n_bootstraps:
-            rng = np.random.default_rng(int(rows["_seed"].iloc[0]))
-            drawn = np.stack([fit(stack[rng.integers(0, len(stack), len(stack))]).astype(np.float32) for _ in range(n_bootstraps)])
-        of = {c: (curve[i], None if drawn is None else drawn[:, i]) for i, c in enumerate(names)}
-        for name, plus, minus in contrasts:
-            of[name] = (of[plus][0] - of[minus][0], None if drawn is None else of[plus][1] - of[minus][1])
-        lists, out = lambda x: None if x is None else list(map(float, x)), []
-        for name, (own, draws) in of.items():
-            low, high = (None, None) if draws is None else np.quantile(draws, [0.025, 0.975], axis=0)
-            out.append([*key, name, len(stack), lists(own), lists(low), lists(high), *([None if draws is None else [list(map(float, d)) for d in draws]] if keep_draws else [])])
+
+        def fit(some: np.ndarray) -> np.ndarray:
+            return kernels.huber_location(some, cfg.huber_c, cfg.huber_iterations, cfg.huber_tolerance, cfg.mad_scale) @ matrix.T
+
+        def with_contrasts(own: np.ndarray) -> np.ndarray:
+            return np.stack([*own, *(own[names.index(plus)] - own[names.index(minus)] for _, plus, minus in contrasts)])
+
+        curve = with_contrasts(fit(stack)) if piece == 0 else None
+        at = list(range(piece, n_bootstraps, pieces))
+        drawn = []
+        for r in at:
+            rng = np.random.default_rng([int(rows["_seed"].iloc[0]), r])
+            drawn.append(with_contrasts(fit(stack[rng.integers(0, len(stack), len(stack))]).astype(np.float32)))
+        out = [[*key[:-1], name, len(stack), None if curve is None else curve[i].tolist(), at, [d[i].tolist() for d in drawn]] for i, name in enumerate(columns)]
         return pd.DataFrame(out)
 
-    rows = epochs.select(*keys, "trial_id", "channel", "values", keyed_seed(cfg.seed, *[F.col(k).cast("string") for k in keys]).alias("_seed"))
-    schema = f"{_key_schema(rows, keys)}, channel string, n_trials long, values array<double>, ci_low array<double>, ci_high array<double>"
-    return rows.groupBy(*keys).applyInPandas(run, schema + ", draws array<array<float>>" * keep_draws)
+    rows = epochs.select(*keys, "trial_id", "channel", "values", keyed_seed(cfg.seed, *[F.col(k).cast("string") for k in keys]).alias("_seed"), F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))).alias("_piece"))
+    made = rows.groupBy(*keys, "_piece").applyInPandas(run, f"{_key_schema(rows, keys)}, channel string, n_trials long, values array<double>, at array<int>, draws array<array<float>>")
+    whole = made.groupBy(*keys, "channel").agg(F.first("n_trials").alias("n_trials"), F.max("values").alias("values"), F.array_sort(F.flatten(F.collect_list(F.arrays_zip("at", "draws")))).alias("_d")).withColumn("draws", F.transform("_d", lambda d: d["draws"])).drop("_d")
+    none = F.lit(None).cast("array<double>")
+    if n_bootstraps:
+        whole = whole.withColumn("_ci", _interval("draws"))
+    ends = [F.col(f"_ci.{end}") if n_bootstraps else none for end in ("low", "high")]
+    kept = [F.col("draws") if n_bootstraps else F.lit(None).cast("array<array<float>>").alias("draws")] if keep_draws else []
+    return whole.select(*keys, "channel", "n_trials", "values", ends[0].alias("ci_low"), ends[1].alias("ci_high"), *kept)
 
 
 def located_curves(epochs: DataFrame, keys: Sequence[str], channels: Sequence[str], cfg: Settings = Settings()) -> DataFrame:

@@ -120,6 +120,26 @@ def test_located_curves_are_the_fitted_ones(spark):
         assert r.n_trials == other[k].n_trials and list(r["values"]) == pytest.approx(list(other[k]["values"]), abs=1e-9)
 
 
+def test_curve_intervals_do_not_depend_on_tasks(spark):
+    """Replicates have seeds of their own numbers, in whatever task they are made;
+    intervals are near plain draws, those of a contrast from paired ones."""
+    rng = np.random.default_rng(2)
+    stack = rng.normal(size=(30, 3, 64))
+    rows = [("x", t, c, stack[t, j].tolist()) for t in range(30) for j, c in enumerate(("Fz", "F3", "F4"))]
+    df = spark.createDataFrame(rows, "f string, trial_id int, channel string, values array<double>").repartition(3)
+    cfg = Settings(sample_rate=64.0, epoch_s=(0.0, 1.0))
+    found = [{r.channel: r for r in signal.fitted_curves(df, ["f"], cfg.channels, cfg, 40, (("d", "F4", "F3"),), True, per_task).collect()} for per_task in (1, 7, 100)]
+    assert found[0] == found[1] == found[2] and set(found[0]) == {*cfg.channels, "d"}
+    matrix = kernels.savgol_matrix(64, kernels.smoothing_length(cfg.smooth_s, 64.0, 64, cfg.smooth_order), cfg.smooth_order)
+    seed = (zlib.crc32(b"x") + cfg.seed) % (2**32 - 1)
+    draws = [kernels.huber_location(stack[np.random.default_rng([seed, r]).integers(0, 30, 30)], cfg.huber_c, cfg.huber_iterations, cfg.huber_tolerance, cfg.mad_scale) @ matrix.T for r in range(40)]
+    own = {c: np.array([d[j] for d in draws]) for j, c in enumerate(cfg.channels)}
+    own["d"] = own["F4"] - own["F3"]
+    for c, d in own.items():
+        low, high = np.quantile(d, [0.025, 0.975], axis=0)
+        assert found[0][c].ci_low == pytest.approx(low.tolist(), abs=1e-6) and found[0][c].ci_high == pytest.approx(high.tolist(), abs=1e-6)
+
+
 def test_paths_do_not_grow_with_blocks(spark):
     """A block's path is as long as the number of blocks has binary digits, and
     its sizes are those of the halves; whatever a node deals, all blocks share."""
