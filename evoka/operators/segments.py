@@ -6,21 +6,39 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .stats import joined
 
-def run_segments(df: DataFrame, keys: Sequence[str], order: str, code: str, background: object = None) -> DataFrame:
+#: Steps of the order column that make a block.
+BLOCK = 1_000_000
+
+
+def _block(order: str, block: float) -> Column:
+    """The stretch of the order that a row is in; one for orders that aren't numbers."""
+    return F.coalesce(F.floor(F.col(order).try_cast("double") / F.lit(float(block))), F.lit(0))
+
+
+def run_segments(df: DataFrame, keys: Sequence[str], order: str, code: str, background: object = None, block: float = BLOCK) -> DataFrame:
     """Maximal runs of equal codes: keys, run, code, start, end, length.
 
     Runs of ``background`` are dropped after the numbering. A null code fails,
-    and so does a number that isn't whole."""
+    and so does a number that isn't whole. Runs are found within blocks of
+    ``block`` steps of the order, so a long recording is several tasks'; blocks are
+    stitched by a row each, of their first and last code and number of runs."""
     kind = dict(df.dtypes)[code]
     bad = F.col(code).isNull()
     if kind in ("double", "float"):
         bad = bad | F.isnan(code) | (F.col(code) != F.floor(code))
     checked = F.when(bad, F.raise_error(F.lit("a code isn't whole")).cast(kind)).otherwise(F.col(code))
-    by = Window.partitionBy(*keys).orderBy(order)
-    rows = df.select(*keys, order, checked.alias(code))
-    rows = rows.withColumn("_new", F.coalesce(F.col(code) != F.lag(code).over(by), F.lit(True)).cast("int")).withColumn("run", F.sum("_new").over(by))
-    runs = rows.groupBy(*keys, "run").agg(F.first(code).alias(code), F.min(order).alias("start"), F.max(order).alias("end"), F.count("*").alias("length"))
+    by = Window.partitionBy(*keys, "_block").orderBy(order)
+    rows = df.select(*keys, order, checked.alias(code), _block(order, block).alias("_block"))
+    rows = rows.withColumn("_new", F.coalesce(F.col(code) != F.lag(code).over(by), F.lit(True)).cast("int")).withColumn("_part", F.sum("_new").over(by))
+    parts = rows.groupBy(*keys, "_block", "_part").agg(F.first(code).alias(code), F.min(order).alias("start"), F.max(order).alias("end"), F.count("*").alias("length"))
+    seams = parts.groupBy(*keys, "_block").agg(F.min_by(code, "_part").alias("_first"), F.max_by(code, "_part").alias("_last"), F.max("_part").alias("_parts"))
+    along = Window.partitionBy(*keys).orderBy("_block")
+    seams = seams.withColumn("_goes_on", F.coalesce(F.col("_first") == F.lag("_last").over(along), F.lit(False)).cast("long"))
+    before = F.sum(F.col("_parts") - F.col("_goes_on")).over(along.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_parts")
+    numbered = joined(parts, seams.select(*keys, "_block", before.alias("_before")), [*keys, "_block"])
+    runs = numbered.groupBy(*keys, (F.col("_before") + F.col("_part")).alias("run")).agg(F.first(code).alias(code), F.min("start").alias("start"), F.max("end").alias("end"), F.sum("length").alias("length"))
     return runs if background is None else runs.where(F.col(code) != F.lit(background))
 
 
@@ -57,22 +75,34 @@ def slices(marks: DataFrame, samples: DataFrame, keys: Sequence[str], mark: str,
     return places.join(samples, [*keys, index])
 
 
-def fill_gaps(df: DataFrame, keys: Sequence[str], order: str, value: str, bad: Column, least_good: int = 2) -> DataFrame:
+def fill_gaps(df: DataFrame, keys: Sequence[str], order: str, value: str, bad: Column, least_good: int = 2, block: float = BLOCK) -> DataFrame:
     """Adds ``filled``: bad values linearly between their good neighbours, the
     nearest good one beyond the outermost. A group with a bad value and fewer
-    than ``least_good`` good ones fails; null without any, if that is allowed."""
-    by = Window.partitionBy(*keys).orderBy(order)
+    than ``least_good`` good ones fails; null without any, if that is allowed.
+
+    Neighbours are sought within blocks of ``block`` steps of the order, so a long
+    recording is several tasks'; of each block, one row carries its first and last
+    good value to the others."""
     good = F.when(~bad, F.struct(F.col(order).cast("double").alias("x"), F.col(value).cast("double").alias("y")))
-    rows = df.withColumn("_p", F.last(good, ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = df.withColumn("_block", _block(order, block)).withColumn("_g", good)
+    x = F.when(F.col("_g").isNotNull(), F.col(order))
+    ends = rows.groupBy(*keys, "_block").agg(F.min_by("_g", x).alias("_first"), F.max_by("_g", x).alias("_last"), F.count("_g").alias("_n_good"))
+    along, against = Window.partitionBy(*keys).orderBy("_block"), Window.partitionBy(*keys).orderBy(F.desc("_block"))
+    earlier = Window.unboundedPreceding
+    carried = [F.last("_last", ignorenulls=True).over(along.rowsBetween(earlier, -1)).alias("_before"), F.last("_first", ignorenulls=True).over(against.rowsBetween(earlier, -1)).alias("_after"), F.sum("_n_good").over(Window.partitionBy(*keys)).alias("_good")]
+    by = Window.partitionBy(*keys, "_block").orderBy(order)
+    rows = rows.withColumn("_p", F.last("_g", ignorenulls=True).over(by.rowsBetween(earlier, 0)))
     # Backward by a descending order: a frame that ends with its group is built
     # anew for every row.
-    back = Window.partitionBy(*keys).orderBy(F.desc(order))
-    rows = rows.withColumn("_n", F.last(good, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0)))
-    p, n, x = F.col("_p"), F.col("_n"), F.col(order).cast("double")
-    rows = rows.withColumn("_good", F.count(good).over(Window.partitionBy(*keys)))
+    back = Window.partitionBy(*keys, "_block").orderBy(F.desc(order))
+    rows = rows.withColumn("_n", F.last("_g", ignorenulls=True).over(back.rowsBetween(earlier, 0)))
+    rows = joined(rows, ends.select(*keys, "_block", *carried), [*keys, "_block"])
+    p, n, x = F.coalesce("_p", "_before"), F.coalesce("_n", "_after"), F.col(order).cast("double")
+    rows = rows.withColumn("_p", p).withColumn("_n", n)
+    p, n = F.col("_p"), F.col("_n")
     enough = F.when(F.col("_good") >= least_good, F.lit(True)).otherwise(F.raise_error(F.lit("fewer than two good samples")).cast("boolean"))
     between = p["y"] + (n["y"] - p["y"]) * (x - p["x"]) / F.when(n["x"] == p["x"], 1.0).otherwise(n["x"] - p["x"])
-    return rows.withColumn("filled", F.when(~bad, F.col(value).cast("double")).when(~enough, None).when(p.isNull(), n["y"]).when(n.isNull(), p["y"]).otherwise(between)).drop("_p", "_n", "_good")
+    return rows.withColumn("filled", F.when(~bad, F.col(value).cast("double")).when(~enough, None).when(p.isNull(), n["y"]).when(n.isNull(), p["y"]).otherwise(between)).drop("_block", "_g", "_p", "_n", "_good", "_before", "_after")
 
 
 def subtract_baseline(df: DataFrame, keys: Sequence[str], value: str, in_baseline: Column) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from evoka.config import Settings
 from evoka.functions import kernels
 from evoka.functions.columns import keyed_seed
-from evoka.operators import effects, evaluate, signal, stats
+from evoka.operators import effects, evaluate, segments, signal, stats
 from evoka.streaming.quality import windowed_quality
 
 
@@ -140,6 +140,35 @@ def test_curve_intervals_do_not_depend_on_tasks(spark):
         assert found[0][c].ci_low == pytest.approx(low.tolist(), abs=1e-6) and found[0][c].ci_high == pytest.approx(high.tolist(), abs=1e-6)
 
 
+@pytest.mark.parametrize("block", [1, 3, 10, 10**6])
+def test_runs_and_gaps_over_blocks(spark, block):
+    """Blocks of any size give what the whole recording gives; null keys, runs and
+    gaps over many blocks, groups without a good value."""
+    rng = np.random.default_rng(3)
+    rows = [(k, i, int(c), float(v)) for k, n in (("a", 80), ("b", 37), (None, 25), ("one", 1)) for i, c, v in zip(np.cumsum(rng.integers(1, 4, n)).tolist(), np.repeat(rng.integers(0, 3, n), rng.integers(1, 12, n))[:n], rng.normal(size=n), strict=True)]
+    df = spark.createDataFrame(rows, "k string, i long, c int, v double").repartition(6)
+    runs, want = {}, []
+    for k, i, c, _ in rows:
+        own = runs.setdefault(k, [])
+        if own and own[-1][0] == c:
+            own[-1][2:] = [i, own[-1][3] + 1]
+        else:
+            own.append([c, i, i, 1])
+    want = [(k, n, *r) for k, own in runs.items() for n, r in enumerate(own, 1)]
+    found = segments.run_segments(df, ["k"], "i", "c", block=block)
+    assert sorted(map(str, map(tuple, found.select("k", "run", "c", "start", "end", "length").collect()))) == sorted(map(str, want))
+    bad = (F.col("c") == 1) | (F.col("k") == "one")
+    filled = {(r.k, r.i): r.filled for r in segments.fill_gaps(df, ["k"], "i", "v", F.coalesce(bad, F.col("c") == 1), 0, block).collect()}
+    for k in runs:
+        own = [r for r in rows if r[0] == k]
+        kept = [(i, v) for _, i, c, v in own if c != 1 and k != "one"]
+        for _, i, c, v in own:
+            want = v if c != 1 and k != "one" else None if not kept else np.interp(i, *zip(*kept, strict=True))
+            assert filled[k, i] == (want if want is None else pytest.approx(want, abs=1e-12))
+    plan = segments.run_segments(df, ["k"], "i", "c", block=block)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(k" in plan and "_block" in plan
+
+
 def test_paths_do_not_grow_with_blocks(spark):
     """A block's path is as long as the number of blocks has binary digits, and
     its sizes are those of the halves; whatever a node deals, all blocks share."""
