@@ -81,6 +81,96 @@ def zero_phase(x: np.ndarray, sections: np.ndarray) -> np.ndarray:
     return ext[pad : len(ext) - pad]
 
 
+def run_sections(x: np.ndarray, sections: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(outputs, state after) of all sections over ``x`` from a state of two
+    numbers a section."""
+    after = np.empty(2 * len(sections))
+    for k, section in enumerate(sections):
+        own = state[2 * k : 2 * k + 2]
+        y = _filtered(x, section, own) if len(x) else x
+        _, b1, b2, _, a1, a2 = section
+        for u, v in zip(x[-2:], y[-2:], strict=True):
+            own = np.array([b1 * u - a1 * v + own[1], b2 * u - a2 * v])
+        after[2 * k : 2 * k + 2] = own
+        x = y
+    return x, after
+
+
+def _settled(sections: np.ndarray, value: float) -> np.ndarray:
+    """State of the sections after a constant ``value`` for ever."""
+    scale, out = float(value), []
+    for s in sections:
+        out += [scale * part for part in _steady(s)]
+        scale *= float(s[:3].sum() / s[3:].sum())
+    return np.array(out)
+
+
+def zero_phase_summary(x: np.ndarray, sections: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A block's part in the states that it hands on, from no state: forward over
+    the block, and backward over what that gives."""
+    none = np.zeros(2 * len(sections))
+    y, after = run_sections(x, sections, none)
+    return after, run_sections(y[::-1], sections, none)[1]
+
+
+def _passing(sections: np.ndarray):
+    """Function of a length n: (what n samples leave of a state before them, what
+    that state hands on when its outputs are run over backward)."""
+    size = 2 * len(sections)
+    step, drive, out, straight = np.zeros((size, size)), np.zeros(size), np.zeros(size), 1.0
+    for k, (b0, b1, b2, _, a1, a2) in enumerate(sections):
+        own = slice(2 * k, 2 * k + 2)
+        into = np.array([b1 - a1 * b0, b2 - a2 * b0])
+        step[own, :] += np.outer(into, out)
+        step[own, own] += np.array([[-a1, 1.0], [-a2, 0.0]])
+        drive[own] = into * straight
+        out, straight = b0 * out, b0 * straight
+        out[2 * k] += 1.0
+    known = {0: (np.eye(size), np.zeros((size, size))), 1: (step, np.outer(drive, out))}
+
+    def of(n: int) -> tuple[np.ndarray, np.ndarray]:
+        if n not in known:
+            (m, h), (m2, h2) = of(n // 2), of(n - n // 2)
+            known[n] = m @ m2, h + m @ h2 @ m
+        return known[n]
+
+    return of
+
+
+def zero_phase_pad(sections: np.ndarray, n: int) -> int:
+    return min(3 * (2 * len(sections) + 1), n - 1)
+
+
+def zero_phase_states(lengths: list[int], heads: list, tails: list, ahead: list, behind: list, sections: np.ndarray) -> tuple[list, list]:
+    """States before each block of a series, forward and backward, from their
+    summaries, their first and their last samples (as many as the padding and one
+    more, or all)."""
+    n, of = sum(lengths), _passing(sections)
+    pad = zero_phase_pad(sections, n)
+    first = np.concatenate([*heads])[: pad + 1] if len(heads[0]) <= pad else np.asarray(heads[0])[: pad + 1]
+    last = np.concatenate([*tails])[-pad - 1 :] if len(tails[-1]) <= pad else np.asarray(tails[-1])[-pad - 1 :]
+    front, rear = 2 * first[0] - first[pad:0:-1], 2 * last[-1] - last[-2::-1]
+    state = run_sections(front, sections, _settled(sections, front[0] if pad else first[0]))[1]
+    forward = []
+    for length, own in zip(lengths, ahead, strict=True):
+        forward.append(state)
+        state = of(length)[0] @ state + own
+    # The padding at the end, filtered, is where the way back begins.
+    rear = run_sections(rear, sections, state)[0]
+    state = run_sections(rear[::-1], sections, _settled(sections, rear[-1] if pad else 0.0))[1]
+    backward = []
+    for length, own, start in zip(lengths[::-1], behind[::-1], forward[::-1], strict=True):
+        backward.append(state)
+        left, turned = of(length)
+        state = left @ state + own + turned @ start
+    return forward, backward[::-1]
+
+
+def zero_phase_block(x: np.ndarray, sections: np.ndarray, forward: np.ndarray, backward: np.ndarray) -> np.ndarray:
+    y, _ = run_sections(x, sections, forward)
+    return run_sections(y[::-1], sections, backward)[0][::-1]
+
+
 def welch(x: np.ndarray, rate: float, n_segment: int, n_overlap: int, n_fft: int | None = None, detrend: str = "constant") -> tuple[np.ndarray, np.ndarray]:
     """(frequencies, one-sided densities) of the last axis: mean of periodograms
     with a periodic Hann window; a last piece shorter than a segment isn't used."""

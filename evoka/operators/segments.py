@@ -12,7 +12,7 @@ from .stats import joined
 BLOCK = 1_000_000
 
 
-def _block(order: str, block: float) -> Column:
+def block_of(order: str, block: float) -> Column:
     """The stretch of the order that a row is in; one for orders that aren't numbers."""
     return F.coalesce(F.floor(F.col(order).try_cast("double") / F.lit(float(block))), F.lit(0))
 
@@ -30,7 +30,7 @@ def run_segments(df: DataFrame, keys: Sequence[str], order: str, code: str, back
         bad = bad | F.isnan(code) | (F.col(code) != F.floor(code))
     checked = F.when(bad, F.raise_error(F.lit("a code isn't whole")).cast(kind)).otherwise(F.col(code))
     by = Window.partitionBy(*keys, "_block").orderBy(order)
-    rows = df.select(*keys, order, checked.alias(code), _block(order, block).alias("_block"))
+    rows = df.select(*keys, order, checked.alias(code), block_of(order, block).alias("_block"))
     rows = rows.withColumn("_new", F.coalesce(F.col(code) != F.lag(code).over(by), F.lit(True)).cast("int")).withColumn("_part", F.sum("_new").over(by))
     parts = rows.groupBy(*keys, "_block", "_part").agg(F.first(code).alias(code), F.min(order).alias("start"), F.max(order).alias("end"), F.count("*").alias("length"))
     seams = parts.groupBy(*keys, "_block").agg(F.min_by(code, "_part").alias("_first"), F.max_by(code, "_part").alias("_last"), F.max("_part").alias("_parts"))
@@ -84,7 +84,7 @@ def fill_gaps(df: DataFrame, keys: Sequence[str], order: str, value: str, bad: C
     recording is several tasks'; of each block, one row carries its first and last
     good value to the others."""
     good = F.when(~bad, F.struct(F.col(order).cast("double").alias("x"), F.col(value).cast("double").alias("y")))
-    rows = df.withColumn("_block", _block(order, block)).withColumn("_g", good)
+    rows = df.withColumn("_block", block_of(order, block)).withColumn("_g", good)
     x = F.when(F.col("_g").isNotNull(), F.col(order))
     ends = rows.groupBy(*keys, "_block").agg(F.min_by("_g", x).alias("_first"), F.max_by("_g", x).alias("_last"), F.count("_g").alias("_n_good"))
     along, against = Window.partitionBy(*keys).orderBy("_block"), Window.partitionBy(*keys).orderBy(F.desc("_block"))

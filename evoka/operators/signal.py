@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..config import Settings
 from ..functions import kernels
 from ..functions.columns import keyed_seed
+from .segments import BLOCK, block_of
 from .stats import huber_locations, joined, peak_lag
 
 
@@ -19,19 +20,52 @@ def _key_schema(df: DataFrame, keys: Sequence[str]) -> str:
     return ", ".join(f"`{k}` {dict(df.dtypes)[k]}" for k in keys)
 
 
-def bandpass(samples: DataFrame, keys: Sequence[str], index: str, value: str, cfg: Settings = Settings()) -> DataFrame:
-    """Zero-phase band-pass of each series, which one task filters as a whole:
-    the recursion runs from end to end. Values must have no gaps."""
+def bandpass(samples: DataFrame, keys: Sequence[str], index: str, value: str, cfg: Settings = Settings(), block: float = BLOCK) -> DataFrame:
+    """Zero-phase band-pass of each series. Values must have no gaps; a series of
+    one sample is 0.
+
+    A task filters a block of ``block`` steps of the index. A first pass gives what
+    each block adds to the filter's state, forward and backward, if it begins from
+    nothing; a scan of these rows, one a block, gives the states that blocks really
+    begin from; a second pass filters."""
     sections = kernels.butterworth_bandpass(cfg.filter_order, *cfg.band_hz, cfg.sample_rate)
+    most = kernels.zero_phase_pad(sections, 10**9) + 1
+    lists = pa.list_(pa.float64())
 
-    def run(table: pa.Table) -> pa.Table:
+    def sorted_values(table: pa.Table) -> tuple[pa.Table, np.ndarray]:
         table = table.sort_by(index)
-        x = table.column(value).to_numpy().astype(float)
-        y = kernels.zero_phase(x, sections) if len(x) > 1 else x - x
+        return table, table.column(value).to_numpy().astype(float)
+
+    def summary(table: pa.Table) -> pa.Table:
+        _, x = sorted_values(table)
+        ahead, behind = kernels.zero_phase_summary(x, sections)
+        made = {"_n": pa.array([len(x)], pa.int64()), **{name: pa.array([own.tolist()], lists) for name, own in (("_head", x[:most]), ("_tail", x[-most:]), ("_ahead", ahead), ("_behind", behind))}}
+        out = table.slice(0, 1).select([*keys, "_block"])
+        for name, own in made.items():
+            out = out.append_column(name, own)
+        return out
+
+    def scan(key, parts: pd.DataFrame) -> pd.DataFrame:
+        parts = parts.sort_values("_block")
+        n = parts["_n"].tolist()
+        if sum(n) > 1:
+            states = kernels.zero_phase_states(n, *(parts[c].tolist() for c in ("_head", "_tail", "_ahead", "_behind")), sections)
+            parts["_forward"], parts["_backward"] = ([x.tolist() for x in own] for own in states)
+        else:
+            parts["_forward"] = parts["_backward"] = None
+        return parts[[*keys, "_block", "_forward", "_backward"]]
+
+    def run(table: pa.Table, states: pa.Table) -> pa.Table:
+        table, x = sorted_values(table)
+        forward, backward = (states.column(c)[0].as_py() for c in ("_forward", "_backward"))
+        y = x - x if forward is None else kernels.zero_phase_block(x, sections, np.array(forward), np.array(backward))
         return table.select([*keys, index]).append_column("filtered", pa.array(y))
 
-    rows = samples.select(*keys, F.col(index).cast("long").alias(index), F.col(value).cast("double").alias(value))
-    return rows.groupBy(*keys).applyInArrow(run, f"{_key_schema(rows, keys)}, `{index}` long, filtered double")
+    rows = samples.select(*keys, F.col(index).cast("long").alias(index), F.col(value).cast("double").alias(value), block_of(index, block).alias("_block"))
+    own = _key_schema(rows, keys)
+    parts = rows.groupBy(*keys, "_block").applyInArrow(summary, f"{own}, _block long, _n long, _head array<double>, _tail array<double>, _ahead array<double>, _behind array<double>")
+    states = parts.groupBy(*keys).applyInPandas(scan, f"{own}, _block long, _forward array<double>, _backward array<double>")
+    return rows.groupBy(*keys, "_block").cogroup(states.groupBy(*keys, "_block")).applyInArrow(run, f"{own}, `{index}` long, filtered double")
 
 
 def spectra(samples: DataFrame, keys: Sequence[str], index: str, value: str, rate: float, n_segment: int = 8192, n_overlap: int = 4096) -> DataFrame:

@@ -97,3 +97,14 @@ def test_hypergeometric_beyond_numpy(monkeypatch):
     x, total = kernels.hypergeometric(good, bad, np.full(20_000, n), rng), good + bad
     spread = math.sqrt(n * (good / total) * (bad / total) * (total - n) / (total - 1))
     assert x.mean() - n * good / total == pytest.approx(0, abs=5 * spread / 141) and x.std() == pytest.approx(spread, rel=0.03)
+
+
+@pytest.mark.parametrize("cuts", [[300], [1] * 40 + [260], [27, 28, 1, 100, 144], [150, 150], [3, 2], [1, 1], [5]])
+def test_zero_phase_of_blocks_is_that_of_the_whole(cuts):
+    sections, x = kernels.butterworth_bandpass(4, 0.5, 30, RATE), np.random.default_rng(len(cuts)).normal(3, 2, sum(cuts))
+    blocks = np.split(x, np.cumsum(cuts)[:-1])
+    made = [kernels.zero_phase_summary(b, sections) for b in blocks]
+    most = kernels.zero_phase_pad(sections, 10**9) + 1
+    states = kernels.zero_phase_states(cuts, [b[:most] for b in blocks], [b[-most:] for b in blocks], [m[0] for m in made], [m[1] for m in made], sections)
+    found = np.concatenate([kernels.zero_phase_block(b, sections, f, s) for b, f, s in zip(blocks, *states, strict=True)])
+    assert found == pytest.approx(kernels.zero_phase(x, sections), abs=1e-9)

@@ -169,6 +169,19 @@ def test_runs_and_gaps_over_blocks(spark, block):
     assert "hashpartitioning(k" in plan and "_block" in plan
 
 
+def test_bandpass_of_a_recording_in_many_tasks(spark):
+    rng = np.random.default_rng(5)
+    series = {"long": rng.normal(2, 3, 4001), "short": rng.normal(size=9), "one": np.array([4.0]), None: rng.normal(size=700)}
+    df = spark.createDataFrame([(k, 3 * i + 1, float(v)) for k, x in series.items() for i, v in enumerate(x)], "k string, i long, v double").repartition(7)
+    sections = kernels.butterworth_bandpass(4, 0.5, 30, 256.0)
+    for block in (10, 1500, 10**6):
+        found = {(r.k, r.i): r.filtered for r in signal.bandpass(df, ["k"], "i", "v", block=block).collect()}
+        assert len(found) == sum(map(len, series.values()))
+        for k, x in series.items():
+            want = kernels.zero_phase(x, sections) if len(x) > 1 else [0.0]
+            assert [found[k, 3 * i + 1] for i in range(len(x))] == pytest.approx(list(want), abs=1e-9)
+
+
 def test_paths_do_not_grow_with_blocks(spark):
     """A block's path is as long as the number of blocks has binary digits, and
     its sizes are those of the halves; whatever a node deals, all blocks share."""
