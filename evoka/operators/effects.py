@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import kernels
 from ..functions.columns import array_quantile, keyed_seed
+from .stats import joined
 
 
 def hedges_g(df: DataFrame, keys: Sequence[str], value: str, is_right: Column, least_variance: float = 1e-12) -> DataFrame:
@@ -26,17 +27,31 @@ def hedges_g(df: DataFrame, keys: Sequence[str], value: str, is_right: Column, l
     return out.select(*keys, "n_left", "n_right", "mean_left", "mean_right", difference.alias("difference"), F.when(free > 0, g).alias("hedges_g"))
 
 
-def benjamini_hochberg(df: DataFrame, family: Sequence[str], p: str, unique: Sequence[str], name: str = "p_fdr_bh") -> DataFrame:
+def benjamini_hochberg(df: DataFrame, family: Sequence[str], p: str, unique: Sequence[str] = (), name: str = "p_fdr_bh", parts: int = 256) -> DataFrame:
     """Adds the false-discovery-rate p of each test within its family, and
-    whether it is under 0.05. ``unique`` orders ties; null p's aren't tests.
+    whether it is under 0.05. Null p's aren't tests; equal p's have one outcome, so
+    ``unique`` isn't needed.
 
-    The ranks of a family are a running count over it: a family is a list of
-    tests, one row for each, small beside the data that they are made from."""
+    No task holds a family: its distinct p's are counted, and fall by size into
+    blocks, ``parts`` for each halving of p. Ranks run within blocks, upon the
+    number of tests in those below; minima within blocks, down from the least of
+    those above."""
     tests = df.where(F.col(p).isNotNull())
-    by = W.partitionBy(*family) if family else W.partitionBy(F.lit(0))
-    up, down = by.orderBy(F.col(p), *unique), by.orderBy(F.desc(p), *[F.desc(u) for u in unique])
-    raw = tests.withColumn("_q", F.col(p) * F.count("*").over(by) / F.row_number().over(up))
-    out = raw.withColumn(name, F.least(F.lit(1.0), F.min("_q").over(down.rowsBetween(W.unboundedPreceding, 0)))).drop("_q")
+    block = F.coalesce(F.floor(parts * F.log2(F.when(F.col("_p") > 0, F.col("_p")))), F.lit(-(2**40)))
+    cells = tests.groupBy(*family, F.col(p).alias("_p")).agg(F.count("*").alias("_c")).withColumn("_block", block)
+    everywhere = list(family) or [F.lit(0)]
+    sizes = cells.groupBy(*family, "_block").agg(F.sum("_c").alias("_size"))
+    along, against = W.partitionBy(*everywhere).orderBy("_block"), W.partitionBy(*everywhere).orderBy(F.desc("_block"))
+    earlier = W.unboundedPreceding
+    sizes = sizes.select(*family, "_block", (F.sum("_size").over(along.rowsBetween(earlier, 0)) - F.col("_size")).alias("_below"), F.sum("_size").over(W.partitionBy(*everywhere)).alias("_n"))
+    inside = W.partitionBy(*family, "_block")
+    ranked = joined(cells, sizes, [*family, "_block"]).withColumn("_rank", F.col("_below") + F.sum("_c").over(inside.orderBy("_p").rowsBetween(earlier, 0)))
+    # The last of equal p's has the least ratio.
+    ranked = ranked.withColumn("_q", F.col("_p") * F.col("_n") / F.col("_rank"))
+    least = ranked.groupBy(*family, "_block").agg(F.min("_q").alias("_own")).select(*family, "_block", F.min("_own").over(against.rowsBetween(earlier, -1)).alias("_above"))
+    down = F.min("_q").over(inside.orderBy(F.desc("_p")).rowsBetween(earlier, 0))
+    found = joined(ranked.withColumn("_down", down), least, [*family, "_block"]).select(*family, "_p", F.least(F.lit(1.0), "_down", F.coalesce("_above", F.lit(1.0))).alias(name))
+    out = joined(tests.withColumn("_p", F.col(p)), found, [*family, "_p"]).drop("_p")
     return out.withColumn("significant", F.col(name) < 0.05)
 
 

@@ -603,6 +603,19 @@ def epoch_round_trip(spark, sf_dir):
     return rows.select("file_name", "trial_id", "channel", F.posexplode("values").alias("i", "v")).withColumn("v", neat(F.col("v"), 7))
 
 
+@query(f"""WITH {EPOCHS_SQL} SELECT file_name, trial_id::INT AS trial_id, channel, i, i / 64.0::DOUBLE AS time_s, CASE trial_id % 3 WHEN 0 THEN -1 WHEN 1 THEN 1 ELSE 0 END::TINYINT AS behavior_code, round(v::FLOAT::DOUBLE, 7) + 0.0 AS v FROM ep""")
+def archive_round_trip(spark, sf_dir):
+    from .sources import tables
+
+    path = tables.shared_folder(spark, "archive")
+    known = F.when(F.col("trial_id") % 3 != 0, F.col("trial_id") % 3 == 1)
+    tables.write_archive(_epochs(spark, sf_dir).withColumn("correct", known), path, POINTS, "correct")
+    rows = tables.read_archive(spark, path, POINTS, ("file_name", "trial_id", "channel", "values", "behavior_code"))
+    axis = F.broadcast(tables.archive_facts(spark, path).select(F.posexplode("time_s").alias("i", "time_s")))
+    points = rows.select("file_name", "trial_id", "channel", "behavior_code", F.posexplode("values").alias("i", "v")).join(axis, "i")
+    return points.withColumn("v", neat(F.col("v"), 7))
+
+
 @query("""SELECT CASE WHEN n_nationkey % 2 = 0 THEN 'StudyCogA' ELSE 'StudyCogB' END || '_Task-' || (n_nationkey % 3) || '.mat' AS file_name, CASE WHEN n_nationkey % 2 = 0 THEN 'A' ELSE 'B' END AS subject, CASE WHEN n_nationkey % 3 = 1 THEN 'Task-1' ELSE 'Task-2' END AS task, count(*) AS n FROM nation GROUP BY ALL""")
 def file_facts(spark, sf_dir):
     from .sources import tables

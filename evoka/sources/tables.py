@@ -111,6 +111,58 @@ def read_epochs(spark: SparkSession, path: str, n_times: int, columns: Sequence[
     return rows.withColumn("values", F.when(whole, values).otherwise(F.raise_error(F.lit("an epoch isn't whole")).cast("array<double>")))
 
 
+#: Version of the archives that this library writes and reads.
+ARCHIVE = 1
+
+
+def _facts(cfg: Settings) -> dict:
+    """What an archive says of its epochs, as plain values."""
+    first = cfg.curve_windows[0]
+    return {
+        "version": ARCHIVE,
+        "sample_rate_hz": float(cfg.sample_rate),
+        "channel_labels": list(cfg.channels),
+        "time_s": cfg.times(),
+        "filter_band_hz": [float(x) for x in cfg.band_hz],
+        "epoch_window_s": [float(x) for x in cfg.epoch_s],
+        "baseline_window_s": [cfg.baseline.low, cfg.baseline.high],
+        "first_window_s": [first.low, first.high],
+    }
+
+
+_FACTS = "version int, sample_rate_hz double, channel_labels array<string>, time_s array<double>, filter_band_hz array<double>, epoch_window_s array<double>, baseline_window_s array<double>, first_window_s array<double>"
+
+
+def write_archive(epochs: DataFrame, folder: str, cfg: Settings = Settings(), correct: str | None = None) -> None:
+    """Epochs and, beside them, one row of facts: version, rate, labels in order,
+    time axis, band and windows. ``correct`` names a nullable boolean that is kept
+    as ``behavior_code``: 1, 0, or -1 where it isn't known. The facts are written
+    last, so a folder without them is no archive."""
+    if correct is not None:
+        epochs = epochs.withColumn("behavior_code", F.coalesce(F.col(correct).cast("int"), F.lit(-1)).cast("tinyint"))
+    write_epochs(epochs, f"{folder}/epochs")
+    row = _facts(cfg)
+    epochs.sparkSession.createDataFrame([tuple(row.values())], _FACTS).coalesce(1).write.json(f"{folder}/facts")
+
+
+def archive_facts(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema(_FACTS).json(f"{folder}/facts")
+
+
+def read_archive(spark: SparkSession, folder: str, cfg: Settings = Settings(), columns: Sequence[str] = ("file_name", "trial_id", "channel", "values")) -> DataFrame:
+    """Epochs of an archive whose facts are those of ``cfg``; another version, rate,
+    axis, window or order of labels is refused before an epoch is read. Channels
+    that the labels don't name fail the task that reads them."""
+    found = archive_facts(spark, folder).first()
+    if found is None:
+        raise ValueError("the folder has no facts of an archive")
+    for name, want in _facts(cfg).items():
+        if found[name] != want:
+            raise ValueError(f"the archive's {name} is {found[name]}, not {want}")
+    rows = read_epochs(spark, f"{folder}/epochs", len(cfg.times()), columns)
+    return require(rows, F.col("channel").isin(*cfg.channels), "a channel isn't among the labels") if "channel" in columns else rows
+
+
 def require(df: DataFrame, condition: Column, message: str) -> DataFrame:
     """The rows; one that doesn't fit the condition fails its task."""
     ok = F.when(F.coalesce(condition, F.lit(False)), F.lit(True)).otherwise(F.raise_error(F.lit(message)).cast("boolean"))

@@ -3,6 +3,7 @@
 import itertools
 import math
 import zlib
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
@@ -13,6 +14,7 @@ from evoka.config import Settings
 from evoka.functions import kernels
 from evoka.functions.columns import keyed_seed
 from evoka.operators import effects, evaluate, segments, signal, stats
+from evoka.sources import tables
 from evoka.streaming.quality import windowed_quality
 
 
@@ -182,6 +184,45 @@ def test_bandpass_of_a_recording_in_many_tasks(spark):
             assert [found[k, 3 * i + 1] for i in range(len(x))] == pytest.approx(list(want), abs=1e-9)
 
 
+@pytest.mark.parametrize("parts", [1, 256])
+def test_adjusted_p_of_large_families(spark, parts):
+    """Ties, zeros, ones, nulls and null families, in few blocks or in many."""
+    rng = np.random.default_rng(7)
+    rows = [(k, i, float(x)) for k, n in (("a", 400), (None, 90), ("b", 3), ("c", 1)) for i, x in enumerate(np.where(rng.random(n) < 0.4, rng.integers(0, 6, n) / 5, rng.random(n) ** 6))]
+    df = spark.createDataFrame([*rows, ("a", 1000, None)], "k string, i int, p double").repartition(5)
+
+    def adjusted(p):
+        order = np.argsort(p, kind="stable")
+        q = np.minimum.accumulate((p[order] * len(p) / np.arange(1, len(p) + 1))[::-1])[::-1]
+        out = np.empty(len(p))
+        out[order] = np.minimum(1, q)
+        return out
+
+    found = {(r.k, r.i): r for r in effects.benjamini_hochberg(df, ["k"], "p", parts=parts).collect()}
+    assert len(found) == len(rows)
+    for k in ("a", None, "b", "c"):
+        own = [r for r in rows if r[0] == k]
+        for (_, i, _), q in zip(own, adjusted(np.array([r[2] for r in own])), strict=True):
+            assert found[k, i].p_fdr_bh == pytest.approx(q, abs=1e-12) and found[k, i].significant == (found[k, i].p_fdr_bh < 0.05)
+    whole = {(r.k, r.i): r.p_fdr_bh for r in effects.benjamini_hochberg(df, [], "p", parts=parts).collect()}
+    assert [whole[k, i] for k, i, _ in rows] == pytest.approx(adjusted(np.array([r[2] for r in rows])).tolist(), abs=1e-12)
+
+
+def test_archives_of_other_facts_are_refused(spark, tmp_path):
+    cfg = Settings(sample_rate=64.0, epoch_s=(0.0, 1.0))
+    rows = [("x", t, c, [float(t)] * 64, known) for t, known in ((1, True), (2, False), (3, None)) for c in cfg.channels]
+    df = spark.createDataFrame(rows, "file_name string, trial_id int, channel string, values array<double>, ok boolean")
+    tables.write_archive(df, f"{tmp_path}/a", cfg, "ok")
+    back = tables.read_archive(spark, f"{tmp_path}/a", cfg, ("trial_id", "channel", "values", "behavior_code"))
+    assert {(r.trial_id, r.behavior_code) for r in back.collect()} == {(1, 1), (2, 0), (3, -1)} and dict(back.dtypes)["behavior_code"] == "tinyint"
+    for change, said in (({"sample_rate": 128.0}, "sample_rate_hz"), ({"channels": ("F3", "Fz", "F4")}, "channel_labels"), ({"epoch_s": (0.25, 1.25)}, "time_s"), ({"band_hz": (1.0, 30.0)}, "filter_band_hz")):
+        with pytest.raises(ValueError, match=said):
+            tables.read_archive(spark, f"{tmp_path}/a", replace(cfg, **change))
+    tables.write_archive(df.withColumn("channel", F.lit("Oz")), f"{tmp_path}/b", cfg)
+    with pytest.raises(Exception, match="isn't among the labels"):
+        tables.read_archive(spark, f"{tmp_path}/b", cfg).collect()
+
+
 def test_paths_do_not_grow_with_blocks(spark):
     """A block's path is as long as the number of blocks has binary digits, and
     its sizes are those of the halves; whatever a node deals, all blocks share."""
