@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..config import Settings
@@ -41,7 +42,9 @@ def fit_split(x: np.ndarray, y: np.ndarray, cfg: Settings, rng: np.random.Genera
         raise ValueError("fewer than three rows of a class")
     fold = kernels.stratified_folds(y, n_folds, rng)
     n_varying = int((x.var(axis=0) > 1e-12).sum())
-    sizes = sorted({max(2, min(k, n_varying)) for k in cfg.n_selected})
+    sizes = sorted({min(k, n_varying) for k in cfg.n_selected if min(k, n_varying) >= 2})
+    if not sizes:
+        raise ValueError("fewer than two features vary")
     best = (-1.0, None, None)
     for c in cfg.penalties:
         for k in sizes:
@@ -59,6 +62,64 @@ def fit_split(x: np.ndarray, y: np.ndarray, cfg: Settings, rng: np.random.Genera
     return at, mean, spread, kernels.fit_logistic((x[:, at] - mean) / spread, y, c), c, k, score
 
 
+def logistic_weights(df: DataFrame, keys: Sequence[str], x: str, label: str, penalties: Sequence[float], rounds: int = 50, tolerance: float = 1e-10) -> dict[tuple, np.ndarray]:
+    """Weights of ``kernels.fit_logistic`` (intercept last) for each group of
+    ``keys`` and penalty, as {(*key, penalty): weights}, of rows with an array ``x``
+    and a label 0 or 1, whatever their number.
+
+    Newton's method: a round is one pass in which every task adds up the gradients
+    and Gram matrices of its own rows for all models at once, and the tasks' sums
+    meet by model. What the driver holds is a matrix a model, so models and
+    features should be few; rows may be many. Models that have settled are left
+    out of the next round. Null labels don't count; null or ragged arrays fail."""
+    names = list(keys)
+    rows = df.where(F.col(label).isNotNull()).select(F.struct(*names).alias("key") if names else F.struct(F.lit(0).alias("_none")).alias("key"), F.col(x).cast("array<double>").alias("x"), F.col(label).cast("int").alias("y"))
+    heads = rows.groupBy("key").agg(F.count("*").alias("n"), F.sum("y").alias("ones"), F.min(F.size("x")).alias("least"), F.max(F.size("x")).alias("most")).collect()
+    if any(h.least != h.most or h.least < 0 for h in heads):
+        raise ValueError("arrays of a group differ in length")
+    counts = {tuple(h.key) if names else (): (h.n, h.ones) for h in heads}
+    weights = {(*(tuple(h.key) if names else ()), c): np.zeros(h.least + 1) for h in heads for c in penalties}
+    open_ = set(weights)
+    for _ in range(rounds):
+        if not open_:
+            break
+        models = {m: weights[m] for m in open_}
+
+        def run(batches, models=models):
+            sums: dict[tuple, list] = {}
+            for batch in batches:
+                of = [tuple(k.values()) if names else () for k in batch.column(0).to_pylist()]
+                y, values = batch.column(2).to_numpy(), batch.column(1)
+                for key in set(of):
+                    at = np.array([i for i, k in enumerate(of) if k == key])
+                    z = np.column_stack([np.array(values.take(pa.array(at)).to_pylist(), float), np.ones(len(at))])
+                    n, ones = counts[key]
+                    s = np.where(y[at] == 1, 1.0, -1.0)
+                    weight = np.where(s > 0, n / (2 * max(1, ones)), n / (2 * max(1, n - ones)))
+                    for model, w in models.items():
+                        if model[:-1] == key:
+                            p = 1 / (1 + np.exp(np.clip(s * (z @ w), -500, 500)))
+                            own = sums.setdefault(model, [np.zeros(len(w)), np.zeros((len(w), len(w)))])
+                            own[0] += z.T @ (weight * s * p)
+                            own[1] += (z * (weight * p * (1 - p))[:, None]).T @ z
+            order = sorted(models, key=str)
+            made = [(order.index(m), np.concatenate([g, h.ravel()]).tolist()) for m, (g, h) in sums.items()]
+            yield pa.RecordBatch.from_arrays([pa.array([m for m, _ in made], pa.int32()), pa.array([v for _, v in made], pa.list_(pa.float64()))], names=["model", "sums"])
+
+        order = sorted(models, key=str)
+        parts = rows.mapInArrow(run, "model int, sums array<double>").select("model", F.posexplode("sums").alias("at", "v")).groupBy("model", "at").agg(F.sum("v").alias("v"))
+        found = parts.groupBy("model").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "v"))), lambda e: e["v"]).alias("sums")).collect()
+        for r in found:
+            model, total = order[r.model], np.array(r.sums)
+            w, c = weights[model], model[-1]
+            gradient, hessian = w - c * total[: len(w)], np.eye(len(w)) + c * total[len(w) :].reshape(len(w), len(w))
+            step = np.linalg.solve(hessian, gradient)
+            weights[model] = w - step
+            if np.abs(step).max() < tolerance:
+                open_.discard(model)
+    return weights
+
+
 def cross_subject(features: DataFrame, groups: dict[str, list[str]], cfg: Settings = Settings(), label: str = "target_R") -> DataFrame:
     """External predictions and coefficients of every scope (a task or all),
     feature group and direction (learn from one subject, predict the other).
@@ -66,7 +127,9 @@ def cross_subject(features: DataFrame, groups: dict[str, list[str]], cfg: Settin
     Rows of kind ``prediction`` hold a trial, its truth, probability and guess;
     those of kind ``coefficient`` a chosen feature and its weight. A group is
     the trials of one scope, a few hundred rows, handed to one task for each
-    feature group and direction; the tasks run side by side."""
+    feature group and direction; the tasks run side by side. A split whose
+    training or test side lacks a class, with a feature that isn't finite, with
+    fewer than two features that vary or fewer than three rows of a class fails."""
     names = sorted({c for cs in groups.values() for c in cs})
     order = {n: i for i, n in enumerate(names)}
     runs = [(g, a, b) for g in groups for a, b in (("A", "B"), ("B", "A"))]
@@ -81,6 +144,10 @@ def cross_subject(features: DataFrame, groups: dict[str, list[str]], cfg: Settin
         at = [order[n] for n in groups[key[1]]]
         x, y = np.stack(part["_x"].to_numpy())[:, at], part[label].to_numpy()
         train, test = (part["subject"] == key[2]).to_numpy(), (part["subject"] == key[3]).to_numpy()
+        if any(len(np.unique(y[side])) != 2 for side in (train, test)):
+            raise ValueError(f"{key[0]} {key[2]} to {key[3]}: a side lacks a class")
+        if not np.isfinite(x[train | test]).all():
+            raise ValueError("a feature isn't finite")
         cols, mean, sd, w, c, k, inner = fit_split(x[train], y[train], cfg, np.random.default_rng(int(part["_seed"].iloc[0])))
         p = 1 / (1 + np.exp(-np.clip((x[test][:, cols] - mean) / sd @ w[:-1] + w[-1], -500, 500)))
         told = [c, len(cols), inner, int(train.sum()), len(at)]

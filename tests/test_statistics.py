@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from evoka.config import Settings
 from evoka.functions import kernels
 from evoka.functions.columns import keyed_seed
-from evoka.operators import effects, evaluate, segments, signal, stats
+from evoka.operators import effects, evaluate, model, segments, signal, stats
 from evoka.sources import tables
 from evoka.streaming.quality import windowed_quality
 
@@ -223,6 +223,34 @@ def test_archives_of_other_facts_are_refused(spark, tmp_path):
         tables.read_archive(spark, f"{tmp_path}/b", cfg).collect()
 
 
+def test_logistic_weights_of_many_tasks(spark):
+    """As one task would fit them, for groups of unlike size and width at once."""
+    rng = np.random.default_rng(12)
+    made = {"a": (rng.normal(size=(300, 4)), 0.3), "b": (rng.normal(size=(40, 7)), 0.5), None: (rng.normal(size=(25, 2)), 0.6)}
+    data = {k: (x, (x[:, 0] + rng.normal(size=len(x)) > np.quantile(x[:, 0], q)).astype(int)) for k, (x, q) in made.items()}
+    rows = [(k, r.tolist(), int(t)) for k, (x, y) in data.items() for r, t in zip(x, y, strict=True)] + [("a", [0.0] * 4, None)]
+    df = spark.createDataFrame(rows, "k string, x array<double>, y int").repartition(8)
+    found = model.logistic_weights(df, ["k"], "x", "y", (0.01, 1.0, 10.0))
+    assert set(found) == {(k, c) for k in data for c in (0.01, 1.0, 10.0)}
+    for (k, c), w in found.items():
+        assert w == pytest.approx(kernels.fit_logistic(*data[k], c), abs=1e-8)
+    one = model.logistic_weights(df.where("k = 'b'"), [], "x", "y", (1.0,))
+    assert one[(1.0,)] == pytest.approx(found["b", 1.0], abs=1e-9)
+    assert model.logistic_weights(df.where("false"), ["k"], "x", "y", (1.0,)) == {}
+
+
+def test_splits_that_cannot_be_fitted_fail(spark):
+    rng = np.random.default_rng(1)
+    rows = [("Task-1", "f", i, "A" if i % 2 else "B", (i // 2) % 2, *map(float, rng.normal(size=2))) for i in range(40)]
+    df = spark.createDataFrame(rows, "task string, file_name string, trial_id int, subject string, target_R int, u double, v double")
+    cfg = replace(Settings(), penalties=(1.0,))
+    assert model.cross_subject(df, {"g": ["u", "v"]}, cfg).where("kind = 'prediction'").count() == 80
+    one_class = df.withColumn("target_R", F.when(F.col("subject") == "B", 1).otherwise(F.col("target_R")))
+    for frame, said in ((one_class, "lacks a class"), (df.withColumn("u", F.lit(float("nan"))), "isn't finite"), (df.withColumn("u", F.lit(1.0)), "fewer than two features vary")):
+        with pytest.raises(Exception, match=said):
+            model.cross_subject(frame, {"g": ["u", "v"]}, cfg).collect()
+
+
 def test_paths_do_not_grow_with_blocks(spark):
     """A block's path is as long as the number of blocks has binary digits, and
     its sizes are those of the halves; whatever a node deals, all blocks share."""
