@@ -515,6 +515,19 @@ def stratified_inference(spark, sf_dir):
     return evaluate.stratified_inference(rows, ["scope"], "stratum", "truth", "guess", POINTS.n_model_permutations, POINTS.n_model_bootstraps, POINTS.seed)
 
 
+@query("""WITH RECURSIVE r AS (SELECT vec_id % 3 AS g, embedding[1]::DOUBLE AS x, label AS y FROM embeddings WHERE label IN (0, 1)),
+    d AS (SELECT g, x, 2 * y - 1 AS s, count(*) OVER (PARTITION BY g) / (2.0 * count(*) OVER (PARTITION BY g, y)) AS c FROM r),
+    w AS (SELECT DISTINCT g, 0 AS k, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b FROM d
+        UNION ALL SELECT g, k + 1, a - (h22 * g1 - h12 * g2) / (h11 * h22 - h12 * h12), b - (h11 * g2 - h12 * g1) / (h11 * h22 - h12 * h12)
+        FROM (SELECT g, k, a, b, a - sum(c * s * p * x) AS g1, b - sum(c * s * p) AS g2, 1 + sum(c * p * (1 - p) * x * x) AS h11, sum(c * p * (1 - p) * x) AS h12, 1 + sum(c * p * (1 - p)) AS h22
+            FROM (SELECT w.g, k, a, b, x, s, c, 1 / (1 + exp(s * (a * x + b))) AS p FROM w JOIN d USING (g) WHERE k < 12) GROUP BY g, k, a, b))
+    SELECT g::INT AS g, round(a, 6) + 0.0 AS weight, round(b, 6) + 0.0 AS intercept FROM w WHERE k = 12""")
+def logistic_weights(spark, sf_dir):
+    rows = _t(spark, sf_dir, "embeddings").where("label in (0, 1)").select((F.col("vec_id") % 3).cast("int").alias("g"), F.array(F.col("embedding")[0].cast("double")).alias("x"), "label")
+    found = model.logistic_weights(rows, ["g"], "x", "label", (1.0,))
+    return _rounded(spark.createDataFrame([(g, float(w[0]), float(w[1])) for (g, _), w in found.items()], "g int, weight double, intercept double"))
+
+
 @query()
 def cross_subject_model(spark, sf_dir):
     rows = _t(spark, sf_dir, "embeddings").where("label in (0, 1)").select(F.when(F.col("vec_id") % 2 == 0, "A").otherwise("B").alias("subject"), F.lit("Task-1").alias("task"), F.lit("e").alias("file_name"), F.col("vec_id").cast("int").alias("trial_id"), F.col("label").alias("target_R"), *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(64)])
