@@ -10,7 +10,7 @@ import uuid
 import weakref
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 ASCII_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -96,6 +96,32 @@ def texts_of(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(kind).to_pylist()]
 
 
+#: Parts over which rows without an id are spread in joins by ids.
+NULL_PARTS = 1024
+
+
+def join_keys(id_col: str, text_col: str) -> list:
+    """(__evoka_id, __evoka_part) of a row: its id, and for rows without one, of
+    which there may be very many, a part by the text (-1 for all others)."""
+    own = F.col(id_col).cast("long")
+    part = F.pmod(F.xxhash64(F.col(text_col).cast("string")), F.lit(NULL_PARTS)).cast("int")
+    return [own.alias("__evoka_id"), F.when(own.isNull(), part).otherwise(-1).alias("__evoka_part")]
+
+
+def by_keys(ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``ids``, each once, under the names of ``join_keys``; a null id has a row for
+    each part."""
+    parts = F.when(F.col(id_col).isNull(), F.sequence(F.lit(0), F.lit(NULL_PARTS - 1))).otherwise(F.array(F.lit(-1)))
+    others = [c for c in ids.columns if c != id_col]
+    return ids.select(F.col(id_col).alias("__evoka_key"), *others, F.explode(parts).alias("__evoka_key_part"))
+
+
+def same_keys():
+    """The condition that joins rows with ``join_keys`` to those of ``by_keys``.
+    Null-safe in both, so that no filter on nulls is put before the exchange."""
+    return F.col("__evoka_id").eqNullSafe(F.col("__evoka_key")) & F.col("__evoka_part").eqNullSafe(F.col("__evoka_key_part"))
+
+
 def combined(column) -> pa.Array:
     return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
 

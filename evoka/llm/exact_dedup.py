@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import ASCII_LOWER, texts_of, written
+from .common import ASCII_LOWER, by_keys, join_keys, same_keys, texts_of, written
 
 _ENTRY = "lane int, digest binary, n_bytes long, check binary, keep_id long, keep_row long, group_size long"
 
@@ -134,14 +134,21 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", largest: bool = False) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns. The dropped ids
-    grow with the corpus, so texts and ids meet in a hash join at every size."""
+    grow with the corpus, so texts and ids meet in a hash join at every size, and
+    in one exchange. Ids that have both kept and dropped rows (repeated or null
+    ids) need a closer look, which is planned only where there are any."""
     judged = written(exact_dedup(docs, id_col, text_col, largest), "exact")
-    gone = judged.where(~F.col("kept")).select(F.col("doc_id").alias("__evoka_id")).distinct().hint("shuffle_hash")
-    stay = docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("__evoka_id")), "left_anti")
-    # Ids that have both kept and dropped rows (repeated ids) need a closer look.
-    mixed = judged.groupBy("doc_id").agg(F.bool_or("kept").alias("some"), F.bool_and("kept").alias("all")).where("some and not all").select(F.col("doc_id").alias("__evoka_id"))
-    kept = judged.where("kept").select(F.col("doc_id").alias("__evoka_kept_id"), F.hex("digest").alias("__evoka_kept_hex"))
+    dropped = judged.groupBy("doc_id").agg(F.bool_or("kept").alias("__evoka_mixed"), F.bool_and("kept").alias("all")).where("not all").drop("all")
+    dropped = written(dropped, "dropped")
+    keyed = docs.select("*", *join_keys(id_col, text_col))
+    found = by_keys(dropped).hint("shuffle_hash")
+    if dropped.where("__evoka_mixed").isEmpty():
+        return keyed.join(found, same_keys(), "left_anti").select(*docs.columns)
+    # Both parts read one exchange of the texts.
+    met = keyed.join(found, same_keys(), "left_outer")
+    stay = met.where(F.col("__evoka_mixed").isNull())
     lowered = F.translate(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    again = docs.join(mixed, F.col(id_col).cast("long").eqNullSafe(F.col("__evoka_id")), "left_semi").withColumn("__evoka_hex", F.upper(F.sha2(lowered, 256))).dropDuplicates([id_col, "__evoka_hex"])
-    again = again.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("__evoka_kept_id")) & (F.col("__evoka_hex") == F.col("__evoka_kept_hex")), "left_semi").drop("__evoka_hex")
-    return stay.unionByName(again.select(*docs.columns))
+    again = met.where("__evoka_mixed").withColumn("__evoka_hex", F.upper(F.sha2(lowered, 256))).dropDuplicates(["__evoka_id", "__evoka_hex"])
+    kept = judged.where("kept").select(F.col("doc_id").alias("__evoka_kept_id"), F.hex("digest").alias("__evoka_kept_hex"))
+    again = again.join(kept, F.col("__evoka_id").eqNullSafe(F.col("__evoka_kept_id")) & F.col("__evoka_hex").eqNullSafe(F.col("__evoka_kept_hex")), "left_semi")
+    return stay.select(*docs.columns).unionByName(again.select(*docs.columns))

@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import discard, texts_of, written
+from .common import by_keys, discard, join_keys, same_keys, texts_of, written
 
 SHINGLE = 5
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -162,9 +162,9 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, w
                 sets = [shingle_set(t, hashes, width) for t in texts_of(part.column(0))]
                 yield pa.RecordBatch.from_pydict({"set_key": pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()), "shingles": pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))})
 
-    ids = wanted.select(F.col("doc_id").alias("_id")).distinct().hint("shuffle_hash")
-    texts = docs.select(F.col(id_col).cast("long").alias("_doc"), F.col(text_col).cast("string").alias("_text"))
-    texts = texts.join(ids, F.col("_doc").eqNullSafe(F.col("_id")), "left_semi").select("_text")
+    ids = by_keys(wanted.select("doc_id").distinct()).hint("shuffle_hash")
+    texts = docs.select(*join_keys(id_col, text_col), F.col(text_col).cast("string").alias("_text"))
+    texts = texts.join(ids, same_keys(), "left_semi").select("_text")
     sets = texts.mapInArrow(run, "set_key binary, shingles array<long>")
     return sets.join(wanted.select("node", "set_key"), "set_key").dropDuplicates(["node"]).select("node", "shingles")
 
@@ -441,5 +441,6 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """The rows of ``docs`` whose id stays, one document of each group. Where an
     id repeats, it stays if any of its rows does."""
     judged = written(near_duplicates(docs, id_col, text_col, **options), "near")
-    gone = judged.groupBy("doc_id").agg(F.bool_or("kept").alias("some")).where("not some").select(F.col("doc_id").alias("__evoka_id")).hint("shuffle_hash")
-    return docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("__evoka_id")), "left_anti")
+    gone = by_keys(judged.groupBy("doc_id").agg(F.bool_or("kept").alias("some")).where("not some").select("doc_id")).hint("shuffle_hash")
+    keyed = docs.select("*", *join_keys(id_col, text_col))
+    return keyed.join(gone, same_keys(), "left_anti").select(*docs.columns)

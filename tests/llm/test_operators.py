@@ -178,6 +178,22 @@ def test_exact_dedup(request, which):
     assert exact_dedup.drop_copies(df).columns == df.columns
 
 
+def test_exact_dedup_of_many_rows_without_ids(spark, docs):
+    """A third of the rows has no id, some ids and rows repeat: of each text one
+    row stays, the one with the smallest id, and texts are exchanged once."""
+    odd = docs.withColumn("doc_id", F.when(F.col("doc_id") % 3 != 0, F.col("doc_id"))).union(docs.where("doc_id % 5 = 0")).union(docs.where("doc_id % 7 = 0").withColumn("doc_id", F.lit(1).cast("long")))
+    odd = written(odd, "odd")
+    want = {}
+    for i, t in texts(odd):
+        own = want.setdefault(lower(t), i)
+        if i is not None and (own is None or i < own):
+            want[lower(t)] = i
+    left = exact_dedup.drop_copies(odd)
+    assert sorted((lower(t), str(i)) for i, t in texts(left)) == sorted((t, str(i)) for t, i in want.items())
+    left.collect()
+    assert "ReusedExchange" in left._jdf.queryExecution().executedPlan().toString()
+
+
 # 3
 
 
@@ -445,6 +461,14 @@ def test_near_dedup(request, which):
     assert sorted(map(str, texts(kept))) == sorted(str(x) for x in texts(df) if x[0] in stay)
 
 
+def test_near_dedup_of_many_rows_without_ids(spark, docs):
+    odd = written(docs.withColumn("doc_id", F.when(F.col("doc_id") % 3 != 0, F.col("doc_id"))), "odd")
+    found = near_dedup.near_duplicates(odd).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in found) == components(texts(odd))
+    stay = {r.doc_id for r in found if r.kept}
+    assert sorted(map(str, texts(near_dedup.drop_near_copies(odd)))) == sorted(str(x) for x in texts(odd) if x[0] in stay)
+
+
 def test_near_dedup_of_a_large_group(spark):
     """A text and 150 altered copies, most of which link by the text alone."""
     rng = np.random.default_rng(5)
