@@ -4,6 +4,7 @@ on what one Spark group holds: a recording's channel or a condition's trials."""
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 
@@ -38,7 +39,8 @@ def _steady(section: np.ndarray) -> tuple[float, float]:
     return gain - b0, b2 - a2 * gain
 
 
-def _blocks(section: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+@lru_cache(maxsize=64)
+def _blocks(section: tuple[float, ...], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """A section's answer to a block of ``length`` samples: (from samples to
     outputs, from the state before to outputs, from samples to the state after,
     from the state before to that after), from the section's state equations."""
@@ -57,7 +59,7 @@ def _blocks(section: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, n
 def _filtered(x: np.ndarray, section: np.ndarray, state: np.ndarray, length: int = 128) -> np.ndarray:
     """One section over ``x``, block by block: matrix products for all blocks,
     and a loop over the blocks alone for the state that they hand on."""
-    outputs, seen, kept, carried = _blocks(section, length)
+    outputs, seen, kept, carried = _blocks(tuple(section), length)
     n = -(-len(x) // length)
     rows = np.concatenate([x, np.zeros(n * length - len(x))]).reshape(n, length)
     given = rows @ kept
@@ -81,19 +83,42 @@ def zero_phase(x: np.ndarray, sections: np.ndarray) -> np.ndarray:
     return ext[pad : len(ext) - pad]
 
 
-def run_sections(x: np.ndarray, sections: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(outputs, state after) of all sections over ``x`` from a state of two
-    numbers a section."""
-    after = np.empty(2 * len(sections))
+def run_sections(x: np.ndarray, lengths: np.ndarray, sections: np.ndarray, states: np.ndarray, length: int = 128) -> tuple[np.ndarray, np.ndarray]:
+    """(outputs, states after) of all sections over many series at once. ``x`` has
+    them one after another, ``lengths`` of at least 1; ``states`` are a row a series,
+    of two numbers a section."""
+    # Stretches of ``length`` samples are rows of a matrix; what fills the last
+    # one of a series comes after its samples and so changes none of them.
+    n = -(-lengths // length)
+    row, start = np.cumsum(n) - n, np.cumsum(lengths) - lengths
+    at = np.arange(len(x)) + np.repeat(row * length - start, lengths)
+    rows = np.zeros((int(n.sum()), length))
+    rows.ravel()[at] = x
+    order = np.argsort(-n, kind="stable")
+    open_ = np.searchsorted(-n[order], -np.arange(n.max(initial=0)))
+    last, after = at[start + lengths - 1], np.empty_like(states)
     for k, section in enumerate(sections):
-        own = state[2 * k : 2 * k + 2]
-        y = _filtered(x, section, own) if len(x) else x
+        outputs, seen, kept, carried = _blocks(tuple(section), length)
+        own, given, before = states[:, 2 * k : 2 * k + 2], rows @ kept, np.empty((len(rows), 2))
+        state = own[order]
+        for j, m in enumerate(open_):
+            here = row[order[:m]] + j
+            before[here] = state[:m]
+            state = state[:m] @ carried.T + given[here]
+        y = rows @ outputs.T + before @ seen.T
         _, b1, b2, _, a1, a2 = section
-        for u, v in zip(x[-2:], y[-2:], strict=True):
-            own = np.array([b1 * u - a1 * v + own[1], b2 * u - a2 * v])
-        after[2 * k : 2 * k + 2] = own
-        x = y
-    return x, after
+        earlier = b2 * rows.ravel()[last - 1] - a2 * y.ravel()[last - 1]
+        u, v = rows.ravel()[last], y.ravel()[last]
+        after[:, 2 * k] = b1 * u - a1 * v + np.where(lengths > 1, earlier, own[:, 1])
+        after[:, 2 * k + 1] = b2 * u - a2 * v
+        rows = y
+    return rows.ravel()[at], after
+
+
+def _turned(x: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Each of the series that ``x`` has one after another, backward."""
+    end = np.cumsum(lengths)
+    return x[np.repeat(2 * end - lengths - 1, lengths) - np.arange(len(x))]
 
 
 def _settled(sections: np.ndarray, value: float) -> np.ndarray:
@@ -105,12 +130,19 @@ def _settled(sections: np.ndarray, value: float) -> np.ndarray:
     return np.array(out)
 
 
+def zero_phase_summaries(x: np.ndarray, lengths: np.ndarray, sections: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each block's part in the states that it hands on, from no state: forward
+    over the block, and backward over what that gives. ``x`` has the blocks one
+    after another."""
+    none = np.zeros((len(lengths), 2 * len(sections)))
+    y, after = run_sections(x, lengths, sections, none)
+    return after, run_sections(_turned(y, lengths), lengths, sections, none)[1]
+
+
 def zero_phase_summary(x: np.ndarray, sections: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A block's part in the states that it hands on, from no state: forward over
-    the block, and backward over what that gives."""
-    none = np.zeros(2 * len(sections))
-    y, after = run_sections(x, sections, none)
-    return after, run_sections(y[::-1], sections, none)[1]
+    """One block's summary."""
+    ahead, behind = zero_phase_summaries(x, np.array([len(x)]), sections)
+    return ahead[0], behind[0]
 
 
 def _passing(sections: np.ndarray):
@@ -141,34 +173,60 @@ def zero_phase_pad(sections: np.ndarray, n: int) -> int:
     return min(3 * (2 * len(sections) + 1), n - 1)
 
 
-def zero_phase_states(lengths: list[int], heads: list, tails: list, ahead: list, behind: list, sections: np.ndarray) -> tuple[list, list]:
-    """States before each block of a series, forward and backward, from their
-    summaries, their first and their last samples (as many as the padding and one
-    more, or all)."""
-    n, of = sum(lengths), _passing(sections)
-    pad = zero_phase_pad(sections, n)
-    first = np.concatenate([*heads])[: pad + 1] if len(heads[0]) <= pad else np.asarray(heads[0])[: pad + 1]
-    last = np.concatenate([*tails])[-pad - 1 :] if len(tails[-1]) <= pad else np.asarray(tails[-1])[-pad - 1 :]
-    front, rear = 2 * first[0] - first[pad:0:-1], 2 * last[-1] - last[-2::-1]
-    state = run_sections(front, sections, _settled(sections, front[0] if pad else first[0]))[1]
-    forward = []
-    for length, own in zip(lengths, ahead, strict=True):
-        forward.append(state)
-        state = of(length)[0] @ state + own
+def all_zero_phase_states(blocks: np.ndarray, lengths: np.ndarray, heads: tuple[np.ndarray, np.ndarray], tails: tuple[np.ndarray, np.ndarray], ahead: np.ndarray, behind: np.ndarray, sections: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """States before each block of many series, forward and backward. ``blocks``
+    counts each series' blocks, which the others have one after another: lengths,
+    summaries, and (values, numbers of them) of the first and last samples of the
+    blocks, as many as the padding and one more, or all. Series have two samples
+    or more."""
+    start, of = np.cumsum(blocks) - blocks, _passing(sections)
+    pad = np.minimum(zero_phase_pad(sections, 10**9), np.add.reduceat(lengths, start) - 1)
+    (first, n_first), (last, n_last) = heads, tails
+    # Heads in a row begin as the series does, and tails in a row end as it does.
+    begin = (np.cumsum(n_first) - n_first)[start]
+    end = np.cumsum(n_last)[start + blocks - 1] - 1
+    each = np.arange(pad.sum()) - np.repeat(np.cumsum(pad) - pad, pad)
+    front = np.repeat(2 * first[begin], pad) - first[np.repeat(begin + pad, pad) - each]
+    rear = np.repeat(2 * last[end], pad) - last[np.repeat(end, pad) - 1 - each]
+    at, settled = np.cumsum(pad) - pad, _settled(sections, 1.0)
+    state = run_sections(front, pad, sections, np.outer(front[at], settled))[1]
+
+    unique, which = np.unique(lengths, return_inverse=True)
+    left, turned = (np.stack(m) for m in zip(*(of(int(n)) for n in unique), strict=True))
+    times = lambda m, here, v: np.einsum("sij,sj->si", m[which[here]], v)
+    forward, backward = np.empty_like(ahead), np.empty_like(ahead)
+    for k in range(blocks.max()):
+        on = np.flatnonzero(blocks > k)
+        here = start[on] + k
+        forward[here] = state[on]
+        state[on] = times(left, here, state[on]) + ahead[here]
     # The padding at the end, filtered, is where the way back begins.
-    rear = run_sections(rear, sections, state)[0]
-    state = run_sections(rear[::-1], sections, _settled(sections, rear[-1] if pad else 0.0))[1]
-    backward = []
-    for length, own, start in zip(lengths[::-1], behind[::-1], forward[::-1], strict=True):
-        backward.append(state)
-        left, turned = of(length)
-        state = left @ state + own + turned @ start
-    return forward, backward[::-1]
+    rear = _turned(run_sections(rear, pad, sections, state)[0], pad)
+    state = run_sections(rear, pad, sections, np.outer(rear[at], settled))[1]
+    for k in range(blocks.max()):
+        on = np.flatnonzero(blocks > k)
+        here = start[on] + blocks[on] - 1 - k
+        backward[here] = state[on]
+        state[on] = times(left, here, state[on]) + behind[here] + times(turned, here, forward[here])
+    return forward, backward
+
+
+def zero_phase_states(lengths: list[int], heads: list, tails: list, ahead: list, behind: list, sections: np.ndarray) -> tuple[list, list]:
+    """One series' states before its blocks."""
+    ends = [(np.concatenate([*own]).astype(float), np.array([len(x) for x in own])) for own in (heads, tails)]
+    forward, backward = all_zero_phase_states(np.array([len(lengths)]), np.array(lengths), *ends, np.array(ahead), np.array(behind), sections)
+    return list(forward), list(backward)
+
+
+def zero_phase_blocks(x: np.ndarray, lengths: np.ndarray, sections: np.ndarray, forward: np.ndarray, backward: np.ndarray) -> np.ndarray:
+    """Blocks filtered from the states before them; ``x`` has them one after another."""
+    y, _ = run_sections(x, lengths, sections, forward)
+    return _turned(run_sections(_turned(y, lengths), lengths, sections, backward)[0], lengths)
 
 
 def zero_phase_block(x: np.ndarray, sections: np.ndarray, forward: np.ndarray, backward: np.ndarray) -> np.ndarray:
-    y, _ = run_sections(x, sections, forward)
-    return run_sections(y[::-1], sections, backward)[0][::-1]
+    """One block filtered."""
+    return zero_phase_blocks(x, np.array([len(x)]), sections, forward[None], backward[None])
 
 
 def welch(x: np.ndarray, rate: float, n_segment: int, n_overlap: int, n_fft: int | None = None, detrend: str = "constant") -> tuple[np.ndarray, np.ndarray]:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..config import Settings
 from ..functions import kernels
@@ -20,52 +20,100 @@ def _key_schema(df: DataFrame, keys: Sequence[str]) -> str:
     return ", ".join(f"`{k}` {dict(df.dtypes)[k]}" for k in keys)
 
 
+def _whole_groups(batches: Iterable[pa.RecordBatch], least: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole groups, about ``least`` rows or one group, with the places
+    where groups begin: at each true ``_first`` of the sorted batches."""
+    held, n = [], 0
+    begins = lambda own: np.flatnonzero(own.column("_first").to_numpy(zero_copy_only=False))
+
+    def made() -> tuple[pa.Table, np.ndarray]:
+        table = pa.Table.from_batches(held).combine_chunks()
+        return table, np.flatnonzero(table.column("_first").to_numpy())
+
+    for batch in batches:
+        if n >= least and len(at := begins(batch)):
+            held.append(batch.slice(0, at[-1]))
+            yield made()
+            held, n, batch = [], 0, batch.slice(at[-1])
+        held.append(batch)
+        n += batch.num_rows
+    if n:
+        yield made()
+
+
+def _lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Values and lengths of a column of lists without nulls."""
+    own = column.combine_chunks()
+    return own.flatten().to_numpy(zero_copy_only=False), own.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _as_lists(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), pa.array(values))
+
+
 def bandpass(samples: DataFrame, keys: Sequence[str], index: str, value: str, cfg: Settings = Settings(), block: float = BLOCK) -> DataFrame:
     """Zero-phase band-pass of each series. Values must have no gaps; a series of
     one sample is 0.
 
-    A task filters a block of ``block`` steps of the index. A first pass gives what
-    each block adds to the filter's state, forward and backward, if it begins from
-    nothing; a scan of these rows, one a block, gives the states that blocks really
-    begin from; a second pass filters."""
+    A series is worked through in blocks of ``block`` steps of the index. A first
+    pass gives what each block adds to the filter's state, forward and backward,
+    if it begins from nothing; a scan of these rows, one a block, gives the states
+    that blocks really begin from; a second pass filters. Each pass takes many
+    blocks of its sorted rows at once, so short series cost little more than their
+    samples."""
     sections = kernels.butterworth_bandpass(cfg.filter_order, *cfg.band_hz, cfg.sample_rate)
-    most = kernels.zero_phase_pad(sections, 10**9) + 1
-    lists = pa.list_(pa.float64())
-
-    def sorted_values(table: pa.Table) -> tuple[pa.Table, np.ndarray]:
-        table = table.sort_by(index)
-        return table, table.column(value).to_numpy().astype(float)
-
-    def summary(table: pa.Table) -> pa.Table:
-        _, x = sorted_values(table)
-        ahead, behind = kernels.zero_phase_summary(x, sections)
-        made = {"_n": pa.array([len(x)], pa.int64()), **{name: pa.array([own.tolist()], lists) for name, own in (("_head", x[:most]), ("_tail", x[-most:]), ("_ahead", ahead), ("_behind", behind))}}
-        out = table.slice(0, 1).select([*keys, "_block"])
-        for name, own in made.items():
-            out = out.append_column(name, own)
-        return out
-
-    def scan(key, parts: pd.DataFrame) -> pd.DataFrame:
-        parts = parts.sort_values("_block")
-        n = parts["_n"].tolist()
-        if sum(n) > 1:
-            states = kernels.zero_phase_states(n, *(parts[c].tolist() for c in ("_head", "_tail", "_ahead", "_behind")), sections)
-            parts["_forward"], parts["_backward"] = ([x.tolist() for x in own] for own in states)
-        else:
-            parts["_forward"] = parts["_backward"] = None
-        return parts[[*keys, "_block", "_forward", "_backward"]]
-
-    def run(table: pa.Table, states: pa.Table) -> pa.Table:
-        table, x = sorted_values(table)
-        forward, backward = (states.column(c)[0].as_py() for c in ("_forward", "_backward"))
-        y = x - x if forward is None else kernels.zero_phase_block(x, sections, np.array(forward), np.array(backward))
-        return table.select([*keys, index]).append_column("filtered", pa.array(y))
+    most, size = kernels.zero_phase_pad(sections, 10**9) + 1, 2 * len(sections)
+
+    def summaries(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, start in _whole_groups(batches, 200_000):
+            x = table.column(value).to_numpy().astype(float)
+            n = np.diff(start, append=len(x))
+            ahead, behind = kernels.zero_phase_summaries(x, n, sections)
+            kept = np.minimum(n, most)
+            each = np.arange(kept.sum()) - np.repeat(np.cumsum(kept) - kept, kept)
+            head, tail = (x[np.repeat(own, kept) + each] for own in (start, start + n - kept))
+            wide = np.full(len(n), size)
+            made = {"_n": pa.array(n), **{c: _as_lists(*own) for c, own in (("_head", (head, kept)), ("_tail", (tail, kept)), ("_ahead", (ahead.ravel(), wide)), ("_behind", (behind.ravel(), wide)))}}
+            out = table.select([*keys, "_block"]).take(pa.array(start))
+            for name, own in made.items():
+                out = out.append_column(name, own)
+            yield from out.to_batches()
+
+    def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, start in _whole_groups(batches, 10_000):
+            n = table.column("_n").to_numpy()
+            # A series of one sample has no state.
+            whole = np.add.reduceat(n, start) > 1
+            blocks = np.diff(start, append=len(n))
+            has = np.repeat(whole, blocks)
+            states = np.zeros((len(n), 2 * size))
+            if has.any():
+                own = table.filter(pa.array(has))
+                heads, tails, (ahead, _), (behind, _) = (_lists(own.column(c)) for c in ("_head", "_tail", "_ahead", "_behind"))
+                states[has] = np.hstack(kernels.all_zero_phase_states(blocks[whole], n[has], heads, tails, ahead.reshape(-1, size), behind.reshape(-1, size), sections))
+            out = table.select([*keys, "_block"]).append_column("_state", _as_lists(states.ravel(), np.full(len(n), 2 * size))).append_column("_alone", pa.array(~has))
+            yield from out.to_batches()
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, start in _whole_groups(batches, 200_000):
+            n = np.diff(start, append=table.num_rows) - 1
+            at = table.take(pa.array(start))
+            states, alone = _lists(at.column("_state"))[0].reshape(-1, 2 * size), at.column("_alone").to_numpy()
+            out = table.filter(pa.array(~table.column("_first").to_numpy()))
+            x = out.column(value).to_numpy().astype(float)
+            y = np.where(np.repeat(alone, n), x - x, kernels.zero_phase_blocks(x, n, sections, states[:, :size], states[:, size:]))
+            yield from out.select([*keys, index]).append_column("filtered", pa.array(y)).to_batches()
+
+    def first_of(by: Sequence[str], *order: str | Column) -> Column:
+        return F.row_number().over(Window.partitionBy(*by).orderBy(*order)) == 1
 
     rows = samples.select(*keys, F.col(index).cast("long").alias(index), F.col(value).cast("double").alias(value), block_of(index, block).alias("_block"))
-    own = _key_schema(rows, keys)
-    parts = rows.groupBy(*keys, "_block").applyInArrow(summary, f"{own}, _block long, _n long, _head array<double>, _tail array<double>, _ahead array<double>, _behind array<double>")
-    states = parts.groupBy(*keys).applyInPandas(scan, f"{own}, _block long, _forward array<double>, _backward array<double>")
-    return rows.groupBy(*keys, "_block").cogroup(states.groupBy(*keys, "_block")).applyInArrow(run, f"{own}, `{index}` long, filtered double")
+    own, blocks, along = _key_schema(rows, keys), [*keys, "_block"], F.asc_nulls_last(index)
+    parts = rows.withColumn("_first", first_of(blocks, along)).mapInArrow(summaries, f"{own}, _block long, _n long, _head array<double>, _tail array<double>, _ahead array<double>, _behind array<double>")
+    states = parts.withColumn("_first", first_of(keys, "_block")).mapInArrow(scan, f"{own}, _block long, _state array<double>, _alone boolean")
+    # A block's state comes before its samples.
+    both = rows.withColumn("_is_sample", F.lit(True)).unionByName(states.withColumn("_is_sample", F.lit(False)), allowMissingColumns=True)
+    return both.withColumn("_first", first_of(blocks, "_is_sample", along)).mapInArrow(run, f"{own}, `{index}` long, filtered double")
 
 
 def spectra(samples: DataFrame, keys: Sequence[str], index: str, value: str, rate: float, n_segment: int = 8192, n_overlap: int = 4096) -> DataFrame:

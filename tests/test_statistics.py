@@ -184,6 +184,25 @@ def test_bandpass_of_a_recording_in_many_tasks(spark):
             assert [found[k, 3 * i + 1] for i in range(len(x))] == pytest.approx(list(want), abs=1e-9)
 
 
+def test_bandpass_of_many_short_series(spark):
+    """Series by the thousand go through the kernels together: no call into Python
+    is a series' or a block's own, and gaps, nulls and lengths stay apart."""
+    rng = np.random.default_rng(9)
+    series = {k: rng.normal(k % 7, 2, 1 + k % 90) for k in range(1500)}
+    df = spark.createDataFrame([(k, 40 * i + k % 5, float(v)) for k, x in series.items() for i, v in enumerate(x)], "k int, i long, v double").repartition(6)
+    found = signal.bandpass(df, ["k"], "i", "v", block=1000)
+    assert "FlatMap" not in found._jdf.queryExecution().toString()
+    rows = {(r.k, r.i): r.filtered for r in found.collect()}
+    assert len(rows) == sum(map(len, series.values()))
+    sections = kernels.butterworth_bandpass(4, 0.5, 30, 256.0)
+    for k, x in series.items():
+        want = kernels.zero_phase(x, sections) if len(x) > 1 else [0.0]
+        assert [rows[k, 40 * i + k % 5] for i in range(len(x))] == pytest.approx(list(want), abs=1e-8)
+    spoilt = df.withColumn("v", F.when((F.col("k") != 89) | (F.col("i") != 44), F.col("v")))
+    assert {r.k for r in signal.bandpass(spoilt, ["k"], "i", "v").where("isnan(filtered)").collect()} == {89}
+    assert signal.bandpass(df.where("false"), ["k"], "i", "v").count() == 0
+
+
 @pytest.mark.parametrize("parts", [1, 256])
 def test_adjusted_p_of_large_families(spark, parts):
     """Ties, zeros, ones, nulls and null families, in few blocks or in many."""
