@@ -339,18 +339,68 @@ def _parted(counts: np.ndarray, n: np.ndarray, split) -> np.ndarray:
 
 #: With up to so many rows per distinct value, rows are drawn; with more, counts.
 FEW_TIES = 4
+#: Binomial draws of up to so many rows are looked up in a table.
+TABLED = 128
+#: Numbers that replicates draw at once.
+AT_ONCE = 50_000
+
+
+def _binomials(counts: np.ndarray, p: float, rows: int, rng: np.random.Generator) -> np.ndarray:
+    """(rows, values): binomial draws of ``counts``, all with the chance ``p``."""
+    if p > 0.5:
+        return counts - _binomials(counts, 1 - p, rows, rng)
+    out = np.empty((rows, len(counts)), np.int64)
+    for c in np.unique(counts).tolist():
+        at = np.flatnonzero(counts == c)
+        if c > TABLED:
+            out[:, at] = rng.binomial(c, p, (rows, len(at)))
+            continue
+        k, u = np.arange(c), rng.random((rows, len(at)))
+        below = np.cumsum((1 - p) ** c * np.cumprod([1.0, *((c - k[:-1]) / (k[:-1] + 1) * (p / (1 - p)))]))
+        out[:, at] = u >= below[0] if c == 1 else np.searchsorted(below, u.ravel(), side="right").reshape(u.shape)
+    return out
+
+
+def _sums_of_picked(v: np.ndarray, rows: np.ndarray, n: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """The sum of ``n`` of each line's ``rows`` by value, without replacement."""
+    total = rows.sum(axis=1)
+    # Places among all lines' rows, drawn until ``few`` of a line's are unlike.
+    few, last = np.minimum(n, total - n), np.cumsum(total)
+    places, need = np.empty(0, np.int64), few
+    while need.any():
+        line = np.repeat(np.arange(len(n)), need)
+        places = np.unique(np.concatenate([places, last[line] - 1 - rng.integers(0, total[line])]))
+        need = few - np.bincount(np.searchsorted(last, places, side="right"), minlength=len(n))
+    at = np.searchsorted(np.cumsum(rows.ravel()), places, side="right")
+    sums = np.bincount(at // len(v), v[at % len(v)], minlength=len(n))
+    rest = few < n
+    if rest.any():
+        sums[rest] = rows[rest].astype(float) @ v - sums[rest]
+    return sums
 
 
 def _sums_of_some(v: np.ndarray, counts: np.ndarray, n: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """For each of ``n`` the sum of that many rows, drawn without replacement."""
+    """For each of ``n`` the sum of that many rows, drawn without replacement.
+
+    Each row is drawn or not by itself; then as many are given back or drawn from
+    those left as the number asks for, which leaves all choices of ``n`` rows equally
+    likely. These are about the root of the rows; where that is far more than the
+    values, counts are dealt by halves."""
     total = int(counts.sum())
-    if total > FEW_TIES * len(v):
+    if total > (3 * len(v)) ** 2:
         return _parted(counts, n, lambda low, high, k: hypergeometric(low, high, k, rng)) @ v
-    rows, order = np.repeat(v, counts), rng.random((len(n), total))
-    if (n == n[0]).all() and n[0] < total:
-        return rows[np.argpartition(order, n[0], axis=1)[:, : n[0]]].sum(axis=1)
-    sums = np.cumsum(rows[np.argsort(order, axis=1)], axis=1)
-    return np.where(n > 0, sums[np.arange(len(n)), np.maximum(n, 1) - 1], 0.0)
+    # Few replicates at once, since arrays that stay in the cache cost a fraction.
+    out, some = np.empty(len(n)), max(1, AT_ONCE // len(v))
+    for at in range(0, len(n), some):
+        wanted = n[at : at + some]
+        drawn = _binomials(counts, float(n.mean()) / total, len(wanted), rng)
+        over = drawn.sum(axis=1) - wanted
+        sums = drawn.astype(float) @ v
+        for sign, here in ((-1, over > 0), (1, over < 0)):
+            if here.any():
+                sums[here] += sign * _sums_of_picked(v, drawn[here] if sign < 0 else counts - drawn[here], np.abs(over[here]), rng)
+        out[at : at + some] = sums
+    return out
 
 
 def _sums_of_repeated(v: np.ndarray, counts: np.ndarray, n: np.ndarray, rng: np.random.Generator) -> np.ndarray:

@@ -104,7 +104,8 @@ def resampled_tests(df: DataFrame, keys: Sequence[str], value: str, side: str, n
     row stands for ``count`` rows if a column is named.
 
     No task holds a test. Its values are counted, and dealt by hash to blocks of
-    about ``block_values`` distinct ones. For each replicate the number of rows
+    about ``block_values`` distinct ones, or fewer so that tests of over a thousand
+    values have ``LEAST_BLOCKS`` blocks. For each replicate the number of rows
     that a block gives to the left is a hypergeometric draw over the blocks'
     sizes (multinomial for the bootstrap). It is made along the block's path in a
     binary tree of blocks, each node drawing from a seed of its own; the block
@@ -116,7 +117,7 @@ def resampled_tests(df: DataFrame, keys: Sequence[str], value: str, side: str, n
     times = F.lit(1) if count is None else F.col(count)
     on = lambda own: F.sum(F.when(F.col(side) == own, times).otherwise(0)).cast("long")
     cells = df.where(F.col(value).isNotNull() & F.col(side).isin("L", "R")).groupBy(*names, F.col(value).cast("double").alias("_v")).agg(on("L").alias("_l"), on("R").alias("_r")).where("_l + _r > 0")
-    wide = cells.groupBy(*names).agg(F.ceil(F.count("*") / F.lit(block_values)).alias("_blocks"), F.sum("_l").alias("_nl"), F.sum("_r").alias("_nr"), F.sum(F.col("_v") * F.col("_l")).alias("_sl"), F.sum(F.col("_v") * F.col("_r")).alias("_sr"))
+    wide = cells.groupBy(*names).agg(F.greatest(F.ceil(F.count("*") / F.lit(block_values)), F.least(F.lit(LEAST_BLOCKS), F.ceil(F.count("*") / F.lit(64)))).alias("_blocks"), F.sum("_l").alias("_nl"), F.sum("_r").alias("_nr"), F.sum(F.col("_v") * F.col("_l")).alias("_sl"), F.sum(F.col("_v") * F.col("_r")).alias("_sr"))
     both_sides = wide.where("_nl > 0 and _nr > 0")
     dealt = cells.join(both_sides.select(*names, "_blocks"), names).withColumn("_block", F.pmod(F.xxhash64("_v"), F.col("_blocks"))).withColumn("_depth", F.ceil(F.log2("_blocks")).cast("int")).drop("_blocks")
     facts = both_sides.select(*names, "_nl", "_nr", keyed_seed(seed, *[F.col(k).cast("string") for k in names]).alias("_seed"))
@@ -137,7 +138,9 @@ def resampled_tests(df: DataFrame, keys: Sequence[str], value: str, side: str, n
             out.append([*key[:-1], list(range(start, start + CHUNK)), *sums])
         return pd.DataFrame(out, columns=[*names, "at", "permuted", "left", "right"])
 
-    drawn = dealt.select(*names, "_block", "_v", "_l", "_r").groupBy(*names, "_block").cogroup(heads.groupBy(*[f"_of_{k}" for k in range(len(names) + 1)])).applyInPandas(run, schema)
+    # Few bytes are hours of draws, so tasks are as many as partitions, whatever the size.
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    drawn = dealt.select(*names, "_block", "_v", "_l", "_r").repartition(tasks, *names, "_block").groupBy(*names, "_block").cogroup(heads.groupBy(*[f"_of_{k}" for k in range(len(names) + 1)])).applyInPandas(run, schema)
     sums = drawn.select(*names, F.explode(F.arrays_zip("at", "permuted", "left", "right")).alias("z")).groupBy(*names, "z.at").agg(F.sum("z.permuted").alias("_p"), F.sum("z.left").alias("_a"), F.sum("z.right").alias("_b"))
     sums = sums.join(both_sides, names)
     total, observed = F.col("_sl") + F.col("_sr"), F.col("_sr") / F.col("_nr") - F.col("_sl") / F.col("_nl")
@@ -151,3 +154,5 @@ def resampled_tests(df: DataFrame, keys: Sequence[str], value: str, side: str, n
 
 #: Replicates that a block draws at once.
 CHUNK = 250
+#: Blocks of a test, so that its draws are several tasks'.
+LEAST_BLOCKS = 16

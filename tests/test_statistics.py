@@ -309,6 +309,35 @@ def test_resampled_tests_of_counts_beyond_numpy(spark):
     assert a == b
 
 
+def test_draws_of_ties_are_those_of_all_choices(spark):
+    """As often as the choices of rows give each sum, without a draw from a
+    hypergeometric distribution for each value; in many tasks for one test."""
+    rng = np.random.default_rng(3)
+    for counts, n in (([1, 2, 1, 3], 3), ([1] * 7, 5), ([6, 1, 5], 9), ([2, 130, 1], 2), ([5, 1], 6), ([1, 2], 0)):
+        counts = np.array(counts)
+        v = 16.0 ** np.arange(len(counts))
+        sums, made = np.unique(kernels._sums_of_some(v, counts, np.full(40_000, n), rng), return_counts=True)
+        ways = {sum(np.array(k) * v): math.prod(math.comb(c, x) for c, x in zip(counts.tolist(), k, strict=True)) for k in itertools.product(*(range(min(c, n) + 1) for c in counts)) if sum(k) == n}
+        assert set(sums) <= set(ways)
+        shares = dict(zip(sums, made / 40_000, strict=True))
+        assert [shares.get(k, 0.0) for k in ways] == pytest.approx([w / sum(ways.values()) for w in ways.values()], abs=0.012)
+
+    class Watched:
+        asked = 0
+
+        def __getattr__(self, name):
+            self.asked += name == "hypergeometric"
+            return getattr(rng, name)
+
+    watched, wanted = Watched(), rng.integers(3000, 4000, 300)
+    assert kernels._sums_of_some(np.ones(1000), np.full(1000, 7), wanted, watched) == pytest.approx(wanted) and not watched.asked
+    rows = spark.range(3000).select(F.lit("t").alias("k"), F.when(F.col("id") % 2 == 0, "L").otherwise("R").alias("side"), F.sqrt("id").alias("v"))
+    found = effects.resampled_tests(rows, ["k"], "v", "side", 300, 300, 7)
+    assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
+    one = found.first()
+    assert 0.9 < one.p_permutation <= 1 and one.difference_ci95_low < 0.02 < one.difference_ci95_high
+
+
 def test_stratified_inference_by_counts(spark):
     """p against all exchanges within strata, interval against plain draws."""
     data = [("a", 0, 0), ("a", 0, 0), ("a", 1, 1), ("a", 1, 0), ("b", 0, 0), ("b", 0, 1), ("b", 1, 1), ("b", 1, 1), ("b", 1, 1)]
