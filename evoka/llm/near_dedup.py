@@ -166,7 +166,8 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, w
     texts = docs.select(*join_keys(id_col, text_col), F.col(text_col).cast("string").alias("_text"))
     texts = texts.join(ids, same_keys(), "left_semi").select("_text")
     sets = texts.mapInArrow(run, "set_key binary, shingles array<long>")
-    return sets.join(wanted.select("node", "set_key"), "set_key").dropDuplicates(["node"]).select("node", "shingles")
+    # A node has one key, by which the join deals its rows already.
+    return sets.join(wanted.select("node", "set_key"), "set_key").dropDuplicates(["set_key"]).select("node", "shingles")
 
 
 def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -347,7 +348,13 @@ def _verified(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, percent: i
     """The links (a, b) among the pairs: by their sketches, then by their sets."""
     of = lambda side: sketches.select(F.col("node").alias(side), F.col("size").alias(f"n{side}"), F.col("sketch").alias(f"s{side}"))
     near = pairs.distinct().join(of("a"), "a").join(of("b"), "b").where(_within("sa", "sb", "na", "nb", percent))
-    return written(_compared(written(near.select("a", "b"), "pairs"), sets, percent).where("linked").select("a", "b"), "links")
+    near = written(near.select("a", "b"), "pairs")
+    # Few of the sets are in pairs. Their nodes are written first, so that it is
+    # known before the exchange of the sets whether they can be broadcast.
+    nodes = written(near.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "pairs")
+    found = written(_compared(near, sets.join(nodes, "node", "left_semi"), percent).where("linked").select("a", "b"), "links")
+    discard(near, nodes)
+    return found
 
 
 def _pivot_links(stars: DataFrame, compared: DataFrame, marks: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int, turn: int) -> DataFrame:

@@ -548,6 +548,21 @@ def test_sketches_bound_differences():
             assert apart <= len(np.setxor1d(x, y))
 
 
+def test_near_dedup_rounds_take_the_sets_of_their_pairs(spark, monkeypatch):
+    """After the comparison with hubs, only the sets that a round's pairs need are
+    handed to it, however many there are."""
+    rng = np.random.default_rng(8)
+    base = [f"w{x}" for x in rng.integers(0, 10**6, 240)]
+    cut = lambda at, n: " ".join(base[:at] + base[at + n :])
+    rows = [(i, cut(int(at), 60)) for i, at in enumerate(rng.integers(0, 180, 40))] + [(100, " ".join(base))]
+    rows += [(1000 + 2 * i + j, " ".join(f"x{i}y{k}" for k in range(60 + j))) for i in range(30) for j in range(2)]
+    given, compared = [], near_dedup._compared
+    monkeypatch.setattr(near_dedup, "_compared", lambda pairs, sets, *rest: given.append((pairs.select("a").union(pairs.select("b")).distinct().count(), sets.count())) or compared(pairs, sets, *rest))
+    found = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert all(found[1000 + 2 * i + 1] == 1000 + 2 * i for i in range(30))
+    assert len(given) > 1 and given[0][1] >= 60 and all(nodes == sets for nodes, sets in given[1:])
+
+
 def test_near_dedup_recall_at_the_limit(spark):
     """400 pairs of texts whose similarity is from 0.75 to 0.80: all are found."""
     rng = np.random.default_rng(8)
